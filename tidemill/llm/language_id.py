@@ -133,7 +133,7 @@ def identify(docs: DataFrame, model: Ppm) -> DataFrame:
             cols += [pa.array(lang, pa.string()), pa.array(np.where(letter, score, 0.0)), pa.array(low / size)]
             yield pa.RecordBatch.from_arrays(cols, names=[*keep, "lang_pred", "score", "bits_per_byte"])
 
-    schema = docs.schema.add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double")
+    schema = tk.extended(docs, "lang_pred string, score double, bits_per_byte double")
     return marked.mapInArrow(run, schema)
 
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from tidemill.llm.decontaminate import OP8_SQL, op8_decontaminate
+from tidemill.llm.fingerprint import op1_fingerprint
 from tidemill.llm.language_id import op6_language_id
 from tidemill.llm.line_dedup import OP7_SQL, op7_line_dedup
+from tidemill.llm.packing import op9_packing
 
-QUERIES = {f.__name__: f for f in (op6_language_id, op7_line_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op6_language_id, op7_line_dedup, op8_decontaminate, op9_packing)}
 
-ORACLE_SQL = {"op7_line_dedup": OP7_SQL}
+ORACLE_SQL = {"op7_line_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL}

@@ -12,6 +12,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql.types import StructType
 
 #: Multipliers of the polynomial hashes (odd 64-bit constants of splitmix64).
 _MUL = 0x9E3779B97F4A7C15
@@ -63,6 +64,11 @@ def parts(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def extended(df, more: str) -> StructType:
+    """The schema of df with further columns, given as DDL."""
+    return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and the n+1 offsets of its rows; null is empty."""
     if isinstance(column, pa.ChunkedArray):
