@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import textkit as tk
 
-#: Labelled documents per language that the contexts are counted on, at most (the fit's documented bound).
-SAMPLE_PER_LANG = 600
+#: Labelled documents per language that the contexts are counted on, at most (the fit's documented bound), and the groups they are drawn from evenly.
+SAMPLE_PER_LANG, SALTS = 600, 30
 #: Byte values with a symbol of their own, at most; rarer ones share symbol 0.
 MAX_SYMBOLS = 96
 
@@ -90,11 +90,13 @@ class Ppm:
 def fit(docs: DataFrame, learn: Column, per_lang: int = SAMPLE_PER_LANG) -> Ppm:
     """Count contexts on at most ``per_lang`` whole documents of each language where ``learn`` holds.
 
-    Rows of null text or lang teach nothing; among others a hash of the id decides.
+    Rows of null text or lang teach nothing; among others a hash of the id
+    decides, in salted groups so that a frequent language is not ranked in one task.
     """
     known = docs.filter(learn & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    ids = known.select("doc_id", "lang").withColumn("rank", rank).filter(F.col("rank") <= per_lang).select("doc_id")
+    salted = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash")).withColumn("_salt", F.pmod("_hash", F.lit(SALTS)))
+    rank = F.row_number().over(Window.partitionBy("lang", "_salt").orderBy("_hash", "doc_id"))
+    ids = salted.withColumn("rank", rank).filter(F.col("rank") <= max(1, per_lang // SALTS)).select("doc_id")
     sample = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("text", "lang")  # at most per_lang ids a language
     rows = sample.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     counts: dict[str, dict[int, int]] = {}
