@@ -6,8 +6,11 @@ from tidemill.llm.decontaminate import OP8_SQL, op8_decontaminate
 from tidemill.llm.fingerprint import op1_fingerprint
 from tidemill.llm.language_id import op6_language_id
 from tidemill.llm.line_dedup import OP7_SQL, op7_line_dedup
+from tidemill.llm.near_dedup import op10_near_dedup
 from tidemill.llm.packing import op9_packing
+from tidemill.llm.quality import op3_quality
+from tidemill.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op6_language_id, op7_line_dedup, op8_decontaminate, op9_packing)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_toxicity, op3_quality, op6_language_id, op7_line_dedup, op8_decontaminate, op9_packing, op10_near_dedup)}
 
 ORACLE_SQL = {"op7_line_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL}
