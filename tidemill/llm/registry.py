@@ -9,8 +9,10 @@ from tidemill.llm.line_dedup import OP7_SQL, op7_line_dedup
 from tidemill.llm.near_dedup import op10_near_dedup
 from tidemill.llm.packing import op9_packing
 from tidemill.llm.quality import op3_quality
+from tidemill.llm.substring_dedup import op5_substring_dedup
+from tidemill.llm.suffix_dedup import op4_suffix_dedup
 from tidemill.llm.toxicity import op2_toxicity
 
-QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_toxicity, op3_quality, op6_language_id, op7_line_dedup, op8_decontaminate, op9_packing, op10_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_fingerprint, op2_toxicity, op3_quality, op4_suffix_dedup, op5_substring_dedup, op6_language_id, op7_line_dedup, op8_decontaminate, op9_packing, op10_near_dedup)}
 
 ORACLE_SQL = {"op7_line_dedup": OP7_SQL, "op8_decontaminate": OP8_SQL}
