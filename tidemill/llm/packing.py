@@ -10,7 +10,11 @@ powers of two.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
+from array import array
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,7 @@ END = 2
 #: Hashed vector size, dimensions and bits a dimension of the curve.
 FEATURES, DIMS, BITS = 4096, 4, 12
 #: Distinct words whose ids a worker remembers, at most.
-CACHE_WORDS = 300_000
-
+CACHE_WORDS = 150_000
 
 def hilbert(points: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Place on the Hilbert curve of integer points (n, dims) with coordinates under 2**bits (Skilling's transform)."""
@@ -79,27 +82,66 @@ def with_key(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, tk.extended(docs, "_key long"))
 
 
+#: Words of plain Latin letters with ASCII marks behind: one pre-token each, lower-cased letter by letter, in composed form already.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*)([!-&(-/:-@\[-`{-~]*)")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes themselves, others from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in printable else chr(next(others)) for b in range(256)]
+
+
 class Ids:
-    """Token ids of texts, word by word: no token of this vocabulary crosses a blank."""
+    """Token ids of texts, word by word: no token of this vocabulary crosses a blank.
+
+    The tokenizer's model splits plain words directly; all others pass through
+    the whole tokenizer with its normaliser and pre-tokenizer.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[str, bytes] = {"": b""}
+        self.pieces: dict[str, bytes] = {"": b""}
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces.get(piece)
+        if found is None:
+            raw = piece if piece.isascii() else "".join([self.letters[b] for b in piece.encode()])
+            found = self.pieces[piece] = array("I", [t.id for t in self.model.tokenize(raw)]).tobytes()
+        return found
+
+    def _learn(self, words) -> None:
+        for w in words:
+            plain = _PLAIN.fullmatch(w)
+            if plain and "<|" not in w:  # which may begin a special token
+                self.known[w] = self._piece(plain[1].lower()) + self._piece(plain[2])
+            else:
+                self.known[w] = array("I", self.tokenizer.encode(w, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = list({w for ws in split for w in ws} - self.known.keys())
-        if len(self.known) + len(new) > CACHE_WORDS:
+        if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
-            new = list({w for ws in split for w in ws if w})
-        for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[w] = np.array(e.ids, "<u4").tobytes()
-        end, get = np.uint32(END).tobytes(), self.known.__getitem__
+        if len(self.pieces) > CACHE_WORDS:
+            self.pieces = {"": b""}
+        self._learn({w for ws in split for w in ws} - self.known.keys())
+        end, get = array("I", [END]).tobytes(), self.known.__getitem__
         return [np.frombuffer(b"".join(map(get, ws)) + end, "<u4") for ws in split]
 
 
+@cache
+def ids_of(path: str) -> Ids:
+    """One for each vocabulary and Python worker."""
+    return Ids(path)
+
+
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
@@ -127,7 +169,7 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
     ordered = keyed.repartitionByRange(tk.parts(docs.sparkSession), "_key", "doc_id").sortWithinPartitions("_key", "doc_id")
 
     def run(batches):
-        ids = Ids(path)
+        ids = ids_of(path)
         seq, held, waiting = TaskContext.get().partitionId() << 32, [], 0
         for piece in tk.slices(batches):
             for doc_id, tokens in zip(piece.column("doc_id").to_pylist(), ids(piece.column("text").to_pylist()), strict=True):
