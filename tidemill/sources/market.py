@@ -93,7 +93,7 @@ def series(*order: str) -> Window:
 
 
 TRADES_SQL = """trades AS (
-  SELECT event_type AS symbol, epoch_ms(ts) AS ts_ms, event_id AS trade_id, value AS price,
+  SELECT event_type AS symbol, epoch_us(ts) // 1000 AS ts_ms, event_id AS trade_id, value AS price,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS lots, CAST(json_extract_string(props, '$.k') AS BIGINT) / 50.0 AS qty, user_id % 2 = 0 AS is_buyer_maker
   FROM events WHERE value > 0)"""
 
