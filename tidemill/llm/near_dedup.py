@@ -1,9 +1,9 @@
 """Near-duplicate documents by b-bit MinHash (operator 10).
 
 Documents with one shingle set form a class, which its least doc_id
-represents; all later work is on representatives. Of PERMS minima, groups of
-ROWS make the bands that propose candidates, and BITS low bits of each are
-packed into a signature: equal cells, counted bitwise and corrected for
+represents; all later work is on representatives. Of PERMS minima, the first
+are grouped by ROWS into the bands that propose candidates, and BITS low bits
+of each are packed into a signature: equal cells, counted bitwise and corrected for
 chance collisions, estimate the similarity. Estimates only rule pairs out far
 below the threshold; every link is confirmed on the full shingle sets.
 
@@ -30,13 +30,13 @@ from tidemill.llm.components import components
 SHINGLE, PERCENT = 5, 85
 #: Bands of ROWS minima: a pair at 0.85 is missed with probability (1 - 0.85**6)**30 = 7e-7.
 ROWS, BANDS = 6, 30
-PERMS = ROWS * BANDS
+PERMS = 512
 #: Bits kept of a minimum, cells of a 64-bit word, words of a signature.
 BITS = 4
 CELLS = 64 // BITS
 WORDS = -(-PERMS // CELLS)
-#: Estimates below this are ruled out: 4.5 standard errors (0.028) under 0.85.
-CUT = PERCENT / 100 - 0.125
+#: Estimates below this are ruled out: 4.5 standard errors (0.0164) under 0.85.
+CUT = PERCENT / 100 - 0.074
 #: Members of a block in a bucket, and pairs of a centre in one verification group, at most about.
 BLOCK, GROUP = 1024, 512
 
@@ -65,9 +65,9 @@ def shingles(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def minima(grams: np.ndarray) -> np.ndarray:
     """PERMS minima of the permuted hashes of one set."""
     h = (grams >> np.uint64(32)).astype(np.uint32)
-    least = (h[None, :1024] * _A + _B).min(1)
-    for at in range(1024, len(h), 1024):
-        least = np.minimum(least, (h[None, at : at + 1024] * _A + _B).min(1))
+    least = (h[None, :256] * _A + _B).min(1)
+    for at in range(256, len(h), 256):
+        least = np.minimum(least, (h[None, at : at + 256] * _A + _B).min(1))
     return least
 
 
@@ -105,7 +105,7 @@ def _sign(batches):
         sig = packed(least)
         band = np.broadcast_to(lead, (len(sets), BANDS))
         for r in range(ROWS):
-            band = tk.mix(band ^ least[:, r::ROWS].astype(np.uint64))
+            band = tk.mix(band ^ least[:, r : ROWS * BANDS : ROWS].astype(np.uint64))
         n = np.array([len(s) for s in sets], np.int64)
         flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * BANDS, pa.int32()), pa.array(band.ravel().view(np.int64)))
         cols = [piece.column("doc_id").combine_chunks(), pa.array(n), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([s.tobytes() for s in sig], pa.binary()), flat]
@@ -152,7 +152,8 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
     members = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), "b")
     centres = spread.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"))
-    rows = members.union(centres).join(docs.select(F.col("doc_id").alias("b"), "text"), "b").select("a", "salt", "b", "text", (F.col("a") != F.col("b")).alias("member"))
+    texts = docs.select(F.col("doc_id").alias("b"), "text")
+    rows = texts.join(members.union(centres).hint("shuffle_hash"), "b").select("a", "salt", "b", "text", (F.col("a") != F.col("b")).alias("member"))
     dealt = rows.repartition(tk.parts(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member")
     return dealt.mapInArrow(_confirm, "a long, b long")
 

@@ -61,6 +61,8 @@ class Chunks:
         rows = docs.select(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(self.n)).cast("int").alias("chunk"), "doc_id", "text")
         dealt = rows.repartition(tk.parts(spark), "chunk")
         dealt.write.format("parquet").option("compression", "zstd").bucketBy(tk.parts(spark), "chunk").sortBy("chunk").saveAsTable(self.name)
+        del rows, dealt
+        tk.release(spark)
 
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -152,7 +154,10 @@ def _share(table: pa.Table) -> pa.Table:
 def shared_anchors(chunks: Chunks, kind: Kind, work: tk.Workspace) -> DataFrame:
     """(chunk, shared, hot): the anchors of each chunk that another document, there or elsewhere, holds too."""
     offers = chunks.map(_offer(kind, chunks.n), "bucket int, chunk int, h array<long>, n array<int>")
-    return work.save(offers.groupBy("bucket").applyInArrow(_share, "chunk int, shared array<long>, hot array<long>"), "shared")
+    shared = work.save(offers.groupBy("bucket").applyInArrow(_share, "chunk int, shared array<long>, hot array<long>"), "shared")
+    del offers
+    tk.release(chunks.spark)
+    return shared
 
 
 def lookup(known: np.ndarray, keys: np.ndarray) -> np.ndarray:

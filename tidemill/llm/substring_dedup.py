@@ -5,7 +5,7 @@ immutable runs; a run holds, per bucket, the sorted hashes of the windows that
 earlier batches brought, each with its least document. A batch's windows are
 merge-joined with every run, verified by a second, independent hash, and those
 not met before become a new run; runs are compacted into one when FANOUT of
-them have gathered.
+them have gathered and another batch arrives.
 
 Only windows that may repeat enter: those of anchors (see ``repeats``) that
 several documents hold.
@@ -145,12 +145,15 @@ class FingerprintIndex:
     def add(self, windows: DataFrame) -> DataFrame:
         """Probe and then hold a batch (bucket, chunk, h, check, lo, hi); returns (chunk, h, lo) of windows met before or twice in it."""
         self.step += 1
+        if len(self.runs) >= self.fanout:
+            self.runs = [self.work.save(self._all().groupBy("bucket").applyInArrow(_compact, _RUN), f"run-{self.step}")]
+            tk.release(self.work.spark)
         known = self._all()
         met = windows.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_probe, _MERGED)
         met = self.work.save(met, f"batch-{self.step}")
         self.runs.append(met.filter("run AND size(h) > 0").select("bucket", "h", "check", "lo"))
-        if len(self.runs) >= self.fanout:
-            self.runs = [self.work.save(self._all().groupBy("bucket").applyInArrow(_compact, _RUN), f"run-{self.step}")]
+        del known
+        tk.release(self.work.spark)
         return met.filter("NOT run").select("chunk", "h", "lo")
 
     def _all(self) -> DataFrame:
@@ -209,9 +212,13 @@ def drop_repeated_windows(docs: DataFrame, batches: int = BATCHES, work: tk.Work
     chunks = Chunks(docs)
     cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else None
     cuts = sorted(set(cuts or []))
-    sent = work.save(chunks.answer(shared_anchors(chunks, KIND, work), _send(chunks.n, cuts), _WINDOWS), "windows")
-    index = FingerprintIndex(work)
-    hits = [index.add(sent.filter(F.col("batch") == b).drop("batch")) for b in range(len(cuts) + 1)]
+    sent = work.save(chunks.answer(shared_anchors(chunks, KIND, work), _send(chunks.n, cuts), _WINDOWS), "windows", by="batch")
+    work.drop("shared")
+    tk.release(docs.sparkSession)
+    index, hits = FingerprintIndex(work), []
+    for b in range(len(cuts) + 1):
+        hits.append(index.add(sent.filter(F.col("batch") == b).drop("batch")))
+        work.drop(f"windows/batch={b}")
     answers = hits[0]
     for more in hits[1:]:
         answers = answers.union(more)

@@ -278,6 +278,8 @@ def drop_repeats(docs: DataFrame, work: tk.Workspace | None = None, with_text: b
     covers = sent.groupBy("bucket").applyInArrow(_cover, _COVERS)
     hot = shared.filter("size(hot) > 0").selectExpr("chunk", "array() ch", "array() start", "array() stop", "array() lo", "hot")
     answers = work.save(covers.union(hot.select("chunk", *(hot[c].cast(t) for c, t in (("ch", "array<long>"), ("start", "array<int>"), ("stop", "array<int>"), ("lo", "array<long>"))), "hot")), "covers")
+    del sent, covers
+    tk.release(docs.sparkSession)
     return chunks.answer(answers, _remove(with_text), _REMOVED + (", kept binary" if with_text else ""))
 
 
