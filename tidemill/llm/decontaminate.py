@@ -136,7 +136,7 @@ def _measure(batches):
 
 def shards(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS):
     """Automata over the items in order of id, each over at most ``shard_words`` words."""
-    ids = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    ids = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
 
     def build(rows):
         col = pa.array([t for _, t in rows], pa.string())
@@ -226,7 +226,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
     """Every row of docs with n_words, n_hit, n_items, items_sha256, contaminated, hit_from and hit_to.
 
     The hit spans count words from 0 and exclude their end. Null texts have no
-    words; an empty benchmark hits nothing; items with equal ids count once.
+    words; an empty benchmark hits nothing; items with equal ids count once, a null id as an empty one.
     """
     docs = docs.drop(*(c.split()[0] for c in _FOUND.split(", ")))
     keep = docs.columns

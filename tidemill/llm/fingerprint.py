@@ -127,6 +127,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     at = docs.select("_at")
     cuts = at.agg(F.percentile_approx("_at", [k / buckets for k in range(1, buckets)], 10000)).first()[0] or []
     cuts = sorted({c for c in cuts if c > -1e300})
+    cuts = cuts or [0.0]
     dealt = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_at", outputCol="_bucket")
     heads = sorted(dealt.transform(at).groupBy("_bucket").agg(F.min("_at").alias("head")).collect())  # one row a range
     own = dealt.transform(docs).withColumn("_ahead", F.lit(False))

@@ -49,6 +49,8 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     Null text: no lines, kept_text null. Repeated rows are treated alike.
     """
     docs = docs.drop("kept_text", "n_lines", "n_removed")
+    columns = docs.columns
+    docs = docs.select("doc_id", "text", "source", F.struct("*").alias("_all"))
     lines = _lines(docs)
     found = boilerplate(lines, min_sites)
     here = F.struct("doc_id", "_pos")
@@ -60,7 +62,7 @@ def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     split = F.split("text", "\n")
     kept = F.concat_ws("\n", F.filter(split, lambda _, i: ~F.array_contains("_gone", i)))
     return joined.select(
-        *docs.columns,
+        *(F.col("_all")[c].alias(c) for c in columns),
         F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept).alias("kept_text"),
         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_removed"),

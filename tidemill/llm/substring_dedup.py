@@ -117,7 +117,7 @@ def _probe(table: pa.Table, runs: pa.Table) -> pa.Table:
     bounds = np.append(first, len(hit))
     bucket = table.column("bucket")[0].as_py()
     chunks = pa.array(chunk[hit][first], pa.int32())
-    hits = pa.table({"run": pa.array([False] * len(chunks)), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "chunk": chunks, "h": lists(h[hit], bounds, pa.int64()), "check": lists(check[hit], bounds, pa.int32()), "lo": lists(least[number[hit]], bounds, pa.int64())})
+    hits = pa.table({"run": pa.array([False] * len(chunks), pa.bool_()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "chunk": chunks, "h": lists(h[hit], bounds, pa.int64()), "check": lists(check[hit], bounds, pa.int32()), "lo": lists(least[number[hit]], bounds, pa.int64())})
     new = ~old
     one = np.array([0, int(new.sum())])
     run = pa.table({"run": pa.array([True]), "bucket": pa.array([bucket], pa.int32()), "chunk": pa.array([-1], pa.int32()), "h": lists(key[new], one, pa.int64()), "check": lists(proof[new], one, pa.int32()), "lo": lists(least[new], one, pa.int64())})
