@@ -159,13 +159,14 @@ def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _across(batches):
-    """Rows (bucket, i, j, block, node, component, n, sig) in order of cell: pairs of different components that may link."""
+    """Rows (bucket, i, j, block, node, component, n, sig, bands) in order of cell: pairs of different components that may link, each from the first bucket that both share."""
     held: list[pa.Table] = []
 
     def cell(t: pa.Table):
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
         block, node, comp, n = (t.column(c).to_numpy() for c in ("block", "node", "component", "n"))
-        sig = _signatures(t.column("sig"))
+        sig, here = _signatures(t.column("sig")), t.column("bucket")[0].as_py()
+        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
         own, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
         for at in range(0, len(own), 64):
             u = own[at : at + 64]
@@ -175,7 +176,10 @@ def _across(batches):
                 x, y = x[u[x] < other[y]], y[u[x] < other[y]]
             if len(x):
                 near = estimate(sig[u[x]], sig[other[y]]) >= CUT
-                p, q = node[u[x[near]]], node[other[y[near]]]
+                x, y = u[x[near]], other[y[near]]
+                same = bands[x] == bands[y]
+                once = (bands[x, same.argmax(1)] == here) | ~same.any(1)
+                p, q = node[x[once]], node[y[once]]
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
 
     for batch in batches:
@@ -221,9 +225,10 @@ def near_duplicates(docs: DataFrame, work: tk.Workspace | None = None) -> DataFr
     placed = work.save(placed.select("bucket", "node", "component", "size"), "placed")
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    ends = classes.select("node", "n", "sig", "bands")
     cells = placed.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     cells = cells.join(ends, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "sig")
+    cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "sig", "bands")
     dealt = cells.repartition(tk.parts(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
     rest = dealt.mapInArrow(_across, "a long, b long").distinct()
     second = work.save(_links(docs, work.save(rest, "rest")), "second")
