@@ -122,6 +122,8 @@ def maximal_repeats(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, least:
 
 
 _SEGMENTS = "bucket int, chunk int, ch array<long>, anchor array<long>, size array<int>, lo array<long>, hi array<long>, bytes binary"
+#: Segments are the most of what is shuffled.
+PACK = "zstd"
 _COVERS = "chunk int, ch array<long>, start array<int>, stop array<int>, lo array<long>, hot array<long>"
 
 
@@ -164,7 +166,7 @@ def _send(n: int):
         at, _ = spread(begin[order], begin[order] + size[order] - 1)
         ends = np.concatenate([[0], np.cumsum(size[order])])[bounds]
         data = data[at]
-        blobs = [data[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        blobs = [pa.compress(data[a:b].tobytes(), codec=PACK, asbytes=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         b = buckets(anchor, n)[order][start]
         return pa.table({
             "bucket": pa.array(b, pa.int32()), "chunk": pa.array(np.full(len(b), table.column("chunk")[0].as_py()), pa.int32()),
@@ -184,7 +186,8 @@ def _cover(table: pa.Table) -> pa.Table:
     """In an anchor's bucket: stretches of segments that repeat, with the least document that holds them, back to the chunks."""
     content, anchor, size = flat(table, "ch").view(np.uint64), flat(table, "anchor").view(np.uint64), flat(table, "size").astype(np.int64)
     lo, hi, chunk = flat(table, "lo"), flat(table, "hi"), owners(table, "ch", "chunk")
-    buf = np.frombuffer(b"".join(table.column("bytes").to_pylist()), np.uint8)
+    whole = [sum(x) for x in table.column("size").to_pylist()]
+    buf = np.frombuffer(b"".join([pa.decompress(x, n, codec=PACK, asbytes=True) for x, n in zip(table.column("bytes").to_pylist(), whole, strict=True)]), np.uint8)
     begin = np.cumsum(size) - size
     order, start = grouped(content)
     number = np.empty(len(content), np.int64)  # of each entry's content
