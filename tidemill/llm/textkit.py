@@ -7,6 +7,7 @@ Python loop over rows.
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -90,6 +91,13 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers live on between stages, and an executor's share is bounded."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc := ctypes.CDLL(None), "malloc_trim"):
+        _libc.malloc_trim(0)
+
+
 def slices(batches, size: int = SLICE_BYTES, text: str = "text"):
     """Cut record batches so that each piece holds about ``size`` bytes of text (a longer text comes alone)."""
     for batch in batches:
@@ -100,6 +108,8 @@ def slices(batches, size: int = SLICE_BYTES, text: str = "text"):
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
             yield table.slice(at, to - at).combine_chunks()
             at = to
+    batch = table = None
+    give_back()
 
 
 _powers: dict[int, np.ndarray] = {}
