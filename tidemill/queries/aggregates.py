@@ -13,7 +13,11 @@ from tidemill.sources import decisions as de
 from tidemill.sources import market as mk
 
 _H = mk.HOUR
-_y = F.col("outcome_up").cast("int")
+
+
+def _y():
+    return F.col("outcome_up").cast("int")
+
 
 
 def _r(e: str, n: str, digits: int = 6) -> str:
@@ -30,7 +34,7 @@ def agg_backtest_summary(spark, sf_dir):
     """Placed, won, hit-rate (NULL without bets), Brier score, and the same behind a confidence gate."""
     bet, won, gated = F.col("p_up") != 0.5, (F.col("p_up") >= 0.5) == F.col("outcome_up"), F.abs(F.col("p_up") - 0.5) >= 0.04
     out = de.decisions(spark, sf_dir).groupBy("symbol").agg(
-        F.count_if(bet).alias("placed"), F.count_if(bet & won).alias("won"), F.avg(F.when(bet, won.cast("double"))).alias("hit_rate"), F.avg(F.when(bet, F.pow(F.col("p_up") - _y, 2))).alias("brier"),
+        F.count_if(bet).alias("placed"), F.count_if(bet & won).alias("won"), F.avg(F.when(bet, won.cast("double"))).alias("hit_rate"), F.avg(F.when(bet, F.pow(F.col("p_up") - _y(), 2))).alias("brier"),
         F.count_if(gated).alias("gated"), F.count_if(gated & won).alias("gated_won"),
     )
     return mk.rounded(out)
@@ -55,7 +59,7 @@ def agg_calibration_bins(spark, sf_dir):
     """Of the last 200 resolved, five equal bins (the last includes 1) of at least 20 rows."""
     w = Window.partitionBy("symbol").orderBy(F.desc("target_open"))
     recent = de.bets(spark, sf_dir).withColumn("k", F.row_number().over(w)).filter("k <= 200")
-    g = recent.groupBy("symbol", F.least(F.floor(F.col("p_up") * 5), F.lit(4)).alias("bin")).agg(F.count("*").alias("n"), F.avg(_y).alias("up_rate"))
+    g = recent.groupBy("symbol", F.least(F.floor(F.col("p_up") * 5), F.lit(4)).alias("bin")).agg(F.count("*").alias("n"), F.avg(_y()).alias("up_rate"))
     return mk.rounded(g.filter("n >= 20"))
 
 
@@ -68,7 +72,7 @@ SELECT symbol, p, {_r("CASE WHEN len(xs) < 2 THEN p WHEN i = 0 THEN ys[1] WHEN i
 )
 def agg_calibration_lerp(spark, sf_dir):
     """Probabilities carried through the populated bins by straight lines; as they are where fewer than two bins are."""
-    b = de.bets(spark, sf_dir).groupBy("symbol", F.least(F.floor(F.col("p_up") * 5), F.lit(4)).alias("bin")).agg(F.count("*").alias("n"), F.avg(_y).alias("y")).filter("n >= 20")
+    b = de.bets(spark, sf_dir).groupBy("symbol", F.least(F.floor(F.col("p_up") * 5), F.lit(4)).alias("bin")).agg(F.count("*").alias("n"), F.avg(_y()).alias("y")).filter("n >= 20")
     k = b.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct(((F.col("bin") + 0.5) / 5).alias("x"), "y"))).alias("k"))
     q = k.withColumn("p", F.explode(F.array(*map(F.lit, (0.1, 0.42, 0.5, 0.58, 0.95))))).withColumn("i", F.size(F.filter("k", lambda s: s["x"] <= F.col("p"))))
     at = lambda i: F.element_at("k", i)
@@ -139,7 +143,7 @@ def agg_column_stats(spark, sf_dir):
 
 @query("agg_calibration_table", f"{de.with_sql()} SELECT CAST(floor(p_up * 20) AS BIGINT) AS bin, count(*) AS n, {_r('avg(p_up)', 'mean_p')}, {_r('avg(CAST(outcome_up AS INT))', 'mean_y')} FROM decisions GROUP BY ALL")
 def agg_calibration_table(spark, sf_dir):
-    g = de.decisions(spark, sf_dir).groupBy(F.floor(F.col("p_up") * 20).alias("bin")).agg(F.count("*").alias("n"), F.avg("p_up").alias("mean_p"), F.avg(_y).alias("mean_y"))
+    g = de.decisions(spark, sf_dir).groupBy(F.floor(F.col("p_up") * 20).alias("bin")).agg(F.count("*").alias("n"), F.avg("p_up").alias("mean_p"), F.avg(_y()).alias("mean_y"))
     return mk.rounded(g)
 
 
@@ -187,7 +191,7 @@ SELECT symbol, {_r("(sum(CASE WHEN y = 1 THEN rk END) - sum(y) * (sum(y) + 1) /
 )
 def agg_auc(spark, sf_dir):
     """Area under the curve from counts by score: ties share ranks, and only distinct scores are ordered."""
-    g = de.bets(spark, sf_dir).groupBy("symbol", "p_up").agg(F.sum(_y).alias("pos"), F.sum(1 - _y).alias("neg"))
+    g = de.bets(spark, sf_dir).groupBy("symbol", "p_up").agg(F.sum(_y()).alias("pos"), F.sum(1 - _y()).alias("neg"))
     below = F.coalesce(F.sum("neg").over(Window.partitionBy("symbol").orderBy("p_up").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     g = g.withColumn("pairs", F.col("pos") * (below + F.col("neg") / 2.0))
     return mk.rounded(g.groupBy("symbol").agg((F.sum("pairs") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"), (F.sum("pos") / F.sum(F.col("pos") + F.col("neg"))).alias("base_rate")))
@@ -196,7 +200,7 @@ def agg_auc(spark, sf_dir):
 @query("agg_base_rate", f"{de.with_sql()} SELECT symbol, {_r('avg(CAST(outcome_up AS INT))', 'up_rate')}, {_r('greatest(avg(CAST(outcome_up AS INT)), 1 - avg(CAST(outcome_up AS INT)))', 'majority')}, {_r('avg(CAST(won AS INT)) - greatest(avg(CAST(outcome_up AS INT)), 1 - avg(CAST(outcome_up AS INT)))', 'edge')} FROM bets GROUP BY symbol")
 def agg_base_rate(spark, sf_dir):
     """The hit-rate beside that of always betting the commoner side."""
-    g = de.bets(spark, sf_dir).groupBy("symbol").agg(F.avg(_y).alias("up_rate"), st.share(F.col("won")).alias("hit"))
+    g = de.bets(spark, sf_dir).groupBy("symbol").agg(F.avg(_y()).alias("up_rate"), st.share(F.col("won")).alias("hit"))
     majority = F.greatest(F.col("up_rate"), 1 - F.col("up_rate"))
     return mk.rounded(g.select("symbol", "up_rate", majority.alias("majority"), (F.col("hit") - majority).alias("edge")))
 

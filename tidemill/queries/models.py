@@ -14,7 +14,11 @@ from tidemill.sources import market as mk
 
 _H = mk.HOUR
 _P = "PARTITION BY symbol ORDER BY open_time"
-_y = F.col("outcome_up").cast("double")
+
+
+def _y():
+    return F.col("outcome_up").cast("double")
+
 
 
 def _r(e: str, n: str, digits: int = 6) -> str:
@@ -68,7 +72,7 @@ SELECT symbol, anchor_open, {_r("pow(0.5, (last - anchor_open) / 86400000.0 / 10
 def label_weights(spark, sf_dir):
     """Weights by age (half-life ten days) and by class, and a mask of small moves; class rates are one row a symbol."""
     d = de.decisions(spark, sf_dir)
-    m = d.groupBy("symbol").agg(F.max("anchor_open").alias("last"), F.avg(_y).alias("rate"))
+    m = d.groupBy("symbol").agg(F.max("anchor_open").alias("last"), F.avg(_y()).alias("rate"))
     d = d.join(m, "symbol")
     age = (F.col("last") - F.col("anchor_open")) / 86_400_000.0
     return mk.rounded(d.select("symbol", "anchor_open", F.pow(F.lit(0.5), age / 10).alias("recency"), F.when(F.col("outcome_up"), 0.5 / F.col("rate")).otherwise(0.5 / (1 - F.col("rate"))).alias("balance"), (F.abs(F.col("target_close") / F.col("target_open_price") - 1) >= 0.25).alias("kept")))
@@ -176,7 +180,7 @@ def model_walkforward(spark, sf_dir):
     """Five expanding folds, Brier weighted by bets, and the first guard that fails."""
     w = Window.partitionBy("symbol")
     f = de.bets(spark, sf_dir).withColumns({"k": F.row_number().over(w.orderBy("target_open")) - 1, "size": F.floor(F.count("*").over(w) / 6)}).withColumn("fold", F.floor(F.col("k") / F.col("size")))
-    g = f.filter("fold BETWEEN 1 AND 5").groupBy("symbol", "fold").agg(F.count("*").alias("n"), F.count_if("won").alias("w"), F.sum(F.pow(F.col("p_up") - _y, 2)).alias("b"))
+    g = f.filter("fold BETWEEN 1 AND 5").groupBy("symbol", "fold").agg(F.count("*").alias("n"), F.count_if("won").alias("w"), F.sum(F.pow(F.col("p_up") - _y(), 2)).alias("b"))
     a = g.groupBy("symbol").agg(F.sum("n").alias("bets"), F.sum("w").alias("tw"), (F.sum("b") / F.sum("n")).alias("brier"), F.count_if(F.col("w") / F.col("n") > 0.5).alias("above"), F.count("*").alias("folds"))
     hit, low = F.col("tw") / F.col("bets"), st.wilson(F.col("tw"), F.col("bets"))[0]
     verdict = F.when(F.col("bets") < 300, "sample too small").when(low <= 0.5, "no edge over a coin").when(F.col("above") * 2 <= F.col("folds"), "not robust").when(hit < 0.6, "below target").otherwise("pass")
@@ -186,7 +190,7 @@ def model_walkforward(spark, sf_dir):
 @query("model_pava_fit")
 def model_pava_fit(spark, sf_dir):
     """Isotonic breakpoints by symbol; tests have golden values."""
-    fit = mo.isotonic_fit(de.bets(spark, sf_dir).withColumn("y", _y), "symbol", "p_up", "y")
+    fit = mo.isotonic_fit(de.bets(spark, sf_dir).withColumn("y", _y()), "symbol", "p_up", "y")
     return mk.rounded(fit.select("symbol", F.posexplode(F.arrays_zip("xs", "ys")).alias("k", "b")).select("symbol", "k", F.col("b.xs").alias("x"), F.col("b.ys").alias("y")))
 
 
@@ -208,7 +212,7 @@ def model_mondrian(spark, sf_dir):
     """Calibration of its own for each volatility bucket and side."""
     w = Window.partitionBy("symbol").orderBy("anchor_open").rowsBetween(-23, 0)
     b = de.bets(spark, sf_dir).withColumn("vol", F.stddev_samp("close").over(w) / F.col("close")).filter("vol IS NOT NULL")
-    b = b.withColumn("bucket", F.concat(F.when(F.col("vol") < 0.6, "calm").when(F.col("vol") < 1.2, "normal").otherwise("wild"), F.when(F.col("p_up") >= 0.5, "-up").otherwise("-down"))).withColumn("y", _y)
+    b = b.withColumn("bucket", F.concat(F.when(F.col("vol") < 0.6, "calm").when(F.col("vol") < 1.2, "normal").otherwise("wild"), F.when(F.col("p_up") >= 0.5, "-up").otherwise("-down"))).withColumn("y", _y())
     fits = mo.isotonic_fit(b, "bucket", "p_up", "y")
     out = b.join(F.broadcast(fits), "bucket").withColumn("p_cal", mo.piecewise(F.col("p_up"), F.col("xs"), F.col("ys")))  # at most six buckets
     return mk.rounded(out.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("p_up").alias("raw"), F.avg("p_cal").alias("calibrated"), F.avg("y").alias("observed")))
