@@ -53,16 +53,23 @@ def _simple(name: str, sql: dict[str, str], build, **kw) -> None:
         return mk.rounded(c.select("symbol", "open_time", *(e.alias(n) for n, e in build(mk.series()).items())))
 
 
-_close, _closes = F.col("close"), F.col("closes")
-_simple("ind_sma", {"sma10": "CASE WHEN count(close) OVER w10 = 10 THEN avg(close) OVER w10 END", "sma20": "CASE WHEN count(close) OVER w20 = 20 THEN avg(close) OVER w20 END"}, lambda w: {"sma10": ind.sma(_close, w, 10), "sma20": ind.sma(_close, w, 20)}, source="candles", more="")
-_simple("ind_ema", {"ema12": "ema12", "ema26": "ema26"}, lambda w: {"ema12": ind.ema(_closes, 12), "ema26": ind.ema(_closes, 26)}, window="")
-_simple("ind_rsi", {"rsi14": ind.rsi_sql("l")}, lambda w: {"rsi14": ind.rsi(_closes)}, window="")
-_simple("ind_boll", {"bb_u": "bb_u", "bb_l": "bb_l"}, lambda w: dict(zip(("bb_u", "bb_l"), ind.bollinger(_close, w), strict=True)), window="")
-_simple("ind_z20", {"z20": "z20", "vol_z20": "vz"}, lambda w: {"z20": ind.zscore(_close, w), "vol_z20": ind.zscore(F.col("volume"), w)}, window="")
-_simple("ind_logret", {"ret_1": "r1", "ret_20": "r20"}, lambda w: {"ret_1": ind.log_return(_close, w, 1), "ret_20": ind.log_return(_close, w, 20)}, window="")
+def _close():
+    return F.col("close")
+
+
+def _closes():
+    return F.col("closes")
+
+
+_simple("ind_sma", {"sma10": "CASE WHEN count(close) OVER w10 = 10 THEN avg(close) OVER w10 END", "sma20": "CASE WHEN count(close) OVER w20 = 20 THEN avg(close) OVER w20 END"}, lambda w: {"sma10": ind.sma(_close(), w, 10), "sma20": ind.sma(_close(), w, 20)}, source="candles", more="")
+_simple("ind_ema", {"ema12": "ema12", "ema26": "ema26"}, lambda w: {"ema12": ind.ema(_closes(), 12), "ema26": ind.ema(_closes(), 26)}, window="")
+_simple("ind_rsi", {"rsi14": ind.rsi_sql("l")}, lambda w: {"rsi14": ind.rsi(_closes())}, window="")
+_simple("ind_boll", {"bb_u": "bb_u", "bb_l": "bb_l"}, lambda w: dict(zip(("bb_u", "bb_l"), ind.bollinger(_close(), w), strict=True)), window="")
+_simple("ind_z20", {"z20": "z20", "vol_z20": "vz"}, lambda w: {"z20": ind.zscore(_close(), w), "vol_z20": ind.zscore(F.col("volume"), w)}, window="")
+_simple("ind_logret", {"ret_1": "r1", "ret_20": "r20"}, lambda w: {"ret_1": ind.log_return(_close(), w, 1), "ret_20": ind.log_return(_close(), w, 20)}, window="")
 
 _MACD = f"m AS (SELECT *, {ind.macd_series_sql('l')} AS ms FROM base), ms AS (SELECT *, {ind.ema_sql('ms', 9)} AS sig, CASE WHEN len(ms) >= 9 THEN ms[len(ms)] END AS macd FROM m)"
-_simple("ind_macd", {"macd": "macd", "signal": "sig", "hist": "macd - sig"}, lambda w: {k: ind.macd(_closes)[k] for k in ("macd", "signal", "hist")}, source="ms", more=f"{_BASE},\n{_MACD}", window="")
+_simple("ind_macd", {"macd": "macd", "signal": "sig", "hist": "macd - sig"}, lambda w: {k: ind.macd(_closes())[k] for k in ("macd", "signal", "hist")}, source="ms", more=f"{_BASE},\n{_MACD}", window="")
 
 
 @query("ind_atr", _sql({"atr14": "atr"}, window=""))
@@ -74,7 +81,7 @@ def ind_atr(spark, sf_dir):
 @query("ind_obv", f"""{mk.with_sql(_C)}, s AS (SELECT *, coalesce(sign(close - lag(close) OVER w), 0) * volume AS f FROM candles {_W}) SELECT symbol, open_time, round(sum(f) OVER w, 6) + 0.0 AS obv FROM s {_W}""")
 def ind_obv(spark, sf_dir):
     w = mk.series()
-    c = _candles(spark, sf_dir).withColumn("f", F.coalesce(F.signum(_close - F.lag("close").over(w)), F.lit(0.0)) * F.col("volume"))
+    c = _candles(spark, sf_dir).withColumn("f", F.coalesce(F.signum(_close() - F.lag("close").over(w)), F.lit(0.0)) * F.col("volume"))
     return mk.rounded(c.select("symbol", "open_time", F.sum("f").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("obv")))
 
 
