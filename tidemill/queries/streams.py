@@ -51,8 +51,8 @@ def stream_sessions(spark, sf_dir):
 
 @query("stream_resolve")
 def stream_resolve(spark, sf_dir):
-    """Predictions from one stream settled by the trades of another."""
-    p = live.ticks(read_events(spark, sf_dir)).filter("trade_id % 10 = 0").select("symbol", F.col("trade_id").alias("prediction_id"), (F.col("at") + F.expr("INTERVAL 1 HOUR")).alias("target_at"), (F.col("lots") > 50).alias("up"))
+    """Every trade of one stream as a prediction, settled by the trades of another."""
+    p = live.ticks(read_events(spark, sf_dir)).select("symbol", F.col("trade_id").alias("prediction_id"), (F.col("at") + F.expr("INTERVAL 1 HOUR")).alias("target_at"), (F.col("lots") > 50).alias("up"))
     o = live.ticks(read_events(spark, sf_dir)).select(F.col("symbol").alias("out_symbol"), F.col("at").alias("out_at"), "trade_id", "price")
     r = drain(live.resolved(p, o).select("symbol", "prediction_id", "up", "out_at", "trade_id", "price"), "resolve")
     return r.groupBy("symbol", "prediction_id", "up").agg(F.min_by("price", F.struct("out_at", "trade_id")).alias("settled_price"), F.count("*").alias("trades_seen"))

@@ -38,11 +38,15 @@ def once(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
 
 
 def resolved(predictions: DataFrame, outcomes: DataFrame, late: str = "1 hour") -> DataFrame:
-    """Predictions (symbol, target_at, p_up) with the trade that settles them, at the target or within the hour behind it."""
-    p = predictions.withWatermark("target_at", late)
-    o = outcomes.withWatermark("out_at", late)
-    near = (F.col("symbol") == F.col("out_symbol")) & (F.col("out_at") >= F.col("target_at")) & (F.col("out_at") < F.col("target_at") + F.expr("INTERVAL 1 HOUR"))
-    return p.join(o, near)
+    """Predictions (symbol, target_at, p_up) with the trade that settles them, at the target or within the hour behind it.
+
+    The hour meets two clock hours, so each prediction waits in both and a trade looks only into its own.
+    """
+    hour = F.floor(F.unix_timestamp("target_at") / 3600)
+    p = predictions.withWatermark("target_at", late).withColumn("_hour", F.explode(F.array(hour, hour + 1)))
+    o = outcomes.withWatermark("out_at", late).withColumn("_out_hour", F.floor(F.unix_timestamp("out_at") / 3600))
+    near = (F.col("symbol") == F.col("out_symbol")) & (F.col("_hour") == F.col("_out_hour")) & (F.col("out_at") >= F.col("target_at")) & (F.col("out_at") < F.col("target_at") + F.expr("INTERVAL 1 HOUR"))
+    return p.join(o, near).drop("_hour", "_out_hour")
 
 
 _SESSION = "symbol string, bets long, wins long, balance double, busted boolean"
