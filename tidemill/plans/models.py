@@ -168,8 +168,8 @@ class Tree:
         return np.array(self.value)[at]
 
 
-def boosted(x: np.ndarray, y: np.ndarray, seed: int, rounds: int = 30, depth: int = 3, rate: float = 0.1, least: int = 20, row_share: float = 0.8, col_share: float = 0.8):
-    """Boosted trees on logistic loss; returns a function from rows to probabilities."""
+def boosted(x: np.ndarray, y: np.ndarray, seed: int, rounds: int = 150, depth: int = 3, rate: float = 0.04, least: int = 200, row_share: float = 0.7, col_share: float = 0.7):
+    """Boosted trees on logistic loss, with the defaults of the reference; returns a function from rows to probabilities."""
     rng = np.random.default_rng(seed)
     base = float(np.clip(y.mean(), 0.01, 0.99))
     z0 = np.log(base / (1 - base))
@@ -203,7 +203,7 @@ def walk_forward(df: DataFrame, x: list[str], y: str, order: str, folds: int, em
         train, test = pdf[~pdf["test"]], pdf[pdf["test"]].sort_values(order)
         train = train.sort_values(order)
         if len(train) < 60 or not len(test):
-            return pd.DataFrame({"symbol": [], order: [], "fold": [], "p": [], "y": []})
+            return pd.DataFrame({"symbol": pd.Series(dtype=object), order: [], "fold": [], "p": [], "y": []})
         model = boosted(train[x].to_numpy(float), train[y].to_numpy(float), int(pdf["seed"].iloc[0]))
         return pd.DataFrame({"symbol": test["symbol"], order: test[order], "fold": test["fold"], "p": model(test[x].to_numpy(float)), "y": test[y].astype("int64")})
 

@@ -107,35 +107,44 @@ def agg_chaos_percentiles(spark, sf_dir):
     return mk.rounded(g)
 
 
+#: Replicates of a symbol, and how many of them one row stands for; bets of a block.
+REPLICATES, PER_ROW, BLOCK = 1000, 50, 50
+
+
+def reordered(n: int, seed: int) -> np.ndarray:
+    """0 to n - 1 with whole blocks shuffled; the last block may be short."""
+    blocks = np.split(np.arange(n), range(BLOCK, n, BLOCK))
+    return np.concatenate([blocks[k] for k in np.random.default_rng(seed).permutation(len(blocks))])
+
+
 @query("sim_bootstrap")
 def sim_bootstrap(spark, sf_dir):
     """Block-bootstrap reorderings of a quarter-Kelly run with a 2 % cap, a settlement queue and a 10 % exposure limit.
 
-    A symbol's returns are one short array that every replicate resamples for itself.
+    A symbol's bets are one short array; every replicate puts all its blocks, each once, into an order of its own.
     """
     bets = de.bets(spark, sf_dir).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("target_open", "p_up", "won"))).alias("b"))
-    runs = bets.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(100)))).repartition("symbol", "replicate")
+    runs = bets.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(REPLICATES), F.lit(PER_ROW)))).repartition("symbol", "replicate")
 
     def run(batches):
         for pdf in batches:
             out = []
-            for symbol, replicate, b in zip(pdf["symbol"], pdf["replicate"], pdf["b"], strict=True):
+            for symbol, first, b in zip(pdf["symbol"], pdf["replicate"], pdf["b"], strict=True):
                 won, p = np.array([x["won"] for x in b]), np.array([x["p_up"] for x in b])
-                rng = np.random.default_rng(int(replicate))
-                starts = rng.integers(0, max(1, len(won) - 50), -(-len(won) // 50))
-                order = np.concatenate([np.arange(s, min(s + 50, len(won))) for s in starts])
-                bank, peak, worst, open_bets = 1000.0, 1000.0, 0.0, []
-                for t, k in enumerate(order):
-                    while open_bets and open_bets[0][0] <= t:
-                        bank += open_bets.pop(0)[1]
-                        peak = max(peak, bank)
-                        worst = max(worst, 1 - bank / peak)
-                    conf = max(p[k], 1 - p[k])
-                    stake = min(0.25 * max(0.0, 2 * conf - 1), 0.02) * bank
-                    if stake >= 1 and sum(s for *_, s in open_bets) + stake <= 0.1 * bank:
-                        open_bets.append((t + 2, stake * 0.98 if won[k] else -stake, stake))
-                bank += sum(g for _, g, _ in open_bets)
-                out.append((symbol, replicate, bank, worst, bank < 100))
+                for replicate in range(first, min(first + PER_ROW, REPLICATES + 1)):
+                    order = reordered(len(won), replicate)
+                    bank, peak, worst, open_bets = 1000.0, 1000.0, 0.0, []
+                    for t, k in enumerate(order):
+                        while open_bets and open_bets[0][0] <= t:
+                            bank += open_bets.pop(0)[1]
+                            peak = max(peak, bank)
+                            worst = max(worst, 1 - bank / peak)
+                        conf = max(p[k], 1 - p[k])
+                        stake = min(0.25 * max(0.0, 2 * conf - 1), 0.02) * bank
+                        if stake >= 1 and sum(s for *_, s in open_bets) + stake <= 0.1 * bank:
+                            open_bets.append((t + 2, stake * 0.98 if won[k] else -stake, stake))
+                    bank += sum(g for _, g, _ in open_bets)
+                    out.append((symbol, replicate, bank, worst, bank < 100))
             yield pd.DataFrame(out, columns=["symbol", "replicate", "final", "worst", "bust"])
 
     s = runs.mapInPandas(run, "symbol string, replicate int, final double, worst double, bust boolean")
