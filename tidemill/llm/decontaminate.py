@@ -12,6 +12,7 @@ further passes, whose marks are merged by document.
 
 from __future__ import annotations
 
+from functools import partial
 from hashlib import sha256
 
 import numpy as np
@@ -202,8 +203,27 @@ def _merge(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
 _SPANS = pa.list_(pa.int64())
 
 
-def _settle(batches):
-    """Merge the spans of all shards; count, hash and judge."""
+def _cut(texts: pa.Array, hit: np.ndarray, starts: list, ends: list) -> pa.Array:
+    """texts with the words of the spans of rows ``hit`` cut out.
+
+    A span goes with the separators behind its last word if a word follows, so its neighbours stay apart.
+    """
+    parts, done = [], 0
+    for r in hit.tolist():
+        buf, offsets = tk.utf8(texts.slice(r, 1))
+        first, last, _ = tk.words(tk.LOWER[buf], offsets, tk.ALNUM)
+        at, left = 0, []
+        for a, b in zip(starts[r], ends[r], strict=True):
+            left.append(buf[at : first[a]])
+            at = first[b] if b < len(first) else last[b - 1]
+        text = np.concatenate([*left, buf[at:]]).tobytes().decode()
+        parts += [texts.slice(done, r - done), pa.array([text], texts.type)]
+        done = r + 1
+    return pa.concat_arrays([*parts, texts.slice(done)])
+
+
+def _settle(batches, cut: bool = False):
+    """Merge the spans of all shards; count, hash and judge; on demand cut the spans out of rows that are not contaminated."""
     for batch in batches:
         names = [n for n in batch.schema.names if n not in ("_from", "_to", "_items", "_n")]
         starts, ends, hit = [], [], []
@@ -216,17 +236,22 @@ def _settle(batches):
         n = batch.column("_n").to_numpy()
         hit = np.array(hit, np.int64)
         cols = [pa.array(n), pa.array(hit), pa.array([len(i) for i in items], pa.int64()), pa.array([sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()), pa.array((hit > 0) & (COVERAGE * hit >= n)), pa.array(starts, _SPANS), pa.array(ends, _SPANS)]
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *cols], names=[*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_from", "hit_to"])
+        kept = [batch.column(c) for c in names]
+        if cut:
+            at = names.index("text")
+            kept[at] = _cut(kept[at], np.flatnonzero((hit > 0) & (COVERAGE * hit < n)), starts, ends)
+        yield pa.RecordBatch.from_arrays([*kept, *cols], names=[*names, "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_from", "hit_to"])
 
 
 _FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_from array<long>, hit_to array<long>"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, cut: bool = False) -> DataFrame:
     """Every row of docs with n_words, n_hit, n_items, items_sha256, contaminated, hit_from and hit_to.
 
     The hit spans count words from 0 and exclude their end. Null texts have no
     words; an empty benchmark hits nothing; items with equal ids count once, a null id as an empty one.
+    With ``cut`` the spans go out of the text of rows that are not contaminated.
     """
     docs = docs.drop(*(c.split()[0] for c in _FOUND.split(", ")))
     keep = docs.columns
@@ -239,7 +264,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_word
         flat = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  one list a shard
         merged = merged.withColumn("_copy", F.lit(0)).groupBy(*keys).agg(F.max("_n").alias("_n"), flat("_from"), flat("_to"), flat("_items"), (F.count("*") / len(found)).cast("int").alias("_copy"))
         merged = merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copy"))).drop("_copy")
-    return merged.mapInArrow(_settle, tk.extended(docs, _FOUND))
+    return merged.mapInArrow(partial(_settle, cut=cut), tk.extended(docs, _FOUND))
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
@@ -249,8 +274,8 @@ def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that the coverage rule does not call contaminated."""
-    return find(docs, benchmark).filter(~F.col("contaminated")).select(docs.columns)
+    """The rows of docs that the coverage rule does not call contaminated, without the benchmark spans they hold."""
+    return find(docs, benchmark, cut=True).filter(~F.col("contaminated")).select(docs.columns)
 
 
 OP8_SQL = r"""
