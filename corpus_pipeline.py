@@ -22,8 +22,8 @@ def language(spark, docs, sf_dir):
 
 
 def lines(spark, docs, sf_dir):
-    """Cross-site boilerplate lines go, and documents of which nothing is left then."""
-    out = drop_boilerplate(docs)
+    """Cross-site boilerplate lines of any length go, and documents of which nothing is left then."""
+    out = drop_boilerplate(docs, min_chars=1)
     out = out.filter((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
     return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
 

@@ -22,3 +22,10 @@ def test_spans_are_cut(spark, tmp_path):
     assert [out[i].text for i in (1, 2, 3)] == texts[1:4]
     items = spark.read.parquet(f"{tmp_path}/benchmark.parquet")
     assert not decontaminate.find(spark.createDataFrame(list(out.values()), DOCS), items).filter("n_hit > 0").count()
+
+
+def test_short_lines_go(spark, tmp_path):
+    """A menu line on ten sites goes however short it is; on nine sites it stays, and so do blank lines."""
+    rows = [(i, f"{'Menu' if i < 10 else ' Ok '}\n\nown words of {i}\n \n", "en", f"site{i}", 1) for i in range(19)]
+    out = {r.doc_id: r.text for r in cp.lines(spark, spark.createDataFrame(rows, DOCS), str(tmp_path)).collect()}
+    assert out == {i: t if i in (0, *range(10, 19)) else t.removeprefix("Menu\n") for i, t, *_ in rows}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 #: Sites from which on a line is boilerplate.
 MIN_SITES = 10
-#: Shorter lines (code points, trimmed) are never boilerplate.
+#: Shorter lines (code points, trimmed) are never boilerplate in op7_line_dedup, as its SQL says.
 MIN_CHARS = 16
 #: Sketch size (2**12 registers: standard error 1.6 %) and the relative band around MIN_SITES that is counted exactly.
 LG_K, BAND = 12, 0.2
@@ -21,10 +21,10 @@ LG_K, BAND = 12, 0.2
 _LINE = ("_h1", "_h2")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     """(key of the row, site, position, two hashes) of every line that can be boilerplate."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("_row"), F.col("source").alias("_site"), F.posexplode(F.split("text", "\n")).alias("_pos", "_line"))
-    rows = rows.withColumn("_line", F.trim("_line")).filter(F.char_length("_line") >= MIN_CHARS)
+    rows = rows.withColumn("_line", F.trim("_line")).filter(F.char_length("_line") >= min_chars)
     return rows.select("doc_id", "_row", "_site", "_pos", F.xxhash64("_line").alias("_h1"), F.xxhash64(F.lit(7), "_line").alias("_h2"))
 
 
@@ -41,17 +41,17 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return spread.filter(sure).drop("_est").unionByName(near.join(exact, [*_LINE], "left_semi"))
 
 
-def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, min_chars: int = MIN_CHARS) -> DataFrame:
     """Every row of docs with kept_text, n_lines and n_removed.
 
     A boilerplate line stays at its first place only (least doc_id, then
     position). Lines are separated by \\n and compared trimmed of spaces.
-    Null text: no lines, kept_text null. Repeated rows are treated alike.
+    Lines under min_chars code points stay; with 1, site spread alone decides. Null text: no lines, kept_text null. Repeated rows are treated alike.
     """
     docs = docs.drop("kept_text", "n_lines", "n_removed")
     columns = docs.columns
     docs = docs.select("doc_id", "text", "source", F.struct("*").alias("_all"))
-    lines = _lines(docs)
+    lines = _lines(docs, min_chars)
     found = boilerplate(lines, min_sites)
     here = F.struct("doc_id", "_pos")
     hits = lines.join(found, [*_LINE]).filter(here != F.col("_first"))
