@@ -38,8 +38,8 @@ def runs(gone) -> int:
     return sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1]))
 
 
-def test_suffix_dedup(docs):
-    rows = [(d, t.encode()) for d, t in texts(docs)]
+def expected_bytes(rows) -> list[tuple]:
+    rows = [(d, t.encode()) for d, t in rows]
     least: dict[bytes, float] = {}
     for d, b in rows:
         for s in {b[i : i + 50] for i in range(len(b) - 49)}:
@@ -51,13 +51,17 @@ def test_suffix_dedup(docs):
             if least[b[i : i + 50]] < order(d):
                 gone[i : i + 50] = b"\1" * 50
         expected.append((d, len(b), sum(gone), runs(gone), sha256(bytes(x for x, g in zip(b, gone, strict=True) if not g)).hexdigest()))
+    return expected
+
+
+def test_suffix_dedup(docs):
+    expected = expected_bytes(texts(docs))
     found = [tuple(r) for r in drop_repeats(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()]
     assert Counter(found) == Counter(expected)
 
 
-@pytest.mark.parametrize("batches", [1, 3, 5])
-def test_substring_dedup(docs, batches):
-    rows = [(d, WORD.findall(t)) for d, t in texts(docs)]
+def expected_words(rows) -> list[tuple]:
+    rows = [(d, WORD.findall(t)) for d, t in rows]
     least: dict[tuple, float] = {}
     for d, w in rows:
         for s in {tuple(w[i : i + 13]) for i in range(len(w) - 12)}:
@@ -69,6 +73,12 @@ def test_substring_dedup(docs, batches):
             if least[tuple(w[i : i + 13])] < order(d):
                 gone[i : i + 13] = [True] * 13
         expected.append((d, len(w), sum(gone), sha256(" ".join(x for x, g in zip(w, gone, strict=True) if not g).encode()).hexdigest()))
+    return expected
+
+
+@pytest.mark.parametrize("batches", [1, 3, 5])
+def test_substring_dedup(docs, batches):
+    expected = expected_words(texts(docs))
     found = [tuple(r) for r in drop_repeated_windows(docs, batches).select("doc_id", "n_words", "n_removed", "kept_sha256").collect()]
     assert Counter(found) == Counter(expected)
 

@@ -1,166 +1,151 @@
 """Repeated word windows by a log-structured fingerprint index (operator 5).
 
-Documents arrive in batches of ascending doc_id. The index is a list of
-immutable runs; a run holds, per bucket, the sorted hashes of the windows that
-earlier batches brought, each with its least document. A batch's windows are
-merge-joined with every run, verified by a second, independent hash, and those
-not met before become a new run; runs are compacted into one when FANOUT of
-them have gathered and another batch arrives.
-
-Only windows that may repeat enter: those of anchors (see ``repeats``) that
-several documents hold.
+Documents arrive in batches. A window's fingerprint is the least hash among
+its grams of GRAM words, so neighbouring windows share one, and the index holds
+a fingerprint for every window of every document it was given: a list of
+immutable runs, each with a batch's fingerprints per bucket, sorted, with the
+chunk of texts they come from. A batch's fingerprints are merge-joined with all
+runs; where one is met in another document, the words themselves are compared,
+those of the older texts from the index's own copy. Runs are compacted into one
+when FANOUT of them have gathered and another batch arrives.
+
+The index lies in a folder and can be opened again by a later session.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import textkit as tk
-from tidemill.llm.repeats import Chunks, Cut, Kind, buckets, flat, grouped, lists, lookup, owners, pieces, shared_anchors, spread
+from tidemill.llm.repeats import CHUNK_BYTES, COVERS, HOT, OFFERS, SEGMENTS, Chunks, Cut, Kind, Marks, Segments, buckets, covers, extremes, flat, grouped, identical, lists, nothing, offer, owners, pieces, send, spread, told, with_hot
 
-#: Words of a window, and of an anchor's gram.
+#: Words of a window, and of a fingerprint's gram.
 WINDOW, GRAM = 13, 4
 #: Batches of a full run, and runs that are compacted.
 BATCHES, FANOUT = 3, 2
+#: Before any document's id: that of all older batches.
+_EARLIER = -(1 << 63)
 
 
-def _words(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    start, end, rows = tk.words(buf, offsets, tk.NOT_BLANK)
-    return start, end, rows, tk.word_hashes(buf, start, end)
+def _joined(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The words buf[start : end], each with a space behind, and where each begins."""
+    at, of = spread(start, end)
+    data = np.append(buf, np.uint8(32))[at]
+    data[at == end[of]] = 32
+    size = end - start + 1
+    return data, np.cumsum(size) - size
 
 
 def _cut(buf: np.ndarray, offsets: np.ndarray) -> Cut:
-    _, _, rows, codes = _words(buf, offsets)
-    sums = tk.prefix(codes)
-    grams = np.zeros(len(codes), np.uint64)
-    at = np.arange(max(0, len(codes) - GRAM + 1))
+    start, end, rows = tk.words(buf, offsets, tk.NOT_BLANK)
+    sums = tk.prefix(tk.word_hashes(buf, start, end))
+    grams = np.zeros(len(start), np.uint64)
+    at = np.arange(max(0, len(start) - GRAM + 1))
     grams[: len(at)] = tk.ranges(sums, at, at + GRAM)
-    return Cut(grams, sums, rows)
+    data, left = _joined(buf, start, end)
+    return Cut(grams, rows, data, left, left + end - start)
 
 
-KIND = Kind(_cut, WINDOW, GRAM)
+KIND = Kind(_cut, WINDOW, GRAM, tail=False)
 
-_WINDOWS = "batch int, bucket int, chunk int, h array<long>, check array<int>, lo array<long>, hi array<long>"
+_MET = "old boolean, bucket int, h array<long>, n array<int>, at array<int>, chunk int, shared array<long>, hot array<long>"
+_RUN = "bucket int, h array<long>, n array<int>, at array<int>"
 
 
-def _send(n: int, bounds: list[float]):
-    """A chunk's windows of shared anchors, each once a batch, with the least and greatest document that hold it."""
+def _merge(hot: int):
+    """Merge-join a bucket of a batch's fingerprints with the runs' rows of that bucket.
 
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        shared = np.sort(flat(answers, "shared").view(np.uint64))
-        parts = []
-        for _, ids, buf, offsets in pieces(table) if len(shared) else ():
-            cut = _cut(buf, offsets)
-            first, last, h = KIND.runs(cut)
-            ok = lookup(shared, h)
-            at, _ = spread(first[ok], last[ok])
-            if len(at):
-                codes = _words(buf, offsets)[3]
-                again = tk.prefix(tk.mix(codes ^ np.uint64(0x5851F42D4C957F2D)))
-                doc = ids[np.searchsorted(cut.rows, at, "right") - 1]
-                parts.append((tk.ranges(cut.sums, at, at + WINDOW), (tk.ranges(again, at, at + WINDOW) >> np.uint64(33)).astype(np.int64), doc))
-        h, check, doc = map(np.concatenate, zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
-        batch = np.searchsorted(bounds, doc, "left")
-        bucket = buckets(h, n)
-        order = np.lexsort((h, bucket, batch))
-        h, check, doc, batch, bucket = h[order], check[order], doc[order], batch[order], bucket[order]
-        start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (batch[1:] != batch[:-1]))) if len(h) else np.zeros(0, np.int64)
-        lo, hi = (np.minimum.reduceat(doc, start), np.maximum.reduceat(doc, start)) if len(h) else (doc, doc)
-        h, check, batch, bucket = h[start], check[start], batch[start], bucket[start]
-        rows = np.flatnonzero(np.append(True, (batch[1:] != batch[:-1]) | (bucket[1:] != bucket[:-1]))) if len(h) else start
-        ends = np.append(rows, len(h))
-        chunk = np.full(len(rows), table.column("chunk")[0].as_py() if table.num_rows else 0)
-        return pa.table({
-            "batch": pa.array(batch[rows], pa.int32()), "bucket": pa.array(bucket[rows], pa.int32()), "chunk": pa.array(chunk, pa.int32()),
-            "h": lists(h, ends, pa.int64()), "check": lists(check, ends, pa.int32()), "lo": lists(lo, ends, pa.int64()), "hi": lists(hi, ends, pa.int64()),
-        })
+    Gives the batch's row of a new run (old is false), and to every chunk, of
+    the batch or older, the fingerprints that another document holds too.
+    """
+
+    def run(table: pa.Table, runs: pa.Table) -> pa.Table:
+        h, n, chunk = flat(table, "h").view(np.uint64), flat(table, "n").astype(np.int64), owners(table, "h", "chunk")
+        if not len(h):
+            return nothing(_MET)
+        order, start = grouped(h)
+        h, n, chunk = h[order], n[order], chunk[order]
+        size = np.diff(np.append(start, len(h)))
+        key, total = h[start], np.add.reduceat(np.abs(n), start)
+        shared = (size > 1) | (np.maximum.reduceat(n, start) > 0)
+        met = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for k in range(runs.num_rows):
+            row = runs.slice(k, 1)
+            known, times, at = flat(row, "h").view(np.uint64), flat(row, "n").astype(np.int64), flat(row, "at")
+            entry, of = spread(np.searchsorted(known, key, "left"), np.searchsorted(known, key, "right") - 1)
+            np.add.at(total, of, np.abs(times[entry]))
+            shared[of] = True
+            met.append((of, at[entry]))
+        of, older = map(np.concatenate, zip(*met, strict=True))
+        many = shared & (total > hot)
+        mine = np.repeat(shared, size)
+        who = np.concatenate([np.repeat(np.arange(len(key)), size)[mine], of])
+        answers = told(np.concatenate([chunk[mine], older]), key[who], many[who])
+        bucket = table.column("bucket")[0].as_py()
+        one = np.array([0, len(h)])
+        new = {"bucket": pa.array([bucket], pa.int32()), "h": lists(h, one, pa.int64()), "n": lists(n, one, pa.int32()), "at": lists(chunk, one, pa.int32())}
+        blank = nothing(_MET)
+        columns = {}
+        for f in blank.schema:
+            a = new[f.name] if f.name in new else pa.nulls(1, f.type)
+            b = answers.column(f.name) if f.name in answers.column_names else pa.nulls(answers.num_rows, f.type)
+            columns[f.name] = pa.chunked_array([a, *(b.chunks if isinstance(b, pa.ChunkedArray) else [b])], f.type)
+        columns["old"] = pa.array([False] + [True] * answers.num_rows)
+        return pa.table(columns).combine_chunks()
 
     return run
 
 
-_MERGED = "run boolean, bucket int, chunk int, h array<long>, check array<int>, lo array<long>"
+def _compact(n: int):
+    """Rows of all runs of a bucket as one, or as one for each of the buckets it is split into when the index has ``n`` of them."""
 
+    def run(table: pa.Table) -> pa.Table:
+        h, times, at = flat(table, "h").view(np.uint64), flat(table, "n"), flat(table, "at")
+        order = np.lexsort((h, buckets(h, n)))
+        own = buckets(h, n)[order]
+        start = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+        bounds = np.append(start, len(own))
+        return pa.table({"bucket": pa.array(own[start], pa.int32()), "h": lists(h[order], bounds, pa.int64()), "n": lists(times[order], bounds, pa.int32()), "at": lists(at[order], bounds, pa.int32())})
 
-def _entries(table: pa.Table):
-    return flat(table, "h").view(np.uint64), flat(table, "check").astype(np.int64), flat(table, "lo")
+    return run
 
 
-def _probe(table: pa.Table, runs: pa.Table) -> pa.Table:
-    """Merge-join a bucket of a batch with the runs' rows of that bucket.
+def _verify(first: int):
+    """In a fingerprint's bucket: windows of the same words, with the least document that holds them, back to the chunks from ``first`` on.
 
-    Gives hits back to the chunks (the least document of a window that some
-    document of the chunk must yield to), and the new windows as a run's row.
+    Segments of older chunks belong to documents before all others.
     """
-    h, check, lo = _entries(table)
-    hi, chunk = flat(table, "hi"), owners(table, "h", "chunk")
-    if not len(h):
-        return pa.table({c: pa.array([], t) for c, t in (("run", pa.bool_()), ("bucket", pa.int32()), ("chunk", pa.int32()), ("h", pa.list_(pa.int64())), ("check", pa.list_(pa.int32())), ("lo", pa.list_(pa.int64())))})
-    order, start = grouped(h)
-    key, proof, least = h[order][start], check[order][start], np.minimum.reduceat(lo[order], start)
-    old = np.zeros(len(key), bool)
-    for k in range(runs.num_rows):
-        rh, rc, rl = _entries(runs.slice(k, 1))
-        at = np.minimum(np.searchsorted(rh, key), len(rh) - 1)
-        met = (rh[at] == key) & (rc[at] == proof)
-        least = np.where(met, np.minimum(least, rl[at]), least)
-        old |= met
-    number = np.empty(len(h), np.int64)
-    number[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(h))))
-    hit = np.flatnonzero(hi > least[number])
-    by, first = grouped(chunk[hit])
-    hit = hit[by]
-    bounds = np.append(first, len(hit))
-    bucket = table.column("bucket")[0].as_py()
-    chunks = pa.array(chunk[hit][first], pa.int32())
-    hits = pa.table({"run": pa.array([False] * len(chunks), pa.bool_()), "bucket": pa.array([bucket] * len(chunks), pa.int32()), "chunk": chunks, "h": lists(h[hit], bounds, pa.int64()), "check": lists(check[hit], bounds, pa.int32()), "lo": lists(least[number[hit]], bounds, pa.int64())})
-    new = ~old
-    one = np.array([0, int(new.sum())])
-    run = pa.table({"run": pa.array([True]), "bucket": pa.array([bucket], pa.int32()), "chunk": pa.array([-1], pa.int32()), "h": lists(key[new], one, pa.int64()), "check": lists(proof[new], one, pa.int32()), "lo": lists(least[new], one, pa.int64())})
-    return pa.concat_tables([hits, run])
-
-
-_RUN = "bucket int, h array<long>, check array<int>, lo array<long>"
-
-
-def _compact(table: pa.Table) -> pa.Table:
-    h, check, lo = _entries(table)
-    order = np.argsort(h, kind="stable")
-    one = np.array([0, len(h)])
-    return pa.table({"bucket": table.column("bucket").slice(0, 1), "h": lists(h[order], one, pa.int64()), "check": lists(check[order], one, pa.int32()), "lo": lists(lo[order], one, pa.int64())})
 
+    def run(table: pa.Table) -> pa.Table:
+        got = Segments(table)
+        old = got.chunk < first
+        got.least, got.most = extremes(got.number, np.where(old, _EARLIER, got.lo), np.where(old, _EARLIER, got.hi))
+        text, _ = spread(got.begin[got.one], got.begin[got.one] + got.size[got.one] - 1)
+        buf = got.buf[text]
+        size = got.size[got.one]
+        start, end, rows = tk.words(buf, np.concatenate([[0], np.cumsum(size)]), tk.NOT_BLANK)
+        word, what = spread(rows[:-1], rows[1:] - WINDOW)
+        a, b = start[word], end[word + WINDOW - 1]
+        window, _ = identical(buf, a, b - a, tk.ranges(tk.prefix(buf.astype(np.uint64) + np.uint64(1)), a, b))
+        least, _ = extremes(window, got.least[what], got.least[what])
+        doc = least[window]
+        ok = got.most[what] > doc
+        word, what, doc = word[ok], what[ok], doc[ok]
+        new = np.append(True, (word[1:] != word[:-1] + 1) | (what[1:] != what[:-1]) | (doc[1:] != doc[:-1]))[: len(word)]
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(word))[: len(head)] - 1
+        left = word[head] - rows[what[head]]
+        return covers(got, what[head], left, word[tail] - rows[what[tail]] + WINDOW, doc[head], first)
 
-class FingerprintIndex:
-    """The runs, as tables of the work folder. Windows of later batches must come from documents of greater ids."""
-
-    def __init__(self, work: tk.Workspace, fanout: int = FANOUT):
-        self.work, self.fanout = work, fanout
-        self.runs: list[DataFrame] = []
-        self.step = 0
-
-    def add(self, windows: DataFrame) -> DataFrame:
-        """Probe and then hold a batch (bucket, chunk, h, check, lo, hi); returns (chunk, h, lo) of windows met before or twice in it."""
-        self.step += 1
-        if len(self.runs) >= self.fanout:
-            self.runs = [self.work.save(self._all().groupBy("bucket").applyInArrow(_compact, _RUN), f"run-{self.step}")]
-            tk.release(self.work.spark)
-        known = self._all()
-        met = windows.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_probe, _MERGED)
-        met = self.work.save(met, f"batch-{self.step}")
-        self.runs.append(met.filter("run AND size(h) > 0").select("bucket", "h", "check", "lo"))
-        del known
-        tk.release(self.work.spark)
-        return met.filter("NOT run").select("chunk", "h", "lo")
-
-    def _all(self) -> DataFrame:
-        out = self.work.spark.createDataFrame([], _RUN)
-        for run in self.runs:
-            out = out.union(run)
-        return out
+    return run
 
 
 _REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
@@ -168,29 +153,15 @@ _REMOVED = "doc_id long, n_words long, n_removed long, kept_sha256 string"
 
 def _remove(with_text: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        h = flat(answers, "h").view(np.uint64)
-        order = np.argsort(h, kind="stable")
-        h, lo = h[order], flat(answers, "lo")[order]
-        out = []
+        marks, out = Marks(answers), []
         for piece, ids, buf, offsets in pieces(table):
-            start, end, rows, codes = _words(buf, offsets)
-            gone = np.zeros(len(codes), bool)
-            if len(h) and len(codes) >= WINDOW:
-                at = np.arange(len(codes) - WINDOW + 1)
-                row = np.searchsorted(rows, at, "right") - 1
-                at, row = at[at + WINDOW <= rows[row + 1]], row[at + WINDOW <= rows[row + 1]]
-                own = tk.ranges(tk.prefix(codes), at, at + WINDOW)
-                spot = np.minimum(np.searchsorted(h, own), len(h) - 1)
-                hit = at[(h[spot] == own) & (ids[row] > lo[spot])]
-                edge = np.zeros(len(codes) + 1, np.int64)
-                np.add.at(edge, hit, 1)
-                np.add.at(edge, hit + WINDOW, -1)
-                gone = np.cumsum(edge[:-1]) > 0
-            kept = ~gone
-            at, of = spread(start[kept], end[kept])  # each word and the place behind it, for a space
-            data = np.append(buf, np.uint8(32))[at]
-            data[at == end[kept][of]] = 32
-            ends = np.concatenate([[0], np.cumsum(end[kept] - start[kept] + 1)])[np.concatenate([[0], np.cumsum(kept)])[rows]]
+            cut = _cut(buf, offsets)
+            gone = marks.gone(KIND, cut, ids)
+            kept, rows = ~gone, cut.rows
+            size = cut.right - cut.left + 1
+            at, _ = spread(cut.left[kept], cut.right[kept])  # each word and the space behind it
+            data = cut.data[at]
+            ends = np.concatenate([[0], np.cumsum(size[kept])])[np.concatenate([[0], np.cumsum(kept)])[rows]]
             texts = [data[a : max(a, b - 1)].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             cols = {"doc_id": piece.column("doc_id"), "n_words": pa.array(np.diff(rows)), "n_removed": pa.array(tk.segment_sum(gone, rows, np.int64)), "kept_sha256": pa.array([sha256(t).hexdigest() for t in texts], pa.string())}
             if with_text:
@@ -201,29 +172,102 @@ def _remove(with_text: bool):
     return run
 
 
-def drop_repeated_windows(docs: DataFrame, batches: int = BATCHES, work: tk.Workspace | None = None, with_text: bool = False) -> DataFrame:
+class FingerprintIndex:
+    """An index in the folder ``root`` of the shared store: opened if it is there, else begun with so many buckets.
+
+    One writer at a time. A batch counts once its state row is written; an
+    ``add`` that fails leaves unused files and can be repeated.
+    """
+
+    def __init__(self, spark, root: str, buckets: int | None = None, fanout: int = FANOUT, hot: int = HOT):
+        self.spark, self.root, self.fanout, self.hot = spark, root.rstrip("/"), fanout, hot
+        self.state = {"version": 0, "buckets": buckets or tk.parts(spark), "chunks": 0, "texts": [], "runs": []}
+        try:
+            last = spark.read.schema("version long, state string").parquet(self._path("state")).orderBy(F.desc("version")).first()
+        except AnalysisException:  # no such folder yet
+            last = None
+        if last:
+            self.state = json.loads(last["state"])
+        self._texts = [Chunks.reopen(spark, **t) for t in self.state["texts"]]
+
+    def _path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def _runs(self, names: list[str]) -> DataFrame:
+        out = self.spark.createDataFrame([], _RUN)
+        for name in names:
+            out = out.union(self.spark.read.schema(_RUN).parquet(self._path(name)))
+        return out
+
+    def _write(self, df: DataFrame, name: str, by: str | None = None) -> None:
+        out = df.write.mode("overwrite").option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(self._path(name))
+        tk.release(self.spark)
+
+    def add(self, docs: DataFrame, with_text: bool = False) -> DataFrame:
+        """Hold a batch and return, per row of docs (doc_id, text), what ``drop_repeated_windows`` does; documents of earlier batches count as smaller."""
+        state, tag, old = dict(self.state), uuid.uuid4().hex[:12], list(self.state["runs"])
+        if len(old) >= self.fanout:
+            n = state["buckets"]
+            while state["chunks"] > 2 * n:
+                n *= 2
+            self._write(self._runs(old).groupBy("bucket").applyInArrow(_compact(n), _RUN), f"run-{tag}-0")
+            state |= {"buckets": n, "runs": [f"run-{tag}-0"]}
+        chunks = Chunks(docs, self._path(f"texts-{tag}"), state["chunks"])
+        offers = chunks.map(offer(KIND, state["buckets"]), OFFERS)
+        met = offers.groupBy("bucket").cogroup(self._runs(state["runs"]).groupBy("bucket")).applyInArrow(_merge(self.hot), _MET)
+        self._write(met, f"met-{tag}", by="old")
+        del offers, met
+        shared = self.spark.read.schema("chunk int, shared array<long>, hot array<long>, old boolean").parquet(self._path(f"met-{tag}")).filter("old").drop("old")
+        sent = self.spark.createDataFrame([], SEGMENTS)
+        for texts in [*self._texts, chunks]:
+            sent = sent.union(texts.answer(shared, send(KIND, state["buckets"]), SEGMENTS))
+        self._write(with_hot(sent.groupBy("bucket").applyInArrow(_verify(chunks.first), COVERS), shared), f"covers-{tag}")
+        del sent
+        answers = self.spark.read.schema(COVERS).parquet(self._path(f"covers-{tag}"))
+        result = f"{self.root}-result-{tag}"
+        out = chunks.answer(answers, _remove(with_text), _REMOVED + (", kept string" if with_text else ""))
+        out.write.option("compression", "zstd").parquet(result)
+        for used in (f"covers-{tag}", f"met-{tag}/old=true"):
+            tk.remove(self.spark, self._path(used))
+        self._texts.append(chunks)
+        texts = [{"path": t.path, "first": t.first, "n": t.n, "files": t.files} for t in self._texts]
+        state |= {"version": state["version"] + 1, "chunks": chunks.first + chunks.n, "texts": texts, "runs": [*state["runs"], f"met-{tag}/old=false"]}
+        self.spark.createDataFrame([(state["version"], json.dumps(state))], "version long, state string").coalesce(1).write.mode("append").parquet(self._path("state"))
+        self.state = state
+        for run in set(old) - set(state["runs"]):
+            tk.remove(self.spark, self._path(run))
+        return self.spark.read.schema(out.schema).parquet(result)
+
+    def close(self) -> None:
+        """Forget the catalogue's entries; the folder stays."""
+        for t in self._texts:
+            t.forget()
+
+
+def drop_repeated_windows(docs: DataFrame, batches: int = BATCHES, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """Per row of docs (doc_id, text): n_words, n_removed, kept_sha256, and the kept words as ``kept`` if with_text.
 
     Words of windows that also start in a document of smaller doc_id go. Null
     texts have no words; rows of one id are no smaller than one another; null
-    ids count as larger than all.
+    ids count as larger than all. An empty table gives no rows; other columns
+    of docs are left out. The index is begun for this call, fed in ``batches``
+    of ascending doc_id, and dropped at the end.
     """
-    work = work or tk.Workspace(docs.sparkSession, "substring-dedup")
-    chunks = Chunks(docs)
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)], 10000)).first()[0] if batches > 1 else None
-    cuts = sorted(set(cuts or []))
-    sent = work.save(chunks.answer(shared_anchors(chunks, KIND, work), _send(chunks.n, cuts), _WINDOWS), "windows", by="batch")
-    work.drop("shared")
-    tk.release(docs.sparkSession)
-    index, hits = FingerprintIndex(work), []
-    for b in range(len(cuts) + 1):
-        hits.append(index.add(sent.filter(F.col("batch") == b).drop("batch")))
-        work.drop(f"windows/batch={b}")
-    answers = hits[0]
-    for more in hits[1:]:
-        answers = answers.union(more)
-    return chunks.answer(answers, _remove(with_text), _REMOVED + (", kept string" if with_text else ""))
+    with tk.Workspace(docs.sparkSession, "substring-dedup") as work:
+        size, cuts = docs.agg(F.sum(F.octet_length("text")), F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [0.5], 10000)).first()
+        cuts = sorted(set(cuts or [])) if batches > 1 else []
+        index = FingerprintIndex(docs.sparkSession, work.path("index"), max(tk.parts(docs.sparkSession), -(-(size or 0) // CHUNK_BYTES)), hot=hot)
+        batch = sum((F.coalesce(F.col("doc_id") > c, F.lit(True)).cast("int") for c in cuts), F.lit(0))
+        parts = [index.add(docs.filter(batch == k), with_text) for k in range(len(cuts) + 1)]
+        out = parts[0]
+        for more in parts[1:]:
+            out = out.union(more)
+        out = work.keep(out)
+        index.close()
+    return out
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:
+    """``drop_repeated_windows`` of all documents."""
     return drop_repeated_windows(spark.read.parquet(f"{sf_dir}/documents.parquet"))

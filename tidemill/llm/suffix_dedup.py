@@ -1,12 +1,14 @@
 """Repeated substrings by an enhanced suffix array with a common-prefix interval tree (operator 4).
 
 Segments (the windows of a shared anchor, with their surroundings) meet in
-the anchor's bucket, equal contents once. There all suffixes that begin a
-window are sorted, with the lengths of their common prefixes; a scan with a
-stack walks the intervals of the array, and those whose occurrences differ in
-the byte before them are maximal repeats, given with all occurrences. A
-repeat that runs on over several anchors appears as one group for each of
-their segments.
+the anchor's bucket, equal contents once or, if several documents hold them,
+twice. There all suffixes that begin a window are sorted by their bytes, with
+the lengths of their common prefixes; a scan with a stack walks the intervals
+of the array, and those whose occurrences differ in the byte before them are
+maximal repeats, given with all occurrences. A repeat that runs on over several
+anchors appears as one group for each of their segments. Windows of a very
+frequent anchor are dealt by their first LEAST bytes instead, each with the
+rest of its segment, and go through the same array and tree.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidemill.llm import textkit as tk
-from tidemill.llm.repeats import Chunks, Cut, Kind, buckets, flat, grouped, lists, lookup, owners, pieces, shared_anchors, spread
+from tidemill.llm.repeats import COVERS, HOT, SEGMENTS, Chunks, Cut, Kind, Marks, Segments, covers, extremes, grouped, pieces, send, shared_anchors, spread, with_hot
 
 #: Bytes of a repeat at least, and of an anchor's gram.
 LEAST, GRAM = 50, 16
@@ -31,14 +33,14 @@ def _bytes(buf: np.ndarray, offsets: np.ndarray) -> Cut:
     if n >= GRAM:
         inverse = tk.powers(n + 1, tk._INV)
         grams[: n - GRAM + 1] = tk.mix((sums[GRAM:] - sums[: n - GRAM + 1]) * inverse[: n - GRAM + 1])
-    return Cut(grams, sums, offsets)
+    return Cut(grams, offsets, buf)
 
 
-KIND = Kind(_bytes, LEAST, GRAM)
+KIND = Kind(_bytes, LEAST, GRAM, tail=True)
 
 
-def suffix_array(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Suffixes of ``least`` bytes or more of the segments buf[begin : begin + size], sorted.
+def suffix_array(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The first ``suffixes`` suffixes of each of the segments buf[begin : begin + size], sorted.
 
     Returns each one's segment, offset and bytes left, and the common prefix with the one before.
     """
@@ -50,7 +52,7 @@ def suffix_array(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, least: in
     wide = np.zeros((len(begin), words * 8 + 1), np.uint64)
     for j in range(8):
         wide |= padded[:, j : j + words * 8 + 1].astype(np.uint64) << np.uint64(56 - 8 * j)
-    off, seg = spread(np.zeros_like(size), size - least)
+    off, seg = spread(np.zeros_like(size), suffixes - 1)
     keys = [wide[seg, np.minimum(off + 8 * j, words * 8)] for j in range(words)]
     order = np.lexsort(keys[::-1])
     seg, off = seg[order], off[order]
@@ -80,16 +82,18 @@ def intervals(lcp: list[int]) -> list[tuple[int, int, int]]:
     return found
 
 
-def maximal_repeats(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def maximal_repeats(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, least: int = LEAST, suffixes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Repeats of ``least`` bytes or more between (or within) segments that can't be extended to either side.
 
+    ``suffixes``: of each segment, the first that count (all that are long enough).
+
     Returns, for each occurrence: number of its group, length, segment, offset.
     An occurrence at a segment's start counts as differing on its left.
     """
     none = np.zeros(0, np.int64)
     if not len(begin):
         return none, none, none, none
-    seg, off, _, lcp = suffix_array(buf, begin, size, least)
+    seg, off, _, lcp = suffix_array(buf, begin, size, size - least + 1 if suffixes is None else suffixes)
     before = np.where(off > 0, buf[np.maximum(begin[seg] + off - 1, 0)].astype(np.int64), -1)
     start = np.flatnonzero(lcp < least)  # of the intervals at depth ``least``
     count = np.diff(np.append(start, len(seg)))
@@ -121,106 +125,42 @@ def maximal_repeats(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, least:
     return np.concatenate(group), np.concatenate(length), seg[member], off[member]
 
 
-_SEGMENTS = "bucket int, chunk int, ch array<long>, anchor array<long>, size array<int>, lo array<long>, hi array<long>, bytes binary"
-#: Segments are the most of what is shuffled.
-PACK = "zstd"
-_COVERS = "chunk int, ch array<long>, start array<int>, stop array<int>, lo array<long>, hot array<long>"
-
-
-def _segments(cut: Cut, shared: np.ndarray, hot: np.ndarray):
-    """First unit, size, anchor and content hash of the segments of shared anchors; a hot anchor's windows are segments of their own."""
-    first, last, h = KIND.runs(cut)
-    ok = lookup(shared, h)
-    first, last, h = first[ok], last[ok], h[ok]
-    many = lookup(hot, h)
-    own, _ = spread(first[many], last[many])
-    begin = np.concatenate([first[~many], own])
-    end = np.concatenate([last[~many], own]) + LEAST
-    content = tk.ranges(cut.sums, begin, end)
-    return begin, end - begin, np.concatenate([h[~many], content[(~many).sum() :]]), content
-
-
-def _send(n: int):
-    def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        shared, hot = (np.sort(flat(answers, c).view(np.uint64)) for c in ("shared", "hot"))
-        parts = []
-        for _, ids, buf, offsets in pieces(table) if len(shared) else ():
-            cut = _bytes(buf, offsets)
-            begin, size, anchor, content = _segments(cut, shared, hot)
-            doc = ids[np.searchsorted(cut.rows, begin, "right") - 1]
-            order, start = grouped(content)
-            if len(order):
-                one = order[start]
-                at, _ = spread(begin[one], begin[one] + size[one] - 1)
-                parts.append((content[one], anchor[one], size[one], np.minimum.reduceat(doc[order], start), np.maximum.reduceat(doc[order], start), buf[at]))
-        if not parts:
-            return pa.table({c: pa.array([], t) for c, t in _types(_SEGMENTS)})
-        content, anchor, size, lo, hi, data = map(np.concatenate, zip(*parts, strict=True))
-        begin = np.cumsum(size) - size
-        order, start = grouped(content)
-        one = order[start]
-        lo, hi = np.minimum.reduceat(lo[order], start), np.maximum.reduceat(hi[order], start)
-        content, anchor, size, begin = content[one], anchor[one], size[one], begin[one]
-        order, start = grouped(buckets(anchor, n))
-        bounds = np.append(start, len(order))
-        at, _ = spread(begin[order], begin[order] + size[order] - 1)
-        ends = np.concatenate([[0], np.cumsum(size[order])])[bounds]
-        data = data[at]
-        blobs = [pa.compress(data[a:b].tobytes(), codec=PACK, asbytes=True) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        b = buckets(anchor, n)[order][start]
-        return pa.table({
-            "bucket": pa.array(b, pa.int32()), "chunk": pa.array(np.full(len(b), table.column("chunk")[0].as_py()), pa.int32()),
-            "ch": lists(content[order], bounds, pa.int64()), "anchor": lists(anchor[order], bounds, pa.int64()), "size": lists(size[order], bounds, pa.int32()),
-            "lo": lists(lo[order], bounds, pa.int64()), "hi": lists(hi[order], bounds, pa.int64()), "bytes": pa.array(blobs, pa.binary()),
-        })
-
-    return run
-
-
-def _types(ddl: str):
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
-    return [(c.split()[0], kinds[c.split()[1]]) for c in ddl.split(", ")]
+#: Suffixes that are sorted at once, about.
+SORTED = 1 << 17
 
 
 def _cover(table: pa.Table) -> pa.Table:
-    """In an anchor's bucket: stretches of segments that repeat, with the least document that holds them, back to the chunks."""
-    content, anchor, size = flat(table, "ch").view(np.uint64), flat(table, "anchor").view(np.uint64), flat(table, "size").astype(np.int64)
-    lo, hi, chunk = flat(table, "lo"), flat(table, "hi"), owners(table, "ch", "chunk")
-    whole = [sum(x) for x in table.column("size").to_pylist()]
-    buf = np.frombuffer(b"".join([pa.decompress(x, n, codec=PACK, asbytes=True) for x, n in zip(table.column("bytes").to_pylist(), whole, strict=True)]), np.uint8)
-    begin = np.cumsum(size) - size
-    order, start = grouped(content)
-    number = np.empty(len(content), np.int64)  # of each entry's content
-    number[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
-    one = order[start]
-    least, most = np.minimum.reduceat(lo[order], start), np.maximum.reduceat(hi[order], start)
-    twice = np.flatnonzero(least != most)  # contents of several documents repeat whole
-    by, first = grouped(anchor[one])
-    alone = np.diff(np.append(first, len(by))) == 1
-    mixed = by[~np.repeat(alone, np.diff(np.append(first, len(by))))]  # contents of anchors with others
-    group, length, seg, off = maximal_repeats(buf, begin[one][mixed], size[one][mixed])
-    seg = mixed[seg] if len(seg) else seg
-    if len(group):
-        by, first = grouped(group)
-        smallest = np.empty(len(group), np.int64)
-        smallest[by] = np.repeat(np.minimum.reduceat(least[seg[by]], first), np.diff(np.append(first, len(by))))
-    else:
-        smallest = group
-    what = np.concatenate([twice, seg])
-    left = np.concatenate([np.zeros(len(twice), np.int64), off])
-    right = np.concatenate([size[one][twice], off + length])
-    doc = np.concatenate([least[twice], smallest])
-    order, _ = grouped(what)  # the stretches of a content stand together
-    what, left, right, doc = what[order], left[order], right[order], doc[order]
-    a, b = np.searchsorted(what, number, "left"), np.searchsorted(what, number, "right")
-    at, entry = spread(a, b - 1)
-    ok = hi[entry] > doc[at]
-    at, entry = at[ok], entry[ok]
-    by, first = grouped(chunk[entry])
-    at, entry = at[by], entry[by]
-    bounds = np.append(first, len(at))
-    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(first) + 1), pa.int32()), pa.array([], pa.int64()))
-    return pa.table({"chunk": pa.array(chunk[entry][first], pa.int32()), "ch": lists(content[entry], bounds, pa.int64()), "start": lists(left[at], bounds, pa.int32()), "stop": lists(right[at], bounds, pa.int32()), "lo": lists(doc[at], bounds, pa.int64()), "hot": none})
+    """In an anchor's bucket: stretches of contents that repeat, with the least document that holds them, back to the chunks.
+
+    A content that several documents hold enters the suffix array twice, for
+    the least of them and for another, so that the tree finds it whole too.
+    """
+    got = Segments(table)
+    own, shift = np.arange(len(got.one)), np.flatnonzero(got.least != got.most)
+    member = np.concatenate([own, shift])  # the second copies behind the first
+    place = got.one[member]
+    key, first = grouped(got.key[place])
+    count = np.diff(np.append(first, len(key)))
+    met = key[np.repeat(count > 1, count)]  # those whose anchor has company, anchor by anchor
+    suffixes = np.where(got.lone[place], 1, got.size[place] - LEAST + 1)[met]
+    edges = np.append(True, got.key[place[met]][1:] != got.key[place[met]][:-1]) if len(met) else np.zeros(0, bool)
+    part = (np.cumsum(suffixes) - suffixes) // SORTED
+    part = part[np.flatnonzero(edges)][np.cumsum(edges) - 1] if len(met) else part  # an anchor is not parted
+    found = [[np.zeros(0, np.int64)] * 4]
+    for a, b in zip(*_bounds(part), strict=True):
+        one = met[a:b]
+        group, length, seg, off = maximal_repeats(got.buf, got.begin[place[one]], got.size[place[one]], LEAST, suffixes[a:b])
+        if not len(group):
+            continue
+        smallest, _ = extremes(group, got.least[member[one[seg]]], got.least[member[one[seg]]])
+        ok = one[seg] < len(own)
+        found.append([member[one[seg[ok]]], off[ok], off[ok] + length[ok], smallest[group[ok]]])
+    return covers(got, *map(np.concatenate, zip(*found, strict=True)))
+
+
+def _bounds(part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    start = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
+    return start, np.append(start[1:], len(part)) if len(part) else start
 
 
 _REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -228,30 +168,9 @@ _REMOVED = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 def _remove(with_text: bool):
     def run(table: pa.Table, answers: pa.Table) -> pa.Table:
-        content = flat(answers, "ch").view(np.uint64)
-        order = np.argsort(content, kind="stable")
-        content = content[order]
-        start, stop, lo = (flat(answers, c)[order].astype(np.int64) for c in ("start", "stop", "lo"))
-        hot = np.sort(flat(answers, "hot").view(np.uint64))
-        rows = []
+        marks, rows = Marks(answers), []
         for piece, ids, buf, offsets in pieces(table):
-            gone = np.zeros(len(buf), bool)
-            if len(content):
-                cut = _bytes(buf, offsets)
-                first, last, h = KIND.runs(cut)
-                many = lookup(hot, h)
-                own, _ = spread(first[many], last[many])
-                begin, end = np.concatenate([first[~many], own]), np.concatenate([last[~many], own]) + LEAST
-                ch = tk.ranges(cut.sums, begin, end)
-                a, b = np.searchsorted(content, ch, "left"), np.searchsorted(content, ch, "right")
-                at, of = spread(a, b - 1)
-                doc = ids[np.searchsorted(offsets, begin, "right") - 1]
-                ok = doc[of] > lo[at]
-                at, of = at[ok], of[ok]
-                edge = np.zeros(len(buf) + 1, np.int64)
-                np.add.at(edge, begin[of] + start[at], 1)
-                np.add.at(edge, begin[of] + stop[at], -1)
-                gone = np.cumsum(edge[:-1]) > 0
+            gone = marks.gone(KIND, _bytes(buf, offsets), ids)
             opens = gone.copy()
             opens[1:] &= ~gone[:-1]
             heads = offsets[:-1][offsets[:-1] < offsets[1:]]
@@ -267,24 +186,26 @@ def _remove(with_text: bool):
     return run
 
 
-def drop_repeats(docs: DataFrame, work: tk.Workspace | None = None, with_text: bool = False) -> DataFrame:
+def drop_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> DataFrame:
     """Per row of docs (doc_id, text): n_bytes, n_removed, n_spans, kept_sha256, and kept (bytes) if with_text.
 
     Bytes covered by a string of LEAST bytes that also starts in a document of
     smaller doc_id go. Null texts are empty; rows of one id are no smaller
-    than one another; null ids count as larger than all.
+    than one another; null ids count as larger than all. An empty table gives
+    no rows; other columns of docs are left out. ``hot``: see ``repeats``.
     """
-    work = work or tk.Workspace(docs.sparkSession, "suffix-dedup")
-    chunks = Chunks(docs)
-    shared = shared_anchors(chunks, KIND, work)
-    sent = chunks.answer(shared, _send(chunks.n), _SEGMENTS)
-    covers = sent.groupBy("bucket").applyInArrow(_cover, _COVERS)
-    hot = shared.filter("size(hot) > 0").selectExpr("chunk", "array() ch", "array() start", "array() stop", "array() lo", "hot")
-    answers = work.save(covers.union(hot.select("chunk", *(hot[c].cast(t) for c, t in (("ch", "array<long>"), ("start", "array<int>"), ("stop", "array<int>"), ("lo", "array<long>"))), "hot")), "covers")
-    del sent, covers
-    tk.release(docs.sparkSession)
-    return chunks.answer(answers, _remove(with_text), _REMOVED + (", kept binary" if with_text else ""))
+    with tk.Workspace(docs.sparkSession, "suffix-dedup") as work:
+        chunks = Chunks(docs, work.path("texts"))
+        shared = shared_anchors(chunks, KIND, work, hot)
+        sent = chunks.answer(shared, send(KIND, chunks.n), SEGMENTS)
+        answers = work.save(with_hot(sent.groupBy("bucket").applyInArrow(_cover, COVERS), shared), "covers")
+        del sent
+        tk.release(docs.sparkSession)
+        out = work.keep(chunks.answer(answers, _remove(with_text), _REMOVED + (", kept binary" if with_text else "")))
+        chunks.drop()
+    return out
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """``drop_repeats`` of all documents."""
     return drop_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -14,6 +14,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 #: Multipliers of the polynomial hashes (odd 64-bit constants of splitmix64).
@@ -34,23 +35,38 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
-class Workspace:
-    """Tables written in the folder that driver and executors share.
+def shared_folder(spark) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only if all run on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return "file://" + tempfile.mkdtemp(prefix="tidemill-")
 
-    ``spark.checkpoint.dir`` names it; a temporary folder is used only where
-    the session leaves it unset, as in local tests.
-    """
+
+class Workspace:
+    """Tables of one call, in the shared folder. As a context manager it drops them all at the end, but for those of ``keep``."""
 
     def __init__(self, spark, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="tidemill-")
         self.spark = spark
-        self.root = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self.root = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop("")
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
+    def keep(self, df):
+        """Write a result beside the work tables and read it back; it is the caller's from then on."""
+        path = f"{self.root}-result"
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def save(self, df, name: str, by: str | None = None):
         """Write df, in folders by a column if given, and read it back: cuts the lineage, survives a lost executor."""
         out = df.write.mode("overwrite").option("compression", "zstd")
@@ -58,8 +74,13 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, name: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path(name).rstrip("/"))
+
+
+def remove(spark, path: str) -> None:
+    """Delete a folder of any store that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark) -> None:
@@ -73,6 +94,12 @@ def parts(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def aside(docs, *needed: str):
+    """docs with all columns but the needed ones renamed out of the way, and the columns that give the old names back."""
+    names = [c if c in needed else f"_own{k}" for k, c in enumerate(docs.columns)]
+    return docs.toDF(*names), [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]
+
+
 def extended(df, more: str) -> StructType:
     """The schema of df with further columns, given as DDL."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
@@ -125,7 +152,11 @@ def powers(n: int, base: int = _MUL) -> np.ndarray:
     return have[:n]
 
 
-_INV = pow(_MUL, -1, 1 << 64)
+def inverse(base: int) -> int:
+    return pow(base, -1, 1 << 64)
+
+
+_INV = inverse(_MUL)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -134,16 +165,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def prefix(values: np.ndarray) -> np.ndarray:
+def prefix(values: np.ndarray, base: int = _MUL) -> np.ndarray:
     """Prefix sums of values[i] * base**i with a leading zero, for ``ranges``."""
     out = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values)), out=out[1:])
+    np.cumsum(values * powers(len(values), base), out=out[1:])
     return out
 
 
-def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the ranges [start, end) of what ``prefix`` summed."""
-    return mix((sums[end] - sums[start]) * powers(len(sums), _INV)[start] + (end - start).astype(np.uint64))
+def ranges(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int = _MUL) -> np.ndarray:
+    """64-bit hashes of the ranges [start, end) of what ``prefix`` summed with that base."""
+    return mix((sums[end] - sums[start]) * powers(len(sums), inverse(base))[start] + (end - start).astype(np.uint64))
 
 
 def words(buf: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
