@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections import Counter, defaultdict
-from hashlib import sha256
+from hashlib import blake2b, sha256
 from itertools import combinations
 
 import numpy as np
@@ -162,22 +162,91 @@ def test_hilbert_neighbours():
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
+def plain_tree(text: str) -> list[list[str]]:
+    """Sections of paragraphs, as strings: a section ends before a blank line and behind a paragraph whose hash says so."""
+    sections: list[list[str]] = [[]]
+    for line in text.split("\n"):
+        if not line.strip(" \t\r\x0b\x0c") and sections[-1]:
+            sections.append([])
+        sections[-1].append(line)
+        if blake2b(line.encode(), digest_size=8).digest()[0] % 8 == 0:
+            sections.append([])
+    return [s for s in sections if s]
+
+
+def plain_pieces(paragraph: str) -> list[bytes]:
+    """Runs of up to 40 bytes that start afresh behind a run of stops."""
+    out, raw, at = [], paragraph.encode(), 0
+    while at < len(raw):
+        to = at
+        while to < len(raw) and to - at < 40 and raw[to] not in b".!?":
+            to += 1
+        while to < len(raw) and raw[to] in b".!?":
+            to += 1
+        out.append(raw[at:to])
+        at = to
+    return out
+
+
+def plain_walk(a: str, b: str) -> tuple[float, list[int]]:
+    """Likeness and touched paragraphs by comparing strings, level by level."""
+    if a == b:
+        return 1.0, []
+    trees = [[[(n, p) for p in s] for n, s in enumerate(plain_tree(t))] for t in (a, b)]
+    number, out = 0, []
+    for t in trees:
+        number = 0
+        out.append([[(number := number + 1) - 1 for _ in s] for s in t])
+    total = sum(len(plain_pieces(p)) for t in trees for s in t for _, p in s)
+    common = 0
+    lone: list[list[tuple[int, str]]] = []
+    for k in (0, 1):
+        spare = Counter(tuple(p for _, p in s) for s in trees[1 - k])
+        rest = []
+        for s, numbers in zip(trees[k], out[k], strict=True):
+            key = tuple(p for _, p in s)
+            if spare[key]:
+                spare[key] -= 1
+                common += sum(len(plain_pieces(p)) for p in key) if k == 0 else 0
+            else:
+                rest += [(n, p) for n, (_, p) in zip(numbers, s, strict=True)]
+        lone.append(rest)
+    both = Counter(p for _, p in lone[0]) & Counter(p for _, p in lone[1])
+    common += sum(len(plain_pieces(p)) * n for p, n in both.items())
+    left = []
+    for rest in lone:
+        spare, kept = both.copy(), []
+        for n, p in rest:
+            if spare[p]:
+                spare[p] -= 1
+            else:
+                kept.append((n, p))
+        left.append(kept)
+    marks = [Counter(x for _, p in kept for x in plain_pieces(p)) for kept in left]
+    common += sum((marks[0] & marks[1]).values())
+    return min(2 * common / total if total else 0.0, 1 - 1e-9), [n for n, _ in left[0]]
+
+
 def test_fingerprint_query(spark, sf_dir):
+    """Likenesses and edited paragraphs against strings compared level by level; fingerprints equal for equal texts alone."""
     rows = sorted(texts(spark.read.parquet(f"{sf_dir}/documents.parquet")))
     found = {r.doc_id: r for r in fingerprint.op1_fingerprint(spark, sf_dir).collect()}
     assert len(found) == len(rows)
-    of = {t: fingerprint.encode(*fingerprint.tree(t)[:2]) for _, t in rows}
-    assert len({of[t] for t in of}) == len(of)  # equal only for equal texts
+    prints: dict[str, set] = defaultdict(set)
     for k, (d, t) in enumerate(rows):
         after = rows[(k + 1) % len(rows)][1]
         cut = len(t) // 4
         edited = t[: len(t) - cut] + after[:cut]
         r = found[d]
+        prints[t].add(r.fingerprint)
+        prints[edited].add(r.edited_fingerprint)
         assert (r.n_chars, r.edited_sha256) == (len(t), sha256(edited.encode()).hexdigest())
-        assert r.fingerprint == of[t]
-        assert r.edited_fingerprint == fingerprint.encode(*fingerprint.tree(edited)[:2])
-        assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1
+        near, at = plain_walk(t, edited)
+        assert (r.near_edited, r.edited_at) == (pytest.approx(near), at)
+        assert r.near_next == pytest.approx(plain_walk(t, after)[0])
         assert (r.near_edited == 1) == (edited == t) and (r.near_next == 1) == (after == t)
+    assert all(len(p) == 1 for p in prints.values())
+    assert len({p for own in prints.values() for p in own}) == len(prints)
     near = [r.near_edited for r in found.values() if r.n_chars > 200]
     far = [r.near_next for r in found.values() if r.n_chars > 200]
     assert np.mean(near) > np.mean(far) + 0.3
@@ -185,11 +254,10 @@ def test_fingerprint_query(spark, sf_dir):
 
 def test_fingerprint_locates_edits():
     text = "\n\n".join(f"Paragraph {i} says that {i * 7} things happened. They were {i * 3} in all." for i in range(40))
-    a = fingerprint.encode(*fingerprint.tree(text)[:2])
-    b = fingerprint.encode(*fingerprint.tree(text.replace("Paragraph 17 says", "Paragraph 17 claims"))[:2])
+    a = fingerprint.encode(*fingerprint.tree(text))
+    b = fingerprint.encode(*fingerprint.tree(text.replace("Paragraph 17 says", "Paragraph 17 claims")))
     assert fingerprint.differences(a, a) == ([], [])
-    own, other = fingerprint.differences(a, b)
-    assert len(own) == len(other) == 1
+    assert fingerprint.differences(a, b) == ([34], [34])
     assert fingerprint.likeness(a, b) > 0.8
 
 
@@ -208,6 +276,7 @@ def test_pipeline(spark, sf_dir):
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
     assert all(re.search(r"[^\W\d_]", r.text or "") for r in kept["language_id"])
     assert len(kept["language_id"]) > 0.9 * sum(bool(re.search(r"[^\W\d_]", r.text or "")) for r in whole)
+    assert {r.doc_id: r.text for r in kept["line_dedup"]} == without_boilerplate(kept["language_id"])
     sets = shingle_sets([(r.doc_id, r.text) for r in kept["line_dedup"]])
     assert {r.doc_id for r in kept["near_dedup"]} == {d for d, c in components(sets).items() if d == c}
     items = [contamination_words(r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
@@ -217,6 +286,24 @@ def test_pipeline(spark, sf_dir):
     assert cp.run(spark, sf_dir).agg(F.sum("length")).first()[0] == packed.agg(F.sum("length")).first()[0]
 
 
+def without_boilerplate(rows) -> dict:
+    """Texts without the lines of ten sites or more, but for each one's first place; texts of which nothing is left then are out."""
+    sites, first = defaultdict(set), {}
+    for r in sorted(rows, key=lambda r: r.doc_id):
+        for n, line in enumerate(r.text.split("\n")):
+            line = line.strip(" ")
+            first.setdefault(line, (r.doc_id, n))
+            if r.source is not None:
+                sites[line].add(r.source)
+    out = {}
+    for r in rows:
+        parts = r.text.split("\n")
+        kept = [p for n, p in enumerate(parts) if not (q := p.strip(" ")) or len(sites[q]) < 10 or first[q] == (r.doc_id, n)]
+        if len(kept) == len(parts) or "\n".join(kept).strip(" "):
+            out[r.doc_id] = "\n".join(kept)
+    return out
+
+
 def contamination_words(text) -> list[str]:
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 

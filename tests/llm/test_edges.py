@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections import Counter
 
 import pytest
@@ -11,12 +12,17 @@ import corpus_pipeline as cp
 from tests.llm.cases import DOCS, hard
 from tidemill.llm import decontaminate, fingerprint, labelled, language_id, line_dedup, near_dedup, packing, quality, registry, substring_dedup, suffix_dedup, toxicity
 
-CLASH = ["score", "predicted", "lang_pred", "kept", "n_removed", "kept_text", "component_id", "_row", "label", "a", "b", "bucket", "chunk", "fingerprint", "n_words", "_key", "hit_from"]
+CLASH = [
+    "score", "predicted", "lang_pred", "bits_per_byte", "known", "kept", "n_lines", "n_removed", "kept_text", "component_id", "_row", "_kept", "label", "a", "b", "bucket", "chunk",
+    "fingerprint", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_from", "hit_to", "_key", "_n", "_from", "_to", "_items", "_parts", "_gone", "_own1", "_own9", "_letter",
+]
 
 
 @pytest.fixture(scope="module")
 def odd(spark):
-    return spark.createDataFrame(hard(), DOCS).withColumns({c: F.lit("mine") for c in CLASH}).cache()
+    """Hard cases with further columns of every name the operators use, whose values tell the row."""
+    mine = lambda c: F.concat_ws(" ", F.lit(c), F.col("doc_id").cast("string"))
+    return spark.createDataFrame(hard(), DOCS).withColumns({c: mine(c) for c in CLASH}).cache()
 
 
 @pytest.fixture(scope="module")
@@ -96,13 +102,41 @@ def test_exact_spread(spark):
 
 @pytest.mark.parametrize("at", range(len(cp.STAGES)))
 def test_stages(spark, sf_dir, odd, at):
+    """Columns that a stage does not own come out with the values they had, whatever their names."""
     name, stage = cp.STAGES[at]
     empty = spark.createDataFrame([], DOCS)
     assert stage(spark, empty, sf_dir).collect() == []
     out = stage(spark, odd, sf_dir)
-    out.collect()
+    rows = out.collect()
     if at < len(cp.STAGES) - 1:
-        assert out.columns == odd.columns
+        assert out.schema.names == odd.schema.names
+        assert [f.dataType for f in out.schema] == [f.dataType for f in odd.schema]
+        whole = {(r.doc_id, r.lang, r.source) for r in odd.collect()}
+        for r in rows:
+            assert (r.doc_id, r.lang, r.source) in whole
+            for c in CLASH:
+                assert r[c] == (f"{c} {r.doc_id}" if r.doc_id is not None else c)
+
+
+def test_decontaminate_replaces_its_columns_only(odd, items):
+    found = decontaminate.find(odd, items)
+    assert set(found.columns) == set(odd.columns)
+    assert dict(found.dtypes)["n_words"] == "bigint" and dict(found.dtypes)["_from"] == "string"
+
+
+def test_unknown_language_is_rejected(spark):
+    """Two learned languages; texts of a third, in their script and in another, go, and held-back texts of both stay, short ones too."""
+    en = "the of and to in is that it was for on are with as his they at be this from have or by one had not but what all were when we there can an your which their said if do will each about how up out them then she many some so these would other into has more her two like him see time could no make than first been its who now people my made over did down only way find use may water long little very after words called just where most know".split()
+    de = "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde sei prozent hatte kann gegen vom können schon wenn habe seine mark ihre dann unter wir soll ich eines jahr zwei jahren diese dieser wieder keine uhr seiner worden will zwischen immer millionen was sagte gibt alle".split()
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choices(w, k=rng.choice([3, 8, 60]))), lang, "s", 1) for i in range(400) for lang, w in [("en", en) if i % 2 else ("de", de)]]
+    finnish = "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli, jota puhuvat pääosin suomalaiset. Helsinki on Suomen pääkaupunki ja väkiluvultaan suurin kaupunki."
+    greek = "Η ελληνική γλώσσα ανήκει στην ινδοευρωπαϊκή οικογένεια και αποτελεί το μοναδικό μέλος του ελληνικού κλάδου."
+    foreign = [(1000, finnish, None, "s", 1), (1001, greek, None, "s", 1), (1002, finnish * 9, None, "s", 1)]
+    unlabelled = [(2000 + i, " ".join(rng.choices(w, k=n)), None, "s", 1) for i, (w, n) in enumerate([(en, 4), (en, 30), (de, 5), (de, 200)])]
+    docs = spark.createDataFrame(rows + foreign + unlabelled, DOCS)
+    kept = {r.doc_id for r in cp.language(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows + unlabelled}
 
 
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))

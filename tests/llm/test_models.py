@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter, defaultdict
+from itertools import combinations, product
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from tidemill.llm import language_id, quality, toxicity
 from tidemill.llm import textkit as tk
 from tidemill.llm.language_id import Ppm, op6_language_id
 from tidemill.llm.quality import Field, op3_quality
@@ -38,44 +42,164 @@ def test_held_out_languages(spark):
     assert np.mean([r.lang_pred == langs[r.doc_id] for r in rows]) >= 0.95
 
 
+def grams_of(text: bytes) -> np.ndarray:
+    buf, offsets = np.frombuffer(text, np.uint8), np.array([0, len(text)])
+    return language_id._grams(buf, language_id._places(offsets), 0, len(buf))
+
+
+class PlainPpm:
+    """Contexts as tuples in dictionaries; escapes by method C with exclusion, walked byte by byte."""
+
+    def __init__(self, texts: list[bytes]):
+        self.seen: dict[tuple, Counter] = defaultdict(Counter)
+        for t in texts:
+            for i, byte in enumerate(t):
+                for k in range(language_id.ORDER + 1):
+                    self.seen[self.context(t, i, k)][byte] += 1
+
+    @staticmethod
+    def context(t: bytes, i: int, k: int) -> tuple:
+        return tuple(t[j] if j >= 0 else None for j in range(i - k, i))
+
+    def share(self, t: bytes, i: int, byte: int, k: int = language_id.ORDER) -> float:
+        if k < 0:
+            return 1 / 256
+        here = self.seen.get(self.context(t, i, k), Counter())
+        total, kinds = sum(here.values()), len(here)
+        if not here or k > 2 and total < language_id.SEEN:
+            return self.share(t, i, byte, k - 1)
+        if here[byte]:
+            return here[byte] / (total + kinds)
+        rest = 1 - sum(self.share(t, i, s, k - 1) for s in here)
+        return kinds / (total + kinds) / rest * self.share(t, i, byte, k - 1)
+
+
 def test_code_lengths():
-    """Method C with exclusion, byte by byte with dictionaries."""
-    samples = {"xx": b"abracadabra abra cadabra", "yy": b"banana bandana nab a band"}
+    """Every byte of unseen texts, hits and escapes with exclusion alike, against dictionaries; a remembered length is the same."""
+    samples = {"xx": [b"abracadabra abra cadabra", b"a barbarian", b""], "yy": [b"banana bandana nab a band", b"\xc3\xa9t\xc3\xa9"]}
     counts = {}
-    for lang, b in samples.items():
-        padded = b"\0\0" + b
-        counts[lang] = dict(Counter((padded[i] << 16) | (padded[i + 1] << 8) | padded[i + 2] for i in range(len(b))))
+    for lang, texts in samples.items():
+        gram = np.concatenate([grams_of(t) for t in texts if t])
+        counts[lang] = np.unique(gram, return_counts=True)
+    model = Ppm(counts)
+    for text in (b"abrakadanda bananabra", b"zzz", b"\xc3\xa9 \xff\x00 a band", b"b"):
+        expected = [[-math.log2(PlainPpm(samples[lang]).share(text, i, byte)) for lang in model.langs] for i, byte in enumerate(text)]
+        found = np.stack([t.bits(grams_of(text)) for t in model.trees], 1)
+        assert np.allclose(found, expected, rtol=1e-5)
+        for _ in range(2):
+            whole = model.lengths(np.frombuffer(b"banana" + text, np.uint8), np.array([0, 6, 6, 6 + len(text)]))
+            assert np.allclose(whole[2], np.sum(expected, 0), rtol=1e-4) and (whole[1] == 0).all()
+
+
+def test_shares_sum_to_one():
+    """In every context of the tree, and in one that it lacks."""
+    text = b"abracadabra abra cadabra"
+    tree = Ppm({"xx": np.unique(grams_of(text), return_counts=True)}).trees[0]
+    for context in (b"abra", b"cada", b"ra a", b"zzzz", b"xxab"):
+        grams = np.array([grams_of(context + bytes([s]))[-1] for s in range(256)])
+        assert np.exp2(-tree.bits(grams)).sum() == pytest.approx(1, abs=1e-4)
+
+
+def test_memory_of_code_lengths_is_exact(monkeypatch):
+    """A table of few slots, in which most grams displace another, and blocks that cut texts."""
+    rng = np.random.default_rng(8)
+    text = bytes(rng.choice(np.frombuffer(b"abcde ", np.uint8), 4000))
+    counts = {lang: np.unique(grams_of(text[a : a + 500]), return_counts=True) for lang, a in (("xx", 0), ("yy", 900))}
+    offsets = np.array([0, 700, 701, 701, 2500, 4000])
+    buf = np.frombuffer(text, np.uint8)
     model = Ppm(counts)
-    size = model.size
-
-    def bits(lang: str, context: bytes, byte: int) -> float:
-        levels: list[dict] = [defaultdict(Counter) for _ in range(3)]
-        padded = b"\0\0" + samples[lang]
-        for i in range(2, len(padded)):
-            for k in range(3):
-                levels[k][padded[i - k : i]][padded[i]] += 1
-        p, excluded = 1.0, set()
-        for k in (2, 1, 0):
-            seen = levels[k][context[2 - k :]]
-            here = {s: n for s, n in seen.items() if s not in excluded}
-            if not seen:
-                continue
-            total, kinds = sum(seen.values()), len(seen)
-            if byte in seen:
-                return p, seen[byte] / (total + kinds), excluded
-            p, excluded = p * kinds / (total + kinds), excluded | set(here)
-        return p, None, excluded
-
-    # the first order that holds the byte, without anything to exclude: exact
-    for lang in samples:
-        p, share, excluded = bits(lang, b"ab", ord("r"))
-        if share is not None and not excluded:
-            k = model.langs.index(lang)
-            s = [int(model.symbol[c]) for c in (ord("a"), ord("b"), ord("r"))]
-            assert model.bits[(s[0] * size + s[1]) * size + s[2], k] == pytest.approx(-math.log2(p * share), rel=1e-5)
-    # and every context's probabilities sum to one
-    total = np.exp2(-model.bits.astype(float)).reshape(size * size, size, len(model.langs)).sum(1)
-    assert np.allclose(total, 1, atol=1e-3)
+    grams = language_id._grams(buf, language_id._places(offsets), 0, len(buf))
+    each = np.stack([t.bits(grams) for t in model.trees], 1)
+    expected = [each[a:b].sum(0) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    monkeypatch.setattr(language_id, "MEMO", 600)
+    monkeypatch.setattr(language_id, "BLOCK", 333)
+    assert np.allclose(model.lengths(buf, offsets), expected, rtol=1e-5)
+
+
+def test_toxicity_against_a_sum_over_pairs():
+    """Bias, a weight for each distinct known term, and a product of factors for each pair of them, from the text itself."""
+    rng = np.random.default_rng(3)
+    texts = ["Red red blue, green-blue!", "", "unknown words only", "été ÉTÉ red", "a " * 50]
+    raw = [t.encode() for t in texts]
+    ids, rows = toxicity.terms(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+
+    def own(text: str) -> list[int]:
+        words = re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), text.encode()))
+        hashed = lambda w: int(tk.word_hashes(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0])
+        stems = [int(tk.mix(np.array([hashed(w[:4])], np.uint64))[0]) for w in words]
+        return sorted({h >> (64 - toxicity.HASH_BITS) for h in [*map(hashed, words), *stems]})
+
+    for k, t in enumerate(texts):
+        assert ids[rows[k] : rows[k + 1]].tolist() == own(t)
+    machine = FactorizationMachine()
+    kept = [h for t in (texts[0], texts[3], texts[4]) for h in own(t)]
+    kept = sorted(set(kept))
+    machine.place[kept] = np.arange(len(kept))
+    machine.bias, machine.weight, machine.factor = -0.3, rng.normal(size=len(kept)), rng.normal(size=(len(kept), toxicity.FACTORS))
+    found = machine.score(ids, rows)
+    for k, t in enumerate(texts):
+        at = [kept.index(h) for h in own(t) if h in kept]
+        z = machine.bias + sum(machine.weight[i] for i in at)
+        z += sum(sum(machine.factor[i][f] * machine.factor[j][f] for f in range(toxicity.FACTORS)) for i, j in combinations(at, 2))
+        assert found[k] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_quality_against_plain_lines(spark):
+    """Line features from the text itself, every labelling of the lines summed, marginals weighted by bytes."""
+    rng = np.random.default_rng(4)
+    texts = ["Good line, here.\nBUY NOW!!! $$$ ||\n\nan an an été\t12", "", None, "one\n", "\n\nx"]
+    field = Field(rng.normal(size=quality.OWN), rng.uniform(0.5, 2, quality.OWN))
+    field.unary, field.pair = rng.normal(size=len(field.unary)) / 4, rng.normal(size=(2, 2))
+
+    def features(line: bytes) -> list[float]:
+        n = max(len(line), 1)
+        count = [sum(b in set(c) for b in line) for c in quality._CLASSES.values()]
+        words = re.findall(rb"[^\x20\x09-\x0D]+", line)
+        k = max(len(words), 1)
+        again = sum(a == b for a, b in zip(words, words[1:], strict=False))
+        return [*(c / n for c in count), math.log1p(len(line)) / 8, math.log1p(len(words)) / 5, sum(map(len, words)) / k / 10, again / k, float(not line), float(count[0] > count[1])]
+
+    def whole(text) -> float:
+        lines = (text or "").encode().split(b"\n")
+        own = (np.array([features(x) for x in lines]) - field.mean) / field.std
+        blank = np.zeros(quality.OWN)
+        x = [np.concatenate([own[i], own[i - 1] if i else blank, own[i + 1] if i + 1 < len(lines) else blank, [i == 0, i + 1 == len(lines), 1]]) for i in range(len(lines))]
+        u = [float(v @ field.unary) for v in x]
+        good, z = [0.0] * len(lines), 0.0
+        for y in product((0, 1), repeat=len(lines)):
+            w = math.exp(sum(a for a, b in zip(u, y, strict=True) if b) + sum(field.pair[a, b] for a, b in zip(y, y[1:], strict=False)))
+            z += w
+            good = [g + w * b for g, b in zip(good, y, strict=True)]
+        weight = [len(x) + 1e-6 for x in lines]
+        return sum(g / z * w for g, w in zip(good, weight, strict=True)) / sum(weight)
+
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.score, r.predicted) for r in quality.score(docs, field).collect()}
+    for d, t in enumerate(texts):
+        assert found[d] == (pytest.approx(whole(t), abs=1e-5), int(found[d][0] >= 0.5))
+
+
+def test_fit_sees_lines_far_down(spark):
+    """Documents that differ only behind their first hundred lines can be told apart."""
+    head = "A plain line of words stands here.\n" * 100
+    rows = [(i, head + ("More plain words follow it.\n" if i % 2 else "$$$ ||| !!! $$$\n") * 200) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    field = quality.fit(docs, labels, F.lit(True))
+    found = {r.doc_id: r.score for r in quality.score(docs, field).collect()}
+    assert min(found[i] for i in range(1, 40, 2)) > max(found[i] for i in range(0, 40, 2)) + 0.3
+
+
+def test_sample_is_bounded_by_rows_and_bytes(spark):
+    from tidemill.llm.labelled import sample
+
+    docs = spark.createDataFrame([(i, "x" * (10 if i else 1000)) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
+    with tk.Workspace(spark, "test") as work:
+        for rows, size, n in ((20, 10**6, 20), (50, 105, 10), (100, 499, 49)):
+            got = sample(docs, labels, "quality", F.lit(True), rows, work, size).collect()
+            assert len(got) == n
+            work.drop("drawn")
 
 
 def test_machine_learns_a_pair_that_no_sum_can():

@@ -5,13 +5,16 @@ words stream through it; at each word the automaton knows the longest run
 ending there that some item holds, and the state tells which items. Every
 window (13 words, or a shorter item whole) that occurs marks its words.
 
-The benchmark is dealt into shards of at most SHARD_WORDS words, so what a
-task holds is bounded however large the benchmark grows; further shards mean
-further passes, whose marks are merged by document.
+The benchmark is dealt into shards of about SHARD_WORDS words, whose automata
+are built in tasks. The driver hands on one of them at a time and a task holds
+one, however large the benchmark grows; each shard is a further pass in which
+the rows take their marks along.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from functools import partial
 from hashlib import sha256
 
@@ -23,8 +26,8 @@ from pyspark.sql import functions as F
 from tidemill.llm import textkit as tk
 
 WINDOW = 13
-#: Words of a shard, at most (a longer item has a shard of its own).
-SHARD_WORDS = 200_000
+#: Words of a shard, about.
+SHARD_WORDS = 100_000
 #: A document is contaminated if n_hit * COVERAGE >= n_words.
 COVERAGE = 20
 
@@ -135,34 +138,48 @@ def _measure(batches):
         yield pa.RecordBatch.from_arrays([piece.column("item_id").combine_chunks(), pa.array(np.diff(rows))], names=["item_id", "n"])
 
 
-def shards(benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS):
-    """Automata over the items in order of id, each over at most ``shard_words`` words."""
+def _build(window: int):
+    def run(table: pa.Table) -> pa.Table:
+        codes, _, _, bounds = _codes(*tk.utf8(table.column("text")))
+        items = [(i, codes[bounds[k] : bounds[k + 1]]) for k, i in enumerate(table.column("item_id").to_pylist())]
+        built = Automaton([x for x in items if len(x[1])], window)
+        return pa.table({"shard": table.column("shard").slice(0, 1), "automaton": pa.array([pickle.dumps(built)], pa.binary())})
+
+    return run
+
+
+def shards(benchmark: DataFrame, work: tk.Workspace, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> tuple[DataFrame, int]:
+    """Pickled automata (shard, automaton) of about ``shard_words`` words each, built in tasks, and their number."""
     ids = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    words = ids.mapInArrow(_measure, "item_id string, n long").agg(F.sum("n")).first()[0] or 0
+    n = max(1, -(-words // shard_words))
+    dealt = ids.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)).cast("int"))
+    return work.save(dealt.groupBy("shard").applyInArrow(_build(window), "shard int, automaton binary"), "shards"), n
+
+
+_held: dict[str, Automaton] = {}
 
-    def build(rows):
-        col = pa.array([t for _, t in rows], pa.string())
-        codes, _, _, bounds = _codes(*tk.utf8(col))
-        items = [(i, codes[bounds[k] : bounds[k + 1]]) for k, (i, _) in enumerate(rows)]
-        return Automaton([x for x in items if len(x[1])], window)
 
-    held, n = [], 0
-    for row in ids.orderBy("item_id", "text").toLocalIterator():  # one partition at a time; a shard is bounded
-        size = len(row["text"] or "") // 2 + 1
-        if held and n + size > shard_words:
-            yield build(held)
-            held, n = [], 0
-        held.append((row["item_id"], row["text"]))
-        n += size
-    yield build(held)
+def _automaton(shared, name: str) -> Automaton:
+    """The automaton of a broadcast, unpickled once by a worker; the one before is let go."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = pickle.loads(shared.value)
+    return _held[name]
 
 
-def _scan(docs: DataFrame, automaton: Automaton) -> DataFrame:
-    """Per row: _n words, hit spans in words (merged, ascending) and the ids of the items found."""
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    keep = docs.columns
+_FOUND_SO_FAR = "_n long, _from array<long>, _to array<long>, _items array<string>"
+
+
+def _scan(docs: DataFrame, pickled: bytes) -> DataFrame:
+    """Per row: _n words, hit spans in words (merged, ascending) and the ids of the items found, with those of earlier shards."""
+    shared = docs.sparkSession.sparkContext.broadcast(pickled)  # one shard: bounded by SHARD_WORDS
+    name = uuid.uuid4().hex
+    before = "_from" in docs.columns
+    keep = [c for c in docs.columns if c not in ("_n", "_from", "_to", "_items")]
 
     def run(batches):
-        sa = shared.value
+        sa = _automaton(shared, name)
         for piece in tk.slices(batches):
             buf, offsets = tk.utf8(piece.column("text"))
             codes, _, _, rows = _codes(buf, offsets)
@@ -176,16 +193,20 @@ def _scan(docs: DataFrame, automaton: Automaton) -> DataFrame:
             stops = np.flatnonzero(known & (edge[1:] | ~np.append(known[1:], False))) + 1
             long = stops - runs >= sa.least  # shorter runs of known words hold no window
             spans: list[list[tuple[int, int]]] = [[] for _ in range(len(rows) - 1)]
-            found: list[set[int]] = [set() for _ in spans]
+            found: list[set[str]] = [set() for _ in spans]
+            if before:
+                spans = [list(zip(a, b, strict=True)) for a, b in zip(piece.column("_from").to_pylist(), piece.column("_to").to_pylist(), strict=True)]
+                found = [set(x) for x in piece.column("_items").to_pylist()]
             for a, b in zip(runs[long], stops[long], strict=True):
                 r = int(np.searchsorted(rows, a, "right")) - 1
-                sa.stream(spots[a:b].tolist(), spans[r], found[r], int(a - rows[r]))
+                items: set[int] = set()
+                sa.stream(spots[a:b].tolist(), spans[r], items, int(a - rows[r]))
+                found[r] |= {sa.names[k] for k in items}
             starts, ends = zip(*map(_merge, spans), strict=True) if spans else ((), ())
-            names = [sorted({sa.names[k] for k in f}) for f in found]
-            cols = [pa.array(np.diff(rows)), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(names, pa.list_(pa.string()))]
+            cols = [pa.array(np.diff(rows)), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array([sorted(f) for f in found], pa.list_(pa.string()))]
             yield pa.RecordBatch.from_arrays([*(piece.column(c).combine_chunks() for c in keep), *cols], names=[*keep, "_n", "_from", "_to", "_items"])
 
-    return docs.mapInArrow(run, tk.extended(docs, "_n long, _from array<long>, _to array<long>, _items array<string>"))
+    return docs.mapInArrow(run, tk.extended(docs.select(keep), _FOUND_SO_FAR))
 
 
 def _merge(spans: list[tuple[int, int]]) -> tuple[list[int], list[int]]:
@@ -223,18 +244,12 @@ def _cut(texts: pa.Array, hit: np.ndarray, starts: list, ends: list) -> pa.Array
 
 
 def _settle(batches, cut: bool = False):
-    """Merge the spans of all shards; count, hash and judge; on demand cut the spans out of rows that are not contaminated."""
+    """Count, hash and judge what all shards found; on demand cut the spans out of rows that are not contaminated."""
     for batch in batches:
         names = [n for n in batch.schema.names if n not in ("_from", "_to", "_items", "_n")]
-        starts, ends, hit = [], [], []
-        for a, b in zip(batch.column("_from").to_pylist(), batch.column("_to").to_pylist(), strict=True):
-            s, e = _merge(list(zip(a, b, strict=True)))
-            starts.append(s)
-            ends.append(e)
-            hit.append(sum(e) - sum(s))
-        items = [sorted(set(i)) for i in batch.column("_items").to_pylist()]
+        starts, ends, items = (batch.column(c).to_pylist() for c in ("_from", "_to", "_items"))
         n = batch.column("_n").to_numpy()
-        hit = np.array(hit, np.int64)
+        hit = np.array([sum(e) - sum(s) for s, e in zip(starts, ends, strict=True)], np.int64)
         cols = [pa.array(n), pa.array(hit), pa.array([len(i) for i in items], pa.int64()), pa.array([sha256(",".join(i).encode()).hexdigest() for i in items], pa.string()), pa.array((hit > 0) & (COVERAGE * hit >= n)), pa.array(starts, _SPANS), pa.array(ends, _SPANS)]
         kept = [batch.column(c) for c in names]
         if cut:
@@ -246,36 +261,43 @@ def _settle(batches, cut: bool = False):
 _FOUND = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_from array<long>, hit_to array<long>"
 
 
+def _found(own: DataFrame, benchmark: DataFrame, window: int, shard_words: int, cut: bool) -> DataFrame:
+    """own (see ``textkit.aside``) with the columns of _FOUND. Each shard is one pass; between passes the rows are written, so one automaton at a time is held."""
+    work = tk.Workspace(own.sparkSession, "decontaminate")
+    built, n = shards(benchmark, work, window, shard_words)
+    for k in range(n):
+        row = built.filter(F.col("shard") == k).first()
+        found = _scan(own if not k else found, row["automaton"] if row else pickle.dumps(Automaton([], window)))
+        if k < n - 1:
+            found = work.save(found, f"pass-{k}")
+            work.drop(f"pass-{k - 1}")
+    work.drop("shards")
+    return found.mapInArrow(partial(_settle, cut=cut), tk.extended(own, _FOUND))
+
+
 def find(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, cut: bool = False) -> DataFrame:
-    """Every row of docs with n_words, n_hit, n_items, items_sha256, contaminated, hit_from and hit_to.
+    """Every row of docs with n_words, n_hit, n_items, items_sha256, contaminated, hit_from and hit_to, in place of columns of those names.
 
     The hit spans count words from 0 and exclude their end. Null texts have no
     words; an empty benchmark hits nothing; items with equal ids count once, a null id as an empty one.
     With ``cut`` the spans go out of the text of rows that are not contaminated.
     """
-    docs = docs.drop(*(c.split()[0] for c in _FOUND.split(", ")))
-    keep = docs.columns
-    found = [_scan(docs, a) for a in shards(benchmark, window, shard_words)]
-    merged = found[0]
-    if len(found) > 1:
-        for more in found[1:]:
-            merged = merged.unionByName(more)
-        keys = [F.col(c) for c in keep]
-        flat = lambda c: F.flatten(F.collect_list(c)).alias(c)  # noqa: E731  one list a shard
-        merged = merged.withColumn("_copy", F.lit(0)).groupBy(*keys).agg(F.max("_n").alias("_n"), flat("_from"), flat("_to"), flat("_items"), (F.count("*") / len(found)).cast("int").alias("_copy"))
-        merged = merged.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copy"))).drop("_copy")
-    return merged.mapInArrow(partial(_settle, cut=cut), tk.extended(docs, _FOUND))
+    more = [c.split()[0] for c in _FOUND.split(", ")]
+    own, back = tk.aside(docs.drop(*more), "text")
+    return _found(own, benchmark, window, shard_words, cut).select(*back, *more)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """``find`` in all documents; a null text has no words and no hit."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return find(docs, benchmark).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that the coverage rule does not call contaminated, without the benchmark spans they hold."""
-    return find(docs, benchmark, cut=True).filter(~F.col("contaminated")).select(docs.columns)
+    """The rows of docs that the coverage rule does not call contaminated, with all their columns, without the benchmark spans in their text."""
+    own, back = tk.aside(docs, "text")
+    return _found(own, benchmark, WINDOW, SHARD_WORDS, True).filter(~F.col("contaminated")).select(back)
 
 
 OP8_SQL = r"""

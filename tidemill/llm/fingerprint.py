@@ -3,8 +3,9 @@
 A document is a tree: root, sections, paragraphs. Every inner hash covers the
 hashes below it, so equal roots mean equal texts and unequal branches lead to
 the paragraphs that an edit touched. Under each paragraph stand short marks of
-its pieces (runs of up to 40 bytes that start afresh after each sentence);
-they tell how alike two differing paragraphs are.
+its pieces (runs of up to 40 bytes that start afresh after each sentence).
+Likeness is found on that walk: all marks below equal branches are common, and
+only those of paragraphs that differ are compared one by one.
 
 As text: root ; section , paragraph . marks , paragraph . marks ; section ...
 with 32, 16, 16 and 8 hex digits for each hash.
@@ -30,9 +31,9 @@ _PIECE = re.compile(rb"[^.!?]{1,40}[.!?]*|[.!?]+")
 SECTION_MOD = 8
 
 
-def tree(text: str | None) -> tuple[str, list[tuple[str, list[tuple[str, list[int]]]]], list[int]]:
-    """(root, [(section, [(paragraph, marks)])], all marks); null is empty."""
-    sections, current, marks = [], [], []
+def tree(text: str | None) -> tuple[str, list[tuple[str, list[tuple[str, list[int]]]]]]:
+    """(root, [(section, [(paragraph, marks)])]); null is empty."""
+    sections, current = [], []
 
     def close():
         if current:
@@ -43,14 +44,12 @@ def tree(text: str | None) -> tuple[str, list[tuple[str, list[tuple[str, list[in
         if not line.strip():
             close()
         digest = blake2b(line, digest_size=8)
-        own = list(map(zlib.crc32, _PIECE.findall(line)))
-        current.append((digest.hexdigest(), own))
-        marks += own
+        current.append((digest.hexdigest(), list(map(zlib.crc32, _PIECE.findall(line)))))
         if digest.digest()[0] % SECTION_MOD == 0:
             close()
     close()
     root = blake2b("".join(s for s, _ in sections).encode(), digest_size=16).hexdigest()
-    return root, sections, marks
+    return root, sections
 
 
 def encode(root: str, sections: list) -> str:
@@ -68,48 +67,69 @@ def decode(fingerprint: str) -> tuple[str, list[tuple[str, list[tuple[str, list[
     return root, sections
 
 
-def _alike(a: list[int], b: list[int]) -> float:
-    if not a and not b:
-        return 0.0
-    common = sum((Counter(a) & Counter(b)).values())
-    return 2 * common / (len(a) + len(b))
+def _apart(own: list, other: list) -> tuple[int, list[tuple[int, str, list[int]]]]:
+    """Marks below the branches of ``own`` that ``other`` has too, each as often; and the paragraphs (number, hash, marks) of its other branches."""
+    left = Counter(s for s, _ in other)
+    common, at, lone = 0, 0, []
+    for s, ps in own:
+        if left[s] > 0:  # an equal branch is not entered
+            left[s] -= 1
+            common += sum(len(marks) for _, marks in ps)
+        else:
+            lone += [(at + k, p, marks) for k, (p, marks) in enumerate(ps)]
+        at += len(ps)
+    return common, lone
+
+
+def walk(a: list, b: list) -> tuple[float, list[int], list[int]]:
+    """Go down the unequal branches of two trees: the share of marks in common (Dice, 0 to 1), and the numbers of the paragraphs that only a or only b has."""
+    common, la = _apart(a, b)
+    _, lb = _apart(b, a)
+    left, right = Counter(p for _, p, _ in la), Counter(p for _, p, _ in lb)
+    both = left & right
+    edited: list[list] = []
+    for lone in (la, lb):
+        spare, rest = both.copy(), []
+        for n, p, marks in lone:
+            if spare[p] > 0:
+                spare[p] -= 1
+                common += len(marks) if lone is la else 0
+            else:
+                rest.append((n, marks))
+        edited.append(rest)
+    mine, theirs = (Counter(m for _, marks in rest for m in marks) for rest in edited)
+    common += sum((mine & theirs).values())
+    total = sum(len(marks) for tree_ in (a, b) for _, ps in tree_ for _, marks in ps)
+    return (2 * common / total if total else 0.0), [n for n, _ in edited[0]], [n for n, _ in edited[1]]
+
+
+def compare(ra: str, a: list, rb: str, b: list) -> tuple[float, list[int]]:
+    """Likeness of two trees (1 for equal roots, else below), and the paragraphs of a that b lacks."""
+    if ra == rb:
+        return 1.0, []
+    alike, own, _ = walk(a, b)
+    return min(alike, 1 - 1e-9), own
 
 
 def likeness(a: str, b: str) -> float:
-    """1 for equal roots, else the Dice coefficient of the marks, below 1."""
+    """1 for equal roots, else the share of marks in common below 1."""
     (ra, sa), (rb, sb) = decode(a), decode(b)
-    if ra == rb:
-        return 1.0
-    marks = lambda ss: [m for _, ps in ss for _, own in ps for m in own]
-    return min(_alike(marks(sa), marks(sb)), 1 - 1e-9)
+    return compare(ra, sa, rb, sb)[0]
 
 
 def differences(a: str, b: str) -> tuple[list[int], list[int]]:
     """Numbers (from 0) of the paragraphs of a and of b that the other lacks; equal branches aren't entered."""
     (ra, sa), (rb, sb) = decode(a), decode(b)
-    if ra == rb:
-        return [], []
-
-    def lone(own, other):
-        known = {s for s, _ in other}
-        within = {p for s, ps in other for p, _ in ps}
-        out, at = [], 0
-        for s, ps in own:
-            if s not in known:
-                out += [at + k for k, (p, _) in enumerate(ps) if p not in within]
-            at += len(ps)
-        return out
-
-    return lone(sa, sb), lone(sb, sa)
+    return ([], []) if ra == rb else walk(sa, sb)[1:]
 
 
 def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add ``fingerprint`` to every row."""
+    """Add ``fingerprint`` to every row, in place of a column of that name; a null text has that of an empty one, equal texts equal ones."""
     keep = [c for c in docs.columns if c != "fingerprint"]
 
     def run(batches):
         for piece in tk.slices(batches, text=text):
-            found = [encode(*tree(t)[:2]) for t in piece.column(text).to_pylist()]
+            found = [encode(*tree(t)) for t in piece.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(piece.column(c).combine_chunks() for c in keep), pa.array(found, pa.string())], names=[*keep, "fingerprint"])
 
     return docs.select(keep).mapInArrow(run, tk.extended(docs.select(keep), "fingerprint string"))
@@ -120,26 +140,27 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
 
     Columns _bucket, _ahead, doc_id, text, sorted within partitions: every row
     is followed by its successor in ascending doc_id; the last range is
-    followed by the very first row. Null ids come first; equal ids are ordered
-    by a hash of the text. Only one row a range is sent twice.
+    followed by the very first row. Null ids come first, dealt by a hash of the
+    text; equal ids are ordered by it. Only one row a range is sent twice.
     """
-    docs = docs.select("doc_id", "text").withColumn("_at", F.coalesce(F.col("doc_id").cast("double"), F.lit(-1e300)))
+    nowhere = -1e300 * (1 + F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(1 << 20))
+    docs = docs.select("doc_id", "text").withColumn("_at", F.coalesce(F.col("doc_id").cast("double"), nowhere))
     at = docs.select("_at")
     cuts = at.agg(F.percentile_approx("_at", [k / buckets for k in range(1, buckets)], 10000)).first()[0] or []
-    cuts = sorted({c for c in cuts if c > -1e300})
-    cuts = cuts or [0.0]
+    cuts = sorted(set(cuts)) or [0.0]
     dealt = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_at", outputCol="_bucket")
     heads = sorted(dealt.transform(at).groupBy("_bucket").agg(F.min("_at").alias("head")).collect())  # one row a range
     own = dealt.transform(docs).withColumn("_ahead", F.lit(False))
     spark = docs.sparkSession
     before = [(heads[k - 1]["_bucket"], h["head"]) for k, h in enumerate(heads)]
     ahead = docs.join(F.broadcast(spark.createDataFrame(before, "_bucket double, head double")), F.col("_at") == F.col("head")).withColumn("_ahead", F.lit(True))
-    columns = ["_bucket", "_ahead", "doc_id", "text"]
+    columns = ["_bucket", "_ahead", "_at", "doc_id", "text"]
     rows = own.select(columns).unionByName(ahead.select(columns))
-    return rows.repartition(tk.parts(spark), "_bucket").sortWithinPartitions("_bucket", "_ahead", F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    return rows.repartition(-(-buckets // 4), "_bucket").sortWithinPartitions("_bucket", "_ahead", "_at", F.xxhash64("text")).drop("_at")
 
 
-_PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_at array<int>"
+_TYPES = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.list_(pa.int32())]
 
 
 def _paired(batches):
@@ -151,19 +172,20 @@ def _paired(batches):
             if bucket == b and held is None:
                 continue  # behind the first row ahead
             text = text or ""
-            root, sections, marks = tree(text)
+            root, sections = tree(text)
             if bucket == b:
-                d, t, r, s, m = held
+                d, t, r, s = held
                 cut = len(t) // 4
                 edited = t[: len(t) - cut] + text[:cut]
-                er, es, em = (r, s, m) if edited == t else tree(edited)
-                near = lambda r2, m2: 1.0 if r == r2 else min(_alike(m, m2), 1 - 1e-9)  # noqa: B023, E731
-                out.append((d, len(t), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encode(r, s), encode(er, es), near(er, em), near(root, marks)))
-            bucket, held = b, None if ahead else (doc_id, text, root, sections, marks)
+                er, es = (r, s) if edited == t else tree(edited)
+                near, at = compare(r, s, er, es)
+                out.append((d, len(t), sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encode(r, s), encode(er, es), near, compare(r, s, root, sections)[0], at))
+            bucket, held = b, None if ahead else (doc_id, text, root, sections)
         columns = zip(*out, strict=True) if out else [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if "sha" in n or "print" in n else pa.float64() if "near" in n else pa.int64()) for n, c in zip(names, columns, strict=True)], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for t, c in zip(_TYPES, columns, strict=True)], names=names)
 
 
 def op1_fingerprint(spark, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, likenesses, and ``edited_at``: the paragraphs that the edit touched. Null is empty; no rows, no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return with_next(docs, 4 * tk.parts(spark)).mapInArrow(_paired, _PAIRED)
+    return with_next(docs, 4 * tk.tasks(docs)).mapInArrow(_paired, _PAIRED)

@@ -2,20 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemill.llm.textkit import Workspace
+
 
 def fold(mod: int, remainder: int) -> Column:
     """True where crc32(doc_id as text) mod ``mod`` is ``remainder``; null ids hash as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % mod == remainder
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int) -> DataFrame:
-    """(text, label) of at most ``rows`` labelled documents where ``learn`` holds, drawn by a hash of the id.
+#: Bytes of the texts that a classifier is fitted on, at most.
+SAMPLE_BYTES = 64 << 20
+
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, rows: int, work: Workspace, size: int = SAMPLE_BYTES) -> DataFrame:
+    """(text, label) of at most ``rows`` labelled documents where ``learn`` holds, drawn by a hash of the id; texts are whole.
 
     Null labels teach nothing; of several labels of one id the greatest counts.
+    Rows are taken in order while their texts fit into ``size`` bytes together,
+    a text that does not fit by itself left out.
     """
     known = labels.filter(learn & F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id", F.desc("label")).limit(rows).groupBy("doc_id").agg(F.max("label").alias("label"))
-    return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").select("text", "label")  # at most ``rows`` ids
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")  # at most ``rows`` ids
+    texts = work.save(texts.select(F.monotonically_increasing_id().alias("_n"), F.xxhash64("doc_id", "text").alias("_hash"), "text", "label"), "drawn")
+    sizes = texts.select("_n", "_hash", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).filter(F.col("size") <= size)
+    taken = sizes.withColumn("sum", F.sum("size").over(Window.orderBy("_hash", "_n"))).filter(F.col("sum") <= size)  # numbers of the drawn rows alone
+    return texts.join(taken.select("_n"), "_n", "left_semi").select("text", "label")

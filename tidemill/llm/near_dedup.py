@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm import textkit as tk
 from tidemill.llm.components import components
+from tidemill.llm.skew import frequent, lookup
 
 #: Words of a shingle; a link is 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 85
@@ -198,23 +199,31 @@ def _across(batches):
         yield from cell(pa.concat_tables(held))
 
 
-def near_duplicates(docs: DataFrame, work: tk.Workspace | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
-    Rows that share an id count as one document. Texts without words, and null
-    ids, link with nothing; a null id is its own component (null) and kept.
+    Rows that share an id count as one document. Texts without words (null and
+    empty ones too), and null ids, link with nothing; a null id is its own
+    component (null) and kept. An empty table gives no rows; other columns of
+    docs are left out.
     """
+    with tk.Workspace(docs.sparkSession, "near-dedup") as work:
+        return work.keep(_near_duplicates(docs.select("doc_id", "text"), work))
+
+
+def _near_duplicates(docs: DataFrame, work: tk.Workspace) -> DataFrame:
     spark = docs.sparkSession
-    work = work or tk.Workspace(spark, "near-dedup")
     signed = work.save(docs.select("doc_id", "text").mapInArrow(_sign, _SIGNED), "signed")
     filled = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
+    classes = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
     classes = work.save(classes, "classes")
     ends = classes.select("node", "n", "sig")
 
     met = classes.select("node", F.explode("bands").alias("bucket"))
-    centres = met.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1")
-    shared = work.save(met.join(centres, "bucket"), "shared")  # members of buckets with company
+    centres = work.save(met.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1"), "centres")
+    top = frequent(centres.select("bucket", "size"), "size")
+    shared = lookup(met, centres, ["bucket"], ["centre", "size"], top, F.col("node")).filter("centre IS NOT NULL")
+    shared = work.save(shared, "shared")  # members of buckets with company
     stars = shared.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
     side = lambda s: ends.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
     likely = stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long")
@@ -234,18 +243,21 @@ def near_duplicates(docs: DataFrame, work: tk.Workspace | None = None) -> DataFr
     second = work.save(_links(docs, work.save(rest, "rest")), "second")
     final = components(first.union(second), work, "all")
 
-    known = classes.select("k1", "k2", "node").join(final, "node", "left").select("k1", "k2", F.coalesce("component", "node").alias("component_id"))
-    out = signed.select("doc_id", "n", "k1", "k2").join(known, ["k1", "k2"], "left")
+    known = classes.select("k1", "k2", "node", "copies").join(final, "node", "left").select("k1", "k2", "copies", F.coalesce("component", "node").alias("component_id"))
+    known = work.save(known, "known")
+    out = lookup(signed.select("doc_id", "n", "k1", "k2"), known, ["k1", "k2"], ["component_id"], frequent(known.select("k1", "k2", "copies"), "copies"), F.col("doc_id"))
     own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of docs that represent their group; of rows with one id, those stay or go together."""
-    kept = near_duplicates(docs).filter("kept").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """The rows of docs that represent their group, with all their columns; of rows with one id, those stay or go together."""
+    own, back = tk.aside(docs, "doc_id", "text")
+    kept = near_duplicates(own).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return own.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").select(back)

@@ -163,10 +163,11 @@ def _lay(held: list[tuple[int, int, int, np.ndarray]], size: int, first: int):
 def pack(docs: DataFrame, path: str, size: int = SEQUENCE) -> DataFrame:
     """Pieces of all rows of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    Null and empty texts are the end id alone. Each repeated row is packed for itself.
+    Null and empty texts are the end id alone. Each repeated row is packed for
+    itself. An empty table gives no pieces; other columns of docs are left out.
     """
     keyed = with_key(docs.select("doc_id", "text"))
-    ordered = keyed.repartitionByRange(tk.parts(docs.sparkSession), "_key", "doc_id").sortWithinPartitions("_key", "doc_id")
+    ordered = keyed.repartitionByRange(tk.tasks(docs), "_key", "doc_id").sortWithinPartitions("_key", "doc_id")
 
     def run(batches):
         ids = ids_of(path)
@@ -214,4 +215,5 @@ def vocabulary() -> str:
 
 
 def op9_packing(spark, sf_dir: str) -> DataFrame:
+    """``pack`` of all documents; a null text is the end id alone."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), vocabulary())

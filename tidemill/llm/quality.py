@@ -16,8 +16,10 @@ from pyspark.sql import DataFrame
 from tidemill.llm import textkit as tk
 from tidemill.llm.labelled import fold, sample
 
-#: Labelled rows the field is fitted on, at most, and lines of each that are used in the fit (documents are scored whole).
-SAMPLE_ROWS, SAMPLE_LINES = 5_000, 60
+#: Labelled rows the field is fitted on, at most; of each, all lines.
+SAMPLE_ROWS = 5_000
+#: In the fit a longer chain is cut into pieces of so many lines, which keep their neighbours' features (piecewise training); documents are scored as one chain.
+PIECE = 64
 STEPS, RATE, DECAY = 250, 0.05, 1e-3
 
 _CLASSES = {
@@ -123,9 +125,10 @@ class Field:
         self.mean, self.std = flat.mean(0), flat.std(0) + 1e-3
         x = self.features(flat, rows)
         y = np.repeat(labels, np.diff(rows)).astype(float)
-        links = (np.diff(rows) - 1).astype(float)
-        truth = np.diag([links[labels == 0].sum(), links[labels == 1].sum()])
         n = len(labels)
+        rows = np.concatenate([*(np.arange(a, b, PIECE) for a, b in zip(rows[:-1], rows[1:], strict=True)), rows[-1:]])
+        links, good = (np.diff(rows) - 1).astype(float), y[rows[:-1]]
+        truth = np.diag([links[good == 0].sum(), links[good == 1].sum()])
         theta = np.concatenate([self.unary, self.pair.ravel()])
         m, v = np.zeros_like(theta), np.zeros_like(theta)
         for step in range(1, STEPS + 1):
@@ -140,13 +143,17 @@ class Field:
 def _gather(batches):
     for piece in tk.slices(batches):
         own, _, rows = lines(*tk.utf8(piece.column("text")))
-        used = [own[a : min(b, a + SAMPLE_LINES)].ravel() for a, b in zip(rows[:-1], rows[1:], strict=True)]
+        used = [own[a:b].ravel() for a, b in zip(rows[:-1], rows[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([piece.column("label").combine_chunks(), pa.array(used, pa.list_(pa.float32()))], names=["label", "own"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, rows: int = SAMPLE_ROWS) -> Field:
-    """Fit on at most ``rows`` labelled documents, of which only line features come to the driver; copies count once."""
-    drawn = sample(docs, labels, "quality", learn, rows).mapInArrow(_gather, "label int, own array<float>").toArrow().combine_chunks()
+    """Fit on at most ``rows`` labelled documents, of which only line features come to the driver; copies count once.
+
+    A null or empty text is one empty line; null labels teach nothing; without labelled rows every line scores one half.
+    """
+    with tk.Workspace(docs.sparkSession, "quality") as work:
+        drawn = sample(docs, labels, "quality", learn, rows, work).mapInArrow(_gather, "label int, own array<float>").toArrow().combine_chunks()
     if not drawn.num_rows:
         return Field()
     texts = [np.asarray(x.values, np.float32) for x in drawn.column("own").combine_chunks()]
@@ -156,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, rows: int = SAMPLE_ROWS) -> F
 
 
 def score(docs: DataFrame, field: Field) -> DataFrame:
-    """Add score (0 to 1) and predicted to every row; a null or empty text is one empty line."""
+    """Add score (0 to 1) and predicted to every row, in place of columns of those names; a null or empty text is one empty line."""
     docs = docs.drop("score", "predicted")
     keep = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(field)
@@ -173,6 +180,7 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:
+    """``score`` of all documents by a field that has not seen the held-out labels; null texts count as empty."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     field = fit(docs, labels, ~fold(3, 1))

@@ -94,6 +94,12 @@ def parts(spark) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks(df, size: int = 64 << 20) -> int:
+    """Tasks to deal df to: the session's number, or more if its sources' files (as far as the plan knows) have over ``size`` bytes for each."""
+    known = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(parts(df.sparkSession), known // size) if known < 1 << 60 else parts(df.sparkSession)
+
+
 def aside(docs, *needed: str):
     """docs with all columns but the needed ones renamed out of the way, and the columns that give the old names back."""
     names = [c if c in needed else f"_own{k}" for k, c in enumerate(docs.columns)]

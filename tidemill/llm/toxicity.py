@@ -94,8 +94,12 @@ def _gather(batches):
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn, rows: int = SAMPLE_ROWS) -> FactorizationMachine:
-    """Fit on at most ``rows`` labelled documents, of which only the hashed terms come to the driver; copies count once."""
-    drawn = sample(docs, labels, "toxic", learn, rows).mapInArrow(_gather, "label int, terms array<int>").toArrow().combine_chunks()
+    """Fit on at most ``rows`` labelled documents, of which only the hashed terms come to the driver; copies count once.
+
+    Null and empty texts have no terms; null labels teach nothing; without labelled rows every text scores one half.
+    """
+    with tk.Workspace(docs.sparkSession, "toxicity") as work:
+        drawn = sample(docs, labels, "toxic", learn, rows, work).mapInArrow(_gather, "label int, terms array<int>").toArrow().combine_chunks()
     lists = drawn.column("terms").combine_chunks() if drawn.num_rows else None
     if lists is None:
         return FactorizationMachine()
@@ -106,7 +110,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn, rows: int = SAMPLE_ROWS) -> F
 
 
 def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
-    """Add score (0 to 1) and predicted to every row; null and empty texts get the score of no terms."""
+    """Add score (0 to 1) and predicted to every row, in place of columns of those names; null and empty texts get the score of no terms."""
     docs = docs.drop("score", "predicted")
     keep = docs.columns
     shared = docs.sparkSession.sparkContext.broadcast(machine)
@@ -120,6 +124,7 @@ def score(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
 
 
 def op2_toxicity(spark, sf_dir: str) -> DataFrame:
+    """``score`` of all documents by a machine that has not seen the held-out labels; null texts have no terms."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     machine = fit(docs, labels, ~fold(5, 0))
