@@ -17,30 +17,32 @@ from tidemill.llm.packing import pack, vocabulary
 
 
 def language(spark, docs, sf_dir):
-    """Documents in no recognised language go."""
+    """Documents in no recognised language go: null texts, those without a letter, and those whose code length is beyond that of all learned languages."""
     return reject_unknown(docs)
 
 
 def lines(spark, docs, sf_dir):
-    """Cross-site boilerplate lines of any length go, and documents of which nothing is left then."""
-    out = drop_boilerplate(docs, min_chars=1)
+    """Cross-site boilerplate lines of any length go, and documents of which nothing is left then. Null texts and sources stay as they are."""
+    own, back = tk.aside(docs, "doc_id", "text", "source", "n_chars")
+    out = drop_boilerplate(own)
     out = out.filter((F.col("n_removed") == 0) | (F.trim("kept_text") != ""))
-    return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    return out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.char_length("text").cast("long")).select(back)
 
 
 def near_duplicates(spark, docs, sf_dir):
-    """One document of each group stays."""
+    """One document of each group stays, the one of least doc_id; null ids and texts without words are in no group and stay."""
     return drop_near_duplicates(docs)
 
 
 def benchmark(spark, docs, sf_dir):
-    """Contaminated documents go, and the benchmark spans of the others."""
-    out = drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(docs.columns)
+    """Contaminated documents go, and the benchmark spans of the others. Null texts stay."""
+    own, back = tk.aside(docs, "text", "n_chars")
+    out = drop_contaminated(own, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(back)
 
 
 def packing(spark, docs, sf_dir):
-    """Pieces of sequences."""
+    """Pieces of sequences; a null text is the end id alone, an empty table gives none."""
     return pack(docs, vocabulary())
 
 
