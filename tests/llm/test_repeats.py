@@ -105,3 +105,22 @@ def test_index_goes_on(spark, tmp_path):
         index.close()
     assert len(FingerprintIndex(spark, root).state["runs"]) == 2 and FingerprintIndex(spark, root).state["buckets"] > 3
     assert got[5] == (24, 20)
+
+
+def test_suffixes_are_told_apart_when_their_heads_collide(monkeypatch):
+    """All heads under one hash: the same groups as before."""
+    rng = random.Random(3)
+    segments = [bytes(rng.choices(b"ab", k=rng.randrange(9, 30))) for _ in range(40)]
+    size = np.array(list(map(len, segments)))
+    buf, begin = np.frombuffer(b"".join(segments), np.uint8), np.cumsum(size) - size
+
+    def groups():
+        group, length, seg, off = (x.tolist() for x in maximal_repeats(buf, begin, size, 9))
+        found: dict = {}
+        for g, n, s, o in zip(group, length, seg, off, strict=True):
+            found.setdefault(g, []).append((n, s, o))
+        return sorted(sorted(x) for x in found.values())
+
+    expected = groups()
+    monkeypatch.setattr(suffix_dedup.tk, "ranges", lambda sums, a, b: np.zeros(len(a), np.uint64))
+    assert expected and groups() == expected

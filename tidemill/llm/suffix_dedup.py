@@ -39,11 +39,31 @@ def _bytes(buf: np.ndarray, offsets: np.ndarray) -> Cut:
 KIND = Kind(_bytes, LEAST, GRAM, tail=True)
 
 
-def suffix_array(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The first ``suffixes`` suffixes of each of the segments buf[begin : begin + size], sorted.
+def _leading(x: np.ndarray) -> np.ndarray:
+    """Zero bytes before the first other one of 64-bit numbers that are not 0."""
+    for k in (1, 2, 4, 8, 16, 32):
+        x = x | (x >> np.uint64(k))
+    return (64 - np.bitwise_count(x).astype(np.int64)) >> 3
 
-    Returns each one's segment, offset and bytes left, and the common prefix with the one before.
+
+def suffix_array(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, suffixes: np.ndarray, least: int, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorts, of the first ``suffixes`` suffixes of each of the segments buf[begin : begin + size] those that another one may equal in ``least`` bytes.
+
+    Returns each one's segment, its offset and the common prefix with the one
+    before. A hash of the first bytes rules out suffixes that stand alone and
+    brings the others together; should it bring different ones together, all
+    bytes are sorted. ``sums``: of ``tk.prefix`` over the bytes + 1.
     """
+    off, seg = spread(np.zeros_like(size), suffixes - 1)
+    at = begin[seg] + off
+    head = tk.ranges(tk.prefix(buf.astype(np.uint64) + np.uint64(1)) if sums is None else sums, at, at + least)
+    by = np.argsort(head)
+    head = head[by]
+    fresh = np.append(True, head[1:] != head[:-1])
+    group = np.cumsum(fresh)
+    company = np.bincount(group)[group] > 1
+    by, group = by[company], group[company]
+    seg, off = seg[by], off[by]
     width = int(size.max())
     words = -(-width // 8)
     padded = np.zeros((len(begin), words * 8 + 8), np.uint8)
@@ -52,20 +72,29 @@ def suffix_array(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, suffixes:
     wide = np.zeros((len(begin), words * 8 + 1), np.uint64)
     for j in range(8):
         wide |= padded[:, j : j + words * 8 + 1].astype(np.uint64) << np.uint64(56 - 8 * j)
-    off, seg = spread(np.zeros_like(size), suffixes - 1)
     keys = [wide[seg, np.minimum(off + 8 * j, words * 8)] for j in range(words)]
-    order = np.lexsort(keys[::-1])
-    seg, off = seg[order], off[order]
-    left = size[seg] - off
-    lcp = np.zeros(len(order), np.int64)
-    same = np.ones(len(order) - 1, bool)
-    for k in keys:
-        k = k[order]
-        x = (k[1:] ^ k[:-1]).byteswap().view(np.uint8).reshape(-1, 8) != 0
-        lcp[1:] += np.where(same, np.where(x.any(1), x.argmax(1), 8), 0)
-        same &= ~x.any(1)
-    lcp[1:] = np.minimum(lcp[1:], np.minimum(left[1:], left[:-1]))
-    return seg, off, left, lcp
+
+    def common(order: np.ndarray, same: np.ndarray) -> np.ndarray:
+        """Of the neighbours in order that ``same`` names: the common prefix; 0 for others and the first."""
+        lcp = np.zeros(len(order), np.int64)
+        pair = np.flatnonzero(same) + 1
+        for j, key in enumerate(keys):
+            x = key[order[pair]] ^ key[order[pair - 1]]
+            differ = x != 0
+            lcp[pair[differ]] = 8 * j + _leading(x[differ])
+            pair = pair[~differ]
+        lcp[pair] = 8 * words
+        left = (size[seg] - off)[order]
+        lcp[1:] = np.minimum(lcp[1:], np.minimum(left[1:], left[:-1]))
+        return lcp
+
+    order = np.lexsort([*keys[: least // 8 - 1 if least >= 8 else None : -1], group])
+    together = group[order][1:] == group[order][:-1]
+    lcp = common(order, together)
+    if (lcp[1:][together] < least).any():
+        order = np.lexsort(keys[::-1])
+        lcp = common(order, np.ones(max(0, len(order) - 1), bool))
+    return seg[order], off[order], lcp
 
 
 def intervals(lcp: list[int]) -> list[tuple[int, int, int]]:
@@ -82,7 +111,7 @@ def intervals(lcp: list[int]) -> list[tuple[int, int, int]]:
     return found
 
 
-def maximal_repeats(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, least: int = LEAST, suffixes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def maximal_repeats(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, least: int = LEAST, suffixes: np.ndarray | None = None, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Repeats of ``least`` bytes or more between (or within) segments that can't be extended to either side.
 
     ``suffixes``: of each segment, the first that count (all that are long enough).
@@ -93,7 +122,9 @@ def maximal_repeats(buf: np.ndarray, begin: np.ndarray, size: np.ndarray, least:
     none = np.zeros(0, np.int64)
     if not len(begin):
         return none, none, none, none
-    seg, off, _, lcp = suffix_array(buf, begin, size, size - least + 1 if suffixes is None else suffixes)
+    seg, off, lcp = suffix_array(buf, begin, size, size - least + 1 if suffixes is None else suffixes, least, sums)
+    if not len(seg):
+        return none, none, none, none
     before = np.where(off > 0, buf[np.maximum(begin[seg] + off - 1, 0)].astype(np.int64), -1)
     start = np.flatnonzero(lcp < least)  # of the intervals at depth ``least``
     count = np.diff(np.append(start, len(seg)))
@@ -146,10 +177,11 @@ def _cover(table: pa.Table) -> pa.Table:
     edges = np.append(True, got.key[place[met]][1:] != got.key[place[met]][:-1]) if len(met) else np.zeros(0, bool)
     part = (np.cumsum(suffixes) - suffixes) // SORTED
     part = part[np.flatnonzero(edges)][np.cumsum(edges) - 1] if len(met) else part  # an anchor is not parted
+    sums = tk.prefix(got.buf.astype(np.uint64) + np.uint64(1))
     found = [[np.zeros(0, np.int64)] * 4]
     for a, b in zip(*_bounds(part), strict=True):
         one = met[a:b]
-        group, length, seg, off = maximal_repeats(got.buf, got.begin[place[one]], got.size[place[one]], LEAST, suffixes[a:b])
+        group, length, seg, off = maximal_repeats(got.buf, got.begin[place[one]], got.size[place[one]], LEAST, suffixes[a:b], sums)
         if not len(group):
             continue
         smallest, _ = extremes(group, got.least[member[one[seg]]], got.least[member[one[seg]]])
