@@ -5,12 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import random
 
-import numpy as np
 import pytest
 
 from tidemill import catalog
-from tidemill.plans import models
-from tidemill.queries import simulate
 
 QUERIES = catalog.queries()
 EVENTS = "event_id long, user_id long, event_type string, ts timestamp_ntz, value double, props string"
@@ -39,40 +36,3 @@ def test_resolve_settles_every_trade(spark, ticks):
             expected.append((i, seen[0][2], symbol, len(seen), int(props[6:-1]) > 50))
     got = QUERIES["stream_resolve"](spark, home).select("prediction_id", "settled_price", "symbol", "trades_seen", "up").collect()
     assert sorted(map(tuple, got)) == sorted(expected)
-
-
-@pytest.mark.parametrize("n", [1, 50, 51, 130])
-def test_reordering_keeps_every_bet(n):
-    """Each bet is in each replicate once, and a block's bets stay side by side."""
-    seen = set()
-    for seed in range(1, 20):
-        order = simulate.reordered(n, seed).tolist()
-        assert sorted(order) == list(range(n))
-        assert all(b == a + 1 or (a % 50 == 49 or a == n - 1) and b % 50 == 0 for a, b in zip(order, order[1:]))
-        seen.add(tuple(order))
-    assert len(seen) > 1 or n <= 50
-
-
-def test_bootstrap_runs(spark, sf_dir):
-    assert {r.runs for r in QUERIES["sim_bootstrap"](spark, sf_dir).collect()} == {1000}
-
-
-def test_boosted_as_the_reference():
-    """By default 150 trees of rate 0.04, whose leaves hold 200 rows of the sample or more."""
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(2000, 4))
-    y = (x[:, 0] + rng.normal(size=2000) > 0).astype(float)
-    made = []
-
-    class Seen(models.Tree):
-        def __init__(self, *args):
-            super().__init__(*args)
-            made.append((len(args[1]), self))
-
-    with pytest.MonkeyPatch.context() as patch:
-        patch.setattr(models, "Tree", Seen)
-        default = models.boosted(x, y, 1)(x)
-        assert len(made) == 150
-        given = models.boosted(x, y, 1, rounds=150, depth=3, rate=0.04, least=200, row_share=0.7, col_share=0.7)(x)
-    assert (default == given).all()
-    assert 1300 < made[0][0] < 1500

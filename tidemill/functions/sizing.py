@@ -29,21 +29,21 @@ def truncated(c: Column, digits: int) -> Column:
 
 
 def kelly_sizer(q: Column, yes: Column, no: Column, available: Column, fraction: float) -> Column:
-    """struct(trade, side, stake, shares, edge, price, reason) of the better side of a two-sided market."""
-    q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), q))
-    yes_edge, no_edge = q - yes, (1 - q) - no
-    side = F.when((yes_edge >= no_edge) & (yes_edge > 0), "Yes").when(no_edge > 0, "No")
-    price = F.when(side == "Yes", yes).otherwise(no)
-    win = F.when(side == "Yes", q).otherwise(1 - q)
-    usable = (price > 0) & (price < 1)
-    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), full_kelly(win, price) * fraction))
-    stake = F.round(share * available + 1e-9, 2)
-    shares = truncated(stake / F.when(usable, price), 4)
-    trade = side.isNotNull() & usable & (stake > 0) & (shares > 0)
-    reason = F.when(side.isNull(), "no positive edge").when(~usable, "unusable price").when(stake <= 0, "stake rounds to zero").when(shares <= 0, "shares round to zero").otherwise("sized")
+    """struct(trade, side, stake, shares, edge, price, reason) of the better side of a two-sided market.
+
+    Either side is a candidate (edge, side, chance, price); the greatest edge wins, yes before no.
+    """
+    q = F.least(F.lit(1.0), F.greatest(F.lit(0.0), q))
+    candidate = lambda side, win, price: F.struct((win - price).alias("edge"), F.lit(side).alias("side"), win.alias("win"), price.alias("price"))
+    best = F.greatest(candidate("Yes", q, yes), candidate("No", 1 - q, no))
+    found, usable = best["edge"] > 0, (best["price"] > 0) & (best["price"] < 1)
+    stake = F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), full_kelly(best["win"], best["price"]) * fraction)) * available + 1e-9, 2)
+    shares = truncated(stake / F.when(usable, best["price"]), 4)
+    reason = F.when(~found, "no positive edge").when(~usable, "unusable price").when(stake <= 0, "stake rounds to zero").when(shares <= 0, "shares round to zero").otherwise("sized")
+    trade = reason == "sized"
     return F.struct(
-        F.coalesce(trade, F.lit(False)).alias("trade"), F.coalesce(side, F.lit("Yes")).alias("side"), F.when(trade, stake).otherwise(0.0).alias("stake"), F.when(trade, shares).otherwise(0.0).alias("shares"),
-        F.when(side.isNull(), F.greatest(yes_edge, no_edge)).when(side == "Yes", yes_edge).otherwise(no_edge).alias("edge"), F.when(side.isNull(), F.lit(0.0)).otherwise(price).alias("price"), reason.alias("reason"),
+        trade.alias("trade"), F.when(found, best["side"]).otherwise("Yes").alias("side"), F.when(trade, stake).otherwise(0.0).alias("stake"), F.when(trade, shares).otherwise(0.0).alias("shares"),
+        best["edge"].alias("edge"), F.when(found, best["price"]).otherwise(0.0).alias("price"), reason.alias("reason"),
     )
 
 

@@ -7,18 +7,17 @@ from pyspark.sql import functions as F
 
 
 def wilson(wins: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
-    """Wilson's interval of a share; 0, 0 without rows."""
-    p = wins / F.nullif(n, F.lit(0))
-    denominator = 1 + z * z / n
-    centre = (p + z * z / (2.0 * n)) / denominator
-    margin = z * F.sqrt(p * (1 - p) / n + z * z / (4.0 * n * n)) / denominator
-    return tuple(F.when(n > 0, x).otherwise(0.0) for x in (centre - margin, centre + margin))
+    """Score interval of a share: the two x with n (share - x)**2 = z**2 x (1 - x), a quadratic in x; 0, 0 without rows."""
+    share_, c = wins / F.nullif(n, F.lit(0)), z * z / F.nullif(n, F.lit(0))
+    square, linear = 1 + c, 2 * share_ + c
+    root = F.sqrt(linear * linear - 4 * square * share_ * share_)
+    return tuple(F.coalesce((linear + sign * root) / (2 * square), F.lit(0.0)) for sign in (-1, 1))
 
 
 def wilson_sql(wins: str, n: str, z: float = 1.96) -> tuple[str, str]:
-    zz, p = z * z, f"({wins} / {n}::DOUBLE)"
-    centre, margin = f"({p} + {zz!r}::DOUBLE / (2.0 * {n}))", f"({z}::DOUBLE * sqrt({p} * (1 - {p}) / {n} + {zz!r}::DOUBLE / (4.0 * {n} * {n})))"
-    return f"(({centre} - {margin}) / (1 + {zz!r}::DOUBLE / {n}))", f"(({centre} + {margin}) / (1 + {zz!r}::DOUBLE / {n}))"
+    c, p = f"({z * z!r}::DOUBLE / {n})", f"({wins} / {n}::DOUBLE)"
+    linear, square = f"(2 * {p} + {c})", f"(1 + {c})"
+    return tuple(f"(({linear} {sign} sqrt({linear} * {linear} - 4 * {square} * {p} * {p})) / (2 * {square}))" for sign in "-+")
 
 
 def share(c: Column) -> Column:

@@ -112,31 +112,64 @@ def funding_cycle(df: DataFrame, cycle: int = 8 * 3_600_000) -> DataFrame:
     return df.select(*KEYS, ((cycle - at) / 60_000).cast("double").alias("mins"), F.sin(angle).alias("cyc_sin"), F.cos(angle).alias("cyc_cos"))
 
 
-def ewm(df: DataFrame, c: str, alpha: float) -> DataFrame:
-    """Exponentially weighted means without end: weights normalised (ewm_adj) and recursive (ewm_rec).
+#: Bars of a block of the sums without end, and the bar width that blocks are counted in.
+BLOCK, WIDTH = 64, 3_600_000
+
 
-    The recursion needs a symbol's rows in order; a symbol is a group of its
-    own, streamed to pandas as one series of two columns.
+def decayed(df: DataFrame, columns: list[str], alpha: float, width: int = WIDTH) -> DataFrame:
+    """df with, for each column c, sum_c, the sum of all values so far, each less by 1 - alpha a row, and first_c, the first value; and n, the rows before.
+
+    A series is cut into blocks of time. Rows are summed within their block, and
+    what a block inherits is carried over one row a block, so a long series
+    spreads over many tasks and only its block ends meet in one.
     """
+    keep, inner = 1 - alpha, Window.partitionBy("symbol", "_block").orderBy("open_time")
+    so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
+    own = df.withColumn("_block", F.floor(F.col("open_time") / (BLOCK * width))).withColumn("_i", F.row_number().over(inner) - 1)
+    own = own.withColumns({f"_own_{c}": F.pow(F.lit(keep), F.col("_i")) * F.sum(F.col(c) * F.pow(F.lit(1 / keep), F.col("_i"))).over(so_far) for c in columns})
+    ends = own.groupBy("symbol", "_block").agg(F.count("*").alias("_n"), *(F.max_by(f"_own_{c}", "_i").alias(f"_end_{c}") for c in columns), *(F.min_by(c, "_i").alias(f"_head_{c}") for c in columns))
+
+    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_block")
+        out = pdf[["symbol", "_block"]].copy()
+        out["_before"] = pdf["_n"].cumsum() - pdf["_n"]
+        for c in columns:
+            held, sums = 0.0, []
+            for n, end in zip(pdf["_n"], pdf[f"_end_{c}"], strict=True):
+                sums.append(held)
+                held = end + keep**n * held
+            out[f"_carry_{c}"], out[f"first_{c}"] = sums, pdf[f"_head_{c}"].iloc[0]
+        return out
+
+    carried = ends.groupBy("symbol").applyInPandas(carry, "symbol string, _block long, _before long, " + ", ".join(f"_carry_{c} double, first_{c} double" for c in columns))
+    out = own.join(carried, ["symbol", "_block"])
+    sums = {f"sum_{c}": F.col(f"_own_{c}") + F.pow(F.lit(keep), F.col("_i") + 1) * F.col(f"_carry_{c}") for c in columns}
+    return out.withColumns({**sums, "n": F.col("_before") + F.col("_i")}).select(*df.columns, "n", *sums, *(f"first_{c}" for c in columns))
+
+
+def recursive(c: str, alpha: float) -> Column:
+    """The mean e = alpha x + (1 - alpha) e, begun with the first value, from the columns of ``decayed``."""
+    return alpha * F.col(f"sum_{c}") + F.pow(F.lit(1 - alpha), F.col("n") + 1) * F.col(f"first_{c}")
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("open_time")
-        return pd.DataFrame({"symbol": pdf["symbol"], "open_time": pdf["open_time"], "ewm_adj": pdf[c].ewm(alpha=alpha, adjust=True).mean(), "ewm_rec": pdf[c].ewm(alpha=alpha, adjust=False).mean()})
 
-    return df.select(*KEYS, c).groupBy("symbol").applyInPandas(run, "symbol string, open_time long, ewm_adj double, ewm_rec double")
+def ewm(df: DataFrame, c: str, alpha: float) -> DataFrame:
+    """Exponentially weighted means without end: weights normalised (ewm_adj) and recursive (ewm_rec)."""
+    weights = (1 - F.pow(F.lit(1 - alpha), F.col("n") + 1)) / alpha
+    return decayed(df.select(*KEYS, c), [c], alpha).select(*KEYS, (F.col(f"sum_{c}") / weights).alias("ewm_adj"), recursive(c, alpha).alias("ewm_rec"))
 
 
 def adx(df: DataFrame, n: int = 14) -> DataFrame:
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("open_time").reset_index(drop=True)
-        smooth = lambda s: s.ewm(alpha=1 / n, adjust=False).mean()
-        up, down = pdf["high"].diff(), -pdf["low"].diff()
-        plus, minus = up.where((up > down) & (up > 0), 0.0), down.where((down > up) & (down > 0), 0.0)
-        before = pdf["close"].shift()
-        tr = pd.concat([pdf["high"] - pdf["low"], (pdf["high"] - before).abs(), (pdf["low"] - before).abs()], axis=1).max(axis=1)
-        atr = smooth(tr)
-        dp, dm = 100 * smooth(plus) / (atr + 1e-12), 100 * smooth(minus) / (atr + 1e-12)
-        dx = 100 * (dp - dm).abs() / (dp + dm + 1e-12)
-        return pd.DataFrame({"symbol": pdf["symbol"], "open_time": pdf["open_time"], "adx": smooth(dx), "dmi": dp - dm})
-
-    return df.select(*KEYS, "high", "low", "close").groupBy("symbol").applyInPandas(run, "symbol string, open_time long, adx double, dmi double")
+    """ADX from 0 to 1 and DMI from -1 to 1 by Wilder's smoothing; NULL until there are n rows, ADX n - 1 later."""
+    w, tiny = series(), 1e-12
+    before, high, low = F.lag("close").over(w), F.col("high"), F.col("low")
+    up, down = high - F.lag("high").over(w), F.lag("low").over(w) - low
+    moves = df.select(
+        *KEYS, F.greatest(high - low, F.abs(high - before), F.abs(low - before)).alias("tr"),
+        F.when((up > down) & (up > 0), up).otherwise(0.0).alias("plus"), F.when((down > up) & (down > 0), down).otherwise(0.0).alias("minus"),
+    )
+    s = decayed(moves, ["tr", "plus", "minus"], 1 / n)
+    s = s.select(*KEYS, "n", *(recursive(c, 1 / n).alias(c) for c in ("tr", "plus", "minus"))).filter(F.col("n") >= n - 1)
+    s = s.withColumns({"p": 100 * F.col("plus") / (F.col("tr") + tiny), "m": 100 * F.col("minus") / (F.col("tr") + tiny)})
+    s = s.select(*KEYS, ((F.col("p") - F.col("m")) / (F.col("p") + F.col("m") + tiny)).alias("dmi"), (100 * F.abs(F.col("p") - F.col("m")) / (F.col("p") + F.col("m") + tiny)).alias("dx"))
+    smooth = decayed(s, ["dx"], 1 / n)
+    return smooth.select(*KEYS, F.when(F.col("n") >= n - 1, recursive("dx", 1 / n) / 100).alias("adx"), "dmi")

@@ -1,232 +1,70 @@
-"""Declarative graphs of features, models and strategies, compiled to one lazy plan.
+"""Flows of features, models and stakes: steps from DataFrame to DataFrame, chained with ``transform`` into one lazy plan.
 
-A flow is nodes [{id, type, params}] and edges [{from: "node.port", to:
-"node.port"}]. It is validated once, at plan time; then each node adds columns
-to the DataFrame of decisions, in topological order, so Catalyst sees one plan
-and sorts each series once.
+Each step adds columns to the frame of decisions, so Catalyst sees one plan and
+sorts each series once.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
-from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import sizing as sz
-from tidemill.operators import packs
 from tidemill.plans import models as mo
 
+Step = Callable[[DataFrame], DataFrame]
 
-class FlowError(ValueError):
-    """The first check that a flow fails."""
 
+def pack(build) -> Step:
+    """A feature pack that keeps the columns that are there."""
+    return lambda df: build(df, carry=True)
 
-@dataclass(frozen=True)
-class Node:
-    """A node type: its category, typed ports, whether replays may use it, and what it does to the frame."""
 
-    category: str
-    inputs: dict[str, str]
-    outputs: dict[str, str]
-    run: Callable[[DataFrame, dict[str, str], dict, str], DataFrame]
-    variadic: bool = False
-    replayable: bool = True
-    params: dict[str, str] = field(default_factory=dict)
+def matrix(columns: list[str]) -> Step:
+    """Named features in order as ``matrix``; a row with a missing one is filled with 0 and not ``ready``."""
+    values = [F.col(c).cast("double") for c in columns]
+    missing = F.array_contains(F.array(*(v.isNull() for v in values)), True)
+    return lambda df: df.withColumns({"matrix": F.array(*(F.coalesce(v, F.lit(0.0)) for v in values)), "ready": ~missing})
 
 
-REGISTRY: dict[str, Node] = {}
+def logistic(weights: list[float], bias: float) -> Step:
+    """``p_up`` by fixed weights over the matrix, 0.5 where it isn't ready, and ``confidence``, twice the distance from 0.5."""
+    z = F.aggregate(F.zip_with("matrix", F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(bias), lambda a, x: a + x)
+    p = F.when(F.col("ready"), mo.sigmoid(z)).otherwise(0.5)
+    return lambda df: df.withColumn("p_up", p).withColumn("confidence", F.abs(F.col("p_up") - 0.5) * 2)
 
 
-def node(name: str, category: str, inputs: dict[str, str], outputs: dict[str, str], **more):
-    def wrap(f):
-        REGISTRY[name] = Node(category, inputs, outputs, f, **more)
-        return f
+def code(name: str, inputs: list[str], function: Callable[..., pd.Series]) -> Step:
+    """A user's function from Series to Series, in batches in the workers; results are rounded to nine decimals, so that replays agree."""
 
-    return wrap
-
-
-def catalogue() -> list[dict]:
-    """Every node type, described."""
-    return [{"type": t, "category": n.category, "inputs": n.inputs, "outputs": n.outputs, "variadic": n.variadic, "params": n.params} for t, n in sorted(REGISTRY.items())]
-
-
-def _column(at: str, port: str) -> str:
-    return f"{at}__{port}"
-
-
-def _pack(name: str, build: Callable, outputs: list[str], source: str = "Candle[]") -> None:
-    @node(name, "indicator", {"candles" if source == "Candle[]" else "bars": source}, dict.fromkeys(outputs, "decimal?"))
-    def run(df: DataFrame, bound: dict[str, str], params: dict, at: str) -> DataFrame:
-        kept = df.columns
-        out = build(df, carry=True)
-        return out.select(*kept, *(F.col(c).alias(_column(at, c)) for c in out.columns if c not in kept))
-
-
-@node("source.candles", "source", {}, {"candles": "Candle[]"})
-def _source(df, bound, params, at):
-    return df
-
-
-_pack("indicator.momentum_pack", packs.momentum_pack, ["ret_1", "ret_3", "ret_5", "ret_10", "ret_20"])
-_pack("indicator.norm_pack", packs.norm_pack, ["px_vs_ema12_atr", "px_vs_ema26_atr", "ema_spread_atr", "bb_pos", "atr_pct"])
-_pack("indicator.volume_pack", packs.volume_pack, ["vol_z20", "obv_z20", "vol_vs_range", "up_vol_ratio"])
-_pack("indicator.cross_pack", packs.cross_pack, ["mom_x_vol", "pos_x_mom", "regime_x_mom", "trend_x_mom", "vol_x_range"])
-_pack("indicator.temporal_pack", packs.temporal_pack, ["hour_sin", "hour_cos", "dow_sin", "dow_cos", "is_us_session", "is_eu_session", "is_weekend"])
-_pack("indicator.tech_pack", packs.tech_pack, ["sma10", "sma20", "rsi14", "atr14", "trend_pct"])
-_pack("indicator.feature_pack", packs.feature_pack, ["ema12", "ema26", "macd", "signal", "hist", "bb_u", "bb_l", "logret", "z20"])
-
-
-@node("feature.matrix_builder", "feature", {}, {"matrix": "Matrix"}, variadic=True, params={"columns": "string[]"})
-def _matrix(df, bound, params, at):
-    """Named scalars in order; a row with a missing one is filled with 0 and not ready."""
-    cols = [F.col(bound[c]).cast("double") for c in params["columns"]]
-    ready = cols[0].isNotNull()
-    for c in cols[1:]:
-        ready = ready & c.isNotNull()
-    return df.withColumns({_column(at, "matrix"): F.array(*(F.coalesce(c, F.lit(0.0)) for c in cols)), _column(at, "matrix_ready"): ready})
-
-
-def _dot(m: Column, w: list[float], bias: float) -> Column:
-    return F.aggregate(F.zip_with(m, F.array(*map(F.lit, w)), lambda a, b: a * b), F.lit(bias), lambda a, x: a + x)
-
-
-@node("model.logistic_regression", "model", {"matrix": "Matrix"}, {"p_up": "decimal?", "confidence": "decimal"}, params={"weights": "double[]", "bias": "double"})
-def _logistic(df, bound, params, at):
-    """0.5 where the matrix isn't ready."""
-    m = bound["matrix"]
-    p = F.when(F.col(f"{m}_ready"), mo.sigmoid(_dot(F.col(m), params["weights"], params["bias"]))).otherwise(0.5)
-    return df.withColumn(_column(at, "p_up"), p).withColumn(_column(at, "confidence"), F.abs(F.col(_column(at, "p_up")) - 0.5) * 2)
-
-
-@node("model.flat_baseline", "model", {"candles": "Candle[]"}, {"p_up": "decimal?", "confidence": "decimal"})
-def _flat(df, bound, params, at):
-    return df.withColumns({_column(at, "p_up"): F.lit(0.5), _column(at, "confidence"): F.lit(0.5)})
-
-
-@node("aggregator.majority_vote", "aggregator", {}, {"p_up": "decimal?", "confidence": "decimal"}, variadic=True, params={"signals": "string[]"})
-def _vote(df, bound, params, at):
-    p, c = mo.majority_vote([F.col(bound[s]) for s in params["signals"]])
-    return df.withColumns({_column(at, "p_up"): p, _column(at, "confidence"): c})
-
-
-@node("strategy.edge_kelly", "strategy", {"p_up": "decimal?"}, {"stake": "decimal"}, params={"price": "double", "bank": "double"})
-def _edge(df, bound, params, at):
-    p = F.col(bound["p_up"])
-    win = F.when(p >= 0.5, p).otherwise(1 - p)
-    stake = F.round(0.25 * F.greatest(sz.full_kelly(win, F.lit(params["price"])), F.lit(0.0)) * params["bank"], 2)
-    return df.withColumn(_column(at, "stake"), F.when(stake >= 1, stake).otherwise(0.0))
-
-
-@node("strategy.gate", "strategy", {"stake": "decimal", "p_up": "decimal?"}, {"stake": "decimal"}, params={"band": "double"})
-def _gate(df, bound, params, at):
-    return df.withColumn(_column(at, "stake"), F.when(sz.no_bet(F.col(bound["p_up"]), params["band"]), 0.0).otherwise(F.col(bound["stake"])))
-
-
-@node("strategy.clamp_round", "strategy", {"stake": "decimal"}, {"stake": "decimal"}, params={"min": "double", "max": "double"})
-def _clamp(df, bound, params, at):
-    s = F.col(bound["stake"])
-    return df.withColumn(_column(at, "stake"), F.round(F.least(F.lit(params.get("max", 1e12)), F.greatest(F.lit(params.get("min", 0.0)), s)), 0))
+    @F.pandas_udf("double")
+    def run(frame: pd.DataFrame) -> pd.Series:
+        return pd.Series(function(*(frame[n] for n in inputs)), index=frame.index).astype(float).round(9)
 
+    return lambda df: df.withColumn(name, run(F.struct(*(F.col(n).cast("double").alias(n) for n in inputs))))
 
-@node("output.prediction", "output", {"p_up": "decimal?"}, {})
-def _prediction(df, bound, params, at):
-    return df.withColumn("p_up", F.coalesce(F.col(bound["p_up"]), F.lit(0.5)))
 
+def edge_kelly(price: float, bank: float) -> Step:
+    """A quarter of the Kelly stake of the likelier side, nothing under 1; and the ``side``."""
+    p = F.col("p_up")
+    stake = F.round(0.25 * F.greatest(sz.full_kelly(F.greatest(p, 1 - p), F.lit(price)), F.lit(0.0)) * bank, 2)
+    return lambda df: df.withColumns({"stake": F.when(stake >= 1, stake).otherwise(0.0), "side": F.when(p >= 0.5, "UP").otherwise("DOWN")})
 
-@node("output.stake", "output", {"stake": "decimal"}, {})
-def _stake(df, bound, params, at):
-    return df.withColumn("stake", F.col(bound["stake"]))
 
+def gate(band: float) -> Step:
+    """No stake near 0.5."""
+    return lambda df: df.withColumn("stake", F.when(sz.no_bet(F.col("p_up"), band), 0.0).otherwise(F.col("stake")))
 
-#: Words that a code node may not hold: clocks, randomness, files, processes and networks differ between runs.
-BANNED = ("import ", "open(", "exec(", "eval(", "time", "random", "socket", "subprocess", "__")
 
+def clamp_round(low: float = 0.0, high: float = 1e12) -> Step:
+    """Stakes kept within bounds and rounded to whole ones."""
+    return lambda df: df.withColumn("stake", F.round(F.least(F.lit(high), F.greatest(F.lit(low), F.col("stake"))), 0))
 
-@node("code.python", "code", {}, {"value": "decimal?"}, variadic=True, params={"source": "string", "inputs": "string[]"})
-def _code(df, bound, params, at):
-    """A pure expression over pandas Series named by its inputs; results are rounded to nine decimals."""
-    source, names = params["source"], params["inputs"]
-    for word in BANNED:
-        if word in source:
-            raise FlowError(f"code may not contain {word.strip()!r}")
-    compiled = compile(source, "<code>", "eval")
 
-    @F.pandas_udf("double")
-    def run(frame: pd.DataFrame) -> pd.Series:
-        out = eval(compiled, {"__builtins__": {"abs": abs, "min": min, "max": max}}, {n: frame[n] for n in names})  # noqa: S307  checked above
-        return pd.Series(out, index=frame.index).astype(float).round(9)
-
-    return df.withColumn(_column(at, "value"), run(F.struct(*(F.col(bound[n]).cast("double").alias(n) for n in names))))
-
-
-def _split(end: str) -> tuple[str, str]:
-    at, _, port = end.partition(".")
-    return at, port
-
-
-def validate(flow: dict, replay: bool = True) -> list[str]:
-    """Node ids in topological order; FlowError with the first check that fails.
-
-    1 unique ids of known types, 2 one terminal of category output, 3 edges
-    join known ports of equal type, 4 required inputs are bound, 5 no cycle,
-    6 every node may run in a replay.
-    """
-    nodes = {}
-    for n in flow["nodes"]:
-        if n["id"] in nodes:
-            raise FlowError(f"repeated node {n['id']}")
-        if n["type"] not in REGISTRY:
-            raise FlowError(f"unknown type {n['type']}")
-        nodes[n["id"]] = REGISTRY[n["type"]]
-    ends = [i for i, n in nodes.items() if n.category == "output"]
-    if len(ends) != 1:
-        raise FlowError(f"{len(ends)} terminals")
-    bound: dict[str, set[str]] = {i: set() for i in nodes}
-    before: dict[str, set[str]] = {i: set() for i in nodes}
-    for e in flow["edges"]:
-        (a, p), (b, q) = _split(e["from"]), _split(e["to"])
-        if a not in nodes or b not in nodes or p not in nodes[a].outputs:
-            raise FlowError(f"edge from nowhere: {e['from']} to {e['to']}")
-        want = nodes[b].inputs.get(q)
-        if want is None and not nodes[b].variadic:
-            raise FlowError(f"no port {e['to']}")
-        if want not in (None, "any", nodes[a].outputs[p]):
-            raise FlowError(f"{e['from']} is {nodes[a].outputs[p]}, {e['to']} takes {want}")
-        bound[b].add(q)
-        before[b].add(a)
-    for i, n in nodes.items():
-        if missing := set(n.inputs) - bound[i]:
-            raise FlowError(f"{i} lacks {sorted(missing)}")
-    order, left = [], dict(before)
-    while left:
-        ready = sorted(i for i, b in left.items() if not b & left.keys())
-        if not ready:
-            raise FlowError("cycle")
-        order += ready
-        for i in ready:
-            del left[i]
-    if replay and (live := [i for i, n in nodes.items() if not n.replayable]):
-        raise FlowError(f"not for replays: {live}")
-    return order
-
-
-def compile_flow(flow: dict, candles: DataFrame) -> DataFrame:
-    """candles with the columns of every node and the terminal's result, lazily."""
-    specs = {n["id"]: n for n in flow["nodes"]}
-    bound: dict[str, dict[str, str]] = {i: {} for i in specs}
-    for e in flow["edges"]:
-        (a, p), (b, q) = _split(e["from"]), _split(e["to"])
-        bound[b][q] = _column(a, p)
-    for i in validate(flow):
-        candles = REGISTRY[specs[i]["type"]].run(candles, bound[i], specs[i].get("params", {}), i)
-    return candles
-
-
-def deterministic(flow: dict, candles: DataFrame) -> bool:
-    """Whether two runs give the same rows."""
-    digest = lambda: sorted(hashlib.sha256(repr(r).encode()).hexdigest() for r in compile_flow(flow, candles).toLocalIterator())
-    return digest() == digest()
+def chain(df: DataFrame, *steps: Step) -> DataFrame:
+    for step in steps:
+        df = df.transform(step)
+    return df

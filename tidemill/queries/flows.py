@@ -5,29 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.catalog import query
+from tidemill.operators import packs
 from tidemill.plans import flow as fl
 from tidemill.queries.indicators import _BASE, _OBV, _W, _z
 from tidemill.sources import market as mk
 
-_PACKS = {"mom": ("momentum_pack", ["ret_1", "ret_3", "ret_5"]), "norm": ("norm_pack", ["px_vs_ema12_atr", "ema_spread_atr", "bb_pos", "atr_pct"]), "vol": ("volume_pack", ["vol_z20", "obv_z20", "up_vol_ratio"]), "time": ("temporal_pack", ["hour_sin", "hour_cos", "is_weekend"])}
-_NAMES = [c for _, cs in _PACKS.values() for c in cs]
+_NAMES = ["ret_1", "ret_3", "ret_5", "px_vs_ema12_atr", "ema_spread_atr", "bb_pos", "atr_pct", "vol_z20", "obv_z20", "up_vol_ratio", "hour_sin", "hour_cos", "is_weekend"]
 _WEIGHTS = [round(0.4 - 0.07 * k, 2) for k in range(len(_NAMES))]
 _BIAS = -0.02
 
 
-def prediction_flow() -> dict:
-    """Four packs over one timeframe, thirteen columns, a logistic model."""
-    nodes = [{"id": "src", "type": "source.candles"}]
-    edges = []
-    for i, (pack, cs) in _PACKS.items():
-        nodes.append({"id": i, "type": f"indicator.{pack}"})
-        edges.append({"from": "src.candles", "to": f"{i}.candles"})
-        edges += [{"from": f"{i}.{c}", "to": f"matrix.{c}"} for c in cs]
-    nodes += [{"id": "matrix", "type": "feature.matrix_builder", "params": {"columns": _NAMES}}, {"id": "model", "type": "model.logistic_regression", "params": {"weights": _WEIGHTS, "bias": _BIAS}}, {"id": "out", "type": "output.prediction"}]
-    edges += [{"from": "matrix.matrix", "to": "model.matrix"}, {"from": "model.p_up", "to": "out.p_up"}]
-    return {"nodes": nodes, "edges": edges}
-
-
 _HOUR, _DOW = "(hour(make_timestamp(open_time * 1000)) + minute(make_timestamp(open_time * 1000)) / 60.0)", "dayofweek(make_timestamp(open_time * 1000))"
 _COLS = {
     "ret_1": "r1", "ret_3": "r3", "ret_5": "r5", "px_vs_ema12_atr": "CASE WHEN n >= 26 AND atr > 0 THEN (close - ema12) / atr END", "ema_spread_atr": "CASE WHEN n >= 26 AND atr > 0 THEN (ema12 - ema26) / atr END", "bb_pos": "CASE WHEN n >= 26 THEN bp END", "atr_pct": "CASE WHEN n >= 26 AND atr > 0 THEN atr / close END",
@@ -40,29 +27,31 @@ f AS (SELECT symbol, open_time, {_Z} + {_BIAS} AS z FROM base JOIN v USING (symb
 
 @query("flow_compile", f"{_FLOW_SQL} SELECT symbol, open_time, round(CASE WHEN z IS NULL THEN 0.5 ELSE 1 / (1 + exp(-z)) END, 5) + 0.0 AS p_up FROM f")
 def flow_compile(spark, sf_dir):
-    """The compiled flow over hourly candles; 0.5 until every feature is ready."""
-    out = fl.compile_flow(prediction_flow(), mk.candles(mk.trades(spark, sf_dir)))
+    """Four packs over hourly candles, thirteen features, a logistic model; 0.5 until every feature is ready."""
+    packed = map(fl.pack, (packs.momentum_pack, packs.norm_pack, packs.volume_pack, packs.temporal_pack))
+    out = fl.chain(mk.candles(mk.trades(spark, sf_dir)), *packed, fl.matrix(_NAMES), fl.logistic(_WEIGHTS, _BIAS))
     return mk.rounded(out.select("symbol", "open_time", "p_up"), 5)
 
 
-def _small(nodes: list[dict], edges: list[tuple[str, str]]) -> dict:
-    return {"nodes": nodes, "edges": [{"from": a, "to": b} for a, b in edges]}
-
-
 @query("flow_udf_code", f"{mk.with_sql(mk.candles_sql())} SELECT symbol, open_time, round(coalesce(round(CASE WHEN lag(close, 3) OVER (PARTITION BY symbol ORDER BY open_time) > 0 THEN 0.5 + ln(close / lag(close, 3) OVER (PARTITION BY symbol ORDER BY open_time)) * 0.1 END, 9), 0.5), 6) + 0.0 AS p_up FROM candles")
 def flow_udf_code(spark, sf_dir):
-    """A flow with a code node."""
-    nodes = [{"id": "src", "type": "source.candles"}, {"id": "mom", "type": "indicator.momentum_pack"}, {"id": "code", "type": "code.python", "params": {"source": "0.5 + r * 0.1", "inputs": ["r"]}}, {"id": "out", "type": "output.prediction"}]
-    f = _small(nodes, [("src.candles", "mom.candles"), ("mom.ret_3", "code.r"), ("code.value", "out.p_up")])
-    return mk.rounded(fl.compile_flow(f, mk.candles(mk.trades(spark, sf_dir))).select("symbol", "open_time", F.nanvl("p_up", F.lit(0.5)).alias("p_up")))
+    """A flow with a user's function."""
+    out = fl.chain(mk.candles(mk.trades(spark, sf_dir)), fl.pack(packs.momentum_pack), fl.code("p_up", ["ret_3"], lambda r: 0.5 + r * 0.1))
+    return mk.rounded(out.select("symbol", "open_time", F.coalesce(F.nanvl("p_up", F.lit(0.5)), F.lit(0.5)).alias("p_up")))
 
 
-@query("flow_strategy")
-def flow_strategy(spark, sf_dir):
-    """A prediction, sized by its edge, gated, and rounded to whole dollars; tests have golden values."""
-    nodes = [{"id": "src", "type": "source.candles"}, {"id": "feat", "type": "indicator.feature_pack"}, {"id": "m", "type": "feature.matrix_builder", "params": {"columns": ["z20"]}}, {"id": "model", "type": "model.logistic_regression", "params": {"weights": [-0.8], "bias": 0.1}},
-             {"id": "kelly", "type": "strategy.edge_kelly", "params": {"price": 0.55, "bank": 1000.0}}, {"id": "gate", "type": "strategy.gate", "params": {"band": 0.2}}, {"id": "clamp", "type": "strategy.clamp_round", "params": {"max": 50.0}}, {"id": "out", "type": "output.stake"}]
-    f = _small(nodes, [("src.candles", "feat.candles"), ("feat.z20", "m.z20"), ("m.matrix", "model.matrix"), ("model.p_up", "kelly.p_up"), ("kelly.stake", "gate.stake"), ("model.p_up", "gate.p_up"), ("gate.stake", "clamp.stake"), ("clamp.stake", "out.stake")])
-    return mk.rounded(fl.compile_flow(f, mk.candles(mk.trades(spark, sf_dir))).select("symbol", "open_time", F.col("model__p_up").alias("p_up"), "stake"), 5)
+_P = "CASE WHEN z20 IS NULL THEN 0.5 ELSE 1 / (1 + exp(-(0.1 - 0.8 * z20))) END"
+_WIN = "greatest(p, 1 - p)"
+_RAW = f"round(0.25 * greatest(({_WIN} - 0.55) / (1 - 0.55::DOUBLE), 0.0) * 1000.0, 2)"
 
 
+@query(
+    "flow_strategy",
+    f"""{mk.with_sql(mk.candles_sql())}, w AS (SELECT *, count(*) OVER w20 AS n, avg(close) OVER w20 AS m, stddev_pop(close) OVER w20 AS sd FROM candles WINDOW w20 AS (PARTITION BY symbol ORDER BY open_time ROWS 19 PRECEDING)),
+z AS (SELECT symbol, open_time, CASE WHEN n = 20 THEN CASE WHEN sd = 0 THEN 0.0 ELSE (close - m) / sd END END AS z20 FROM w), q AS (SELECT symbol, open_time, {_P} AS p FROM z), s AS (SELECT *, {_RAW} AS raw FROM q)
+SELECT symbol, open_time, round(p, 5) + 0.0 AS p_up, CASE WHEN p >= 0.5 THEN 'UP' ELSE 'DOWN' END AS side, round(least(50.0, greatest(0.0, CASE WHEN raw < 1 OR abs(p - 0.5) * 2 < 0.2 THEN 0.0 ELSE raw END)), 0) + 0.0 AS stake FROM s""",
+)
+def flow_strategy(spark, sf_dir):
+    """A prediction, sized by its edge, gated, and rounded to whole dollars."""
+    out = fl.chain(mk.candles(mk.trades(spark, sf_dir)), fl.pack(packs.feature_pack), fl.matrix(["z20"]), fl.logistic([-0.8], 0.1), fl.edge_kelly(0.55, 1000.0), fl.gate(0.2), fl.clamp_round(high=50.0))
+    return mk.rounded(out.select("symbol", "open_time", "p_up", "side", "stake"), 5)

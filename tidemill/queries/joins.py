@@ -160,3 +160,16 @@ def join_merge_validated(spark, sf_dir):
     t = mk.trades(spark, sf_dir)
     keys = ["symbol", "open_time"]
     return jo.unique_key(mk.candles(t), keys).join(jo.unique_key(mk.bars(t), keys), keys).select(*keys, "close", "trade_count")
+
+
+@query(
+    "join_available_asof",
+    f"""{de.with_sql(mk.bars_sql())}, m AS (SELECT symbol, open_time + {2 * mk.HOUR} AS known_at, open_time AS measured_at, buy_volume - sell_volume AS flow FROM bars)
+SELECT d.symbol, d.anchor_open, m.measured_at, round(m.flow, 6) + 0.0 AS flow FROM decisions d ASOF LEFT JOIN m ON d.symbol = m.symbol AND d.anchor_open >= m.known_at""",
+)
+def join_available_asof(spark, sf_dir):
+    """Decisions with the latest metric that was known by then: a bar's flow is published an hour after the bar has ended."""
+    b = mk.bars(mk.trades(spark, sf_dir))
+    m = b.select("symbol", (F.col("open_time") + 2 * mk.HOUR).alias("known_at"), F.col("open_time").alias("measured_at"), (F.col("buy_volume") - F.col("sell_volume")).alias("flow"))
+    d = de.decisions(spark, sf_dir).select("symbol", "anchor_open")
+    return mk.rounded(jo.asof(d, m, ["symbol"], "anchor_open", "known_at", ["measured_at", "flow"], block=64 * mk.HOUR))

@@ -122,16 +122,19 @@ def model_gate_quantile(spark, sf_dir):
 
 @query(
     "model_ood_guard",
-    f"""{mk.with_sql(mk.candles_sql())}, m AS (SELECT symbol, avg(close) AS mc, stddev_pop(close) AS sc, avg(volume) AS mv, stddev_pop(volume) AS sv, avg(high) AS mh, stddev_pop(high) AS sh FROM candles GROUP BY symbol)
-SELECT c.symbol, open_time, CASE WHEN (abs((close - mc) / sc) > 1.5)::INT + (abs((volume - mv) / sv) > 1.5)::INT + (abs((high - mh) / sh) > 1.5)::INT >= 2 THEN 0.5::DOUBLE ELSE 0.6::DOUBLE END AS p_up FROM candles c JOIN m ON c.symbol = m.symbol""",
+    f"""{mk.with_sql(mk.candles_sql())}, h AS (SELECT symbol, (min(open_time) + max(open_time)) // 2 AS half FROM candles GROUP BY symbol),
+m AS (SELECT c.symbol, half, avg(close) AS mc, stddev_pop(close) AS sc, avg(volume) AS mv, stddev_pop(volume) AS sv, avg(high) AS mh, stddev_pop(high) AS sh FROM candles c JOIN h ON c.symbol = h.symbol AND open_time < half GROUP BY c.symbol, half)
+SELECT c.symbol, open_time, CASE WHEN coalesce(abs((close - mc) / nullif(sc, 0)) > 1.5, false)::INT + coalesce(abs((volume - mv) / nullif(sv, 0)) > 1.5, false)::INT + coalesce(abs((high - mh) / nullif(sh, 0)) > 1.5, false)::INT >= 2 THEN 0.5::DOUBLE ELSE 0.6::DOUBLE END AS p_up FROM candles c JOIN m ON c.symbol = m.symbol AND open_time >= half""",
 )
 def model_ood_guard(spark, sf_dir):
-    """No opinion where features lie far out of what training saw (here 1.5 deviations, to see it act)."""
+    """No opinion where features lie far out of what the earlier half of the time showed (here 1.5 deviations, to see it act)."""
     c = _candles(spark, sf_dir)
     names = ("close", "volume", "high")
-    m = c.groupBy("symbol").agg(*(f(n).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop))))
+    half = c.groupBy("symbol").agg(F.floor((F.min("open_time") + F.max("open_time")) / 2).alias("half"))
+    c = c.join(half, "symbol")
+    m = c.filter("open_time < half").groupBy("symbol").agg(*(f(n).alias(f"{k}_{n}") for n in names for k, f in (("m", F.avg), ("s", F.stddev_pop))))
     p = mo.ood_guard([F.col(n) for n in names], [F.col(f"m_{n}") for n in names], [F.col(f"s_{n}") for n in names], F.lit(0.6), limit=1.5, least=2)
-    return c.join(m, "symbol").select("symbol", "open_time", p.alias("p_up"))
+    return c.filter("open_time >= half").join(m, "symbol").select("symbol", "open_time", p.alias("p_up"))
 
 
 @query("model_linreg_fit", f"{mk.with_sql(mk.candles_sql())} SELECT {_r('regr_intercept(close, open)', 'b0')}, {_r('regr_slope(close, open)', 'b1')} FROM candles")
@@ -153,18 +156,20 @@ def _training(spark, sf_dir):
 
 @query("model_irls")
 def model_irls(spark, sf_dir):
-    """Logistic regression; the test compares it with a dense solve."""
+    """Logistic regression by Gram matrices, one aggregation a step."""
     rows, cols = _training(spark, sf_dir)
-    beta = mo.logistic_fit(rows.cache(), cols, "y", l2=1.0)
+    beta = mo.logistic_fit(rows, cols, "y", l2=1.0)
     return mk.rounded(spark.createDataFrame([(n, float(b)) for n, b in zip(["const", *cols], beta, strict=True)], "term string, beta double"))
 
 
 @query("model_gbt_bag")
 def model_gbt_bag(spark, sf_dir):
-    """Bagged boosted trees on walk-forward folds: accuracy and Brier score of each."""
+    """Bagged boosted trees over all symbols, fitted on the earlier seven tenths of the time less three bars: accuracy and Brier score of the rest."""
     rows, cols = _training(spark, sf_dir)
-    s = mo.walk_forward(rows, cols, "y", "open_time", folds=5, embargo=3)
-    return mk.rounded(s.groupBy("symbol", "fold").agg(F.count("*").alias("n"), st.share((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("accuracy"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")))
+    lo, hi = rows.agg(F.min("open_time"), F.max("open_time")).first()
+    cut = (lo or 0) + int(((hi or 0) - (lo or 0)) * 0.7)
+    s = mo.boosted_bag(rows.filter(F.col("open_time") < cut - 3 * _H), rows.filter(F.col("open_time") >= cut), cols, "y")
+    return mk.rounded(s.groupBy("symbol").agg(F.count("*").alias("n"), st.share((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("accuracy"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")))
 
 
 _FOLD = "f AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY target_open) - 1 AS k, count(*) OVER (PARTITION BY symbol) // 6 AS size FROM bets), g AS (SELECT symbol, CAST(k // size AS BIGINT) AS fold, count(*) AS n, count(*) FILTER (WHERE won) AS w, avg((p_up - CAST(outcome_up AS INTEGER)) ** 2) AS brier FROM f WHERE k // size BETWEEN 1 AND 5 GROUP BY ALL)"
@@ -187,9 +192,17 @@ def model_walkforward(spark, sf_dir):
     return mk.rounded(a.select("symbol", "bets", hit.alias("hit_rate"), low.alias("ci_low"), "brier", "above", verdict.alias("verdict")))
 
 
-@query("model_pava_fit")
+_PAVA = """s AS (SELECT symbol, p_up AS x, count(*) AS n, sum(outcome_up::INTEGER) AS y FROM bets GROUP BY ALL),
+c AS (SELECT symbol, x, row_number() OVER w AS i, sum(n) OVER w AS n, sum(y) OVER w AS y FROM s WINDOW w AS (PARTITION BY symbol ORDER BY x)),
+m AS (SELECT a.symbol, a.i AS j, b.i AS k, (b.y - coalesce(z.y, 0)) / (b.n - coalesce(z.n, 0))::DOUBLE AS mean FROM c a JOIN c b ON a.symbol = b.symbol AND a.i <= b.i LEFT JOIN c z ON z.symbol = a.symbol AND z.i = a.i - 1),
+l AS (SELECT symbol, j, k AS i, min(mean) OVER (PARTITION BY symbol, j ORDER BY k DESC) AS low FROM m),
+v AS (SELECT symbol, i, round(max(low), 9) AS y FROM l GROUP BY symbol, i),
+e AS (SELECT v.symbol, x, v.y, lag(v.y) OVER w AS before, lead(v.y) OVER w AS after FROM v JOIN c ON v.symbol = c.symbol AND v.i = c.i WINDOW w AS (PARTITION BY v.symbol ORDER BY x))"""
+
+
+@query("model_pava_fit", f"{de.with_sql(_PAVA)} SELECT symbol, CAST(row_number() OVER (PARTITION BY symbol ORDER BY x) - 1 AS INTEGER) AS k, {_r('x', 'x')}, {_r('y', 'y')} FROM e WHERE before IS DISTINCT FROM y OR after IS DISTINCT FROM y")
 def model_pava_fit(spark, sf_dir):
-    """Isotonic breakpoints by symbol; tests have golden values."""
+    """Isotonic breakpoints by symbol; in SQL a value is the greatest over starts of the least mean over ends."""
     fit = mo.isotonic_fit(de.bets(spark, sf_dir).withColumn("y", _y()), "symbol", "p_up", "y")
     return mk.rounded(fit.select("symbol", F.posexplode(F.arrays_zip("xs", "ys")).alias("k", "b")).select("symbol", "k", F.col("b.xs").alias("x"), F.col("b.ys").alias("y")))
 
@@ -209,12 +222,14 @@ def model_pava_apply(spark, sf_dir):
 
 @query("model_mondrian")
 def model_mondrian(spark, sf_dir):
-    """Calibration of its own for each volatility bucket and side."""
+    """Calibration of its own for each volatility bucket and side, fitted on the earlier seven tenths of the time and judged on the rest."""
     w = Window.partitionBy("symbol").orderBy("anchor_open").rowsBetween(-23, 0)
     b = de.bets(spark, sf_dir).withColumn("vol", F.stddev_samp("close").over(w) / F.col("close")).filter("vol IS NOT NULL")
     b = b.withColumn("bucket", F.concat(F.when(F.col("vol") < 0.6, "calm").when(F.col("vol") < 1.2, "normal").otherwise("wild"), F.when(F.col("p_up") >= 0.5, "-up").otherwise("-down"))).withColumn("y", _y())
-    fits = mo.isotonic_fit(b, "bucket", "p_up", "y")
-    out = b.join(F.broadcast(fits), "bucket").withColumn("p_cal", mo.piecewise(F.col("p_up"), F.col("xs"), F.col("ys")))  # at most six buckets
+    lo, hi = b.agg(F.min("anchor_open"), F.max("anchor_open")).first()
+    cut = (lo or 0) + int(((hi or 0) - (lo or 0)) * 0.7)
+    fits = mo.isotonic_fit(b.filter(F.col("target_open") < cut), "bucket", "p_up", "y")
+    out = b.filter(F.col("anchor_open") >= cut).join(F.broadcast(fits), "bucket").withColumn("p_cal", mo.piecewise(F.col("p_up"), F.col("xs"), F.col("ys")))  # at most six buckets
     return mk.rounded(out.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("p_up").alias("raw"), F.avg("p_cal").alias("calibrated"), F.avg("y").alias("observed")))
 
 
@@ -235,22 +250,32 @@ def model_event_gate(spark, sf_dir):
     return c.select("symbol", "open_time", ((F.col("volume") > 2 * F.col("mv")) | (F.col("high") / F.col("low") > 20) | (F.abs(F.col("close") / F.col("open") - 1) > 1.5)).alias("event"))
 
 
-@query("model_permutation_null")
+_ORDER = "md5(target_open::VARCHAR || '-7'), target_open"
+
+
+@query(
+    "model_permutation_null",
+    f"""{de.with_sql()}, k AS (SELECT symbol, p_up, outcome_up::INTEGER AS y, row_number() OVER (PARTITION BY symbol ORDER BY target_open) AS k, row_number() OVER (PARTITION BY symbol ORDER BY {_ORDER}) AS s FROM bets),
+j AS (SELECT a.symbol, a.p_up AS x, a.y, b.y AS other, (0.1 + 0.8 * a.y)::DOUBLE AS leak FROM k a JOIN k b ON a.symbol = b.symbol AND a.k = b.s),
+f AS (SELECT symbol, regr_slope(y, x) AS b1, regr_intercept(y, x) AS a1, regr_slope(other, x) AS b2, regr_intercept(other, x) AS a2, regr_slope(y, leak) AS b3, regr_intercept(y, leak) AS a3 FROM j GROUP BY symbol)
+SELECT symbol, count(*) AS n, {_r("avg(((a1 + b1 * x >= 0.5) = (y = 1))::INT)", "true_hit")}, {_r("avg(((a2 + b2 * x >= 0.5) = (other = 1))::INT)", "null_hit")}, {_r("avg(((a3 + b3 * leak >= 0.5) = (y = 1))::INT)", "leak_hit")} FROM j JOIN f USING (symbol) GROUP BY symbol""",
+)
 def model_permutation_null(spark, sf_dir):
-    """Hit-rates against labels shuffled by a hash within the symbol, and with the label leaked in, beside the true one."""
+    """Hit-rates of linear fits: to the labels, to labels shuffled within the symbol by a hash, and with the label leaked into the feature."""
     w = Window.partitionBy("symbol")
-    b = de.bets(spark, sf_dir).withColumns({"k": F.row_number().over(w.orderBy("target_open")), "s": F.row_number().over(w.orderBy(F.xxhash64("target_open", F.lit(7)), "target_open"))})
-    shuffled = b.select("symbol", F.col("s").alias("k"), F.col("outcome_up").alias("other"))
-    j = b.join(shuffled, ["symbol", "k"])
-    up = F.col("p_up") >= 0.5
-    return mk.rounded(j.groupBy("symbol").agg(F.count("*").alias("n"), st.share(F.col("won")).alias("true_hit"), st.share(up == F.col("other")).alias("null_hit"), st.share(F.col("outcome_up") == F.col("outcome_up")).alias("leak_hit")))
+    key = F.md5(F.concat(F.col("target_open").cast("string"), F.lit("-7")))
+    b = de.bets(spark, sf_dir).select("symbol", F.col("p_up").alias("x"), F.col("outcome_up").cast("int").alias("y"), F.row_number().over(w.orderBy("target_open")).alias("k"), F.row_number().over(w.orderBy(key, "target_open")).alias("s"))
+    j = b.join(b.select("symbol", F.col("s").alias("k"), F.col("y").alias("other")), ["symbol", "k"]).withColumn("leak", 0.1 + 0.8 * F.col("y"))
+    cases = {"true_hit": ("y", "x"), "null_hit": ("other", "x"), "leak_hit": ("y", "leak")}
+    fits = j.groupBy("symbol").agg(*(f(y, x).alias(f"{n}_{p}") for n, (y, x) in cases.items() for p, f in (("b", F.regr_slope), ("a", F.regr_intercept))))
+    hit = lambda n, y, x: st.share((F.col(f"{n}_a") + F.col(f"{n}_b") * F.col(x) >= 0.5) == (F.col(y) == 1)).alias(n)
+    return mk.rounded(j.join(fits, "symbol").groupBy("symbol").agg(F.count("*").alias("n"), *(hit(n, y, x) for n, (y, x) in cases.items())))
 
 
 @query("model_permutation_importance")
 def model_permutation_importance(spark, sf_dir):
     """What accuracy a fitted model loses when one feature is dealt out anew; all features in one pass over exploded copies."""
     rows, cols = _training(spark, sf_dir)
-    rows = rows.cache()
     beta = mo.logistic_fit(rows, cols, "y", l2=1.0)
     w = Window.partitionBy("symbol")
     r = rows.withColumns({"k": F.row_number().over(w.orderBy("open_time")), "s": F.row_number().over(w.orderBy(F.xxhash64("open_time", F.lit(3)), "open_time"))})
@@ -269,3 +294,48 @@ def model_kelly_frontier(spark, sf_dir):
     return mk.rounded(g.select("p", "f", (F.col("p") * F.ln(1 + F.col("f") * 0.98) + (1 - F.col("p")) * F.ln(1 - F.col("f"))).alias("growth")))
 
 
+_EMBARGO = 3
+_FITTED = f"""k AS (SELECT symbol, target_open, p_up AS x, outcome_up::INTEGER AS y, row_number() OVER (PARTITION BY symbol ORDER BY target_open) - 1 AS k, count(*) OVER (PARTITION BY symbol) // 6 AS size FROM bets),
+t AS (SELECT symbol, f AS fold, x, y FROM k, range(1, 6) r(f) WHERE k < f * size - {_EMBARGO}),
+m AS (SELECT symbol, fold, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM t GROUP BY ALL),
+i AS (SELECT symbol, fold, avg(((a + b * x >= 0.5) = (y = 1))::INTEGER) AS hit FROM t JOIN m USING (symbol, fold) GROUP BY ALL),
+o AS (SELECT k.symbol, fold, count(*) AS n, avg(((a + b * x >= 0.5) = (y = 1))::INTEGER) AS hit, avg((greatest(0, least(1, a + b * x)) - y) ** 2) AS brier FROM k JOIN m ON k.symbol = m.symbol AND k // size = fold GROUP BY ALL)"""
+
+
+@query(
+    "model_walkforward_fit",
+    f"""{de.with_sql(_FITTED)} SELECT symbol, CAST(sum(o.n) AS BIGINT) AS n, {_r("sum(o.hit * o.n) / sum(o.n)", "hit")}, {_r("sum(brier * o.n) / sum(o.n)", "brier")}, {_r("avg(i.hit)", "in_sample")}, {_r("avg(i.hit) - avg(o.hit)", "overfit_gap")}, count(*) FILTER (WHERE o.hit > 0.5) AS above FROM o JOIN i USING (symbol, fold) GROUP BY symbol""",
+)
+def model_walkforward_fit(spark, sf_dir):
+    """Five expanding folds, each with a linear fit of its own on the rows before it less an embargo; all folds and symbols in one aggregation."""
+    w = Window.partitionBy("symbol")
+    k = de.bets(spark, sf_dir).select("symbol", F.col("p_up").alias("x"), F.col("outcome_up").cast("int").alias("y"), (F.row_number().over(w.orderBy("target_open")) - 1).alias("k"), F.floor(F.count("*").over(w) / 6).alias("size"))
+    t = k.withColumn("fold", F.explode(F.sequence(F.lit(1), F.lit(5)))).filter(F.col("k") < F.col("fold") * F.col("size") - _EMBARGO)
+    m = t.groupBy("symbol", "fold").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))
+    p = F.col("a") + F.col("b") * F.col("x")
+    hit = st.share((p >= 0.5) == (F.col("y") == 1))
+    i = t.join(m, ["symbol", "fold"]).groupBy("symbol", "fold").agg(hit.alias("own"))
+    o = k.withColumn("fold", F.floor(F.col("k") / F.col("size")).cast("int")).join(m, ["symbol", "fold"]).groupBy("symbol", "fold").agg(F.count("*").alias("n"), hit.alias("hit"), F.avg(F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), p)) - F.col("y"), 2)).alias("brier"))
+    g = o.join(i, ["symbol", "fold"]).groupBy("symbol").agg(F.sum("n").alias("n"), (F.sum(F.col("hit") * F.col("n")) / F.sum("n")).alias("hit"), (F.sum(F.col("brier") * F.col("n")) / F.sum("n")).alias("brier"), F.avg("own").alias("in_sample"), (F.avg("own") - F.avg("hit")).alias("overfit_gap"), F.count_if(F.col("hit") > 0.5).alias("above"))
+    return mk.rounded(g)
+
+
+_DAY = 86_400_000
+_PINS = f"""r AS (SELECT min(target_open) + 10 * {_DAY} AS base FROM bets), v AS (SELECT n AS win, base + n * 4 * {_DAY} AS start, base + (n + 1) * 4 * {_DAY} AS stop FROM r, range(0, 4) t(n)),
+tr AS (SELECT win, symbol, p_up AS x, outcome_up::INTEGER AS y FROM bets JOIN v ON target_open < start - 6 * {_H}),
+m AS (SELECT win, regr_slope(y, x) AS b, regr_intercept(y, x) AS a FROM tr GROUP BY win),
+te AS (SELECT v.win, symbol, target_open, a + b * p_up AS p, outcome_up::INTEGER AS y, row_number() OVER (PARTITION BY v.win ORDER BY round(abs(a + b * p_up - 0.5), 9) DESC, round(abs(p_up - 0.5), 9) DESC, target_open, symbol) AS rank, count(*) OVER (PARTITION BY v.win) AS n FROM bets JOIN v ON target_open >= start AND target_open < stop JOIN m ON m.win = v.win)"""
+
+
+@query("model_pinned_windows", f"{de.with_sql(_PINS)} SELECT CAST(win AS INTEGER) AS win, max(n) AS n, count(*) AS taken, {_r('avg(((p >= 0.5) = (y = 1))::INTEGER)', 'hit')} FROM te WHERE rank <= ceil(0.1 * n) GROUP BY win")
+def model_pinned_windows(spark, sf_dir):
+    """Four windows of fixed bounds: in each a fit on all that lies six hours before it or more, judged on the surest tenth of the window, exactly; raw confidence and time break ties."""
+    b = de.bets(spark, sf_dir).select("symbol", "target_open", F.col("p_up").alias("x"), F.col("outcome_up").cast("int").alias("y"))
+    base = (b.agg(F.min("target_open")).first()[0] or 0) + 10 * _DAY
+    pins = spark.createDataFrame([(k, base + k * 4 * _DAY, base + (k + 1) * 4 * _DAY) for k in range(4)], "win int, start long, stop long")
+    m = b.join(F.broadcast(pins), F.col("target_open") < F.col("start") - 6 * _H).groupBy("win").agg(F.regr_slope("y", "x").alias("b"), F.regr_intercept("y", "x").alias("a"))  # four windows
+    te = b.join(F.broadcast(pins), (F.col("target_open") >= F.col("start")) & (F.col("target_open") < F.col("stop"))).join(F.broadcast(m), "win").withColumn("p", F.col("a") + F.col("b") * F.col("x"))
+    w = Window.partitionBy("win")
+    sure = w.orderBy(F.round(F.abs(F.col("p") - 0.5), 9).desc(), F.round(F.abs(F.col("x") - 0.5), 9).desc(), "target_open", "symbol")
+    te = te.withColumns({"rank": F.row_number().over(sure), "n": F.count("*").over(w)}).filter(F.col("rank") <= F.ceil(F.col("n") * 0.1))
+    return mk.rounded(te.groupBy("win").agg(F.max("n").alias("n"), F.count("*").alias("taken"), st.share((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("hit")))

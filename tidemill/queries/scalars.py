@@ -197,3 +197,62 @@ def set_difference(spark, sf_dir):
 @query("set_intersection", "SELECT c_nationkey AS nation FROM customer WHERE c_acctbal < 0 INTERSECT SELECT s_nationkey FROM supplier")
 def set_intersection(spark, sf_dir):
     return _t(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.col("c_nationkey").alias("nation")).intersect(_t(spark, sf_dir, "supplier").select("s_nationkey"))
+
+
+@query(
+    "sort_grouped",
+    """WITH r AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice END AS v FROM part), g AS (SELECT *, min(p_partkey) OVER (PARTITION BY p_brand) AS first FROM r)
+SELECT p_partkey, p_brand, v, row_number() OVER (ORDER BY first, v ASC NULLS LAST, p_partkey) AS up, row_number() OVER (ORDER BY first, v DESC NULLS LAST, p_partkey) AS down FROM g ORDER BY up LIMIT 50""",
+)
+def sort_grouped(spark, sf_dir):
+    """The first page of rows sorted within groups, which keep the order of their first appearance; nulls sink either way."""
+    v = F.when(F.col("p_partkey") % 7 != 0, F.col("p_retailprice"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_brand", v.alias("v"))
+    groups = p.groupBy("p_brand").agg(F.min("p_partkey").alias("first"), F.count("*").alias("n"))
+    before = groups.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")  # one row a group
+    w = Window.partitionBy("p_brand")
+    place = lambda order: F.col("before") + F.row_number().over(w.orderBy(order, "p_partkey"))
+    q = p.join(before, "p_brand").select("p_partkey", "p_brand", "v", place(F.col("v").asc_nulls_last()).alias("up"), place(F.col("v").desc_nulls_last()).alias("down"))
+    return q.orderBy("up").limit(50)
+
+
+@query(
+    "page_market_search",
+    """WITH m AS (SELECT DISTINCT p_partkey, p_name, p_brand, p_retailprice FROM part WHERE contains(lower(p_name), 'a') AND p_size >= 10 AND p_brand <> 'Brand#11'),
+v AS (SELECT l_partkey, sum(l_quantity) AS volume FROM lineitem GROUP BY l_partkey) SELECT p_partkey, p_name, p_brand, coalesce(volume, 0.0) AS volume FROM m LEFT JOIN v ON l_partkey = p_partkey ORDER BY volume DESC, p_partkey LIMIT 20 OFFSET 20""",
+)
+def page_market_search(spark, sf_dir):
+    """The second page of a search: filtered by words and category, each once, with volumes, the largest first."""
+    p, l = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("part", "lineitem"))
+    found = p.filter(F.lower("p_name").contains("a") & (F.col("p_size") >= 10) & (F.col("p_brand") != "Brand#11")).select("p_partkey", "p_name", "p_brand", "p_retailprice")
+    volume = l.groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.sum("l_quantity").alias("volume"))
+    q = found.union(found).dropDuplicates().join(volume, "p_partkey", "left").select("p_partkey", "p_name", "p_brand", F.coalesce("volume", F.lit(0.0)).alias("volume"))
+    return q.orderBy(F.desc("volume"), "p_partkey").offset(20).limit(20)
+
+
+@query("scalar_json_variant", """SELECT event_id, coalesce(CAST(CASE WHEN event_type IN ('click', 'view') THEN 2 * CAST(json_extract_string(props, '$.k') AS BIGINT) END AS BIGINT), CAST(json_extract_string(props, '$.k') AS BIGINT)) AS w FROM events""")
+def scalar_json_variant(spark, sf_dir):
+    """The trained state of a variant, or of the first one where it has none, under the key of the node that asks."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type", F.get_json_object("props", "$.k").cast("long").alias("k"))
+    state = F.to_json(F.array(F.struct(F.lit("any").alias("variant"), F.struct(F.col("k").alias("old")).alias("weights")), *(F.struct(F.lit(v).alias("variant"), F.struct((2 * F.col("k")).alias("old")).alias("weights")) for v in ("click", "view"))))
+    variants = F.from_json(state, "array<struct<variant: string, weights: map<string, long>>>")
+    own = F.filter(variants, lambda v: v["variant"] == F.col("event_type"))
+    renamed = F.transform_keys(F.coalesce(F.get(own, F.lit(0)), F.get(variants, F.lit(0)))["weights"], lambda k, _: F.when(k == "old", F.lit("w")).otherwise(k))
+    return e.select("event_id", renamed["w"].alias("w"))
+
+
+@query(
+    "scalar_holdout_window",
+    """WITH s AS (SELECT o_custkey, CAST(min(epoch_ms(o_orderdate)) AS BIGINT) AS train_start, CAST(max(epoch_ms(o_orderdate)) AS BIGINT) AS train_end FROM orders GROUP BY o_custkey), n AS (SELECT CAST(max(epoch_ms(o_orderdate)) AS BIGINT) AS now FROM orders),
+w AS (SELECT *, now - train_end - 1 >= 2592000000 AS after, train_start - 1 - greatest(now - 31536000000, 0) >= 2592000000 AS before FROM s, n)
+SELECT o_custkey, CASE WHEN after THEN 'after' WHEN before THEN 'before' END AS side, CASE WHEN after THEN train_end + 1 WHEN before THEN greatest(now - 31536000000, 0) END AS start, CASE WHEN after THEN now WHEN before THEN train_start - 1 END AS stop FROM w""",
+)
+def scalar_holdout_window(spark, sf_dir):
+    """Where a model may be judged: behind its training if that leaves thirty days, else before it within a year, else nowhere."""
+    day = 86_400_000
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_custkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("t"))
+    s = o.groupBy("o_custkey").agg(F.min("t").alias("train_start"), F.max("t").alias("train_end")).crossJoin(F.broadcast(o.agg(F.max("t").alias("now"))))  # one row
+    first = F.greatest(F.col("now") - 365 * day, F.lit(0))
+    after, before = F.col("now") - F.col("train_end") - 1 >= 30 * day, F.col("train_start") - 1 - first >= 30 * day
+    pick = lambda a, b: F.when(after, a).when(before, b)
+    return s.select("o_custkey", pick(F.lit("after"), F.lit("before")).alias("side"), pick(F.col("train_end") + 1, first).alias("start"), pick(F.col("now"), F.col("train_start") - 1).alias("stop"))

@@ -1,24 +1,18 @@
-"""Backtests, sweeps, random windows, and ledgers."""
+"""Flat backtests as windows, bust sweeps, and ledgers."""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemill.catalog import query
 from tidemill.functions import sizing as sz
-from tidemill.plans import staking as sk
 from tidemill.sources import decisions as de
 from tidemill.sources import market as mk
 
 _DAY = 86_400_000
-
-
-def _candidates(spark, sf_dir):
-    """Bets with the fixed price on either side."""
-    return de.decisions(spark, sf_dir).withColumns({"yes": F.lit(de.PRICE), "no": F.lit(de.PRICE)})
+#: Bets that a stored run keeps (a fixed value).
+CAP = 2000
 
 
 @query(
@@ -34,26 +28,46 @@ def sim_flat_backtest(spark, sf_dir):
     return b.select("symbol", "target_open", "won", (F.round(1000 + F.sum(gain).over(w), 4) + 0.0).alias("balance"), sz.truncated(F.lit(10 / 0.55), 6).alias("shares"))
 
 
-@query(
-    "sim_bust_sweep_flat",
-    f"""{de.with_sql()}, e AS (SELECT max(target_open) AS last FROM bets), r AS (SELECT d AS rung, last - d::BIGINT * {_DAY} AS start FROM e, (VALUES (1), (7), (14), (28)) v(d)),
+_SWEEP = f"""e AS (SELECT max(target_open) AS last FROM bets), r AS (SELECT d AS rung, last - d::BIGINT * {_DAY} AS start FROM e, (VALUES (1), (7), (14), (28)) v(d)),
 b AS (SELECT b.symbol, rung, target_open, won, sum(CASE WHEN won THEN 10.0::DOUBLE ELSE -10.0 END) OVER (PARTITION BY b.symbol, rung ORDER BY target_open) + 60 AS after FROM bets b JOIN r ON target_open >= start),
-c AS (SELECT *, coalesce(lag(after) OVER w, 60) AS before FROM b WINDOW w AS (PARTITION BY symbol, rung ORDER BY target_open)), d AS (SELECT *, max((before < 10)::INTEGER) OVER (PARTITION BY symbol, rung ORDER BY target_open) AS dead FROM c)
-SELECT symbol, rung, CAST(sum(1 - dead) AS BIGINT) AS placed, min(CASE WHEN dead = 1 THEN target_open END) AS bust_at, arg_max(after, target_open) FILTER (WHERE dead = 0) AS final, bool_or(dead = 1) AS bust FROM d GROUP BY symbol, rung""",
-)
+c AS (SELECT *, coalesce(lag(after) OVER w, 60) AS before FROM b WINDOW w AS (PARTITION BY symbol, rung ORDER BY target_open)), d AS (SELECT *, max((before < 10)::INTEGER) OVER (PARTITION BY symbol, rung ORDER BY target_open) AS dead FROM c),
+sweep AS (SELECT symbol, rung, CAST(sum(1 - dead) AS BIGINT) AS placed, min(CASE WHEN dead = 1 THEN target_open END) AS bust_at, arg_max(after, target_open) FILTER (WHERE dead = 0) AS final, bool_or(dead = 1) AS bust FROM d GROUP BY symbol, rung)"""
+
+
+def flat_rungs(bets, rungs, stake: float, balance: float):
+    """Flat even-money results from every start time in ``rungs`` (rung, start; a short fixed list): each bet counts for the rungs that began before it.
+
+    A rung is bust at the first bet it can't cover; what it holds counts up to there.
+    """
+    b = bets.join(F.broadcast(rungs), F.col("target_open") >= F.col("start"))
+    w = Window.partitionBy("symbol", "rung").orderBy("target_open")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    b = b.withColumn("after", balance + F.sum(F.when(F.col("won"), stake).otherwise(-stake)).over(so_far))
+    b = b.withColumn("before", F.lag("after", 1, balance).over(w))
+    b = b.withColumn("dead", F.max((F.col("before") < stake).cast("int")).over(so_far) == 1)
+    g = b.groupBy("symbol", "rung").agg(F.count_if(~F.col("dead")).alias("placed"), F.min(F.when(F.col("dead"), F.col("target_open"))).alias("bust_at"), F.max_by("after", F.when(~F.col("dead"), F.col("target_open"))).alias("final"))
+    return g.withColumn("bust", F.col("bust_at").isNotNull())
+
+
+@query("sim_bust_sweep_flat", f"{de.with_sql(_SWEEP)} SELECT * FROM sweep")
 def sim_bust_sweep_flat(spark, sf_dir):
-    """How long flat stakes last from each start: every rung from one pass."""
+    """How long flat stakes last from each start."""
     b = de.bets(spark, sf_dir)
     last = b.agg(F.max("target_open")).first()[0] or 0
     rungs = spark.createDataFrame([(d, last - d * _DAY) for d in (1, 7, 14, 28)], "rung int, start long")
-    return sk.flat_rungs(b, rungs, 10.0, 60.0)
+    return flat_rungs(b, rungs, 10.0, 60.0)
 
 
-@query("agg_bust_batch")
+@query(
+    "agg_bust_batch",
+    f"""{de.with_sql(_SWEEP)} SELECT symbol, count(*) AS rungs, bool_or(bust) AS any_bust, min(rung) FILTER (WHERE bust) AS first_bust, max(rung) AS longest,
+  arg_max(rung, (bust::INTEGER, CASE WHEN bust THEN -rung ELSE rung END)) AS shown FROM sweep GROUP BY symbol""",
+)
 def agg_bust_batch(spark, sf_dir):
-    """A batch of rungs in one row: how many, any bust, the first bust, the longest."""
+    """A batch of rungs in one row: how many, any bust, the first bust, the longest, and the one to show (the first bust, else the longest)."""
     s = sim_bust_sweep_flat(spark, sf_dir)
-    return s.groupBy("symbol").agg(F.count("*").alias("rungs"), F.bool_or("bust").alias("any_bust"), F.min(F.when(F.col("bust"), F.col("rung"))).alias("first_bust"), F.max("rung").alias("longest"))
+    rank = F.struct(F.col("bust").cast("int").alias("bust"), F.when(F.col("bust"), -F.col("rung")).otherwise(F.col("rung")).alias("n"))
+    return s.groupBy("symbol").agg(F.count("*").alias("rungs"), F.bool_or("bust").alias("any_bust"), F.min(F.when(F.col("bust"), F.col("rung"))).alias("first_bust"), F.max("rung").alias("longest"), F.max_by("rung", rank).alias("shown"))
 
 
 @query(
@@ -71,35 +85,6 @@ def sim_martingale(spark, sf_dir):
     return b.select("symbol", "target_open", "won", losses.alias("losses"), (10.0 * F.pow(F.lit(2.0), losses)).alias("stake"))
 
 
-@query("sim_strategies")
-def sim_strategies(spark, sf_dir):
-    """Every staking strategy over every symbol; each run is a group of its own."""
-    c = _candidates(spark, sf_dir).withColumn("strategy", F.explode(F.array(*map(F.lit, sk.STRATEGIES))))
-    return sk.replay_groups(c, {"symbol": "string", "strategy": "string"}, 1000, 10, borrow=False)
-
-
-def _chaos(spark, sf_dir, spans=(50, 200), samples=40):
-    """Random windows of each length replayed under each strategy; only window bounds are made on the driver."""
-    c = _candidates(spark, sf_dir).cache()
-    lo, hi = c.agg(F.min("target_open"), F.max("target_open")).first()
-    windows = [(n, k, a, b) for n in spans for k, a, b in (sk.time_windows(lo, hi, n * mk.HOUR, mk.HOUR, samples, seed=1234 + n) if lo is not None else [])]
-    w = spark.createDataFrame(windows, "span int, win int, start long, stop long")
-    j = c.join(F.broadcast(w), (F.col("target_open") >= F.col("start")) & (F.col("target_open") < F.col("stop")))  # spans x samples rows
-    j = j.withColumn("strategy", F.explode(F.array(F.lit("flat"), F.lit("kelly"), F.lit("martingale"))))
-    return sk.replay_groups(j, {"symbol": "string", "strategy": "string", "span": "int", "win": "int"}, 1000, 10, borrow=False)
-
-
-@query("sim_chaos")
-def sim_chaos(spark, sf_dir):
-    """Bust rate, profit percentiles and drawdown over random windows."""
-    s = _chaos(spark, sf_dir).withColumn("profit", F.col("balance") - 1000)
-    g = s.groupBy("symbol", "strategy", "span").agg(
-        F.count("*").alias("n"), F.avg((~F.col("survived")).cast("double")).alias("bust_rate"), F.percentile("profit", 0.05).alias("p5"), F.percentile("profit", 0.5).alias("p50"), F.percentile("profit", 0.95).alias("p95"),
-        F.avg("profit").alias("mean"), F.max("drawdown").alias("worst"), F.avg("crossings").alias("crossings"),
-    )
-    return mk.rounded(g.withColumn("pass", (F.col("bust_rate") == 0) & (F.col("p50") > 0)))
-
-
 @query("agg_chaos_percentiles", "SELECT o_orderpriority AS combo, count(*) AS n, round(quantile_cont(o_totalprice - 250000, 0.05), 4) + 0.0 AS p5, round(quantile_cont(o_totalprice - 250000, 0.5), 4) + 0.0 AS p50, round(quantile_cont(o_totalprice - 250000, 0.95), 4) + 0.0 AS p95, round(avg((o_totalprice < 20000)::INTEGER), 6) + 0.0 AS bust_rate FROM orders GROUP BY ALL")
 def agg_chaos_percentiles(spark, sf_dir):
     p = F.col("o_totalprice") - 250000
@@ -107,55 +92,11 @@ def agg_chaos_percentiles(spark, sf_dir):
     return mk.rounded(g)
 
 
-#: Replicates of a symbol, and how many of them one row stands for; bets of a block.
-REPLICATES, PER_ROW, BLOCK = 1000, 50, 50
-
-
-def reordered(n: int, seed: int) -> np.ndarray:
-    """0 to n - 1 with whole blocks shuffled; the last block may be short."""
-    blocks = np.split(np.arange(n), range(BLOCK, n, BLOCK))
-    return np.concatenate([blocks[k] for k in np.random.default_rng(seed).permutation(len(blocks))])
-
-
-@query("sim_bootstrap")
-def sim_bootstrap(spark, sf_dir):
-    """Block-bootstrap reorderings of a quarter-Kelly run with a 2 % cap, a settlement queue and a 10 % exposure limit.
-
-    A symbol's bets are one short array; every replicate puts all its blocks, each once, into an order of its own.
-    """
-    bets = de.bets(spark, sf_dir).groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("target_open", "p_up", "won"))).alias("b"))
-    runs = bets.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(REPLICATES), F.lit(PER_ROW)))).repartition("symbol", "replicate")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for symbol, first, b in zip(pdf["symbol"], pdf["replicate"], pdf["b"], strict=True):
-                won, p = np.array([x["won"] for x in b]), np.array([x["p_up"] for x in b])
-                for replicate in range(first, min(first + PER_ROW, REPLICATES + 1)):
-                    order = reordered(len(won), replicate)
-                    bank, peak, worst, open_bets = 1000.0, 1000.0, 0.0, []
-                    for t, k in enumerate(order):
-                        while open_bets and open_bets[0][0] <= t:
-                            bank += open_bets.pop(0)[1]
-                            peak = max(peak, bank)
-                            worst = max(worst, 1 - bank / peak)
-                        conf = max(p[k], 1 - p[k])
-                        stake = min(0.25 * max(0.0, 2 * conf - 1), 0.02) * bank
-                        if stake >= 1 and sum(s for *_, s in open_bets) + stake <= 0.1 * bank:
-                            open_bets.append((t + 2, stake * 0.98 if won[k] else -stake, stake))
-                    bank += sum(g for _, g, _ in open_bets)
-                    out.append((symbol, replicate, bank, worst, bank < 100))
-            yield pd.DataFrame(out, columns=["symbol", "replicate", "final", "worst", "bust"])
-
-    s = runs.mapInPandas(run, "symbol string, replicate int, final double, worst double, bust boolean")
-    return mk.rounded(s.groupBy("symbol").agg(F.count("*").alias("runs"), F.avg(F.col("bust").cast("double")).alias("bust_rate"), F.percentile("final", 0.5).alias("median"), F.max("worst").alias("worst")))
-
-
-@query("ledger_cap", f"{de.with_sql()} SELECT symbol, target_open, won FROM bets QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY target_open DESC) <= 200")
+@query("ledger_cap", f"{de.with_sql()} SELECT symbol, target_open, won FROM bets QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY target_open DESC) <= {CAP}")
 def ledger_cap(spark, sf_dir):
-    """The last 200 bets of each run."""
+    """The last bets of each run, as many as a stored run keeps."""
     w = Window.partitionBy("symbol").orderBy(F.desc("target_open"))
-    return de.bets(spark, sf_dir).withColumn("k", F.row_number().over(w)).filter("k <= 200").select("symbol", "target_open", "won")
+    return de.bets(spark, sf_dir).withColumn("k", F.row_number().over(w)).filter(F.col("k") <= CAP).select("symbol", "target_open", "won")
 
 
 @query("ledger_insert_ignore", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 <> 0 UNION ALL SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey % 3 = 0")
@@ -180,10 +121,10 @@ def ledger_delete(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/orders.parquet").filter(~F.coalesce((F.col("o_orderstatus") == "P") & (F.col("o_totalprice") < 100000), F.lit(False))).select("o_orderkey")
 
 
-@query("ledger_markers", f"""{de.with_sql()} SELECT symbol, '[' || string_agg('{{"t":' || target_open || ',"hit":' || won || ',"side":"' || CASE WHEN p_up >= 0.5 THEN 'UP' ELSE 'DOWN' END || '"}}', ',' ORDER BY target_open) || ']' AS markers FROM bets WHERE target_open % {_DAY} = 0 GROUP BY symbol""")
+@query("ledger_markers", f"""{de.with_sql()} SELECT symbol, '[' || string_agg('{{"t":' || target_open || ',"hit":' || won || ',"side":"' || CASE WHEN p_up >= 0.5 THEN 'UP' ELSE 'DOWN' END || '"}}', ',' ORDER BY target_open) || ']' AS markers FROM bets GROUP BY symbol""")
 def ledger_markers(spark, sf_dir):
     """A run's trades as one JSON list in time order."""
-    b = de.bets(spark, sf_dir).filter(F.pmod("target_open", F.lit(_DAY)) == 0)
+    b = de.bets(spark, sf_dir)
     item = F.struct(F.col("target_open").alias("t"), F.col("won").alias("hit"), de.side(F.col("p_up")).alias("side"))
     return b.groupBy("symbol").agg(F.to_json(F.array_sort(F.collect_list(item))).alias("markers"))
 

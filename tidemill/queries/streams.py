@@ -49,7 +49,12 @@ def stream_sessions(spark, sf_dir):
     return drain(live.visits(read_events(spark, sf_dir)), "visits")
 
 
-@query("stream_resolve")
+@query(
+    "stream_resolve",
+    f"""{mk.with_sql()}, u AS (SELECT event_id AS trade_id, epoch_us(ts) AS us FROM events WHERE value > 0), t AS (SELECT trades.*, us FROM trades JOIN u USING (trade_id))
+SELECT p.symbol, p.trade_id AS prediction_id, p.lots > 50 AS up, arg_min(o.price, (o.us, o.trade_id)) AS settled_price, count(*) AS trades_seen
+FROM t p JOIN t o ON p.symbol = o.symbol AND o.us >= p.us + 3600000000 AND o.us < p.us + 7200000000 GROUP BY ALL""",
+)
 def stream_resolve(spark, sf_dir):
     """Every trade of one stream as a prediction, settled by the trades of another."""
     p = live.ticks(read_events(spark, sf_dir)).select("symbol", F.col("trade_id").alias("prediction_id"), (F.col("at") + F.expr("INTERVAL 1 HOUR")).alias("target_at"), (F.col("lots") > 50).alias("up"))
@@ -58,13 +63,6 @@ def stream_resolve(spark, sf_dir):
     return r.groupBy("symbol", "prediction_id", "up").agg(F.min_by("price", F.struct("out_at", "trade_id")).alias("settled_price"), F.count("*").alias("trades_seen"))
 
 
-@query("stream_session_state")
-def stream_session_state(spark, sf_dir):
-    """The last state of each symbol's betting session."""
-    s = drain(live.sessions(read_events(spark, sf_dir)), "state")
-    return s.groupBy("symbol").agg(F.max_by(F.struct("bets", "wins", "balance", "busted"), "bets").alias("s")).select("symbol", "s.bets", "s.wins", F.round("s.balance", 4).alias("balance"), "s.busted")
-
-
 @query("stream_latest_candle", f"{mk.with_sql()} SELECT symbol, max(ts_ms) AS last_at, arg_max(price, (ts_ms, trade_id)) AS price FROM trades GROUP BY symbol")
 def stream_latest_candle(spark, sf_dir):
     """A frame of the same time replaces, a newer one wins, an older one is ignored: the maximum by time."""

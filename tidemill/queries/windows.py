@@ -99,7 +99,28 @@ def win_top1_latest(spark, sf_dir):
     return c.groupBy("symbol").agg(F.max("open_time").alias("open_time"), F.max_by("close", "open_time").alias("close"))
 
 
-@query("win_adx")
+def _smooth(c: str) -> str:
+    """Wilder's mean of 14 of a series' rows so far, as a list expression."""
+    return f"list_reduce(list_slice({c}, 2, len({c})), lambda e, x: x * (1.0 / 14)::DOUBLE + e * (1 - 1.0 / 14)::DOUBLE, {c}[1])"
+
+
+_ADX = f"""d AS (SELECT *, high - lag(high) OVER ({_P}) AS up, lag(low) OVER ({_P}) - low AS down, greatest(high - low, coalesce(abs(high - lag(close) OVER ({_P})), 0), coalesce(abs(low - lag(close) OVER ({_P})), 0)) AS tr FROM candles),
+a AS (SELECT symbol, open_time, list(tr) OVER w AS tr, list(CASE WHEN up > down AND up > 0 THEN up ELSE 0.0 END) OVER w AS plus, list(CASE WHEN down > up AND down > 0 THEN down ELSE 0.0 END) OVER w AS minus FROM d WINDOW w AS ({_P} ROWS UNBOUNDED PRECEDING)),
+m AS (SELECT symbol, open_time, 100 * {_smooth("plus")} / ({_smooth("tr")} + 1e-12) AS p, 100 * {_smooth("minus")} / ({_smooth("tr")} + 1e-12) AS m FROM a WHERE len(tr) >= 14),
+x AS (SELECT symbol, open_time, (p - m) / (p + m + 1e-12) AS dmi, list(100 * abs(p - m) / (p + m + 1e-12)) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS dx FROM m)"""
+
+
+@query("win_adx", f"{mk.with_sql(_C, _ADX)} SELECT symbol, open_time, round(CASE WHEN len(dx) >= 14 THEN {_smooth('dx')} / 100 END, 6) + 0.0 AS adx, round(dmi, 6) + 0.0 AS dmi FROM x")
 def win_adx(spark, sf_dir):
-    """ADX and DMI by Wilder's smoothing, whose memory never ends: a fold of each symbol."""
+    """ADX and DMI by Wilder's smoothing, whose memory never ends: sums in blocks, carried over."""
     return mk.rounded(ro.adx(mk.candles(mk.trades(spark, sf_dir))))
+
+
+@query("win_zero_crossings", f"{mk.with_sql(_C, _R)}, t AS (SELECT *, sign(r) AS sg, last_value(nullif(sign(r), 0) IGNORE NULLS) OVER ({_P} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s) SELECT symbol, open_time, CAST(sum(CASE WHEN sg <> 0 AND b <> sg THEN 1 ELSE 0 END) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS crossings FROM t")
+def win_zero_crossings(spark, sf_dir):
+    """How often returns have changed sign so far; zeros keep the sign before them."""
+    w = mk.series()
+    sign = F.signum("r")
+    before = F.last(F.nullif(sign, F.lit(0.0)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    c = _candles(spark, sf_dir).withColumn("turn", F.coalesce(((sign != 0) & (before != sign)).cast("long"), F.lit(0)))
+    return c.select("symbol", "open_time", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("crossings"))

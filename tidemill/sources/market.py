@@ -30,14 +30,14 @@ def last_closed(now: Column, interval: int) -> Column:
 
 def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """symbol, ts_ms, trade_id, price, lots, qty, is_buyer_maker; trades without a positive price don't count."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value > 0")
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").filter("value > 0").withColumn("lots", F.get_json_object("props", "$.k").cast("long"))
     return events.select(
         F.col("event_type").alias("symbol"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"),
         F.col("event_id").alias("trade_id"),
         F.col("value").alias("price"),
-        F.get_json_object("props", "$.k").cast("long").alias("lots"),
-        (F.get_json_object("props", "$.k").cast("long") / LOTS).alias("qty"),
+        "lots",
+        (F.col("lots") / LOTS).alias("qty"),
         (F.pmod("user_id", F.lit(2)) == 0).alias("is_buyer_maker"),
     )
 

@@ -1,13 +1,9 @@
-"""The live path: bars of closed buckets, late rows, idempotent predictions, and stateful sessions."""
+"""The live path: bars of closed buckets, late rows, and idempotent predictions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def ticks(events: DataFrame) -> DataFrame:
@@ -47,29 +43,3 @@ def resolved(predictions: DataFrame, outcomes: DataFrame, late: str = "1 hour")
     o = outcomes.withWatermark("out_at", late).withColumn("_out_hour", F.floor(F.unix_timestamp("out_at") / 3600))
     near = (F.col("symbol") == F.col("out_symbol")) & (F.col("_hour") == F.col("_out_hour")) & (F.col("out_at") >= F.col("target_at")) & (F.col("out_at") < F.col("target_at") + F.expr("INTERVAL 1 HOUR"))
     return p.join(o, near).drop("_hour", "_out_hour")
-
-
-_SESSION = "symbol string, bets long, wins long, balance double, busted boolean"
-
-
-def sessions(events: DataFrame, stake: float = 10.0, balance: float = 500.0, price: float = 0.55) -> DataFrame:
-    """One open bet a symbol at a time, kept as state: each trade settles the last bet and, if the bank allows, opens one on its own side."""
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        bank, bets, wins, last, side, at = state.get if state.exists else (balance, 0, 0, float("nan"), 0, -1)
-        rows = pd.concat(list(batches)).sort_values(["ms", "trade_id"])
-        for ms, p, up in zip(rows["ms"], rows["price"], rows["up"], strict=True):
-            if ms < at:
-                continue  # older than what is settled
-            if side and p != last:
-                won = (p > last) == (side > 0)
-                bank += stake * (1 - price) / price if won else -stake
-                bets, wins, side = bets + 1, wins + int(won), 0
-            if not side and bank >= stake:
-                last, side = float(p), 1 if up else -1
-            at = int(ms)
-        state.update((bank, bets, wins, last, side, at))
-        yield pd.DataFrame([(key[0], bets, wins, bank, bank < stake)], columns=["symbol", "bets", "wins", "balance", "busted"])
-
-    t = ticks(events).select("symbol", F.unix_millis("at").alias("ms"), "trade_id", "price", (~F.col("is_buyer_maker")).alias("up"))
-    return t.groupBy("symbol").applyInPandasWithState(step, _SESSION, "bank double, bets long, wins long, last double, side long, at long", "append", GroupStateTimeout.NoTimeout)
