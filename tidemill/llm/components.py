@@ -30,12 +30,12 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
         offered = seen.groupBy("node").agg(F.min("component").alias("near"))
         met = labels.join(offered, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("old"))
         met = work.save(met, f"{name}-met")
-        roots = work.save(frequent(met.groupBy("next").agg(F.count("*").alias("n")), "n"), f"{name}-roots").select("next")
+        roots = frequent(met.groupBy("next").agg(F.count("*").alias("n")), "n").select("next")
         far = lookup(met, labels.toDF("next", "jump"), ["next"], ["jump"], roots, F.col("node"))
         moved = work.save(far.select("node", F.least("next", "jump").alias("component"), "old"), f"{name}-{step}")
         changed = moved.filter("component <> old").limit(1).count()
         labels = moved.select("node", "component")
-        for used in (f"{name}-{step - 1}", f"{name}-met", f"{name}-roots"):
+        for used in (f"{name}-{step - 1}", f"{name}-met"):
             work.drop(used)
         if not changed:
             return labels
