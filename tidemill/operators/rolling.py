@@ -158,6 +158,16 @@ def ewm(df: DataFrame, c: str, alpha: float) -> DataFrame:
     return decayed(df.select(*KEYS, c), [c], alpha).select(*KEYS, (F.col(f"sum_{c}") / weights).alias("ewm_adj"), recursive(c, alpha).alias("ewm_rec"))
 
 
+def ewm_std(df: DataFrame, c: str, alpha: float) -> DataFrame:
+    """Sample deviation by normalised exponential weights; NULL for the first row."""
+    keep, rows = 1 - alpha, F.col("n") + 1
+    s = decayed(df.select(*KEYS, c).withColumn("square", F.col(c) * F.col(c)), [c, "square"], alpha)
+    w, w2 = (1 - F.pow(F.lit(keep), rows)) / alpha, (1 - F.pow(F.lit(keep * keep), rows)) / (1 - keep * keep)
+    mean = F.col(f"sum_{c}") / w
+    var = F.greatest(F.col("sum_square") / w - mean * mean, F.lit(0.0)) * w * w / (w * w - w2)
+    return s.select(*KEYS, F.when(F.col("n") > 0, F.sqrt(var)).alias("ewm_std"))
+
+
 def adx(df: DataFrame, n: int = 14) -> DataFrame:
     """ADX from 0 to 1 and DMI from -1 to 1 by Wilder's smoothing; NULL until there are n rows, ADX n - 1 later."""
     w, tiny = series(), 1e-12

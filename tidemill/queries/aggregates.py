@@ -312,3 +312,14 @@ def agg_visible_hit_rate(spark, sf_dir):
     ledger = b.filter(F.pmod("target_open", F.lit(3)) == 0).select("symbol", "target_open", "won")
     own = b.filter(F.abs(F.col("p_up") - 0.5) >= 0.02).select("symbol", "target_open", ((F.col("p_up") >= 0.5) == (F.col("target_close") > F.col("close"))).alias("hit"))
     return mk.rounded(ledger.join(own, ["symbol", "target_open"], "full").groupBy("symbol").agg(F.count("*").alias("n"), st.share(F.coalesce("won", "hit")).alias("hit_rate")))
+
+
+@query("agg_mean_corr", f"{mk.with_sql(mk.candles_sql())}, r AS (SELECT symbol, open_time, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY open_time)) AS r FROM candles), c AS (SELECT a.symbol, b.symbol AS other, corr(a.r, b.r) AS c FROM r a JOIN r b ON a.open_time = b.open_time AND a.symbol <> b.symbol GROUP BY ALL) SELECT symbol, count(*) AS others, round(avg(c), 6) + 0.0 AS mean_corr FROM c GROUP BY symbol")
+def agg_mean_corr(spark, sf_dir):
+    """The mean correlation of a symbol's returns with those of the others: one row a bar, symbols side by side, so no bar meets another."""
+    c = mk.candles(mk.trades(spark, sf_dir))
+    r = c.select("symbol", "open_time", F.ln(F.col("close") / F.lag("close").over(mk.series())).alias("r")).filter("r IS NOT NULL")
+    bars = r.groupBy("open_time").agg(F.collect_list(F.struct("symbol", "r")).alias("all"))  # as many as there are symbols
+    pairs = bars.select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).filter("a.symbol <> b.symbol")
+    g = pairs.groupBy(F.col("a.symbol").alias("symbol"), F.col("b.symbol").alias("other")).agg(F.corr("a.r", "b.r").alias("c"))
+    return mk.rounded(g.groupBy("symbol").agg(F.count("*").alias("others"), F.avg("c").alias("mean_corr")))

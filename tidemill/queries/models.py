@@ -339,3 +339,20 @@ def model_pinned_windows(spark, sf_dir):
     sure = w.orderBy(F.round(F.abs(F.col("p") - 0.5), 9).desc(), F.round(F.abs(F.col("x") - 0.5), 9).desc(), "target_open", "symbol")
     te = te.withColumns({"rank": F.row_number().over(sure), "n": F.count("*").over(w)}).filter(F.col("rank") <= F.ceil(F.col("n") * 0.1))
     return mk.rounded(te.groupBy("win").agg(F.max("n").alias("n"), F.count("*").alias("taken"), st.share((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("hit")))
+
+
+@query(
+    "model_meta_fit",
+    f"""{de.with_sql()}, h AS (SELECT *, abs(p_up - 0.5) AS conf, won::INTEGER AS y, target_open < (min(target_open) OVER (PARTITION BY symbol) + max(target_open) OVER (PARTITION BY symbol)) // 2 AS early FROM bets),
+m AS (SELECT symbol, regr_slope(y, conf) AS b, regr_intercept(y, conf) AS a FROM h WHERE early GROUP BY symbol), s AS (SELECT h.symbol, target_open, p_up, greatest(0.0, least(1.0, a + b * conf)) AS q FROM h JOIN m ON h.symbol = m.symbol WHERE NOT early)
+SELECT symbol, target_open, {_r("q", "p_correct")}, {_r("CASE WHEN p_up >= 0.5 THEN q ELSE 1 - q END", "p_meta")} FROM s""",
+)
+def model_meta_fit(spark, sf_dir):
+    """A second stage: how likely the first is right, a linear fit of its hits on its confidence in the earlier half of the time, for the later half."""
+    w = Window.partitionBy("symbol")
+    half = F.floor((F.min("target_open").over(w) + F.max("target_open").over(w)) / 2)
+    h = de.bets(spark, sf_dir).withColumns({"conf": F.abs(F.col("p_up") - 0.5), "hit": F.col("won").cast("int"), "early": F.col("target_open") < half})
+    m = h.filter("early").groupBy("symbol").agg(F.regr_slope("hit", "conf").alias("b"), F.regr_intercept("hit", "conf").alias("a"))
+    q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("a") + F.col("b") * F.col("conf")))
+    s = h.filter("NOT early").join(m, "symbol").withColumn("p_correct", q)
+    return mk.rounded(s.select("symbol", "target_open", "p_correct", F.when(F.col("p_up") >= 0.5, F.col("p_correct")).otherwise(1 - F.col("p_correct")).alias("p_meta")))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.catalog import query
+from tidemill.sinks.tables import Table
 from tidemill.sources import market as mk
 from tidemill.streaming import live
-from tidemill.streaming.run import drain, read_events
+from tidemill.streaming.run import drain, folder, read_events
 
 _H = mk.HOUR
 _MAX = "(SELECT max(epoch_us(ts)) // 1000 FROM events WHERE value > 0)"
@@ -65,6 +66,8 @@ def stream_resolve(spark, sf_dir):
 
 @query("stream_latest_candle", f"{mk.with_sql()} SELECT symbol, max(ts_ms) AS last_at, arg_max(price, (ts_ms, trade_id)) AS price FROM trades GROUP BY symbol")
 def stream_latest_candle(spark, sf_dir):
-    """A frame of the same time replaces, a newer one wins, an older one is ignored: the maximum by time."""
-    t = mk.trades(spark, sf_dir)
-    return t.groupBy("symbol").agg(F.max("ts_ms").alias("last_at"), F.max_by("price", F.struct("ts_ms", "trade_id")).alias("price"))
+    """The live row of each symbol, kept by a stream in a table."""
+    at = folder(spark, "latest")
+    table = Table(spark, f"{at}/table", "last_at long, trade_id long, price double, symbol string", "symbol")
+    live.keep_latest(read_events(spark, sf_dir), table, f"{at}/state")
+    return table.read().select("symbol", "last_at", "price")

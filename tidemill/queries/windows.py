@@ -82,6 +82,16 @@ _win(
 )
 
 
+_W = "pow(1 - 2.0 / 13, len(a) - i)"
+_SUM = lambda e: f"list_sum(list_transform(range(1, len(a) + 1), lambda i: {e}))"
+_win(
+    "win_ewm_std",
+    {"ewm_std": f"CASE WHEN len(a) > 1 THEN sqrt({_SUM(f'{_W} * (a[i] - m) * (a[i] - m)')} / {_SUM(_W)} * {_SUM(_W)} * {_SUM(_W)} / ({_SUM(_W)} * {_SUM(_W)} - {_SUM(f'{_W} * {_W}')})) END"},
+    lambda c: ro.ewm_std(c, "close", 2 / 13),
+    more=f"{_R}, q AS (SELECT *, list(close) OVER ({_P}) AS a FROM s), t AS (SELECT *, {_SUM(f'{_W} * a[i]')} / {_SUM(_W)} AS m FROM q)", source="t", digits=5,
+)
+
+
 @query("win_ffill_limit", f"""{mk.with_sql(_C)}, r AS (SELECT symbol, unnest(range(min(open_time), max(open_time) + 1, {mk.HOUR})) AS open_time FROM candles GROUP BY symbol),
 g AS (SELECT r.symbol, r.open_time, close FROM r LEFT JOIN candles c ON r.symbol = c.symbol AND r.open_time = c.open_time)
 SELECT symbol, open_time, last_value(close IGNORE NULLS) OVER {_w(4)} AS ffill3, first_value(close IGNORE NULLS) OVER ({_P} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bfill FROM g""")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemill.sinks.tables import Table
+
 
 def ticks(events: DataFrame) -> DataFrame:
     return events.filter("value > 0").select(
@@ -43,3 +45,21 @@ def resolved(predictions: DataFrame, outcomes: DataFrame, late: str = "1 hour")
     o = outcomes.withWatermark("out_at", late).withColumn("_out_hour", F.floor(F.unix_timestamp("out_at") / 3600))
     near = (F.col("symbol") == F.col("out_symbol")) & (F.col("_hour") == F.col("_out_hour")) & (F.col("out_at") >= F.col("target_at")) & (F.col("out_at") < F.col("target_at") + F.expr("INTERVAL 1 HOUR"))
     return p.join(o, near).drop("_hour", "_out_hour")
+
+
+def keep_latest(events: DataFrame, table: Table, checkpoint: str) -> None:
+    """Run a stream of trades to its end into a table of one row a symbol: a frame of the same time or later replaces what is there, an older one is ignored.
+
+    Each micro-batch is reduced to a row a symbol before it meets the table, and
+    writing it twice changes nothing.
+    """
+
+    def merge(batch: DataFrame, _: int) -> None:
+        new = batch.groupBy("symbol").agg(F.max(F.struct("at", "trade_id", "price")).alias("t"))
+        rows = new.select("symbol", F.unix_millis("t.at").alias("last_at"), F.col("t.trade_id").alias("trade_id"), F.col("t.price").alias("price"))
+        both = table.read().unionByName(rows)
+        top = both.groupBy("symbol").agg(F.max(F.struct("last_at", "trade_id", "price")).alias("t")).select("symbol", "t.*")
+        table.replace_range(F.lit(True), top)
+
+    query = ticks(events).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
