@@ -130,6 +130,10 @@ def ood_guard(features: list[Column], means: list[Column], stds: list[Column], p
     return F.when(sum(far[1:], far[0]) >= least, 0.5).otherwise(p)
 
 
+#: Training rows of a partition: each tree is a job or two over all of them.
+ROWS = 50_000
+
+
 def boosted_bag(train: DataFrame, test: DataFrame, x: list[str], y: str, seeds: int = 2, rounds: int = 150) -> DataFrame:
     """test with ``p``, the mean probability of boosted trees of several seeds.
 
@@ -137,10 +141,11 @@ def boosted_bag(train: DataFrame, test: DataFrame, x: list[str], y: str, seeds:
     each tree (fixed values). No training row: 0.5.
     """
     vector = VectorAssembler(inputCols=x, outputCol="_x")
-    rows = vector.transform(train).select("_x", F.col(y).cast("double").alias("_y")).persist()
+    n = train.count()
+    rows = vector.transform(train).select("_x", F.col(y).cast("double").alias("_y")).coalesce(max(1, n // ROWS)).persist()
     out, members = vector.transform(test), []
     try:
-        for seed in range(1, seeds + 1) if rows.limit(1).count() else ():
+        for seed in range(1, seeds + 1) if n else ():
             fit = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=3, stepSize=0.04, minInstancesPerNode=200, subsamplingRate=0.7, featureSubsetStrategy="0.7", seed=seed, predictionCol="_c").fit(rows)
             out = fit.setProbabilityCol(f"_p{seed}").setRawPredictionCol(f"_r{seed}").transform(out).drop("_c", f"_r{seed}")
             members.append(vector_to_array(f"_p{seed}")[1])

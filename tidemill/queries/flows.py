@@ -55,3 +55,18 @@ def flow_strategy(spark, sf_dir):
     """A prediction, sized by its edge, gated, and rounded to whole dollars."""
     out = fl.chain(mk.candles(mk.trades(spark, sf_dir)), fl.pack(packs.feature_pack), fl.matrix(["z20"]), fl.logistic([-0.8], 0.1), fl.edge_kelly(0.55, 1000.0), fl.gate(0.2), fl.clamp_round(high=50.0))
     return mk.rounded(out.select("symbol", "open_time", "p_up", "side", "stake"), 5)
+
+
+@query(
+    "flow_bands",
+    f"""{mk.with_sql(mk.candles_sql())}, r AS (SELECT *, close / lag(close) OVER (PARTITION BY symbol ORDER BY open_time) AS g FROM candles),
+q AS (SELECT symbol, open_time, close, count(g) OVER w AS n, quantile_cont(g, 0.05) OVER w AS a, quantile_cont(g, 0.5) OVER w AS b, quantile_cont(g, 0.95) OVER w AS c FROM r WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS 59 PRECEDING))
+SELECT symbol, open_time, 0.5::DOUBLE AS confidence, round(CASE WHEN n = 60 THEN close * a END, 6) + 0.0 AS p05, round(coalesce(CASE WHEN n = 60 THEN close * b END, close), 6) + 0.0 AS predicted, round(CASE WHEN n = 60 THEN close * c END, 6) + 0.0 AS p95 FROM q""",
+)
+def flow_bands(spark, sf_dir):
+    """A prediction's outputs: the next close by the median of sixty growths (the last close until there are so many), its band, and the default confidence."""
+    w = mk.series().rowsBetween(-59, 0)
+    c = mk.candles(mk.trades(spark, sf_dir)).withColumn("g", F.col("close") / F.lag("close").over(mk.series()))
+    band = lambda q: F.when(F.count("g").over(w) == 60, F.col("close") * F.percentile("g", q).over(w))
+    out = c.select("symbol", "open_time", F.coalesce(F.lit(None).cast("double"), F.lit(0.5)).alias("confidence"), band(0.05).alias("p05"), F.coalesce(band(0.5), F.col("close")).alias("predicted"), band(0.95).alias("p95"))
+    return mk.rounded(out)

@@ -356,3 +356,38 @@ def model_meta_fit(spark, sf_dir):
     q = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("a") + F.col("b") * F.col("conf")))
     s = h.filter("NOT early").join(m, "symbol").withColumn("p_correct", q)
     return mk.rounded(s.select("symbol", "target_open", "p_correct", F.when(F.col("p_up") >= 0.5, F.col("p_correct")).otherwise(1 - F.col("p_correct")).alias("p_meta")))
+
+
+@query(
+    "label_volatility_weights",
+    f"""{mk.with_sql(mk.candles_sql())}, v AS (SELECT symbol, open_time, close, avg(close) OVER w AS m, stddev_samp(close) OVER w AS sd, count(*) OVER w AS n FROM candles WINDOW w AS (PARTITION BY symbol ORDER BY open_time ROWS 11 PRECEDING)),
+u AS (SELECT symbol, open_time, CASE WHEN close < m THEN 2.0 ELSE 1.0 END / sd AS w FROM v WHERE n = 12 AND sd > 0) SELECT symbol, open_time, {_r("w / avg(w) OVER (PARTITION BY symbol)", "weight")} FROM u""",
+)
+def label_volatility_weights(spark, sf_dir):
+    """Weights by calm, twice for rows under their mean, one on average in a symbol; averages are one row a symbol."""
+    w = mk.series().rowsBetween(-11, 0)
+    c = _candles(spark, sf_dir).withColumns({"m": F.avg("close").over(w), "sd": F.stddev_samp("close").over(w), "k": F.count("*").over(w)}).filter("k = 12 AND sd > 0")
+    u = c.select("symbol", "open_time", (F.when(F.col("close") < F.col("m"), 2.0).otherwise(1.0) / F.col("sd")).alias("w"))
+    mean = u.groupBy("symbol").agg(F.avg("w").alias("mean"))
+    return mk.rounded(u.join(mean, "symbol").select("symbol", "open_time", (F.col("w") / F.col("mean")).alias("weight")))
+
+
+_GAIN = {"body": "close - open", "range": "high - low", "volume": "volume", "trades": "trades::DOUBLE"}
+_GAIN_SQL = " UNION ALL ".join(f"SELECT '{n}' AS feature, ({e})::DOUBLE AS x, y FROM t" for n, e in _GAIN.items())
+
+
+@query(
+    "model_gain_ranking",
+    f"""{mk.with_sql(mk.candles_sql())}, t AS (SELECT *, CAST(lead(close) OVER (PARTITION BY symbol ORDER BY open_time) > close AS INTEGER) AS y FROM candles QUALIFY y IS NOT NULL), l AS ({_GAIN_SQL}),
+c AS (SELECT feature, quantile_cont(x, 0.5) AS cut, avg(y) AS base, count(*) AS n FROM l GROUP BY feature), s AS (SELECT l.feature, x <= cut AS low, base, n, avg(y) AS m, count(*) AS k FROM l JOIN c ON l.feature = c.feature GROUP BY ALL)
+SELECT feature, {_r("sum(k * (m - base) * (m - base)) / any_value(n)", "gain", 9)} FROM s GROUP BY feature""",
+)
+def model_gain_ranking(spark, sf_dir):
+    """What a split of each feature at its median takes off the label's variance."""
+    t = _candles(spark, sf_dir).withColumn("y", (F.lead("close").over(mk.series()) > F.col("close")).cast("int")).filter("y IS NOT NULL")
+    t = t.select("y", (F.col("close") - F.col("open")).alias("body"), (F.col("high") - F.col("low")).alias("range"), "volume", F.col("trades").cast("double").alias("trades"))
+    l = t.unpivot(["y"], list(_GAIN), "feature", "x")
+    c = l.groupBy("feature").agg(F.percentile("x", 0.5).alias("cut"), F.avg("y").alias("base"), F.count("*").alias("n"))
+    s = l.join(F.broadcast(c), "feature").groupBy("feature", (F.col("x") <= F.col("cut")).alias("low")).agg(F.avg("y").alias("m"), F.count("*").alias("k"), F.first("base").alias("base"), F.first("n").alias("n"))  # a row a feature
+    gain = F.sum(F.col("k") * F.pow(F.col("m") - F.col("base"), 2)) / F.first("n")
+    return mk.rounded(s.groupBy("feature").agg(gain.alias("gain")), 9)

@@ -256,3 +256,28 @@ def scalar_holdout_window(spark, sf_dir):
     after, before = F.col("now") - F.col("train_end") - 1 >= 30 * day, F.col("train_start") - 1 - first >= 30 * day
     pick = lambda a, b: F.when(after, a).when(before, b)
     return s.select("o_custkey", pick(F.lit("after"), F.lit("before")).alias("side"), pick(F.col("train_end") + 1, first).alias("start"), pick(F.col("now"), F.col("train_start") - 1).alias("stop"))
+
+
+_WORDS = "list_transform(string_split(regexp_replace(name, '[_-]+', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:]))"
+
+
+@query("scalar_humanize", f"WITH n AS (SELECT p_partkey, lower(replace(p_type, ' ', '_')) || '-' || lower(replace(p_brand, '#', '__')) AS name FROM part) SELECT p_partkey, array_to_string({_WORDS}, ' ') AS label FROM n")
+def scalar_humanize(spark, sf_dir):
+    """snake_case and kebab-case names as words."""
+    name = F.concat(F.lower(F.replace("p_type", F.lit(" "), F.lit("_"))), F.lit("-"), F.lower(F.replace("p_brand", F.lit("#"), F.lit("__"))))
+    return _t(spark, sf_dir, "part").select("p_partkey", ss.humanized(name).alias("label"))
+
+
+@query(
+    "scalar_node_types",
+    """WITH j AS (SELECT o_orderkey, to_json({'nodes': [{'type': lower(o_orderpriority)}, {'type': o_orderstatus}, {'type': lower(o_orderpriority)}]}) AS flow FROM orders)
+SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_transform(CAST(json_extract_string(flow, '$.nodes[*].type') AS VARCHAR[]), lambda x: lower(x) || chr(1) || x))), ',') AS types FROM j""",
+)
+def scalar_node_types(spark, sf_dir):
+    """The distinct node types of a flow's JSON in order whatever their case (here each behind its lower-case key)."""
+    node = lambda c: F.struct(c.alias("type"))
+    p = F.lower("o_orderpriority")
+    flow = F.to_json(F.struct(F.array(node(p), node(F.col("o_orderstatus")), node(p)).alias("nodes")))
+    types = F.from_json(F.get_json_object(flow, "$.nodes[*].type"), "array<string>")
+    keyed = F.array_sort(F.array_distinct(F.transform(types, lambda x: F.concat(F.lower(x), F.lit("\x01"), x))))
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.array_join(keyed, ",").alias("types"))
