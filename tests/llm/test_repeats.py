@@ -16,7 +16,7 @@ from tidemill.llm.substring_dedup import FingerprintIndex, drop_repeated_windows
 from tidemill.llm.suffix_dedup import drop_repeats, maximal_repeats
 
 
-@pytest.mark.parametrize("hot", [0, 4, 39, 40, 41, 42])
+@pytest.mark.parametrize("hot", [0, 41, 43])
 def test_frequent_anchors(spark, hot):
     """Windows of anchors on either side of the limit: the same bytes and words go. The hard table holds a group of 40 copies and more."""
     docs = spark.createDataFrame(hard(), DOCS)

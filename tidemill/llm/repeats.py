@@ -124,10 +124,6 @@ class Chunks:
         """Take the table out of the catalogue; its files stay."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
-    def drop(self) -> None:
-        self.forget()
-        tk.remove(self.spark, self.path)
-
 
 def pieces(table: pa.Table):
     """(piece, doc_ids, bytes, offsets) of slices of a chunk; rows of null doc_id come with their id masked as the largest."""

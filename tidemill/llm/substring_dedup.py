@@ -259,13 +259,13 @@ def drop_repeated_windows(docs: DataFrame, batches: int = BATCHES, with_text: bo
         cuts = sorted(set(cuts or [])) if batches > 1 else []
         index = FingerprintIndex(docs.sparkSession, work.path("index"), max(tk.parts(docs.sparkSession), -(-(size or 0) // CHUNK_BYTES)), hot=hot)
         batch = sum((F.coalesce(F.col("doc_id") > c, F.lit(True)).cast("int") for c in cuts), F.lit(0))
-        parts = [index.add(docs.filter(batch == k), with_text) for k in range(len(cuts) + 1)]
-        out = parts[0]
-        for more in parts[1:]:
-            out = out.union(more)
-        out = work.keep(out)
-        index.close()
-    return out
+        try:
+            out = index.add(docs.filter(batch == 0), with_text)
+            for k in range(1, len(cuts) + 1):
+                out = out.union(index.add(docs.filter(batch == k), with_text))
+            return work.keep(out)
+        finally:
+            index.close()
 
 
 def op5_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -228,14 +228,15 @@ def drop_repeats(docs: DataFrame, with_text: bool = False, hot: int = HOT) -> Da
     """
     with tk.Workspace(docs.sparkSession, "suffix-dedup") as work:
         chunks = Chunks(docs, work.path("texts"))
-        shared = shared_anchors(chunks, KIND, work, hot)
-        sent = chunks.answer(shared, send(KIND, chunks.n), SEGMENTS)
-        answers = work.save(with_hot(sent.groupBy("bucket").applyInArrow(_cover, COVERS), shared), "covers")
-        del sent
-        tk.release(docs.sparkSession)
-        out = work.keep(chunks.answer(answers, _remove(with_text), _REMOVED + (", kept binary" if with_text else "")))
-        chunks.drop()
-    return out
+        try:
+            shared = shared_anchors(chunks, KIND, work, hot)
+            sent = chunks.answer(shared, send(KIND, chunks.n), SEGMENTS)
+            answers = work.save(with_hot(sent.groupBy("bucket").applyInArrow(_cover, COVERS), shared), "covers")
+            del sent
+            tk.release(docs.sparkSession)
+            return work.keep(chunks.answer(answers, _remove(with_text), _REMOVED + (", kept binary" if with_text else "")))
+        finally:
+            chunks.forget()
 
 
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
