@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.cases import DOCS, hard
 from tidemill.llm import fingerprint, packing
-from tidemill.llm.near_dedup import near_duplicates
+from tidemill.llm.near_dedup import near_duplicates, op10_near_dedup
 from tidemill.llm.substring_dedup import drop_repeated_windows
 from tidemill.llm.suffix_dedup import drop_repeats
 
@@ -116,6 +116,43 @@ def test_near_dedup(docs):
     assert found == {d: (len(s), of[d], of[d] == d) for d, s in sets.items()}
 
 
+def linked(sets: dict) -> list[tuple]:
+    """All links between different sets, by an inverted index of each set's rarest shingles: two sets at 0.85 must share one of those."""
+    often = Counter(x for s in sets.values() for x in s)
+    index, found = defaultdict(list), []
+    for d, s in sorted(sets.items(), key=lambda p: len(p[1])):
+        rare = sorted(s, key=lambda x: (often[x], x))[: len(s) - -(-85 * len(s) // 100) + 1]
+        for e in {e for x in rare for e in index[x]}:
+            common = len(s & sets[e])
+            if 100 * common >= 85 * len(s | sets[e]):
+                found.append((e, d))
+        for x in rare:
+            index[x].append(d)
+    return found
+
+
+def test_near_dedup_recall(spark):
+    """No link is lost among ten thousand documents, and components are exact."""
+    sets = shingle_sets(texts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")))
+    least: dict[frozenset, int] = {}
+    for d, s in sorted(sets.items()):
+        least.setdefault(frozenset(s), d)
+    links = linked({d: s for s, d in least.items() if s})
+    found = {r.doc_id: r.component_id for r in op10_near_dedup(spark, "/root/testdata/sf0.1").collect()}
+    assert links and all(found[a] == found[b] for a, b in links)
+    parent = {d: d for d in least.values()}
+
+    def root(d):
+        while parent[d] != d:
+            d = parent[d]
+        return d
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert found == {d: root(least[frozenset(s)]) if s else d for d, s in sets.items()}
+
+
 def test_near_dedup_keeps_every_row(docs):
     assert Counter(r.doc_id for r in near_duplicates(docs).collect()) == Counter(d for d, _ in texts(docs))
 

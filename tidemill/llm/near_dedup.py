@@ -39,7 +39,7 @@ WORDS = -(-PERMS // CELLS)
 #: Estimates below this are ruled out: 4.5 standard errors (0.0164) under 0.85.
 CUT = PERCENT / 100 - 0.074
 #: Members of a block in a bucket, and pairs of a centre in one verification group, at most about.
-BLOCK, GROUP = 1024, 512
+BLOCK, GROUP = 256, 512
 
 _rng = np.random.default_rng(10)
 _A = (_rng.integers(0, 1 << 32, PERMS, dtype=np.uint32) | np.uint32(1))[:, None]
@@ -150,8 +150,8 @@ def _confirm(batches):
 
 def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full shingle sets link. Pairs of one centre are salted into bounded groups."""
-    spread = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
-    members = pairs.join(spread, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), "b")
+    spread = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int"))
+    members = lookup(pairs, spread, ["a"], ["salts"], frequent(spread.select("a", "n"), "n"), F.col("b")).select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), "b")
     centres = spread.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"))
     texts = docs.select(F.col("doc_id").alias("b"), "text")
     rows = texts.join(members.union(centres).hint("shuffle_hash"), "b").select("a", "salt", "b", "text", (F.col("a") != F.col("b")).alias("member"))
