@@ -19,8 +19,8 @@ from collections import Counter
 from hashlib import blake2b, sha256
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,20 +143,24 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     followed by the very first row. Null ids come first, dealt by a hash of the
     text; equal ids are ordered by it. Only one row a range is sent twice.
     """
-    nowhere = -1e300 * (1 + F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / F.lit(1 << 20))
-    docs = docs.select("doc_id", "text").withColumn("_at", F.coalesce(F.col("doc_id").cast("double"), nowhere))
-    at = docs.select("_at")
-    cuts = at.agg(F.percentile_approx("_at", [k / buckets for k in range(1, buckets)], 10000)).first()[0] or []
-    cuts = sorted(set(cuts)) or [0.0]
-    dealt = Bucketizer(splits=[-float("inf"), *cuts, float("inf")], inputCol="_at", outputCol="_bucket")
-    heads = sorted(dealt.transform(at).groupBy("_bucket").agg(F.min("_at").alias("head")).collect())  # one row a range
-    own = dealt.transform(docs).withColumn("_ahead", F.lit(False))
+    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("_tie"))
+    cuts = docs.agg(F.percentile_approx("doc_id", [k / buckets for k in range(1, buckets)], 10000)).first()[0] if buckets > 1 else None
+    cuts = np.unique(np.array(cuts or [], np.int64))
+
+    @F.pandas_udf("long")
+    def range_of(ids: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, ids.to_numpy(np.int64), "right"))
+
+    nowhere = F.pmod("_tie", F.lit(buckets)) - buckets
+    dealt = docs.withColumn("_bucket", F.when(F.col("doc_id").isNull(), nowhere).otherwise(range_of(F.coalesce("doc_id", F.lit(0)))))
+    heads = dealt.groupBy("_bucket").agg(F.min(F.struct("doc_id", "_tie")).alias("head")).orderBy("_bucket").collect()  # one row a range
     spark = docs.sparkSession
-    before = [(heads[k - 1]["_bucket"], h["head"]) for k, h in enumerate(heads)]
-    ahead = docs.join(F.broadcast(spark.createDataFrame(before, "_bucket double, head double")), F.col("_at") == F.col("head")).withColumn("_ahead", F.lit(True))
-    columns = ["_bucket", "_ahead", "_at", "doc_id", "text"]
-    rows = own.select(columns).unionByName(ahead.select(columns))
-    return rows.repartition(-(-buckets // 4), "_bucket").sortWithinPartitions("_bucket", "_ahead", "_at", F.xxhash64("text")).drop("_at")
+    before = [(heads[k - 1]["_bucket"], h["head"]["doc_id"], h["head"]["_tie"]) for k, h in enumerate(heads)]
+    first = F.broadcast(spark.createDataFrame(before, "_bucket long, _id long, _t long"))
+    ahead = docs.join(first, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_tie") == F.col("_t"))).withColumn("_ahead", F.lit(True))
+    columns = ["_bucket", "_ahead", "doc_id", "text", "_tie"]
+    rows = dealt.withColumn("_ahead", F.lit(False)).select(columns).unionByName(ahead.select(columns))
+    return rows.repartition(-(-buckets // 4), "_bucket").sortWithinPartitions("_bucket", "_ahead", "doc_id", "_tie").drop("_tie")
 
 
 _PAIRED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, edited_at array<int>"
