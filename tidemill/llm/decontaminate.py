@@ -35,15 +35,14 @@ COVERAGE = 20
 class Automaton:
     """Generalised suffix automaton of items; states are indices into parallel lists."""
 
-    def __init__(self, items: list[tuple[str, np.ndarray]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str, list[bytes]]], window: int = WINDOW):
         self.window = window
-        vocab = np.unique(np.concatenate([w for _, w in items])) if items else np.zeros(0, np.uint64)
-        self.vocab = vocab
+        vocab = self.vocab = {w: k for k, w in enumerate(sorted({w for _, words in items for w in words}))}
         self.names = [name for name, _ in items]
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
         ends: list[set[int]] = [set()]
-        coded = [np.searchsorted(vocab, w).tolist() for _, w in items]
+        coded = [[vocab[w] for w in words] for _, words in items]
         for item, code in enumerate(coded):
             last = 0
             for w in code:
@@ -125,24 +124,26 @@ class Automaton:
                 u = self.out[u]
 
 
-def _codes(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _coded(buf: np.ndarray, offsets: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The different words of all rows, the number of each word among them, and n+1 offsets of rows among the words."""
     buf = tk.LOWER[buf]
     start, end, rows = tk.words(buf, offsets, tk.ALNUM)
-    return tk.word_hashes(buf, start, end), start, end, rows
+    coded = tk.word_array(buf, start, end).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), rows
 
 
 def _measure(batches):
     for piece in tk.slices(batches):
         buf, offsets = tk.utf8(piece.column("text"))
-        _, _, _, rows = _codes(buf, offsets)
+        _, _, rows = tk.words(tk.LOWER[buf], offsets, tk.ALNUM)
         yield pa.RecordBatch.from_arrays([piece.column("item_id").combine_chunks(), pa.array(np.diff(rows))], names=["item_id", "n"])
 
 
 def _build(window: int):
     def run(table: pa.Table) -> pa.Table:
-        codes, _, _, bounds = _codes(*tk.utf8(table.column("text")))
-        items = [(i, codes[bounds[k] : bounds[k + 1]]) for k, i in enumerate(table.column("item_id").to_pylist())]
-        built = Automaton([x for x in items if len(x[1])], window)
+        names, at, rows = _coded(*tk.utf8(table.column("text")))
+        items = [(i, [names[w] for w in at[rows[k] : rows[k + 1]]]) for k, i in enumerate(table.column("item_id").to_pylist())]
+        built = Automaton([x for x in items if x[1]], window)
         return pa.table({"shard": table.column("shard").slice(0, 1), "automaton": pa.array([pickle.dumps(built)], pa.binary())})
 
     return run
@@ -182,12 +183,10 @@ def _scan(docs: DataFrame, pickled: bytes) -> DataFrame:
         sa = _automaton(shared, name)
         for piece in tk.slices(batches):
             buf, offsets = tk.utf8(piece.column("text"))
-            codes, _, _, rows = _codes(buf, offsets)
-            spots = np.searchsorted(sa.vocab, codes)
-            known = np.zeros(len(codes), bool)
-            if len(sa.vocab):
-                known = sa.vocab[np.minimum(spots, len(sa.vocab) - 1)] == codes
-            edge = np.zeros(len(codes) + 1, bool)
+            names, at, rows = _coded(buf, offsets)
+            spots = np.array([sa.vocab.get(w, -1) for w in names], np.int64)[at]
+            known = spots >= 0
+            edge = np.zeros(len(spots) + 1, bool)
             edge[rows] = True
             runs = np.flatnonzero(known & (edge[:-1] | ~np.append(False, known[:-1])))
             stops = np.flatnonzero(known & (edge[1:] | ~np.append(known[1:], False))) + 1
