@@ -83,12 +83,12 @@ def test_substring_dedup(docs, batches):
     assert Counter(found) == Counter(expected)
 
 
-def shingle_sets(rows) -> dict:
+def shingle_sets(rows, width: int = 5) -> dict:
     """Of each id that is not null, the set of its shingles."""
     sets: dict = {}
     for d, t in rows:
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t))
-        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+        sets[d] = {tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
     return sets
 
 
@@ -289,6 +289,18 @@ def test_fingerprint_query(spark, sf_dir):
     assert np.mean(near) > np.mean(far) + 0.3
 
 
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_next_of_large_ids(spark, buckets):
+    """Ids that doubles cannot tell apart are still taken in ascending order."""
+    rows = [((1 << 60) + k, f"Text number {k} of a few. " * (k + 2)) for k in range(40)] + [(-(1 << 62) - 1, "least"), (7, "middle"), ((1 << 63) - 1, "last")]
+    docs = spark.createDataFrame(rows[::-1], "doc_id long, text string")
+    found = {r.doc_id: r.edited_sha256 for r in fingerprint.with_next(docs, buckets).mapInArrow(fingerprint._paired, fingerprint._PAIRED).collect()}
+    rows.sort()
+    for k, (d, t) in enumerate(rows):
+        cut = len(t) // 4
+        assert found[d] == sha256((t[: len(t) - cut] + rows[(k + 1) % len(rows)][1][:cut]).encode()).hexdigest()
+
+
 def test_fingerprint_locates_edits():
     text = "\n\n".join(f"Paragraph {i} says that {i * 7} things happened. They were {i * 3} in all." for i in range(40))
     a = fingerprint.encode(*fingerprint.tree(text))

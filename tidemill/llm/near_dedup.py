@@ -7,25 +7,18 @@ of each are packed into a signature: equal cells, counted bitwise and corrected
 chance collisions, estimate the similarity. Estimates only rule pairs out far
 below the threshold; every link is confirmed on the full shingle sets.
 
-A bucket of m members is first met as a star: everyone against its least
-member, m - 1 pairs. Components of the confirmed links follow, and only
-buckets in which several components remain are looked at again, across
-components, in blocks of bounded size. So a large group of copies costs as
-many rows as members, and yet no link between components goes unseen.
+Links are confirmed and joined in ``linking``.
 """
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm import textkit as tk
-from tidemill.llm.components import components
-from tidemill.llm.skew import frequent, lookup
+from tidemill.llm.linking import Linker, Shingles, classes, labelled
 
 #: Words of a shingle; a link is 100 * intersection >= PERCENT * union.
 SHINGLE, PERCENT = 5, 85
@@ -38,31 +31,12 @@ CELLS = 64 // BITS
 WORDS = -(-PERMS // CELLS)
 #: Estimates below this are ruled out: 4.5 standard errors (0.0164) under 0.85.
 CUT = PERCENT / 100 - 0.074
-#: Members of a block in a bucket, and pairs of a centre in one verification group, at most about.
-BLOCK, GROUP = 256, 512
 
 _rng = np.random.default_rng(10)
 _A = (_rng.integers(0, 1 << 32, PERMS, dtype=np.uint32) | np.uint32(1))[:, None]
 _B = _rng.integers(0, 1 << 32, PERMS, dtype=np.uint32)[:, None]
 
 
-def shingles(buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
-    """Distinct shingle hashes of each row, ascending; fewer words than a shingle make one of all, none make none."""
-    buf = tk.LOWER[buf]
-    start, end, rows = tk.words(buf, offsets, tk.NOT_BLANK)
-    codes = tk.word_hashes(buf, start, end)
-    sums = tk.prefix(codes)
-    at = np.arange(max(0, len(codes) - SHINGLE + 1))
-    grams = tk.ranges(sums, at, at + SHINGLE)
-    out = []
-    for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
-        if b - a >= SHINGLE:
-            out.append(np.unique(grams[a : b - SHINGLE + 1]))
-        else:
-            out.append(tk.ranges(sums, np.array([a]), np.array([b])) if b > a else np.zeros(0, np.uint64))
-    return out
-
-
 def minima(grams: np.ndarray) -> np.ndarray:
     """PERMS minima of the permuted hashes of one set."""
     h = (grams >> np.uint64(32)).astype(np.uint32)
@@ -93,15 +67,15 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return ((PERMS - unequal) / PERMS - chance) / (1 - chance)
 
 
-_SIGNED = "doc_id long, n long, k1 long, k2 long, sig binary, bands array<long>"
+_SIGNED = "doc_id long, n long, k1 long, k2 long, sig binary, keys array<long>"
 
 
 def _sign(batches):
     names = [c.split()[0] for c in _SIGNED.split(", ")]
     lead = tk.mix(np.arange(1, BANDS + 1, dtype=np.uint64))
+    shingles = Shingles(SHINGLE)
     for piece in tk.slices(batches):
-        sets = shingles(*tk.utf8(piece.column("text")))
-        keys = np.array([np.frombuffer(blake2b(s.tobytes(), digest_size=16).digest(), np.int64) for s in sets]).reshape(-1, 2)
+        sets, keys = shingles.sets(*tk.utf8(piece.column("text")))
         least = np.array([minima(s) if len(s) else np.zeros(PERMS, np.uint32) for s in sets], np.uint32).reshape(-1, PERMS)
         sig = packed(least)
         band = np.broadcast_to(lead, (len(sets), BANDS))
@@ -113,90 +87,11 @@ def _sign(batches):
         yield pa.RecordBatch.from_arrays(cols, names=names)
 
 
-def _signatures(column) -> np.ndarray:
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, WORDS)
-
-
-def _likely(batches):
+def _may(n_a, sig_a, n_b, sig_b) -> np.ndarray:
     """Of pairs with sizes and signatures, those that may link."""
-    for b in batches:
-        small, large = (f(b.column("n_a").to_numpy(), b.column("n_b").to_numpy()) for f in (np.minimum, np.maximum))
-        ok = (100 * small >= PERCENT * large) & (estimate(_signatures(b.column("sig_a")), _signatures(b.column("sig_b"))) >= CUT)
-        yield pa.RecordBatch.from_arrays([b.column("a").filter(pa.array(ok)), b.column("b").filter(pa.array(ok))], names=["a", "b"])
-
-
-def _confirm(batches):
-    """Rows (a, salt, b, text) in order, the centre's own text(s) first: pairs whose full sets link."""
-    group, centre = None, []
-    for piece in tk.slices(batches):
-        sets = shingles(*tk.utf8(piece.column("text")))
-        left, right = [], []
-        for a, salt, b, s in zip(*(piece.column(c).to_pylist() for c in ("a", "salt", "b")), sets, strict=True):
-            if (a, salt) != group:
-                group, centre = (a, salt), []
-            if a == b:
-                centre.append(s)
-                continue
-            for c in centre:
-                common = len(np.intersect1d(c, s, assume_unique=True))
-                if common and 100 * common >= PERCENT * (len(c) + len(s) - common):
-                    left.append(a)
-                    right.append(b)
-                    break
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
-
-
-def _links(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets link. Pairs of one centre are salted into bounded groups."""
-    spread = pairs.groupBy("a").agg(F.count("*").alias("n")).withColumn("salts", F.ceil(F.col("n") / GROUP).cast("int"))
-    members = lookup(pairs, spread, ["a"], ["salts"], frequent(spread.select("a", "n"), "n"), F.col("b")).select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), "b")
-    centres = spread.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("b"))
-    texts = docs.select(F.col("doc_id").alias("b"), "text")
-    rows = texts.join(members.union(centres).hint("shuffle_hash"), "b").select("a", "salt", "b", "text", (F.col("a") != F.col("b")).alias("member"))
-    dealt = rows.repartition(tk.parts(docs.sparkSession), "a", "salt").sortWithinPartitions("a", "salt", "member")
-    return dealt.mapInArrow(_confirm, "a long, b long")
-
-
-def _across(batches):
-    """Rows (bucket, i, j, block, node, component, n, sig, bands) in order of cell: pairs of different components that may link, each from the first bucket that both share."""
-    held: list[pa.Table] = []
-
-    def cell(t: pa.Table):
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        block, node, comp, n = (t.column(c).to_numpy() for c in ("block", "node", "component", "n"))
-        sig, here = _signatures(t.column("sig")), t.column("bucket")[0].as_py()
-        bands = t.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-        own, other = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for at in range(0, len(own), 64):
-            u = own[at : at + 64]
-            ok = (comp[u][:, None] != comp[other][None, :]) & (100 * np.minimum(n[u][:, None], n[other][None, :]) >= PERCENT * np.maximum(n[u][:, None], n[other][None, :]))
-            x, y = np.nonzero(ok)
-            if i == j:
-                x, y = x[u[x] < other[y]], y[u[x] < other[y]]
-            if len(x):
-                near = estimate(sig[u[x]], sig[other[y]]) >= CUT
-                x, y = u[x[near]], other[y[near]]
-                same = bands[x] == bands[y]
-                once = (bands[x, same.argmax(1)] == here) | ~same.any(1)
-                p, q = node[x[once]], node[y[once]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(p, q)), pa.array(np.maximum(p, q))], names=["a", "b"])
-
-    for batch in batches:
-        table = pa.Table.from_batches([batch])
-        key = np.stack([batch.column(c).to_numpy() for c in ("bucket", "i", "j")], 1)
-        cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-        if held and tuple(held[-1].slice(held[-1].num_rows - 1).select(["bucket", "i", "j"]).to_pylist()[0].values()) != tuple(key[0].tolist()):
-            yield from cell(pa.concat_tables(held))
-            held = []
-        for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
-            held.append(table.slice(a, b - a))
-            if b < len(key):
-                yield from cell(pa.concat_tables(held))
-                held = []
-    if held:
-        yield from cell(pa.concat_tables(held))
+    ok = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
+    ok[ok] = estimate(sig_a[ok], sig_b[ok]) >= CUT
+    return ok
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -212,43 +107,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def _near_duplicates(docs: DataFrame, work: tk.Workspace) -> DataFrame:
-    spark = docs.sparkSession
-    signed = work.save(docs.select("doc_id", "text").mapInArrow(_sign, _SIGNED), "signed")
-    filled = signed.filter("n > 0 AND doc_id IS NOT NULL")
-    classes = filled.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.count("*").alias("copies"))
-    classes = work.save(classes, "classes")
-    ends = classes.select("node", "n", "sig")
-
-    met = classes.select("node", F.explode("bands").alias("bucket"))
-    centres = work.save(met.groupBy("bucket").agg(F.min("node").alias("centre"), F.count("*").alias("size")).filter("size > 1"), "centres")
-    top = frequent(centres.select("bucket", "size"), "size")
-    shared = lookup(met, centres, ["bucket"], ["centre", "size"], top, F.col("node")).filter("centre IS NOT NULL")
-    shared = work.save(shared, "shared")  # members of buckets with company
-    stars = shared.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
-    side = lambda s: ends.select(F.col("node").alias(s), F.col("n").alias(f"n_{s}"), F.col("sig").alias(f"sig_{s}"))
-    likely = stars.join(side("a"), "a").join(side("b"), "b").mapInArrow(_likely, "a long, b long")
-    first = work.save(_links(docs, work.save(likely, "likely")), "first")
-    labels = components(first, work, "near")
-
-    placed = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    placed = work.save(placed.select("bucket", "node", "component", "size"), "placed")
-    mixed = placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("bucket")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    ends = classes.select("node", "n", "sig", "bands")
-    cells = placed.join(mixed, "bucket").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    cells = cells.join(ends, "node").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    cells = cells.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "sig", "bands")
-    dealt = cells.repartition(tk.parts(spark), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
-    rest = dealt.mapInArrow(_across, "a long, b long").distinct()
-    second = work.save(_links(docs, work.save(rest, "rest")), "second")
-    final = components(first.union(second), work, "all")
-
-    known = classes.select("k1", "k2", "node", "copies").join(final, "node", "left").select("k1", "k2", "copies", F.coalesce("component", "node").alias("component_id"))
-    known = work.save(known, "known")
-    out = lookup(signed.select("doc_id", "n", "k1", "k2"), known, ["k1", "k2"], ["component_id"], frequent(known.select("k1", "k2", "copies"), "copies"), F.col("doc_id"))
-    own = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    own = F.when(F.col("doc_id").isNotNull(), own)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"), F.col("doc_id").eqNullSafe(own).alias("kept"))
+    signed = work.save(docs.mapInArrow(_sign, _SIGNED), "signed")
+    found = work.save(classes(signed), "classes")
+    linked = Linker(docs, found, SHINGLE, PERCENT, _may, work).components()
+    out = labelled(signed, found, linked, work)
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def op10_near_dedup(spark, sf_dir: str) -> DataFrame:
