@@ -63,11 +63,19 @@ def test_order_does_not_matter():
 
 def test_bitmap_never_rules_out_a_link():
     rng = np.random.default_rng(4)
-    for n in (7, 40, 1000, 9000):
-        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
-        b = a[jj.slack(n) :]
-        sig = [np.frombuffer(jj.bitmap(s), np.uint64)[None, :] for s in (a, b)]
+    sizes, pairs = [], []
+    for n in (7, 40, 1000, 1100, 2200, 9000, 70_000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        b = rng.permutation(a)[jj.slack(n) :]
+        sizes.append((len(a), len(b)))
+        pairs.append((jj.bitmap(a), jj.bitmap(b)))
+        sig = [np.frombuffer(m, np.uint64)[None, :] for m in pairs[-1]]
         assert jj.may(np.array([len(a)]), sig[0], np.array([len(b)]), sig[1]).all()
+    whole, less = (np.array([p[k] for p in pairs], object) for k in (0, 1))
+    n_a, n_b = np.array(sizes).T
+    assert len({(len(x), len(y)) for x, y in pairs}) >= 4
+    assert jj.may(n_a, whole, n_b, less).all()
+    assert not jj.may(n_a, whole, n_b, np.array([bytes(len(y)) for _, y in pairs], object)).any()
     other = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
     a = np.unique(rng.integers(0, 1 << 63, 1000, dtype=np.uint64))
     assert not jj.may(np.array([1000]), np.frombuffer(jj.bitmap(a), np.uint64)[None, :], np.array([1000]), np.frombuffer(jj.bitmap(other), np.uint64)[None, :]).any()
@@ -101,3 +109,15 @@ def test_word_array():
     start, end, _ = tk.words(buf, np.array([0, 1, 4, 8]), tk.NOT_BLANK)
     assert tk.word_array(buf, start, end).to_pylist() == [b"a", b"b", b"cd", b"e"]
     assert tk.word_array(buf, start[:0], end[:0]).to_pylist() == []
+
+
+def test_word_codes():
+    """Equal words have equal codes wherever they stand; words that differ in length, in zero bytes or far behind differ."""
+    words = ["a", "a\0", "a\0\0", "abcdefgh", "abcdefgh\0", "abcdefghi", "x" * 64, "x" * 65, "x" * 64 + "y", "x" * 63 + "y", *morse(64), *morse()]
+    text = " ".join([*words, *words[::-1]])
+    buf = np.frombuffer(text.encode(), np.uint8)
+    start, end, _ = tk.words(buf, np.array([0, len(buf)]), tk.NOT_BLANK)
+    codes = tk.word_codes(buf, start, end)
+    assert (codes == codes[:, ::-1]).all()
+    assert len(np.unique(codes[0])) == len(np.unique(codes[1])) == len(words)
+    assert tk.word_codes(buf, start[:0], end[:0]).shape == (2, 0)

@@ -34,8 +34,8 @@ COMMON, OFTEN = 1 << 16, 8
 COUNTED = 1 << 22
 #: Slack of a light set, at most: 465 subsets.
 LIGHT = 29
-#: Bits of a parity bitmap.
-BITS = 2048
+#: Bits of a parity bitmap: two or more a shingle, within these bounds. Pairs compared at a time: of so many bytes.
+LEAST_BITS, MOST_BITS, COMPARED = 2048, 1 << 16, 1 << 23
 
 _PAIR, _LIST = np.uint64(0xD1B54A32D192ED03), np.uint64(0x8CB92BA72F3D8DD7)
 
@@ -61,11 +61,12 @@ def _counts(batches):
         return pa.RecordBatch.from_arrays([gram, pa.array(np.append(n[often], few.sum())), pa.array(square)], names=["gram", "n", "square"])
 
     for piece in tk.slices(batches):
-        held += [np.unique(g[0]) for g in shingles(*tk.utf8(piece.column("text")))]
-        size = sum(map(len, held))
+        own = [np.unique(g[0]) for g in shingles(*tk.utf8(piece.column("text")))]
+        held += own
+        size += sum(map(len, own))
         if size > COUNTED:
             yield flush()
-            held = []
+            held, size = [], 0
     if held:
         yield flush()
 
@@ -100,17 +101,42 @@ def keys(grams: np.ndarray, common: np.ndarray, light: int) -> np.ndarray:
 
 
 def bitmap(grams: np.ndarray) -> bytes:
-    """Which of BITS classes hold an odd number of the shingles."""
-    odd = np.bincount((grams >> np.uint64(53)).astype(np.int64), minlength=BITS) & 1
+    """Which classes hold an odd number of the shingles."""
+    power = min(MOST_BITS, max(LEAST_BITS, 2 * len(grams))).bit_length() - 1
+    odd = np.bincount((grams >> np.uint64(64 - power)).astype(np.int64), minlength=1 << power) & 1
     return np.packbits(odd.astype(bool)).tobytes()
 
 
+def _folded(maps: np.ndarray, size: int) -> np.ndarray:
+    """Rows of bytes as those of ``size`` bytes: the parities of two neighbouring classes are that of the class of both."""
+    while maps.shape[1] > size:
+        maps = np.packbits(np.bitwise_xor.reduce(np.unpackbits(maps, axis=1).reshape(len(maps), -1, 2), axis=2), axis=1)
+    return maps
+
+
+def _unequal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Unequal bits of pairs of bitmaps (rows of words, or bytes of several lengths)."""
+    if a.ndim == b.ndim == 2 and a.shape[1] == b.shape[1]:
+        step = max(1, COMPARED // (8 * a.shape[1]))
+        return np.concatenate([np.bitwise_count(a[k : k + step] ^ b[k : k + step]).sum(1, dtype=np.int64) for k in range(0, len(a), step)] or [np.zeros(0, np.int64)])
+    a, b = (x if x.ndim == 1 else np.array([r.tobytes() for r in x], object) for x in (a, b))
+    sizes = np.array([[len(x), len(y)] for x, y in zip(a, b, strict=True)]).reshape(-1, 2)
+    out = np.zeros(len(a), np.int64)
+    for p, q in np.unique(sizes, axis=0).tolist():
+        rows = np.flatnonzero((sizes == (p, q)).all(1))
+        step = max(1, COMPARED // (8 * max(p, q)))
+        for k in range(0, len(rows), step):
+            x, y = (_folded(np.frombuffer(b"".join(m[rows[k : k + step]]), np.uint8).reshape(-1, n), min(p, q)) for m, n in ((a, p), (b, q)))
+            out[rows[k : k + step]] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return out
+
+
 def may(n_a, sig_a, n_b, sig_b) -> np.ndarray:
     """Of pairs with sizes and bitmaps, those that may link: unequal bits are never more than the shingles that only one set has."""
     ok = 100 * np.minimum(n_a, n_b) >= PERCENT * np.maximum(n_a, n_b)
     both = (n_a + n_b)[ok]
     least = -(-PERCENT * both // (100 + PERCENT))
-    ok[ok] = np.bitwise_count(sig_a[ok] ^ sig_b[ok]).sum(1, dtype=np.int64) <= both - 2 * least
+    ok[ok] = _unequal(sig_a[ok], sig_b[ok]) <= both - 2 * least
     return ok
 
 

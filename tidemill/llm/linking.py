@@ -38,13 +38,13 @@ class Shingles:
     """Distinct shingles of ``width`` words of each row of a buffer, A-Z lower-cased; fewer words make one of all, none make none."""
 
     def __init__(self, width: int):
-        self.width, self.codes = width, tk.WordCodes()
+        self.width = width
 
     def __call__(self, buf: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """Per row two rows of 64 bits a shingle, repeats included."""
         buf = tk.LOWER[buf]
         start, end, rows = tk.words(buf, offsets, tk.NOT_BLANK)
-        codes = self.codes(buf, start, end)
+        codes = tk.word_codes(buf, start, end)
         grams = self._chain(codes, self.width)
         out = []
         for a, b in zip(rows[:-1].tolist(), rows[1:].tolist(), strict=True):
@@ -99,8 +99,13 @@ def column(values) -> pa.Array:
 
 
 def _signatures(values) -> np.ndarray:
-    values = column(values)
-    return np.frombuffer(b"".join(values.to_pylist()), np.uint64).reshape(len(values), -1)
+    """As rows of words if all are of one length, else as an array of bytes."""
+    found = column(values).to_pylist()
+    if len(set(map(len, found))) > 1:
+        out = np.empty(len(found), object)
+        out[:] = found
+        return out
+    return np.frombuffer(b"".join(found), np.uint64).reshape(len(found), -1)
 
 
 def _confirm(width: int, percent: int) -> Callable:

@@ -217,28 +217,29 @@ def word_array(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.LargeB
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
 
 
-class WordCodes:
-    """Keyed 128-bit codes of words, as two rows of 64 bits: what no crafted text makes collide, unlike a polynomial. A task keeps those it has met."""
-
-    MOST, LONGEST = 1 << 18, 64
-
-    def __init__(self):
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        coded = word_array(buf, start, end).dictionary_encode()
-        if len(self.known) > self.MOST:
-            self.known.clear()
-        out = []
-        for word in coded.dictionary.to_pylist():
-            code = self.known.get(word)
-            if code is None:
-                code = blake2b(word, digest_size=16, key=b"tidemill").digest()
-                if len(word) <= self.LONGEST:
-                    self.known[word] = code
-            out.append(code)
-        table = np.frombuffer(b"".join(out), np.uint64).reshape(-1, 2)
-        return np.ascontiguousarray(table[coded.indices.to_numpy()].T)
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
+_LANES = np.array([[0x2545F4914F6CDD1D], [0x9FB21C651E98DF25]], np.uint64)
+
+
+def word_codes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit codes of words, as two rows of 64 bits: eight bytes at a time are mixed in, so no text has the regular collisions of a polynomial."""
+    size = end - start
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray(len(buf) + 1, np.uint64, padded, strides=(1,))  # the eight bytes from each place on
+    out = mix(_LANES ^ size.astype(np.uint64))
+    on = np.flatnonzero(size <= LONG_WORD)
+    at = 0
+    while len(on):
+        left = np.minimum(size[on] - at, 8).astype(np.uint64)
+        block = eight[start[on] + at] & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(64) - np.uint64(8) * left))
+        out[:, on] = mix((out[:, on] ^ block) + _LANES)
+        at += 8
+        on = on[size[on] > at]
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        out[:, k] = np.frombuffer(blake2b(buf[start[k] : end[k]].tobytes(), digest_size=16, key=b"tidemill").digest(), np.uint64)
+    return out
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
