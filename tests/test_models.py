@@ -66,14 +66,3 @@ def test_mondrian_judges_rows_it_was_not_fitted_on(spark, sf_dir):
     rows = q.model_mondrian(spark, sf_dir).collect()
     assert rows and sum(r.n for r in rows) < 0.5 * total
     assert all(0 <= r.calibrated <= 1 for r in rows)
-
-
-def test_boosted_bag_learns_what_no_line_can(spark):
-    """An exclusive or of two signs; no training row gives one half."""
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(3000, 2))
-    pdf = pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "y": ((x[:, 0] > 0) ^ (x[:, 1] > 0)).astype(int)})
-    df = spark.createDataFrame(pdf)
-    out = mo.boosted_bag(df.limit(2400), df.subtract(df.limit(2400)), ["a", "b"], "y", rounds=30).toPandas()
-    assert ((out["p"] >= 0.5) == (out["y"] == 1)).mean() > 0.8
-    assert set(mo.boosted_bag(df.limit(0), df.limit(3), ["a", "b"], "y").toPandas()["p"]) == {0.5}

@@ -1,7 +1,7 @@
 """Fitting, calibrating and combining simple classifiers.
 
 Linear fits reduce the rows to a small Gram matrix by one aggregation a step,
-so only a few numbers reach the driver. Trees are Spark's own; isotonic fits run
+so only a few numbers reach the driver. Trees are in ``trees``; isotonic fits run
 as grouped pandas functions over pooled scores.
 """
 
@@ -9,9 +9,6 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import GBTClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -128,28 +125,3 @@ def ood_guard(features: list[Column], means: list[Column], stds: list[Column], p
     """0.5 where ``least`` features or more lie over ``limit`` deviations out."""
     far = [F.when(F.abs((f - m) / F.nullif(s, F.lit(0.0))) > limit, 1).otherwise(0) for f, m, s in zip(features, means, stds, strict=True)]
     return F.when(sum(far[1:], far[0]) >= least, 0.5).otherwise(p)
-
-
-#: Training rows of a partition: each tree is a job or two over all of them.
-ROWS = 50_000
-
-
-def boosted_bag(train: DataFrame, test: DataFrame, x: list[str], y: str, seeds: int = 2, rounds: int = 150) -> DataFrame:
-    """test with ``p``, the mean probability of boosted trees of several seeds.
-
-    Depth 3, rate 0.04, leaves of 200 rows, and 0.7 of the rows and features for
-    each tree (fixed values). No training row: 0.5.
-    """
-    vector = VectorAssembler(inputCols=x, outputCol="_x")
-    n = train.count()
-    rows = vector.transform(train).select("_x", F.col(y).cast("double").alias("_y")).coalesce(max(1, n // ROWS)).persist()
-    out, members = vector.transform(test), []
-    try:
-        for seed in range(1, seeds + 1) if n else ():
-            fit = GBTClassifier(featuresCol="_x", labelCol="_y", maxIter=rounds, maxDepth=3, stepSize=0.04, minInstancesPerNode=200, subsamplingRate=0.7, featureSubsetStrategy="0.7", seed=seed, predictionCol="_c").fit(rows)
-            out = fit.setProbabilityCol(f"_p{seed}").setRawPredictionCol(f"_r{seed}").transform(out).drop("_c", f"_r{seed}")
-            members.append(vector_to_array(f"_p{seed}")[1])
-    finally:
-        rows.unpersist()
-    mean = sum(members[1:], members[0]) / len(members) if members else F.lit(0.5)
-    return out.withColumn("p", mean).drop("_x", *(f"_p{k}" for k in range(1, seeds + 1)))

@@ -9,6 +9,7 @@ from tidemill.catalog import query
 from tidemill.functions import stats as st
 from tidemill.operators import packs
 from tidemill.plans import models as mo
+from tidemill.plans import trees as tr
 from tidemill.sources import decisions as de
 from tidemill.sources import market as mk
 
@@ -162,14 +163,71 @@ def model_irls(spark, sf_dir):
     return mk.rounded(spark.createDataFrame([(n, float(b)) for n, b in zip(["const", *cols], beta, strict=True)], "term string, beta double"))
 
 
+def _expanding(rows, first: float, size: float, n: int):
+    """n folds a symbol (symbol, fold, train_to, test_from, test_to), each tested on the next ``size`` of the symbol's time, three bars kept apart."""
+    w = rows.groupBy("symbol").agg(F.min("at").alias("lo"), (F.max("at") - F.min("at")).alias("span")).withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    at = lambda k: (F.col("lo") + F.floor(F.col("span") * (first + size * (F.col("fold") + k)))).cast("long")
+    return w.select("symbol", "fold", (at(0) - 3 * _H).alias("train_to"), at(0).alias("test_from"), at(1).alias("test_to"))
+
+
+def _tree_rows(spark, sf_dir):
+    rows, cols = _training(spark, sf_dir)
+    return rows.withColumnRenamed("open_time", "at").withColumn("id", F.xxhash64("symbol", "at")), cols
+
+
 @query("model_gbt_bag")
 def model_gbt_bag(spark, sf_dir):
-    """Bagged boosted trees over all symbols, fitted on the earlier seven tenths of the time less three bars: accuracy and Brier score of the rest."""
-    rows, cols = _training(spark, sf_dir)
-    lo, hi = rows.agg(F.min("open_time"), F.max("open_time")).first()
-    cut = (lo or 0) + int(((hi or 0) - (lo or 0)) * 0.7)
-    s = mo.boosted_bag(rows.filter(F.col("open_time") < cut - 3 * _H), rows.filter(F.col("open_time") >= cut), cols, "y")
-    return mk.rounded(s.groupBy("symbol").agg(F.count("*").alias("n"), st.share((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("accuracy"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")))
+    """Bags of three boosted fits for each symbol and each of three expanding folds, all grown side by side: accuracy and Brier score by fold. Leaves of 25 rows, as bars are hourly."""
+    rows, cols = _tree_rows(spark, sf_dir)
+    s, _ = tr.bagged(rows, ["symbol"], _expanding(rows, 0.55, 0.15, 3), cols, "y", tr.Boosting(leaf=25), 3)
+    return mk.rounded(s.groupBy("symbol", "fold").agg(F.count("*").alias("n"), st.share((F.col("p") >= 0.5) == (F.col("y") == 1)).alias("accuracy"), F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier")))
+
+
+@query("model_tree_gain")
+def model_tree_gain(spark, sf_dir):
+    """Each feature's share of the gain of twenty boosted trees, over all symbols, in three expanding folds, and its mean rank."""
+    rows, cols = _tree_rows(spark, sf_dir)
+    folds = _expanding(rows.withColumn("symbol", F.lit("all")), 0.55, 0.15, 3)
+    _, ens = tr.bagged(rows.withColumn("symbol", F.lit("all")), ["symbol"], folds, cols, "y", tr.Boosting(rounds=20, leaf=100), 1)
+    found = [(m, c, float(g)) for m in range(len(ens.base)) for c, g in zip(cols, ens.gain[m], strict=True)]
+    g = spark.createDataFrame(found, "fold int, feature string, gain double")
+    w = Window.partitionBy("fold")  # a row a feature
+    g = g.withColumns({"share": F.coalesce(F.col("gain") / F.nullif(F.sum("gain").over(w), F.lit(0.0)), F.lit(0.0)), "rank": F.rank().over(w.orderBy(F.desc("gain")))})
+    return mk.rounded(g.groupBy("feature").agg(F.avg("share").alias("share"), F.avg("rank").alias("mean_rank")))
+
+
+_TREE_X = {"body": "close - open", "range": "high - low", "volume": "volume", "trades": "trades::DOUBLE"}
+_TREE_LEAF = 25
+
+
+def _level_sql(k: int) -> str:
+    """The best split of each node of level k (b), and the rows one level down (r)."""
+    w = "PARTITION BY l.symbol, node, j"
+    score = lambda g, h: f"({g}) * ({g}) / ({h} + 1)"
+    return f"""s{k} AS (SELECT l.symbol, node, j, feature, x, sum(g) OVER (w ORDER BY x) AS gl, sum(h) OVER (w ORDER BY x) AS hl, count(*) OVER (w ORDER BY x) AS nl, sum(g) OVER w AS gt, sum(h) OVER w AS ht, count(*) OVER w AS nt FROM l JOIN r{k} r ON r.symbol = l.symbol AND r.id = l.id WINDOW w AS ({w})),
+c{k} AS (SELECT DISTINCT symbol, node, j, feature, x, round(0.5 * ({score("gl", "hl")} + {score("gt - gl", "ht - hl")} - {score("gt", "ht")}), 9) AS gain FROM s{k} WHERE nl >= {_TREE_LEAF} AND nt - nl >= {_TREE_LEAF}),
+b{k} AS (SELECT * FROM c{k} WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY symbol, node ORDER BY gain DESC, j, x) = 1),
+r{k + 1} AS (SELECT r.symbol, r.id, 2 * r.node + CAST(l.x > b.x AS INTEGER) AS node FROM r{k} r JOIN b{k} b ON b.symbol = r.symbol AND b.node = r.node JOIN l ON l.symbol = r.symbol AND l.id = r.id AND l.j = b.j)"""
+
+
+_TREE_LONG = " UNION ALL ".join(f"SELECT symbol, id, {j} AS j, '{n}' AS feature, ({e})::DOUBLE AS x, g, h FROM d" for j, (n, e) in enumerate(_TREE_X.items()))
+_TREE = f"""t AS (SELECT *, open_time AS id, CAST(lead(close) OVER (PARTITION BY symbol ORDER BY open_time) > close AS INTEGER) AS y FROM candles QUALIFY y IS NOT NULL),
+p AS (SELECT symbol, greatest(0.001::DOUBLE, least(0.999::DOUBLE, avg(y))) AS p FROM t GROUP BY symbol), d AS (SELECT t.*, p.p - y AS g, greatest(p.p * (1 - p.p), 1e-6) AS h FROM t JOIN p ON t.symbol = p.symbol),
+l AS ({_TREE_LONG}), r0 AS (SELECT symbol, id, 1 AS node FROM d),
+{_level_sql(0)},
+{_level_sql(1)},
+b AS (SELECT * FROM b0 UNION ALL SELECT * FROM b1), r AS (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2)"""
+
+
+@query("model_one_tree", f"{mk.with_sql(mk.candles_sql(), _TREE)} SELECT r.symbol, r.node, any_value(b.feature) AS feature, {_r('-sum(d.g) / (sum(d.h) + 1)', 'value')} FROM r JOIN d ON d.symbol = r.symbol AND d.id = r.id LEFT JOIN b ON b.symbol = r.symbol AND b.node = r.node GROUP BY r.symbol, r.node")
+def model_one_tree(spark, sf_dir):
+    """The first tree of each symbol's boosting, two levels deep, on all rows and features: the split and Newton value of every node."""
+    c = _candles(spark, sf_dir).withColumn("y", (F.lead("close").over(mk.series()) > F.col("close")).cast("int")).filter("y IS NOT NULL")
+    c = c.select("symbol", F.col("open_time").alias("id"), "y", (F.col("close") - F.col("open")).alias("body"), (F.col("high") - F.col("low")).alias("range"), "volume", F.col("trades").cast("double").alias("trades"))
+    names = [r.symbol for r in c.select("symbol").distinct().orderBy("symbol").collect()]  # a model each
+    models = spark.createDataFrame(list(enumerate(names)), "model int, symbol string")
+    ens = tr.fit(c.join(F.broadcast(models), "symbol"), list(_TREE_X), tr.Boosting(rounds=1, depth=2, leaf=_TREE_LEAF, rows=1.0, columns=1.0, bins=8192), [1] * len(names))
+    return mk.rounded(spark.createDataFrame([(names[m], k, f, v) for m, _, k, f, _, v in ens.splits()], "symbol string, node int, feature string, value double"))
 
 
 _FOLD = "f AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY target_open) - 1 AS k, count(*) OVER (PARTITION BY symbol) // 6 AS size FROM bets), g AS (SELECT symbol, CAST(k // size AS BIGINT) AS fold, count(*) AS n, count(*) FILTER (WHERE won) AS w, avg((p_up - CAST(outcome_up AS INTEGER)) ** 2) AS brier FROM f WHERE k // size BETWEEN 1 AND 5 GROUP BY ALL)"
