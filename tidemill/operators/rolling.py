@@ -119,19 +119,22 @@ BLOCK, WIDTH = 64, 3_600_000
 def decayed(df: DataFrame, columns: list[str], alpha: float, width: int = WIDTH) -> DataFrame:
     """df with, for each column c, sum_c, the sum of all values so far, each less by 1 - alpha a row, and first_c, the first value; and n, the rows before.
 
-    A series is cut into blocks of time. Rows are summed within their block, and
-    what a block inherits is carried over one row a block, so a long series
-    spreads over many tasks and only its block ends meet in one.
+    A series is cut into blocks of time, and these, where bars are finer than
+    ``width``, into BLOCK rows each, so that no power leaves the range of doubles.
+    Rows are summed within their block, and what a block inherits is carried over
+    one row a block, so a long series spreads over many tasks and only its block
+    ends meet in one.
     """
-    keep, inner = 1 - alpha, Window.partitionBy("symbol", "_block").orderBy("open_time")
-    so_far = inner.rowsBetween(Window.unboundedPreceding, 0)
-    own = df.withColumn("_block", F.floor(F.col("open_time") / (BLOCK * width))).withColumn("_i", F.row_number().over(inner) - 1)
+    keep, whole = 1 - alpha, Window.partitionBy("symbol", "_time").orderBy("open_time")
+    own = df.withColumn("_time", F.floor(F.col("open_time") / (BLOCK * width))).withColumn("_at", F.row_number().over(whole) - 1)
+    own = own.withColumn("_block", F.struct("_time", F.floor(F.col("_at") / BLOCK).alias("part"))).withColumn("_i", F.pmod("_at", F.lit(BLOCK)))
+    so_far = Window.partitionBy("symbol", "_time", "_block").orderBy("open_time").rowsBetween(Window.unboundedPreceding, 0)
     own = own.withColumns({f"_own_{c}": F.pow(F.lit(keep), F.col("_i")) * F.sum(F.col(c) * F.pow(F.lit(1 / keep), F.col("_i"))).over(so_far) for c in columns})
     ends = own.groupBy("symbol", "_block").agg(F.count("*").alias("_n"), *(F.max_by(f"_own_{c}", "_i").alias(f"_end_{c}") for c in columns), *(F.min_by(c, "_i").alias(f"_head_{c}") for c in columns))
 
     def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_block")
-        out = pdf[["symbol", "_block"]].copy()
+        pdf = pdf.sort_values(["_time", "_part"])
+        out = pdf[["symbol", "_time", "_part"]].copy()
         out["_before"] = pdf["_n"].cumsum() - pdf["_n"]
         for c in columns:
             held, sums = 0.0, []
@@ -141,7 +144,9 @@ def decayed(df: DataFrame, columns: list[str], alpha: float, width: int = WIDTH)
             out[f"_carry_{c}"], out[f"first_{c}"] = sums, pdf[f"_head_{c}"].iloc[0]
         return out
 
-    carried = ends.groupBy("symbol").applyInPandas(carry, "symbol string, _block long, _before long, " + ", ".join(f"_carry_{c} double, first_{c} double" for c in columns))
+    ends = ends.select("symbol", F.col("_block._time").alias("_time"), F.col("_block.part").alias("_part"), *(c for c in ends.columns if c not in ("symbol", "_block")))
+    carried = ends.groupBy("symbol").applyInPandas(carry, "symbol string, _time long, _part long, _before long, " + ", ".join(f"_carry_{c} double, first_{c} double" for c in columns))
+    carried = carried.withColumn("_block", F.struct("_time", F.col("_part").alias("part"))).drop("_time", "_part")
     out = own.join(carried, ["symbol", "_block"])
     sums = {f"sum_{c}": F.col(f"_own_{c}") + F.pow(F.lit(keep), F.col("_i") + 1) * F.col(f"_carry_{c}") for c in columns}
     return out.withColumns({**sums, "n": F.col("_before") + F.col("_i")}).select(*df.columns, "n", *sums, *(f"first_{c}" for c in columns))
@@ -159,11 +164,13 @@ def ewm(df: DataFrame, c: str, alpha: float) -> DataFrame:
 
 
 def ewm_std(df: DataFrame, c: str, alpha: float) -> DataFrame:
-    """Sample deviation by normalised exponential weights; NULL for the first row."""
+    """Sample deviation by normalised exponential weights; NULL for the first row. Values count from the series' first one, so that large levels cost no digits."""
     keep, rows = 1 - alpha, F.col("n") + 1
-    s = decayed(df.select(*KEYS, c).withColumn("square", F.col(c) * F.col(c)), [c, "square"], alpha)
+    first = df.groupBy("symbol").agg(F.min_by(c, "open_time").alias("_first"))
+    own = df.select(*KEYS, c).join(first, "symbol").select(*KEYS, (F.col(c) - F.col("_first")).alias("off")).withColumn("square", F.col("off") * F.col("off"))
+    s = decayed(own, ["off", "square"], alpha)
     w, w2 = (1 - F.pow(F.lit(keep), rows)) / alpha, (1 - F.pow(F.lit(keep * keep), rows)) / (1 - keep * keep)
-    mean = F.col(f"sum_{c}") / w
+    mean = F.col("sum_off") / w
     var = F.greatest(F.col("sum_square") / w - mean * mean, F.lit(0.0)) * w * w / (w * w - w2)
     return s.select(*KEYS, F.when(F.col("n") > 0, F.sqrt(var)).alias("ewm_std"))
 

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 #: Trees between checkpoints of the margins.
 REBASE = 25
 #: Rows of a task; and tasks whose sums the driver itself adds up, at most.
-ROWS, FEW = 4_000, 16
+ROWS, FEW = 8_000, 16
 
 
 @dataclass(frozen=True)

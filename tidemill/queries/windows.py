@@ -17,21 +17,21 @@ def _w(n: int) -> str:
     return f"({_P} ROWS {n - 1} PRECEDING)"
 
 
-def _candles(spark, sf_dir):
+def _candles(spark, sf_dir, interval: int = mk.HOUR):
     """Candles with the log return r of the close."""
-    c = mk.candles(mk.trades(spark, sf_dir))
+    c = mk.candles(mk.trades(spark, sf_dir), interval)
     return c.withColumn("r", F.ln(F.col("close") / F.lag("close").over(mk.series())))
 
 
 _R = f"s AS (SELECT *, ln(close / lag(close) OVER ({_P})) AS r FROM candles)"
 
 
-def _win(name: str, sql: dict[str, str], build, more: str = _R, source: str = "s", digits: int = 6) -> None:
+def _win(name: str, sql: dict[str, str], build, more: str = _R, source: str = "s", digits: int = 6, interval: int = mk.HOUR) -> None:
     cols = ", ".join(f"{e} AS {n}" if e.startswith("=") is False and n.startswith("i_") else f"round({e}, {digits}) + 0.0 AS {n}" for n, e in sql.items())
 
-    @query(name, f"{mk.with_sql(_C, more)} SELECT symbol, open_time, {cols} FROM {source}")
+    @query(name, f"{mk.with_sql(mk.candles_sql(interval=interval), more)} SELECT symbol, open_time, {cols} FROM {source}")
     def run(spark, sf_dir):
-        return mk.rounded(build(_candles(spark, sf_dir)), digits)
+        return mk.rounded(build(_candles(spark, sf_dir, interval)), digits)
 
 
 def _full(n: int, e: str, c: str = "r") -> str:
@@ -73,13 +73,14 @@ _SHAPE = {"body_range": "(close - open) / nullif(high - low, 0)", "wick_up": "(h
 _win("win_candle_shape", _SHAPE, ro.candle_shape)
 _win("win_forward_return", {"pct_3": f"close / lag(close, 3) OVER ({_P}) - 1", "fwd_2": f"lead(close, 2) OVER ({_P}) / close - 1"}, lambda c: c.select("symbol", "open_time", (F.col("close") / F.lag("close", 3).over(mk.series()) - 1).alias("pct_3"), (F.lead("close", 2).over(mk.series()) / F.col("close") - 1).alias("fwd_2")))
 _win("win_funding_cycle", {"mins": "CAST((28800000 - open_time % 28800000) / 60000 AS DOUBLE)", "cyc_sin": "sin(2 * pi() * (open_time % 28800000) / 28800000.0)", "cyc_cos": "cos(2 * pi() * (open_time % 28800000) / 28800000.0)"}, ro.funding_cycle)
-_win(
-    "win_ewm",
-    {"ewm_adj": "CASE WHEN len(a) > 0 THEN list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i] * pow(1 - 2.0 / 13, len(a) - i))) / list_sum(list_transform(range(1, len(a) + 1), lambda i: pow(1 - 2.0 / 13, len(a) - i))) END",
-     "ewm_rec": "list_reduce(list_slice(a, 2, len(a)), lambda e, x: x * (2.0 / 13)::DOUBLE + e * (1 - 2.0 / 13)::DOUBLE, a[1])"},
-    lambda c: ro.ewm(c, "close", 2 / 13),
-    more=f"{_R}, t AS (SELECT *, list(close) OVER ({_P}) AS a FROM s)", source="t",
-)
+for _name, _width in (("win_ewm", mk.HOUR), ("win_ewm_minute", mk.MINUTE)):
+    _win(
+        _name,
+        {"ewm_adj": "CASE WHEN len(a) > 0 THEN list_sum(list_transform(range(1, len(a) + 1), lambda i: a[i] * pow(1 - 2.0 / 13, len(a) - i))) / list_sum(list_transform(range(1, len(a) + 1), lambda i: pow(1 - 2.0 / 13, len(a) - i))) END",
+         "ewm_rec": "list_reduce(list_slice(a, 2, len(a)), lambda e, x: x * (2.0 / 13)::DOUBLE + e * (1 - 2.0 / 13)::DOUBLE, a[1])"},
+        lambda c: ro.ewm(c, "close", 2 / 13),
+        more=f"{_R}, t AS (SELECT *, list(close) OVER ({_P}) AS a FROM s)", source="t", interval=_width,
+    )
 
 
 _W = "pow(1 - 2.0 / 13, len(a) - i)"
@@ -120,10 +121,15 @@ m AS (SELECT symbol, open_time, 100 * {_smooth("plus")} / ({_smooth("tr")} + 1e-
 x AS (SELECT symbol, open_time, (p - m) / (p + m + 1e-12) AS dmi, list(100 * abs(p - m) / (p + m + 1e-12)) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS dx FROM m)"""
 
 
-@query("win_adx", f"{mk.with_sql(_C, _ADX)} SELECT symbol, open_time, round(CASE WHEN len(dx) >= 14 THEN {_smooth('dx')} / 100 END, 6) + 0.0 AS adx, round(dmi, 6) + 0.0 AS dmi FROM x")
-def win_adx(spark, sf_dir):
-    """ADX and DMI by Wilder's smoothing, whose memory never ends: sums in blocks, carried over."""
-    return mk.rounded(ro.adx(mk.candles(mk.trades(spark, sf_dir))))
+def _adx_query(name: str, interval: int) -> None:
+    @query(name, f"{mk.with_sql(mk.candles_sql(interval=interval), _ADX)} SELECT symbol, open_time, round(CASE WHEN len(dx) >= 14 THEN {_smooth('dx')} / 100 END, 6) + 0.0 AS adx, round(dmi, 6) + 0.0 AS dmi FROM x")
+    def win_adx(spark, sf_dir):
+        """ADX and DMI by Wilder's smoothing, whose memory never ends: sums in blocks, carried over."""
+        return mk.rounded(ro.adx(mk.candles(mk.trades(spark, sf_dir), interval)))
+
+
+_adx_query("win_adx", mk.HOUR)
+_adx_query("win_adx_minute", mk.MINUTE)
 
 
 @query("win_zero_crossings", f"{mk.with_sql(_C, _R)}, t AS (SELECT *, sign(r) AS sg, last_value(nullif(sign(r), 0) IGNORE NULLS) OVER ({_P} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM s) SELECT symbol, open_time, CAST(sum(CASE WHEN sg <> 0 AND b <> sg THEN 1 ELSE 0 END) OVER ({_P} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS crossings FROM t")
