@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemill.catalog import query
 from tidemill.sinks.tables import Table
 from tidemill.sources import market as mk
-from tidemill.streaming import live
+from tidemill.streaming import filling, live
 from tidemill.streaming.run import drain, folder, read_events
 
 _H = mk.HOUR
@@ -23,6 +23,16 @@ def stream_tumbling_bars(spark, sf_dir):
     return drain(live.tumbling_bars(read_events(spark, sf_dir)), "bars")
 
 
+_FIVE = 5 * mk.MINUTE
+
+
+@query("stream_filled_bars", filling.oracle_sql(mk.TRADES_SQL, mk.candles_sql(interval=_FIVE), _FIVE, 600_000))
+def stream_filled_bars(spark, sf_dir):
+    """Five-minute bars without holes: timers make up the buckets in which nothing was traded."""
+    with filling.timers(spark):
+        return drain(filling.filled_bars(read_events(spark, sf_dir), _FIVE), "filled")
+
+
 @query(
     "stream_sliding_bars",
     f"""{mk.with_sql()}, s AS (SELECT *, unnest([ts_ms // {_H} * {_H}, ts_ms // {_H} * {_H} - {_H}]) AS open_time FROM trades) SELECT symbol, open_time, count(*) AS trades, max(price) AS high, min(price) AS low FROM s GROUP BY ALL HAVING open_time + 2 * {_H} <= {_MAX} - 600000""",

@@ -15,12 +15,13 @@ def ticks(events: DataFrame) -> DataFrame:
     )
 
 
-def tumbling_bars(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
-    """Bars of buckets that the watermark has closed; later rows are dropped."""
+def tumbling_bars(events: DataFrame, width: str = "1 hour", late: str = "10 minutes", slide: str | None = None, close_time: bool = False) -> DataFrame:
+    """Bars of buckets that the watermark has closed; later rows are dropped. With ``close_time`` they carry it on as their event time."""
     t = ticks(events).withWatermark("at", late)
     at = F.struct("at", "trade_id")
     g = t.groupBy("symbol", F.window("at", width, slide) if slide else F.window("at", width)).agg(F.count("*").alias("trades"), F.min_by("price", at).alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", at).alias("close"), F.sum("lots").alias("lots"))
-    return g.select("symbol", F.unix_millis("window.start").alias("open_time"), "trades", "open", "high", "low", "close", "lots")
+    when = [F.window_time("window").alias("closed_at")] if close_time else []
+    return g.select("symbol", F.unix_millis("window.start").alias("open_time"), "trades", "open", "high", "low", "close", "lots", *when)
 
 
 def visits(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
