@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemill.catalog import query
+from tidemill.operators import order
 from tidemill.operators import rolling as ro
 from tidemill.sources import market as mk
 
@@ -53,6 +54,23 @@ _win(
 )
 _win("win_prank", {"prank": "(len(list_filter(a, lambda x: x < close)) + (len(list_filter(a, lambda x: x = close)) + 1) / 2.0) / len(a)"}, lambda c: c.select("symbol", "open_time", ro.percent_rank("close", 60).alias("prank")), more=f"{_R}, t AS (SELECT *, list(close) OVER {_w(60)} AS a FROM s)", source="t")
 _win("win_rolling_median", {"med": f"quantile_cont(close, 0.5) OVER {_w(30)}"}, lambda c: c.select("symbol", "open_time", F.percentile("close", 0.5).over(ro.last(30)).alias("med")))
+def _order_query(name: str, bars: int, quantiles: dict[str, float]) -> None:
+    frame = f"a.symbol = b.symbol AND b.i BETWEEN a.i - {bars - 1} AND a.i"
+    cols = ", ".join(f"round(quantile_cont(b.close, {q}), 6) + 0.0 AS {k}" for k, q in quantiles.items())
+    numbered = f"n AS (SELECT symbol, open_time, close, row_number() OVER ({_P}) AS i FROM candles)"
+
+    @query(name, f"""{mk.with_sql(mk.candles_sql(interval=_FIVE), numbered)}
+SELECT a.symbol, a.open_time, round((count(*) FILTER (WHERE b.close < a.close) + (count(*) FILTER (WHERE b.close = a.close) + 1) / 2.0) / count(*), 6) + 0.0 AS prank, {cols}
+FROM n a JOIN n b ON {frame} GROUP BY a.symbol, a.open_time""")
+    def run(spark, sf_dir):
+        """Percentile rank and quantiles of five-minute closes over a frame of thousands of bars."""
+        return mk.rounded(order.order_statistics(mk.candles(mk.trades(spark, sf_dir), _FIVE), "close", bars, _FIVE, quantiles))
+
+
+_FIVE = 5 * mk.MINUTE
+_order_query("win_prank_30d", 30 * 288, {"med": 0.5})
+_order_query("win_prank_90d", 90 * 288, {"q10": 0.1, "q90": 0.9})
+
 _win(
     "win_corr_beta",
     {"corr": _full(48, f"corr(r, dv) OVER {_w(48)}"), "cov": _full(48, f"covar_samp(r, dv) OVER {_w(48)}"), "beta": _full(48, f"covar_samp(r, dv) OVER {_w(48)} / nullif(var_samp(dv) OVER {_w(48)}, 0)")},
