@@ -59,6 +59,20 @@ def test_isotonic_golden(spark):
     assert fits == {"a": ([0.4, 0.6], [0.5, 0.5]), "b": ([0.2, 0.3, 0.5, 0.9], [0.0, 0.5, 0.5, 1.0]), "c": ([0.5], [0.5])}
 
 
+def test_isotonic_in_parts(spark):
+    """However scores are parted, the curves are those of pooling all at once."""
+    rng = np.random.default_rng(6)
+    p = np.round(rng.uniform(-0.1, 1.1, 4000), 3)
+    pdf = pd.DataFrame({"k": np.where(rng.random(4000) < 0.9, "hot", "cold"), "p": p, "y": (rng.random(4000) < 0.3 + 0.4 * (p > 0.5) + 0.1 * np.sin(30 * p)).astype(float)})
+    for r in mo.isotonic_fit(spark.createDataFrame(pdf), "k", "p", "y").collect():
+        g = pdf[pdf["k"] == r.k].groupby("p")["y"].agg(["count", "sum"]).reset_index()
+        whole = mo.pooled(g["count"], g["sum"], g["p"], g["p"])
+        assert r.n == g["count"].sum()
+        assert r.xs == [x for _, _, a, b in whole for x in dict.fromkeys((a, b))]
+        assert r.ys == pytest.approx([s / n for n, s, a, b in whole for _ in dict.fromkeys((a, b))])
+        assert len(whole) < len(g) / 5 and (np.diff(r.ys) >= 0).all()
+
+
 def test_mondrian_judges_rows_it_was_not_fitted_on(spark, sf_dir):
     from tidemill.sources import decisions as de
 

@@ -1,8 +1,8 @@
 """Fitting, calibrating and combining simple classifiers.
 
 Linear fits reduce the rows to a small Gram matrix by one aggregation a step,
-so only a few numbers reach the driver. Trees are in ``trees``; isotonic fits run
-as grouped pandas functions over pooled scores.
+so only a few numbers reach the driver. Trees are in ``trees``; isotonic fits pool
+scores part by part.
 """
 
 from __future__ import annotations
@@ -87,28 +87,74 @@ def majority_vote(votes: list[Column], confidences: list[Column] | None = None)
     return p, conf
 
 
-def isotonic_fit(df: DataFrame, key: str, p: str, y: str) -> DataFrame:
-    """(key, xs, ys) of each key's isotonic calibration: the two ends of every pooled block, at its mean; xs strictly ascending.
+#: Parts of the unit interval that scores are first pooled in, and neighbouring parts that merge at a time.
+PARTS, MERGED = 64, 8
+
+
+def pooled(n, s, lo, hi) -> list[tuple[float, float, float, float]]:
+    """Neighbouring blocks (rows, sum of y, first and last score; ascending) pooled until their means ascend.
 
-    Equal scores are pooled first, so a group holds its distinct scores only:
-    scores of five decimals are 100,001 at most.
+    Pooling parts first and then their blocks gives what pooling all at once gives, so parts may lie in several tasks.
     """
-    g = df.groupBy(key, p).agg(F.count("*").alias("n"), F.sum(y).alias("s"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(p)
-        pooled: list[tuple[float, float, float, float]] = []  # weight, sum of y, first and last x
-        for x, n, s in zip(pdf[p], pdf["n"], pdf["s"], strict=True):
-            block = (float(n), float(s), float(x), float(x))
-            while pooled and pooled[-1][1] * block[0] >= block[1] * pooled[-1][0]:
-                before = pooled.pop()
-                block = (before[0] + block[0], before[1] + block[1], before[2], block[3])
-            pooled.append(block)
-        ends = [(x, s / n) for n, s, a, b in pooled for x in dict.fromkeys((a, b))]
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "xs": [[x for x, _ in ends]], "ys": [[v for _, v in ends]]})
+    out: list[tuple[float, float, float, float]] = []
+    for block in zip(map(float, n), map(float, s), map(float, lo), map(float, hi), strict=True):
+        while out and out[-1][1] * block[0] >= block[1] * out[-1][0]:
+            before = out.pop()
+            block = (before[0] + block[0], before[1] + block[1], before[2], block[3])
+        out.append(block)
+    return out
+
 
+def isotonic_fit(df: DataFrame, key: str, p: str, y: str) -> DataFrame:
+    """(key, xs, ys, n) of each key's isotonic calibration: the two ends of every pooled block, at its mean; xs strictly ascending; and its rows.
+
+    Equal scores are pooled first, then those of each of PARTS parts of the unit
+    interval, then MERGED neighbouring parts at a time: a key with a large share
+    of the rows is many groups until only its blocks are left.
+    """
+    part = F.greatest(F.lit(0), F.least(F.lit(PARTS - 1), F.floor(F.col(p) * PARTS))).cast("int")
     kind = dict(df.dtypes)[key]
-    return g.groupBy(key).applyInPandas(run, f"{key} {kind}, xs array<double>, ys array<double>")
+    blocks = df.groupBy(key, p).agg(F.count("*").cast("double").alias("n"), F.sum(y).cast("double").alias("s"))
+    blocks = blocks.select(key, part.alias("part"), "n", "s", F.col(p).cast("double").alias("lo"), F.col(p).cast("double").alias("hi"))
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("lo")
+        out = pd.DataFrame(pooled(pdf["n"], pdf["s"], pdf["lo"], pdf["hi"]), columns=["n", "s", "lo", "hi"])
+        return out.assign(**{key: pdf[key].iloc[0], "part": pdf["part"].iloc[0]})[[key, "part", "n", "s", "lo", "hi"]]
+
+    parts = PARTS
+    while True:
+        blocks = blocks.groupBy(key, "part").applyInPandas(merge, f"{key} {kind}, part int, n double, s double, lo double, hi double")
+        if parts == 1:
+            break
+        parts = -(-parts // MERGED)
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / MERGED).cast("int"))
+    ends = F.when(F.col("lo") < F.col("hi"), F.array("lo", "hi")).otherwise(F.array("lo"))
+    fit = blocks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("lo", ends.alias("xs"), (F.col("s") / F.col("n")).alias("y")))).alias("b"), F.sum("n").cast("long").alias("n"))
+    return fit.select(key, F.flatten("b.xs").alias("xs"), F.flatten(F.transform("b", lambda b: F.transform(b["xs"], lambda _: b["y"]))).alias("ys"), "n")
+
+
+def calibrated(rows: DataFrame, fits: DataFrame, key: str, p: str, least: int, shrink: float, blend: float = 0.5) -> DataFrame:
+    """rows with p calibrated in three forms by the curves of ``isotonic_fit`` for each key and for all rows together (key "all").
+
+    own: the key's curve, the common one where it rests on fewer than ``least``
+    rows; mixed: ``blend`` of the common curve where the key has its own; shrunk:
+    the key's curve by n / (n + shrink), the common one by the rest. A ten
+    thousandth of the raw score keeps ties of plateaus in order.
+    """
+    common = fits.filter(F.col(key) == "all").select(F.col("xs").alias("_gx"), F.col("ys").alias("_gy"))  # one row
+    own = fits.filter(F.col(key) != "all").select(key, F.col("xs").alias("_kx"), F.col("ys").alias("_ky"), F.col("n").alias("_kn"))
+    joined = rows.join(F.broadcast(common)).join(own, key, "left")
+    whole, part = piecewise(F.col(p), F.col("_gx"), F.col("_gy")), piecewise(F.col(p), F.col("_kx"), F.col("_ky"))
+    n = F.coalesce("_kn", F.lit(0))
+    share = n / (n + shrink)
+    forms = {
+        "own": F.when(n >= least, part).otherwise(whole),
+        "mixed": F.when(n >= least, blend * whole + (1 - blend) * part).otherwise(whole),
+        "shrunk": F.when(n > 0, share * part + (1 - share) * whole).otherwise(whole),
+    }
+    kept = lambda v: F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), v + 1e-4 * (F.col(p) - 0.5)))
+    return joined.select(*rows.columns, *(kept(v).alias(k) for k, v in forms.items()))
 
 
 def piecewise(p: Column, xs: Column, ys: Column) -> Column:

@@ -278,19 +278,57 @@ def model_pava_apply(spark, sf_dir):
     return mk.rounded(de.decisions(spark, sf_dir).select("symbol", "target_open", mo.piecewise(F.col("p_up"), xs, ys).alias("calibrated")))
 
 
+def _regimes(spark, sf_dir):
+    """Bets with the label y and their bucket: volatility of a day of closes, and side."""
+    w = Window.partitionBy("symbol").orderBy("anchor_open").rowsBetween(-23, 0)
+    b = de.bets(spark, sf_dir).withColumn("vol", F.stddev_samp("close").over(w) / F.col("close")).filter("vol IS NOT NULL")
+    return b.withColumn("bucket", F.concat(F.when(F.col("vol") < 0.6, "calm").when(F.col("vol") < 1.2, "normal").otherwise("wild"), F.when(F.col("p_up") >= 0.5, "-up").otherwise("-down"))).withColumn("y", _y())
+
+
 @query("model_mondrian")
 def model_mondrian(spark, sf_dir):
     """Calibration of its own for each volatility bucket and side, fitted on the earlier seven tenths of the time and judged on the rest."""
-    w = Window.partitionBy("symbol").orderBy("anchor_open").rowsBetween(-23, 0)
-    b = de.bets(spark, sf_dir).withColumn("vol", F.stddev_samp("close").over(w) / F.col("close")).filter("vol IS NOT NULL")
-    b = b.withColumn("bucket", F.concat(F.when(F.col("vol") < 0.6, "calm").when(F.col("vol") < 1.2, "normal").otherwise("wild"), F.when(F.col("p_up") >= 0.5, "-up").otherwise("-down"))).withColumn("y", _y())
+    b = _regimes(spark, sf_dir)
     lo, hi = b.agg(F.min("anchor_open"), F.max("anchor_open")).first()
     cut = (lo or 0) + int(((hi or 0) - (lo or 0)) * 0.7)
     fits = mo.isotonic_fit(b.filter(F.col("target_open") < cut), "bucket", "p_up", "y")
-    out = b.filter(F.col("anchor_open") >= cut).join(F.broadcast(fits), "bucket").withColumn("p_cal", mo.piecewise(F.col("p_up"), F.col("xs"), F.col("ys")))  # at most six buckets
+    out = b.filter(F.col("anchor_open") >= cut).join(F.broadcast(fits), "bucket").withColumn("p_cal", mo.piecewise(F.col("p_up"), F.col("xs"), F.col("ys"))).drop("n")  # at most six buckets
     return mk.rounded(out.groupBy("bucket").agg(F.count("*").alias("n"), F.avg("p_up").alias("raw"), F.avg("p_cal").alias("calibrated"), F.avg("y").alias("observed")))
 
 
+_LEAST, _SHRINK = 250, 200
+_CURVES = f"""v AS (SELECT *, stddev_samp(close) OVER (PARTITION BY symbol ORDER BY anchor_open ROWS 23 PRECEDING) / close AS vol FROM bets),
+b AS (SELECT *, CASE WHEN vol < 0.6 THEN 'calm' WHEN vol < 1.2 THEN 'normal' ELSE 'wild' END || CASE WHEN p_up >= 0.5 THEN '-up' ELSE '-down' END AS bucket FROM v WHERE vol IS NOT NULL),
+e AS (SELECT min(anchor_open) + CAST(floor((max(anchor_open) - min(anchor_open)) * 0.7) AS BIGINT) AS cut FROM b),
+t AS (SELECT bucket AS k, p_up AS x, outcome_up::INTEGER AS y FROM b, e WHERE target_open < cut), u AS (SELECT * FROM t UNION ALL SELECT 'all', x, y FROM t),
+s AS (SELECT k, x, count(*) AS n, sum(y) AS y FROM u GROUP BY ALL),
+c AS (SELECT k, x, row_number() OVER w AS i, sum(n) OVER w AS n, sum(y) OVER w AS y FROM s WINDOW w AS (PARTITION BY k ORDER BY x)),
+m AS (SELECT a.k, a.i AS j, b.i AS i, (b.y - coalesce(z.y, 0)) / (b.n - coalesce(z.n, 0))::DOUBLE AS mean FROM c a JOIN c b ON a.k = b.k AND a.i <= b.i LEFT JOIN c z ON z.k = a.k AND z.i = a.i - 1),
+l AS (SELECT k, j, i, min(mean) OVER (PARTITION BY k, j ORDER BY i DESC) AS low FROM m), f AS (SELECT k, i, max(low) AS y FROM l GROUP BY k, i),
+g AS (SELECT f.k, list(c.x ORDER BY c.x) AS xs, list(f.y ORDER BY c.x) AS ys, max(c.n) AS n FROM f JOIN c ON c.k = f.k AND c.i = f.i GROUP BY f.k),
+h AS (SELECT b.bucket, p_up AS p, outcome_up::INTEGER AS y, o.n, o.xs AS ox, o.ys AS oy, a.xs AS ax, a.ys AS ay, len(list_filter(o.xs, lambda q: q <= p_up)) AS oi, len(list_filter(a.xs, lambda q: q <= p_up)) AS ai
+  FROM b JOIN e ON anchor_open >= cut JOIN g a ON a.k = 'all' LEFT JOIN g o ON o.k = b.bucket)"""
+_AT = lambda x, y, i: f"CASE WHEN {i} = 0 THEN {y}[1] WHEN {i} = len({x}) THEN {y}[{i}] ELSE {y}[{i}] + (p - {x}[{i}]) / ({x}[{i} + 1] - {x}[{i}]) * ({y}[{i} + 1] - {y}[{i}]) END"
+_KEPT = lambda v: f"greatest(1e-6, least(1 - 1e-6, {v} + 1e-4 * (p - 0.5)))"
+
+
+@query(
+    "model_calibration_forms",
+    f"""{de.with_sql(_CURVES)}, w AS (SELECT bucket, p, y, coalesce(n, 0) AS n, {_AT("ox", "oy", "oi")} AS o, {_AT("ax", "ay", "ai")} AS a FROM h)
+SELECT bucket, count(*) AS rows, {_r("avg(p)", "raw")}, {_r(f"avg({_KEPT(f'CASE WHEN n >= {_LEAST} THEN o ELSE a END')})", "own")}, {_r(f"avg({_KEPT(f'CASE WHEN n >= {_LEAST} THEN 0.5 * a + 0.5 * o ELSE a END')})", "mixed")},
+{_r(f"avg({_KEPT(f'CASE WHEN n > 0 THEN n / (n + {_SHRINK}.0) * o + (1 - n / (n + {_SHRINK}.0)) * a ELSE a END')})", "shrunk")}, {_r("avg(y)", "observed")} FROM w GROUP BY bucket""",
+)
+def model_calibration_forms(spark, sf_dir):
+    """Isotonic curves of each regime and side and of all together, fitted on the earlier seven tenths of the time: own, mixed and shrunk forms on the rest."""
+    b = _regimes(spark, sf_dir)
+    lo, hi = b.agg(F.min("anchor_open"), F.max("anchor_open")).first()
+    cut = (lo or 0) + int(((hi or 0) - (lo or 0)) * 0.7)
+    early = b.filter(F.col("target_open") < cut).select("bucket", "p_up", "y")
+    fits = mo.isotonic_fit(early.union(early.withColumn("bucket", F.lit("all"))), "bucket", "p_up", "y")
+    out = mo.calibrated(b.filter(F.col("anchor_open") >= cut).select("bucket", "p_up", "y"), fits, "bucket", "p_up", _LEAST, _SHRINK)
+    return mk.rounded(out.groupBy("bucket").agg(F.count("*").alias("rows"), F.avg("p_up").alias("raw"), *(F.avg(c).alias(c) for c in ("own", "mixed", "shrunk")), F.avg("y").alias("observed")))
+
+
 @query("model_meta_label", f"{de.with_sql()}, l AS (SELECT *, avg(CAST(won AS INTEGER)) OVER (PARTITION BY symbol ORDER BY target_open ROWS BETWEEN 50 PRECEDING AND 3 PRECEDING) AS trust FROM bets) SELECT symbol, target_open, {_r('trust', 'trust')}, {_r('0.5 + (p_up - 0.5) * greatest(0.0, least(1.0, 2 * trust)) + 1e-10', 'p_meta')} FROM l WHERE trust IS NOT NULL")
 def model_meta_label(spark, sf_dir):
     """A second stage that trusts the first by its own recent record, an embargo of two bets kept."""
