@@ -27,7 +27,7 @@ from tidemill.llm.components import components
 from tidemill.llm.skew import frequent, lookup
 
 #: Members of a block in a bucket, and pairs of a centre in one verification group, at most about.
-BLOCK, GROUP = 256, 512
+BLOCK, GROUP = 256, 48
 #: Keys of a class, the least ones, that travel with it so that a pair is proposed once.
 CARRIED = 32
 
