@@ -229,7 +229,9 @@ class Linker:
         centres = self.work.save(centres, "centres")
         top = frequent(centres.select("bucket", "size"), "size")
         shared = lookup(met, centres, ["bucket"], ["centre", "size"], top, F.col("node")).filter("centre IS NOT NULL")
-        return self.work.save(shared, "shared")
+        shared = self.work.save(shared, "shared")
+        tk.release(self.docs.sparkSession)
+        return shared
 
     def _rest(self, placed: DataFrame) -> DataFrame:
         """Pairs across components of rows (bucket, node, component, size). Of buckets with the same members the least is enough."""
@@ -251,6 +253,7 @@ class Linker:
         work, shared = self.work, self._shared()
         stars = shared.filter("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct()
         first = work.save(self._links(work.save(self._likely(stars), "likely")), "first")
+        tk.release(self.docs.sparkSession)  # shuffle files of keys and texts
         labels = components(first, work, "near")
         placed = shared.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
         placed = work.save(placed.select("bucket", "node", "component", "size"), "placed")
