@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from tests.llm.cases import DOCS, hard
-from tidemill.llm import decontaminate, fingerprint, labelled, language_id, line_dedup, near_dedup, packing, quality, registry, substring_dedup, suffix_dedup, toxicity
+from tidemill.llm import decontaminate, fingerprint, jaccard_join, labelled, language_id, line_dedup, near_dedup, packing, quality, registry, resampling, substring_dedup, suffix_dedup, toxicity
 
 CLASH = [
     "score", "predicted", "lang_pred", "bits_per_byte", "known", "kept", "n_lines", "n_removed", "kept_text", "component_id", "_row", "_kept", "label", "a", "b", "bucket", "chunk",
@@ -47,10 +47,12 @@ def operators(labels, items):
         "lines": line_dedup.drop_boilerplate,
         "decontaminate": lambda d: decontaminate.find(d, items),
         "near": near_dedup.near_duplicates,
+        "join": jaccard_join.join_components,
+        "resample": lambda d: resampling.resample(d, items),
     }
 
 
-NAMES = ["fingerprint", "toxicity", "quality", "suffix", "substring", "language", "lines", "decontaminate", "near"]
+NAMES = ["fingerprint", "toxicity", "quality", "suffix", "substring", "language", "lines", "decontaminate", "near", "join", "resample"]
 
 
 @pytest.mark.parametrize("name", NAMES)
