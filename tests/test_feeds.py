@@ -77,3 +77,33 @@ def test_ledger_invariants(spark, tmp_path):
     assert state()[1] == (100, 30, 70)
     add([(1, "settle", 7, 75)])
     assert state()[1] == (145, 0, 145)
+
+
+def test_archives(spark, tmp_path):
+    """Archives give the rows of the text feed; broken archives and members don't end the read; held days aren't read."""
+    import zipfile
+
+    from tidemill.sources import archives
+
+    rows = [f"{k},{k}.5,1.0,{k},{k},{1_700_000_000_000 + k},true,true" for k in range(300)]
+    (tmp_path / "text").mkdir()
+    (tmp_path / "zip").mkdir()
+    (tmp_path / "text" / "all.csv").write_text("\n".join(["id,price", *rows, "x,y"]))
+    for day, part in (("2024-01-01", rows[:100]), ("2024-01-02", rows[100:]), ("2024-01-03", ["900,1.0,1.0,1,1,1700000000000,true,true"])):
+        with zipfile.ZipFile(tmp_path / "zip" / f"A-{day}.zip", "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr("a.csv", "\r\n".join(["id,price", *part[:50]]))
+            z.writestr("b.csv", "\n".join([*part[50:], "x,y"]))
+            z.writestr("c.txt", "901,1.0,1.0,1,1,1700000000000,true,true")
+    (tmp_path / "zip" / "A-2024-01-04.zip").write_bytes(b"no archive")
+    (tmp_path / "zip" / "A-2024-01-05.zip").write_bytes(b"")
+    held = spark.createDataFrame([("2024-01-03",)], "day string").selectExpr("CAST(day AS DATE) AS day")
+    found = archives.trades(archives.load(spark, str(tmp_path / "zip"), held)).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, fd.trades_csv(spark, str(tmp_path / "text")).collect()))
+    every = spark.createDataFrame([(f"2024-01-0{k}",) for k in range(1, 6)], "day string").selectExpr("CAST(day AS DATE) AS day")
+    assert archives.trades(archives.load(spark, str(tmp_path / "zip"), every)).collect() == []
+
+
+def test_last_row_of_a_key_counts(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("2024-01-01 00:00:00,a,9,9\n2024-01-01 00:00:00,a,3,1\n2024-01-01 00:05:00,a,1,1\n2024-01-01 00:00:00,a,5,\n")
+    found = {r.ts_ms % 86_400_000: (r.open_interest, r.open_interest_value) for r in fd.metrics_csv(spark, str(tmp_path / "m.csv")).collect()}
+    assert found == {0: (5.0, None), 300_000: (1.0, 1.0)}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemill.catalog import query
+from tidemill.sources import archives as ar
 from tidemill.sources import feeds as fd
 from tidemill.sources import market as mk
 from tidemill.streaming.run import folder
@@ -29,19 +30,51 @@ def feed_trades_csv(spark, sf_dir):
     return fd.trades_csv(spark, at)
 
 
+def _zipped(key, lines):
+    """One archive of a symbol and day: its trades, a member that is no CSV, and one that is broken."""
+    import io
+    import zipfile
+
+    import pandas as pd
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("trades.csv", "\n".join(["agg_trade_id,price", *lines["value"]]))
+        z.writestr("read.me", "9,1.0,1.0,9,9,1700000000000,true,true")
+        z.writestr("broken.csv", "8,1.0,1.0,8,8,1700000000000,true,true\n" * 50)
+    content = bytearray(out.getvalue())
+    at = content.rindex(b"broken.csv", 0, content.index(b"PK\x01\x02")) + len("broken.csv")
+    content[at : at + 8] = b"\xff" * 8
+    return pd.DataFrame({"path": [f"{key[0]}-{key[1]}.zip"], "content": [bytes(content)]})
+
+
+@query("feed_trades_zip", f"{mk.with_sql()}, d AS (SELECT *, ts_ms // {24 * _H} AS day, min(ts_ms // {24 * _H}) OVER () AS first FROM trades) SELECT trade_id, price, qty, ts_ms, is_buyer_maker FROM d WHERE day > first")
+def feed_trades_zip(spark, sf_dir):
+    """Archives of CSV, one a symbol and day, with a broken member each; the first day is held already and left out."""
+    t = mk.trades(spark, sf_dir)
+    line = _text(F.col("trade_id"), F.col("price"), F.col("qty"), F.col("trade_id"), F.col("trade_id"), F.col("ts_ms"), F.col("is_buyer_maker"), F.lit(True))
+    day = F.date_format(F.timestamp_millis("ts_ms"), "yyyy-MM-dd").alias("day")
+    at = folder(spark, "trades-zip")
+    t.select("symbol", day, line.alias("value")).groupBy("symbol", "day").applyInPandas(_zipped, "path string, content binary").write.parquet(at)
+    archives = spark.read.schema("path string, content binary").parquet(at).withColumn("day", ar.day_of(F.col("path")))
+    held = archives.agg(F.min("day").alias("day"))
+    return ar.trades(archives.join(held, "day", "left_anti"))
+
+
 @query(
     "feed_metrics_csv",
     f"""{mk.with_sql(mk.candles_sql())} SELECT symbol, open_time AS ts_ms, volume AS open_interest, CASE WHEN open_time // {_H} % 5 <> 0 THEN close END AS open_interest_value, low AS top_ratio FROM candles""",
 )
 def feed_metrics_csv(spark, sf_dir):
-    """Metrics with empty fields, an unreadable time, and every row twice."""
+    """Metrics with empty fields, an unreadable time, and a row of greater values before every row, which does not count."""
     c = mk.candles(mk.trades(spark, sf_dir))
     time = F.date_format(F.timestamp_millis("open_time"), "yyyy-MM-dd HH:mm:ss")
     value = F.when(F.floor(F.col("open_time") / _H) % 5 != 0, F.col("close"))
-    rows = c.select(_text(time, F.col("symbol"), F.col("volume"), value, F.lit("n/a"), F.col("low"), F.lit(None), F.lit(None)).alias("value"))
+    line = lambda more: _text(time, F.col("symbol"), F.col("volume") + more, value + more, F.lit("n/a"), F.col("low") + more, F.lit(None), F.lit(None))
+    rows = c.select(F.explode(F.array(line(7), line(0))).alias("value"))
     head = spark.createDataFrame([("create_time,symbol,sum_open_interest",)], "value string")
     at = folder(spark, "metrics-csv")
-    rows.union(rows).union(head).write.text(at)
+    rows.union(head).write.text(at)
     return fd.metrics_csv(spark, at).select("symbol", "ts_ms", "open_interest", "open_interest_value", "top_ratio")
 
 

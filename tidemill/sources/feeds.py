@@ -20,10 +20,15 @@ def millis(t: Column) -> Column:
 
 
 def trades_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Trades of dump files (id, price, quantity, first, last, time, buyer is maker, best match) with or without a header; rows with an unreadable number are left out."""
+    """Trades of dump files as text; see ``parsed_trades``."""
+    return parsed_trades(spark.read.text(path))
+
+
+def parsed_trades(lines: DataFrame) -> DataFrame:
+    """Trades of lines (id, price, quantity, first, last, time, buyer is maker, best match) with or without a header; rows with an unreadable number are left out."""
     f = F.split("value", ",")
     at = lambda k: F.trim(F.get(f, F.lit(k)))
-    rows = spark.read.text(path).select(
+    rows = lines.select(
         at(0).try_cast("long").alias("trade_id"), at(1).try_cast("double").alias("price"), at(2).try_cast("double").alias("qty"),
         millis(at(5).try_cast("long")).alias("ts_ms"), (F.lower(at(6)) == "true").alias("is_buyer_maker"),
     )
@@ -31,13 +36,14 @@ def trades_csv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def metrics_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Metrics by (symbol, ts_ms) of dump files (UTC time, symbol, open interest, its value, four ratios); of repeated keys the row of greatest values counts."""
+    """Metrics by (symbol, ts_ms) of dump files (UTC time, symbol, open interest, its value, four ratios); of repeated keys the last row counts, by file name and place."""
     names = ["open_interest", "open_interest_value", "top_count_ratio", "top_ratio", "ratio", "taker_ratio"]
     f = F.split("value", ",")
     at = lambda k: F.trim(F.get(f, F.lit(k)))
     time = F.try_to_timestamp(at(0), F.lit("yyyy-MM-dd HH:mm:ss"))
-    rows = spark.read.text(path).select(F.unix_millis(time).alias("ts_ms"), at(1).alias("symbol"), F.struct(*(at(k + 2).try_cast("double").alias(n) for k, n in enumerate(names))).alias("m"))
-    return rows.filter("ts_ms IS NOT NULL").groupBy("symbol", "ts_ms").agg(F.max("m").alias("m")).select("symbol", "ts_ms", "m.*")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = spark.read.text(path).select(F.unix_millis(time).alias("ts_ms"), at(1).alias("symbol"), F.struct(*(at(k + 2).try_cast("double").alias(n) for k, n in enumerate(names))).alias("m"), place.alias("place"))
+    return rows.filter("ts_ms IS NOT NULL").groupBy("symbol", "ts_ms").agg(F.max_by("m", "place").alias("m")).select("symbol", "ts_ms", "m.*")
 
 
 def klines(payload: Column) -> Column:
