@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemill.catalog import query
-from tidemill.operators import order
+from tidemill.operators import events, order
 from tidemill.operators import rolling as ro
 from tidemill.sources import market as mk
 
@@ -158,3 +158,25 @@ def win_zero_crossings(spark, sf_dir):
     before = F.last(F.nullif(sign, F.lit(0.0)), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     c = _candles(spark, sf_dir).withColumn("turn", F.coalesce(((sign != 0) & (before != sign)).cast("long"), F.lit(0)))
     return c.select("symbol", "open_time", F.sum("turn").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("crossings"))
+
+
+def _z(e: str, n: int) -> str:
+    return f"(CASE WHEN count({e}) OVER {_w(n)} = {n} THEN ({e} - avg({e}) OVER {_w(n)}) / (stddev_samp({e}) OVER {_w(n)} + 1e-12) END)"
+
+
+_EVENTS = {
+    "cascade": f"(sign(r) <> 0 AND sign(r) = sign(lag(r) OVER ({_P})) AND sign(r) = sign(lag(r, 2) OVER ({_P}))) OR abs(r) < 0.5 * max(abs(r)) OVER {_w(6)}",
+    "flush": f"{_z('volume', 24)} > 2 AND r < 0",
+    "premium": f"abs({_z('dev', 96)}) > 2",
+    "prefunding": f"open_time % (8 * {mk.HOUR}) >= 7 * {mk.HOUR} AND abs({_z('r', 24)}) > 1.5",
+    "cross_gap": f"abs({_z('gap', 24)}) > 2 AND (open_time // {mk.HOUR}) % 24 BETWEEN 14 AND 20",
+}
+_GATE = f"d AS (SELECT *, close / avg(close) OVER {_w(12)} - 1 AS dev, close / avg(close) OVER (PARTITION BY open_time) - 1 AS gap FROM s), g AS (SELECT symbol, open_time, coalesce((close - low) / nullif(high - low, 0), 0.5) AS p, {', '.join(f'coalesce({e}, false) AS {n}' for n, e in _EVENTS.items())} FROM d)"
+
+
+@query("model_event_gate_score", f"{mk.with_sql(_C, _R, _GATE)} SELECT symbol, open_time, {', '.join(_EVENTS)}, round(CASE WHEN {' OR '.join(_EVENTS)} THEN abs(p - 0.5) ELSE -1.0 END, 6) + 0.0 AS score FROM g")
+def model_event_gate_score(spark, sf_dir):
+    """Five mechanisms of forced flow, and the confidence of a candle's close in its range where one of them is active."""
+    p = F.coalesce((F.col("close") - F.col("low")) / F.nullif(F.col("high") - F.col("low"), F.lit(0.0)), F.lit(0.5))
+    e = events.mechanisms(_candles(spark, sf_dir))
+    return mk.rounded(e.select("symbol", "open_time", *events.MECHANISMS, events.gated(p).alias("score")).withColumnRenamed("cross", "cross_gap"))
