@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from tidemill.sinks import ledger as le
 from tidemill.sinks import tables as tb
 from tidemill.sources import feeds as fd
 
@@ -65,7 +66,7 @@ def test_table_operations_can_be_repeated(spark, tmp_path):
 
 def test_ledger_invariants(spark, tmp_path):
     """Available is cash less what is reserved; a reservation ends once, by release or by settlement; deliveries may repeat."""
-    ledger = tb.Ledger(spark, f"file://{tmp_path}/l")
+    ledger = le.Ledger(spark, f"file://{tmp_path}/l")
     entries = [(1, "deposit", None, 100), (1, "reserve", 7, 30), (1, "reserve", 8, 20), (2, "deposit", None, 50)]
     add = lambda rows: ledger.add(spark.createDataFrame(rows, "account long, kind string, ref long, amount long").withColumn("amount", F.col("amount").cast("decimal(20,4)")))
     state = lambda: {r.account: (int(r.cash), int(r.reserved), int(r.available)) for r in ledger.balances().collect()}

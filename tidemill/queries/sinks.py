@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.catalog import query
 from tidemill.queries.models import _r
+from tidemill.sinks import ledger as le
 from tidemill.sinks import tables as tb
 from tidemill.sources import decisions as de
 from tidemill.sources import market as mk
@@ -62,23 +63,83 @@ b AS (SELECT account, sum(CASE WHEN status = 'O' THEN stake ELSE 0 END) AS reser
 SELECT c_custkey AS account, CAST(1000 + coalesce(won, 0) AS DOUBLE) AS cash, CAST(coalesce(reserved, 0) AS DOUBLE) AS reserved, CAST(1000 + coalesce(won, 0) - coalesce(reserved, 0) AS DOUBLE) AS available FROM customer LEFT JOIN b ON account = c_custkey"""
 
 
-@query("sink_ledger", _LEDGER)
-def sink_ledger(spark, sf_dir):
-    """Customers bet on their orders: open ones are reserved, pending ones released, filled ones pay 1.5 times the stake. Every delivery comes twice."""
+def _deliveries(spark, sf_dir):
+    """Deposits of the customers, stakes on their orders, and how those end: open ones stay reserved, pending ones are released, filled ones pay 1.5 times the stake."""
     c, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("customer", "orders"))
-    money = lambda x: x.cast("decimal(20,4)").alias("amount")
-    stake = F.floor(F.col("o_totalprice") / 1000).cast("decimal(20,4)")
+    money = lambda x: x.cast(le.MONEY).alias("amount")
+    stake = F.floor(F.col("o_totalprice") / 1000).cast(le.MONEY)
     entry = lambda df, kind, amount: df.select(F.col("o_custkey").alias("account"), F.lit(kind).alias("kind"), F.col("o_orderkey").alias("ref"), money(amount))
-    ledger = tb.Ledger(spark, folder(spark, "ledger"))
     deposits = c.select(F.col("c_custkey").alias("account"), F.lit("deposit").alias("kind"), F.lit(None).cast("long").alias("ref"), money(F.lit(1000)))
-    reserves = entry(o, "reserve", stake)
     ends = entry(o.filter("o_orderstatus = 'P'"), "release", stake).union(entry(o.filter("o_orderstatus = 'F'"), "settle", stake * F.lit("1.5").cast("decimal(4,2)")))
-    for batch in (deposits, reserves, reserves, ends, ends, deposits):
-        ledger.add(batch)
+    return deposits, entry(o, "reserve", stake), ends
+
+
+def _balances(ledger):
     b = ledger.balances()
     return b.select("account", *(F.col(x).cast("double").alias(x) for x in ("cash", "reserved", "available")))
 
 
+@query("sink_ledger", _LEDGER)
+def sink_ledger(spark, sf_dir):
+    """Every delivery comes twice."""
+    deposits, reserves, ends = _deliveries(spark, sf_dir)
+    ledger = le.Ledger(spark, folder(spark, "ledger"))
+    for batch in (deposits, reserves, reserves, ends, ends, deposits):
+        ledger.add(batch)
+    return _balances(ledger)
+
+
+@query("sink_ledger_snapshots", _LEDGER)
+def sink_ledger_snapshots(spark, sf_dir):
+    """Balances carried on over snapshots: ends that come before their stakes, and stakes and ends that come again later with other amounts."""
+    deposits, reserves, ends = _deliveries(spark, sf_dir)
+    other = lambda df: df.withColumn("amount", (F.col("amount") + 7).cast(le.MONEY))
+    ledger = le.Ledger(spark, folder(spark, "ledger"))
+    for batch in (ends, reserves.union(deposits), other(reserves), other(ends).union(other(deposits))):
+        ledger.add(batch)
+        ledger.recompute()
+    ledger.add(other(reserves))
+    return _balances(ledger)
+
+
+_ASKED = "SELECT o_custkey AS account, o_orderkey AS ref, floor(o_totalprice / 1000) AS amount FROM orders WHERE floor(o_totalprice / 1000) > 0"
+
+
+@query(
+    "sink_reserve",
+    f"""WITH a AS ({_ASKED}), t AS (SELECT *, sum(amount) OVER (PARTITION BY account ORDER BY ref) AS total FROM a JOIN customer ON c_custkey = account),
+g AS (SELECT account, ref, amount FROM t WHERE total <= 1000), s AS (SELECT account, sum(amount) AS spent FROM g GROUP BY account),
+u AS (SELECT t.account, t.ref, t.amount, sum(t.amount) OVER (PARTITION BY t.account ORDER BY t.ref) AS total, coalesce(spent, 0) AS spent FROM t LEFT JOIN s ON s.account = t.account WHERE t.total > 1000)
+SELECT account, ref, CAST(amount AS DOUBLE) AS amount, 1 AS round FROM g UNION ALL SELECT account, ref, CAST(amount AS DOUBLE), 2 FROM u WHERE total <= 1000 - spent""",
+)
+def sink_reserve(spark, sf_dir):
+    """Each order asks for its stake while its customer can pay; all ask again, and some that were refused fit now."""
+    deposits, reserves, _ = _deliveries(spark, sf_dir)
+    ledger = le.Ledger(spark, folder(spark, "ledger"))
+    ledger.add(deposits)
+    asked = reserves.select("account", "ref", "amount")
+    rounds = [ledger.reserve(asked.union(asked) if k == 1 else asked).withColumn("round", F.lit(k)) for k in (1, 2)]
+    return rounds[0].union(rounds[1]).withColumn("amount", F.col("amount").cast("double"))
+
+
+@query(
+    "sink_reconcile",
+    """WITH b AS (SELECT o_custkey AS account, sum(floor(o_totalprice / 1000)) FILTER (WHERE o_orderstatus = 'O') AS reserved FROM orders GROUP BY ALL),
+w AS (SELECT c_custkey AS account, CASE WHEN c_custkey % 7 <> 0 THEN round(c_acctbal, 2) END AS wallet, coalesce(reserved, 0) AS reserved FROM customer LEFT JOIN b ON account = c_custkey)
+SELECT account, CAST(wallet AS DOUBLE) AS wallet, CAST(reserved AS DOUBLE) AS reserved, round(coalesce(wallet, 0) - reserved, 4) + 0.0 AS free, round(reserved - wallet, 4) + 0.0 AS drift, coalesce(round(reserved - wallet, 4) > 0.000001, false) AS alert FROM w""",
+)
+def sink_reconcile(spark, sf_dir):
+    """What is reserved against the customers' balances, a seventh of which isn't known."""
+    ledger = le.Ledger(spark, folder(spark, "ledger"))
+    for batch in _deliveries(spark, sf_dir):
+        ledger.add(batch)
+        ledger.recompute()
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    wallets = c.select(F.col("c_custkey").alias("account"), F.when(F.col("c_custkey") % 7 != 0, F.round("c_acctbal", 2)).alias("wallet"))
+    r = ledger.reconcile(wallets)
+    return mk.rounded(r.select("account", *(F.col(x).cast("double").alias(x) for x in ("wallet", "reserved", "free", "drift")), "alert"))
+
+
 @query("sink_trials", f"{de.with_sql()}, t AS (SELECT symbol, unnest([0.5, 0.6, 0.7]) AS least, p_up, won FROM bets) SELECT symbol, CAST(least AS DOUBLE) AS least, count(*) AS n, {_r('avg(won::INTEGER)', 'hit')}, CAST(round(least * 10) - 4 AS BIGINT) AS trial FROM t WHERE greatest(p_up, 1 - p_up) >= least GROUP BY symbol, least")
 def sink_trials(spark, sf_dir):
     """Results as Parquet, and a list of trials in JSON lines that each trial is added to."""

@@ -55,38 +55,6 @@ class Table:
         self.append(rows.dropDuplicates(keys).join(held.select(*keys), keys, "left_anti"))
 
 
-ENTRIES = "entry_id string, account long, kind string, ref long, amount decimal(20,4), shard int"
-
-
-class Ledger:
-    """Entries that are only ever added: deposits, reservations of stakes, their releases, and settlements with what they pay.
-
-    What an account holds follows from its entries alone, so a repeated or late
-    delivery changes nothing.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.table = Table(spark, path, ENTRIES, "shard")
-
-    def add(self, entries: DataFrame) -> None:
-        """entries: account, kind, ref, amount. One entry for each account, kind and ref."""
-        key = F.concat_ws("/", F.col("account").cast("string"), "kind", F.coalesce(F.col("ref").cast("string"), F.lit("-")))
-        self.table.insert_ignore(entries.withColumns({"entry_id": key, "shard": F.pmod("account", F.lit(8)).cast("int")}), ["entry_id"])
-
-    def balances(self) -> DataFrame:
-        """account, cash (deposits and payments less lost stakes), reserved (stakes neither released nor settled) and available."""
-        e = self.table.read()
-        at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("amount")))
-        refs = e.filter("kind <> 'deposit'").groupBy("account", "ref").agg(at("reserve").alias("stake"), at("release").alias("back"), at("settle").alias("paid"))
-        open_ = F.col("back").isNull() & F.col("paid").isNull()
-        zero = F.lit(0).cast("decimal(20,4)")
-        bets = refs.groupBy("account").agg(F.sum(F.when(open_, F.coalesce("stake", zero)).otherwise(zero)).alias("reserved"), F.sum(F.when(F.col("paid").isNotNull(), F.col("paid") - F.coalesce("stake", zero)).otherwise(zero)).alias("won"))
-        cash = e.filter("kind = 'deposit'").groupBy("account").agg(F.sum("amount").alias("paid_in"))
-        j = cash.join(bets, "account", "full")
-        j = j.select("account", (F.coalesce("paid_in", zero) + F.coalesce("won", zero)).alias("cash"), F.coalesce("reserved", zero).alias("reserved"))
-        return j.withColumn("available", F.col("cash") - F.col("reserved"))
-
-
 def append_lines(rows: DataFrame, path: str) -> None:
     """Add rows to a list of JSON lines."""
     rows.write.mode("append").json(path)
