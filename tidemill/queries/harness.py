@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemill.catalog import query
 from tidemill.functions import stats as st
 from tidemill.plans import harness as ha
+from tidemill.plans import sequences as sq
 from tidemill.queries.models import _r
 from tidemill.sources import decisions as de
 from tidemill.sources import market as mk
@@ -78,3 +79,46 @@ SELECT coverage, n, {_r("won / nullif(n, 0)", "hit")}, {_r(_LOWS[0], "low")}, {_
 def model_harness_pooled(spark, sf_dir):
     """All windows together by coverage: hit-rate, lower bound plain and deflated for the trials, windows that hold, value after the fee."""
     return mk.rounded(ha.pooled(ha.by_window(_judged(spark, sf_dir))))
+
+
+_LAGS = 10
+
+
+def _lags(spark, sf_dir):
+    """Growth, body, range and volume of the last ten hourly bars, the sign of the next, and the controls; written once, as each step of a fit reads them."""
+    c = mk.candles(mk.trades(spark, sf_dir))
+    ratio = lambda a, b: F.ln(F.col(a) / F.col(b))
+    c = c.withColumns({"before": F.lag("close").over(mk.series()), "up": (F.lead("close").over(mk.series()) > F.col("close")).cast("int")})
+    c = c.withColumns({"growth": ratio("close", "before"), "body": ratio("close", "open"), "range": ratio("high", "low")})
+    rows, x = sq.lagged(c, "symbol", "open_time", ["growth", "body", "range", "volume"], _LAGS)
+    rows = sq.controls(rows.filter("up IS NOT NULL"), ["symbol", "open_time"], "growth_lag0", "growth_lag1")
+    path = folder(spark, "lags")
+    rows.select("symbol", "open_time", *x, "up", "noise", "planted").write.parquet(path)
+    return spark.read.parquet(path), x
+
+
+@query("model_sequence")
+def model_sequence(spark, sf_dir):
+    """A perceptron on forty lags over two expanding splits: the sign of the next bar, labels that are noise, and labels with a planted signal."""
+    rows, x = _lags(spark, sf_dir)
+    found = []
+    for y in ("up", "noise", "planted"):
+        said = sq.walk(rows, "open_time", x, y, 2, (_LAGS + 2) * mk.HOUR)
+        got = sq.judged(said, y)
+        found.append((y, got["n"], *(None if got[k] is None else round(got[k], 2) for k in ("accuracy", "auc", "surest"))))
+    return spark.createDataFrame(found, "label string, n long, accuracy double, auc double, surest double")
+
+
+_LAG_SQL = ", ".join(f"lag(growth, {j}) OVER w AS g{j}" for j in range(_LAGS))
+
+
+@query(
+    "model_lag_matrix",
+    f"""{mk.with_sql(mk.candles_sql())}, c AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY open_time)) AS growth, lead(close) OVER (PARTITION BY symbol ORDER BY open_time) > close AS up FROM candles),
+m AS (SELECT symbol, open_time, up, {_LAG_SQL} FROM c WINDOW w AS (PARTITION BY symbol ORDER BY open_time))
+SELECT symbol, open_time, up::INTEGER AS up, {", ".join(_r(f"g{j}", f"growth_lag{j}") for j in range(_LAGS))} FROM m WHERE up IS NOT NULL AND g{_LAGS - 1} IS NOT NULL""",
+)
+def model_lag_matrix(spark, sf_dir):
+    """The matrix that the sequence model reads, its lags of growth."""
+    rows, x = _lags(spark, sf_dir)
+    return mk.rounded(rows.select("symbol", "open_time", "up", *(c for c in x if c.startswith("growth"))))
