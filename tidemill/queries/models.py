@@ -383,11 +383,19 @@ def model_permutation_importance(spark, sf_dir):
     return mk.rounded(scored.unpivot(["base"], cols, "feature", "shuffled").select("feature", (F.col("base") - F.col("shuffled")).alias("importance")))
 
 
-@query("model_kelly_frontier", f"SELECT p, f, {_r('p * ln(1 + f * 0.98) + (1 - p) * ln(1 - f)', 'growth')} FROM (VALUES (0.52::DOUBLE), (0.55), (0.58)) a(p), (VALUES (0.01::DOUBLE), (0.02), (0.05), (0.1), (0.2)) b(f)")
+_STAKES = (0.01, 0.02, 0.05, 0.1, 0.2)
+
+
+@query(
+    "model_kelly_frontier",
+    f"""{de.with_sql()}, h AS (SELECT symbol, count(*) AS n, avg(won::INTEGER) AS p FROM bets GROUP BY symbol), g AS (SELECT *, unnest([{", ".join(f"{f}::DOUBLE" for f in _STAKES)}]) AS f FROM h)
+SELECT symbol, n, {_r("p", "p")}, f, {_r("p * ln(1 + f * 0.98::DOUBLE) + (1 - p) * ln(1 - f)", "growth")} FROM g""",
+)
 def model_kelly_frontier(spark, sf_dir):
-    """Expected log growth by hit-rate and stake at a 2 % fee."""
-    g = spark.createDataFrame([(p, f) for p in (0.52, 0.55, 0.58) for f in (0.01, 0.02, 0.05, 0.1, 0.2)], "p double, f double")
-    return mk.rounded(g.select("p", "f", (F.col("p") * F.ln(1 + F.col("f") * 0.98) + (1 - F.col("p")) * F.ln(1 - F.col("f"))).alias("growth")))
+    """Expected log growth by stake at each symbol's hit-rate and a 2 % fee."""
+    h = de.bets(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n"), st.share(F.col("won")).alias("p"))
+    g = h.withColumn("f", F.explode(F.array(*map(F.lit, _STAKES))))
+    return mk.rounded(g.select("symbol", "n", "p", "f", (F.col("p") * F.ln(1 + F.col("f") * 0.98) + (1 - F.col("p")) * F.ln(1 - F.col("f"))).alias("growth")))
 
 
 _EMBARGO = 3
