@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemill.catalog import query
 from tidemill.queries.models import _r
+from tidemill.sinks import candles as cd
 from tidemill.sinks import ledger as le
 from tidemill.sinks import tables as tb
 from tidemill.sources import decisions as de
@@ -160,3 +161,32 @@ def sink_import_sessions(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("payload"))
     bundle = c.select(F.to_json(F.struct("id", "name", "payload")).alias("bundle"))
     return tb.import_sessions(c.filter("id % 2 = 0"), bundle.union(bundle))
+
+
+_D, _H4 = cd.DAY, 4 * mk.HOUR
+_REFRESH = f"""{mk.with_sql(mk.candles_sql())}, e AS (SELECT max(ts_ms) // {mk.HOUR} * {mk.HOUR} - {mk.HOUR} AS stop, (max(ts_ms) - {_D}) // {mk.HOUR} * {mk.HOUR} - {mk.HOUR} AS seen FROM trades),
+s AS (SELECT symbol, ts_ms // {mk.HOUR} * {mk.HOUR} AS open_time, arg_min(price, (ts_ms, trade_id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts_ms, trade_id)) AS close, sum(lots) / 50.0 AS volume, count(*) AS trades
+  FROM (SELECT symbol, ts_ms, trade_id, lots, CASE WHEN trade_id % 5 = 0 THEN price * 2 ELSE price END AS price FROM trades, e WHERE ts_ms < seen + {mk.HOUR} AND trade_id % 7 <> 3 AND ts_ms // {mk.HOUR} % 11 <> 4) GROUP BY ALL),
+f AS (SELECT t.symbol, t.open_time, CASE WHEN {{keep}} THEN s.open ELSE t.open END AS open, CASE WHEN {{keep}} THEN s.high ELSE t.high END AS high, CASE WHEN {{keep}} THEN s.low ELSE t.low END AS low, CASE WHEN {{keep}} THEN s.close ELSE t.close END AS close,
+  CASE WHEN {{keep}} THEN s.volume ELSE t.volume END AS volume, CASE WHEN {{keep}} THEN s.trades ELSE t.trades END AS trades,
+  CASE WHEN {{keep}} OR (s.open = t.open AND s.high = t.high AND s.low = t.low AND s.close = t.close AND s.volume = t.volume AND s.trades = t.trades) THEN 1 ELSE 2 END AS pass
+  FROM candles t JOIN e ON t.open_time <= stop LEFT JOIN s ON s.symbol = t.symbol AND s.open_time = t.open_time),
+c AS (SELECT symbol, open_time // {_H4} * {_H4} AS start, arg_min(open, open_time) AS open, max(high) AS high, min(low) AS low, arg_max(close, open_time) AS close, sum(volume) AS volume, sum(trades)::BIGINT AS trades, max(pass) AS pass FROM f GROUP BY ALL)
+SELECT 1 AS hours, symbol, open_time, open, high, low, close, round(volume, 6) + 0.0 AS volume, trades, pass::BIGINT AS pass FROM f UNION ALL SELECT 4, symbol, start, open, high, low, close, round(volume, 6) + 0.0, trades, pass::BIGINT FROM c""".replace("{keep}", f"s.symbol IS NOT NULL AND t.open_time < stop - {cd.FRESH}")
+
+
+@query("sink_refresh_candles", _REFRESH)
+def sink_refresh_candles(spark, sf_dir):
+    """Candles of a day ago, from trades some of which were wrong or not there yet, brought up to date, twice: the last 48 h are corrected, older holes filled, all else keeps the pass that wrote it."""
+    t = mk.trades(spark, sf_dir)
+    first, last = t.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+    if first is None:
+        first = last = 0
+    symbols, store = t.select("symbol").distinct(), cd.Candles(spark, folder(spark, "candles"))
+    early = t.filter((F.col("trade_id") % 7 != 3) & (F.floor(F.col("ts_ms") / mk.HOUR) % 11 != 4))
+    early = early.withColumn("price", F.when(F.col("trade_id") % 5 == 0, F.col("price") * 2).otherwise(F.col("price")))
+    store.refresh(early, symbols, first, last - cd.DAY, 1)
+    for number in (2, 3):  # the third finds nothing to do
+        store.refresh(t, symbols, first, last, number)
+    rows = lambda table, hours: table.read().select(F.lit(hours).alias("hours"), *cd._KEYS, *cd._VALUES, "pass")
+    return mk.rounded(rows(store.fine, 1).unionByName(rows(store.derived, 4)))

@@ -48,6 +48,13 @@ class Table:
         if partitions:
             self._rewrite(old.filter(F.col(self.by).isin(partitions) & ~F.coalesce(which, F.lit(False))), partitions)
 
+    def replace_rows(self, keys: DataFrame, fresh: DataFrame, names: list[str]) -> None:
+        """Put fresh rows in the place of those with the given keys (each with its partition); partitions without one are not touched."""
+        partitions = [r[0] for r in keys.select(self.by).distinct().collect()]  # partitions of this call, not rows
+        if partitions:
+            stay = self.read().filter(F.col(self.by).isin(partitions)).join(keys.select(*names), names, "left_anti")
+            self._rewrite(stay.unionByName(fresh.select(stay.columns)), partitions)
+
     def insert_ignore(self, rows: DataFrame, keys: list[str]) -> None:
         """Append the rows whose key is not there yet; of rows of one key one. Keys must determine the partition, so only its own is looked at."""
         held = self.read().select(self.by, *keys)

@@ -23,6 +23,11 @@ def bucket(ts: Column, interval: int) -> Column:
     return ts - F.pmod(ts, F.lit(interval))
 
 
+def floored(ts: int, interval: int) -> int:
+    """The same of a number."""
+    return ts - ts % interval
+
+
 def last_closed(now: Column, interval: int) -> Column:
     """Start of the latest bucket that is over."""
     return bucket(now, interval) - interval
