@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemill.catalog import query
 from tidemill.operators import packs
+from tidemill.plans import code as cn
 from tidemill.plans import flow as fl
 from tidemill.queries.indicators import _BASE, _OBV, _W, _z
 from tidemill.sources import market as mk
@@ -70,3 +74,46 @@ def flow_bands(spark, sf_dir):
     band = lambda q: F.when(F.count("g").over(w) == 60, F.col("close") * F.percentile("g", q).over(w))
     out = c.select("symbol", "open_time", F.coalesce(F.lit(None).cast("double"), F.lit(0.5)).alias("confidence"), band(0.05).alias("p05"), F.coalesce(band(0.5), F.col("close")).alias("predicted"), band(0.95).alias("p95"))
     return mk.rounded(out)
+
+
+_PORTS = {"inputs": {"close": "series", "volume": "scalar", "quiet": "scalar"}, "outputs": {"p_up": "scalar", "window": "series", "side": "label", "silent": "scalar"}}
+
+
+def _lean(inputs, params, rng):
+    """Momentum over a few bars as a probability, the last closes, a side; nothing on the silent port unless the input is quiet."""
+    seen = inputs["close"][-params["bars"] :]
+    lean = params["slope"] * (seen[-1] / seen[0] - 1)
+    out = {"p_up": 0.5 + max(-0.4, min(0.4, lean)), "window": seen[-2:], "side": "UP" if lean > 0 else "DOWN"}
+    if "quiet" in inputs:
+        out["silent"] = inputs["volume"] / 3
+    return out
+
+
+def _quiet(c):
+    return c.withColumn("quiet", F.when(F.col("trades") < 3, F.col("trades").cast("double")))
+
+
+_LEAN = f"""{mk.with_sql(mk.candles_sql())}, l AS (SELECT *, list(close) OVER (PARTITION BY symbol ORDER BY open_time ROWS 4 PRECEDING) AS seen, row_number() OVER (PARTITION BY symbol ORDER BY open_time DESC) AS k FROM candles)
+SELECT symbol, open_time, round(0.5 + greatest(-0.4, least(0.4, 0.8 * (seen[-1] / seen[1] - 1))), 6) + 0.0 AS p_up, list_transform(seen[-2:], lambda x: round(x, 6)) AS "window", CASE WHEN seen[-1] / seen[1] > 1 THEN 'UP' ELSE 'DOWN' END AS side, round(CASE WHEN trades < 3 THEN volume / 3 END, 6) + 0.0 AS silent FROM l"""
+
+
+def _lean_rows(df):
+    return mk.rounded(df.withColumn("window", F.transform("window", lambda x: F.round(x, 6))))
+
+
+@query("flow_code_node", _LEAN)
+def flow_code_node(spark, sf_dir):
+    """A user's function with declared ports over whole series, by a table function of SQL."""
+    cn.register(spark, "lean", _lean, lookback=5)
+    bars = _quiet(mk.candles(mk.trades(spark, sf_dir))).select("symbol", "open_time", *_PORTS["inputs"])
+    sql = "SELECT * FROM lean(TABLE({bars}), '" + json.dumps(_PORTS).replace("{", "{{").replace("}", "}}") + """', '{{"bars": 5, "slope": 0.8}}', 7L)"""
+    return _lean_rows(spark.sql(sql, bars=bars))
+
+
+@query("flow_code_step", _LEAN + " WHERE k <= 3")
+def flow_code_step(spark, sf_dir):
+    """The same function for the last three bars of each series, each by itself."""
+    bars = _quiet(mk.candles(mk.trades(spark, sf_dir)))
+    last = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("open_time")))
+    rows = cn.history(bars, _PORTS, 5).withColumn("k", last).filter("k <= 3")
+    return _lean_rows(cn.step(rows, _lean, _PORTS, {"bars": 5, "slope": 0.8}, 7))
