@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import math
 import re
+import subprocess
+import sys
 from collections import Counter, defaultdict
 from itertools import combinations, product
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tidemill.llm import language_id, quality, toxicity
 from tidemill.llm import textkit as tk
+from tidemill.llm.labelled import sample
 from tidemill.llm.language_id import Ppm, op6_language_id
 from tidemill.llm.quality import Field, op3_quality
 from tidemill.llm.toxicity import FactorizationMachine, op2_toxicity
@@ -191,8 +196,6 @@ def test_fit_sees_lines_far_down(spark):
 
 
 def test_sample_is_bounded_by_rows_and_bytes(spark):
-    from tidemill.llm.labelled import sample
-
     docs = spark.createDataFrame([(i, "x" * (10 if i else 1000)) for i in range(50)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, quality int")
     with tk.Workspace(spark, "test") as work:
@@ -249,3 +252,42 @@ def test_anchors_cover_every_window_once():
     first, last, _ = tk.anchored(h, rows, 13, 4)
     covered = sorted(x for a, b in zip(first, last, strict=True) for x in range(a, b + 1))
     assert covered == [x for a, b in zip(rows[:-1], rows[1:], strict=True) for x in range(a, b - 12)]
+
+
+def test_quality_in_blocks_equals_one_pass(monkeypatch):
+    rng = np.random.default_rng(5)
+    field = Field(rng.normal(size=quality.OWN), rng.uniform(0.5, 2, quality.OWN))
+    field.unary, field.pair = rng.normal(size=3 * quality.OWN + 3), rng.normal(size=(2, 2)) * 2
+    some = ["foo", "Bar", "x!", "12", "é", "", "a b b"]
+    texts = ["\n".join(" ".join(rng.choice(some, rng.integers(0, 6))) for _ in range(rng.integers(0, 60))) for _ in range(120)] + [None, "", "\n", "a"]
+    buf, offsets = tk.utf8(pa.array(texts))
+    own, _, rows = quality.lines(buf, offsets)
+    whole, _ = field.marginals(field.features(own, rows), rows)
+    for segment, block, size in ((1 << 18, 1 << 14, 1 << 20), (7, 5, 40), (1, 1, 1), (64, 3, 1 << 20)):
+        for name, value in (("SEGMENT", segment), ("BLOCK", block), ("BLOCK_BYTES", size)):
+            monkeypatch.setattr(quality, name, value)
+        begin, end, rows = quality.bounds(buf, offsets)
+        assert np.allclose(field.chained(field.unaries(buf, begin, end, rows), rows), whole, rtol=0, atol=1e-12)
+
+
+def test_quality_of_ten_million_lines_in_bounded_memory():
+    """In a process of its own, whose peak is its own."""
+    code = """
+import resource, numpy as np, pyarrow as pa
+from tidemill.llm import quality, textkit as tk
+field = quality.Field(); field.unary[-1] = 0.3
+buf, offsets = tk.utf8(pa.array(["\\n" * 10_000_000]))
+begin, end, rows = quality.bounds(buf, offsets)
+p = field.chained(field.unaries(buf, begin, end, rows), rows)
+assert len(p) == 10_000_001 and np.allclose(p, p[0])
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss < 900 << 10
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, cwd=Path(__file__).parents[2])
+
+
+def test_quality_sample_is_bounded_by_lines(spark):
+    docs = spark.createDataFrame([(i, "x\n" * (9 if i % 2 else 99)) for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    with tk.Workspace(spark, "test") as work:
+        got = [r.text.count("\n") + 1 for r in sample(docs, labels, "quality", F.lit(True), 40, work, lines=60).collect()]
+    assert got and set(got) == {10} and sum(got) <= 60

@@ -21,6 +21,10 @@ SAMPLE_ROWS = 5_000
 #: In the fit a longer chain is cut into pieces of so many lines, which keep their neighbours' features (piecewise training); documents are scored as one chain.
 PIECE = 64
 STEPS, RATE, DECAY = 250, 0.05, 1e-3
+#: Lines of the labelled rows together, at most (features take some 600 bytes a line in the fit).
+SAMPLE_LINES = 250_000
+#: Lines and bytes whose features are held at once, and lines that the forward and backward passes of a score hold at once.
+BLOCK, BLOCK_BYTES, SEGMENT = 1 << 14, 1 << 20, 1 << 18
 
 _CLASSES = {
     "upper": range(0x41, 0x5B),
@@ -39,8 +43,8 @@ for _k, _members in enumerate(_CLASSES.values()):
 OWN = len(_CLASSES) + 6
 
 
-def lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features (n_lines, OWN), lengths in bytes, and the n+1 offsets of rows among the lines; every row has one line at least."""
+def bounds(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begins and ends of lines, and the n+1 offsets of rows among the lines; every row has one line at least."""
     breaks = np.flatnonzero(buf == 10)
     row = np.searchsorted(offsets[1:], breaks, "right")
     start = np.sort(np.concatenate([offsets[:-1] * 2, breaks * 2 + 1])) // 2  # a row's first line starts at its offset, others behind a break
@@ -50,6 +54,12 @@ def lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     begin = start + is_break
     end = np.append(start[1:], offsets[-1])
     end[np.append(first[1:], len(start)) - 1] = offsets[1:]
+    return begin, end, np.append(first, len(begin))
+
+
+def own_features(buf: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Features (n, OWN) of consecutive lines, each by itself."""
+    buf, begin, end = buf[begin[0] : end[-1]], begin - begin[0], end - begin[0]
     size = end - begin
     counts = np.empty((len(begin), _MEMBERS.shape[1]))
     for k in range(_MEMBERS.shape[1]):
@@ -57,7 +67,7 @@ def lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
         np.cumsum(_MEMBERS[:, k][buf], out=sums[1:])
         counts[:, k] = sums[end] - sums[begin]
     share = counts / np.maximum(size, 1)[:, None]
-    ws, we, _ = tk.words(buf, offsets, tk.NOT_BLANK)
+    ws, we, _ = tk.words(buf, np.append(begin, len(buf)), tk.NOT_BLANK)
     codes = tk.word_hashes(buf, ws, we)
     line = np.searchsorted(begin, ws, "right") - 1
     n = np.bincount(line, minlength=len(begin))
@@ -66,7 +76,23 @@ def lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     width = np.bincount(line, we - ws, len(begin))
     solid = np.maximum(n, 1)
     more = [np.log1p(size) / 8, np.log1p(n) / 5, width / solid / 10, np.bincount(line, again, len(begin)) / solid, (size == 0).astype(float), (counts[:, 0] > counts[:, 1]).astype(float)]
-    return np.concatenate([share, np.stack(more, 1)], 1).astype(np.float32), size, np.append(first, len(begin))
+    return np.concatenate([share, np.stack(more, 1)], 1).astype(np.float32)
+
+
+def blocks(begin: np.ndarray, end: np.ndarray):
+    """Ranges of lines, each of at most BLOCK lines and about BLOCK_BYTES (a longer line comes alone)."""
+    at = 0
+    while at < len(begin):
+        to = min(at + BLOCK, max(at + 1, int(np.searchsorted(end, begin[at] + BLOCK_BYTES, "right"))))
+        yield at, to
+        at = to
+
+
+def lines(buf: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features (n_lines, OWN), lengths in bytes, and the n+1 offsets of rows among the lines."""
+    begin, end, rows = bounds(buf, offsets)
+    found = [own_features(buf, begin[a:b], end[a:b]) for a, b in blocks(begin, end)]
+    return np.concatenate(found) if found else np.zeros((0, OWN), np.float32), end - begin, rows
 
 
 def with_neighbours(own: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -117,6 +143,78 @@ class Field:
         p = ahead * back
         return p[:, 1] / p.sum(1), pairs
 
+    def unaries(self, buf: np.ndarray, begin: np.ndarray, end: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """The weight of each line's features towards good, block by block; a block's features take in a line on either side."""
+        u = np.empty(len(begin))
+        for a, b in blocks(begin, end):
+            a1, b1 = max(a - 1, 0), min(b + 1, len(begin))
+            inner = rows[np.searchsorted(rows, a1, "right") : np.searchsorted(rows, b1)]  # rows that begin inside
+            x = self.features(own_features(buf, begin[a1:b1], end[a1:b1]), np.concatenate([[a1], inner, [b1]]) - a1)
+            u[a:b] = x[a - a1 : b - a1] @ self.unary
+        return u
+
+    def chained(self, u: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """P(good) of each line from its unary weight: the same as ``marginals``, with the lines as one product of 2x2 matrices.
+
+        A row's first line forgets what came before. The product is taken over runs of
+        about the root of a segment's lines side by side, so one long text costs no more
+        steps than many short ones; of a segment only the states at its ends are carried.
+        """
+        n = len(u)
+        head = np.zeros(n, bool)
+        head[rows[:-1]] = True
+        e = np.exp(self.pair - self.pair.max())
+        cuts = list(range(0, n, SEGMENT)) + [n]
+
+        def matrices(a: int, b: int) -> np.ndarray:
+            """(steps, runs, 2, 2): line a + run * steps + step; behind the last the identity."""
+            local = np.stack([1 / (1 + np.exp(np.clip(u[a:b], -500, 500))), 1 / (1 + np.exp(np.clip(-u[a:b], -500, 500)))], 1)
+            m = np.where(head[a:b, None, None], 1.0, e[None]) * local[:, None, :]
+            steps = max(1, int(np.sqrt(b - a)))
+            runs = -(-(b - a) // steps)
+            m = np.concatenate([m, np.broadcast_to(np.eye(2), (steps * runs - (b - a), 2, 2))])
+            return m.reshape(runs, steps, 2, 2).transpose(1, 0, 2, 3)
+
+        def products(m: np.ndarray) -> np.ndarray:
+            t = np.broadcast_to(np.eye(2), m.shape[1:])
+            for x in m:
+                t = t @ x
+                t = t / t.sum((1, 2), keepdims=True)
+            return t
+
+        totals, heads, state = [], [], np.array([0.5, 0.5])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            totals.append(products(matrices(a, b)))
+            starts = np.empty((len(totals[-1]), 2))
+            for k, t in enumerate(totals[-1]):
+                starts[k] = state
+                state = state @ t
+                state = state / state.sum()
+            heads.append(starts)
+        p, back = np.empty(n), np.array([0.5, 0.5])
+        for k in range(len(cuts) - 2, -1, -1):
+            a, b = cuts[k], cuts[k + 1]
+            m, t = matrices(a, b), totals[k]
+            ends = np.empty((len(t), 2))
+            for j in range(len(t) - 1, -1, -1):
+                ends[j] = back
+                back = t[j] @ back
+                back = back / back.sum()
+            ahead = np.empty((*m.shape[:2], 2))
+            f = heads[k]
+            for j, x in enumerate(m):
+                f = (f[:, None, :] @ x)[:, 0]
+                f = f / f.sum(1, keepdims=True)
+                ahead[j] = f
+            g = ends
+            for j in range(len(m) - 1, -1, -1):
+                ahead[j] *= g
+                g = (m[j] @ g[:, :, None])[:, :, 0]
+                g = g / g.sum(1, keepdims=True)
+            both = ahead.transpose(1, 0, 2).reshape(-1, 2)[: b - a]
+            p[a:b] = both[:, 1] / both.sum(1)
+        return p
+
     def fit(self, own: list[np.ndarray], labels: np.ndarray) -> Field:
         if not own:
             return self
@@ -147,13 +245,13 @@ def _gather(batches):
         yield pa.RecordBatch.from_arrays([piece.column("label").combine_chunks(), pa.array(used, pa.list_(pa.float32()))], names=["label", "own"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, learn, rows: int = SAMPLE_ROWS) -> Field:
-    """Fit on at most ``rows`` labelled documents, of which only line features come to the driver; copies count once.
+def fit(docs: DataFrame, labels: DataFrame, learn, rows: int = SAMPLE_ROWS, most: int = SAMPLE_LINES) -> Field:
+    """Fit on at most ``rows`` labelled documents of at most ``most`` lines together, of which only line features come to the driver; copies count once.
 
     A null or empty text is one empty line; null labels teach nothing; without labelled rows every line scores one half.
     """
     with tk.Workspace(docs.sparkSession, "quality") as work:
-        drawn = sample(docs, labels, "quality", learn, rows, work).mapInArrow(_gather, "label int, own array<float>").toArrow().combine_chunks()
+        drawn = sample(docs, labels, "quality", learn, rows, work, lines=most).mapInArrow(_gather, "label int, own array<float>").toArrow().combine_chunks()
     if not drawn.num_rows:
         return Field()
     texts = [np.asarray(x.values, np.float32) for x in drawn.column("own").combine_chunks()]
@@ -170,9 +268,10 @@ def score(docs: DataFrame, field: Field) -> DataFrame:
 
     def run(batches):
         for piece in tk.slices(batches):
-            own, size, rows = lines(*tk.utf8(piece.column("text")))
-            good, _ = shared.value.marginals(shared.value.features(own, rows), rows)
-            weight = size + 1e-6
+            buf, offsets = tk.utf8(piece.column("text"))
+            begin, end, rows = bounds(buf, offsets)
+            good = shared.value.chained(shared.value.unaries(buf, begin, end, rows), rows)
+            weight = end - begin + 1e-6
             s = np.clip(tk.segment_sum(good * weight, rows) / tk.segment_sum(weight, rows), 0, 1)
             yield pa.RecordBatch.from_arrays([*(piece.column(c).combine_chunks() for c in keep), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=[*keep, "score", "predicted"])
 
