@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.functions import sizing as sz
@@ -37,6 +37,21 @@ def logistic(weights: list[float], bias: float) -> Step:
     return lambda df: df.withColumn("p_up", p).withColumn("confidence", F.abs(F.col("p_up") - 0.5) * 2)
 
 
+def linear(weights: list[float], intercept: float, anchor: str) -> Step:
+    """``predicted`` by fixed weights over the matrix; ``p_up`` 1 or 0 by whether it reaches the anchor, and ``confidence``, ten times the distance as a share of it, at most 1. NULL until ready, and without an anchor but for the price."""
+    y = F.when(F.col("ready"), F.aggregate(F.zip_with("matrix", F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(intercept), lambda a, x: a + x))
+    at = F.col(anchor)
+    sure = F.when((at != 0) & F.col("predicted").isNotNull(), F.least(F.lit(1.0), F.abs((F.col("predicted") - at) / at) * 10))
+    return lambda df: df.withColumn("predicted", y).withColumns({"p_up": (F.col("predicted") >= at).cast("double"), "confidence": sure})
+
+
+def output(p_up: Column, confidence: Column | None = None, predicted: Column | None = None, p05: Column | None = None, p50: Column | None = None, p95: Column | None = None, reasoning: Column | None = None) -> list[Column]:
+    """The columns of a prediction; what is not given is NULL, but for the confidence, which is 0.5."""
+    none = lambda c, t="double": F.lit(None).cast(t) if c is None else c
+    found = {"p_up": p_up, "confidence": F.coalesce(none(confidence), F.lit(0.5)), "predicted": none(predicted), "p05": none(p05), "p50": none(p50), "p95": none(p95), "reasoning": none(reasoning, "string")}
+    return [c.alias(n) for n, c in found.items()]
+
+
 def code(name: str, inputs: list[str], function: Callable[..., pd.Series]) -> Step:
     """A user's function from Series to Series, in batches in the workers; results are rounded to nine decimals, so that replays agree."""
 

@@ -67,10 +67,30 @@ def append_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
 
-def import_sessions(held: DataFrame, bundle: DataFrame) -> DataFrame:
-    """held (id, name, payload) and those of the bundle's rows (JSON of the same, ids over 0) whose name is not held, each name once, with ids moved behind those in use."""
-    s = bundle.select(F.from_json("bundle", "id long, name string, payload string").alias("s")).select("s.*").groupBy("name").agg(F.min(F.struct("id", "payload")).alias("s"))
+#: What happens to a session whose name is held.
+POLICIES = ("skip", "replace", "rename")
+
+
+def import_sessions(held: DataFrame, bundle: DataFrame, policy: str = "skip") -> DataFrame:
+    """held (id, name, payload) and those of the bundle's rows (JSON of the same, ids over 0), each name once, new ones with ids moved behind those in use.
+
+    Of a name that is held the newcomer is left out (``skip``), gives its payload to
+    the one there (``replace``), or comes under its name with " (imported)" behind it
+    (``rename``), unless that is held too.
+    """
+    if policy not in POLICIES:
+        raise ValueError(f"policy must be one of {POLICIES}")
+    held = held.select("id", "name", "payload")
+    s = bundle.select(F.from_json("bundle", "id long, name string, payload string").alias("s")).select("s.*")
+    once = lambda df: df.groupBy("name").agg(F.min(F.struct("id", "payload")).alias("s"))
+    s = once(s)
+    if policy == "rename":
+        taken = held.select("name", F.lit(True).alias("taken"))
+        s = s.join(taken, "name", "left").select(F.when(F.col("taken"), F.concat("name", F.lit(" (imported)"))).otherwise(F.col("name")).alias("name"), "s.*")
+        s = once(s)
     new = s.join(held.select("name"), "name", "left_anti").select("name", "s.id", "s.payload")
     top = held.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     moved = new.crossJoin(F.broadcast(top)).select((F.col("top") + F.col("id")).alias("id"), "name", "payload")  # top is one row
-    return held.select("id", "name", "payload").unionByName(moved)
+    if policy == "replace":
+        held = held.join(s, "name", "left").select(held["id"], "name", F.when(F.col("s").isNotNull(), F.col("s.payload")).otherwise(F.col("payload")).alias("payload"))
+    return held.unionByName(moved)

@@ -91,3 +91,25 @@ def premium(payload: Column) -> Column:
     """struct(funding_rate, mark_price, next_funding) of a premium message."""
     get = lambda k, t: F.get_json_object(payload, f"$.{k}").try_cast(t)
     return F.struct(get("lastFundingRate", "double").alias("funding_rate"), get("markPrice", "double").alias("mark_price"), get("nextFundingTime", "long").alias("next_funding"))
+
+
+def ticker(payload: Column) -> Column:
+    """struct(last_price, change_pct, quote_volume) of a day's ticker."""
+    get = lambda k: F.get_json_object(payload, f"$.{k}").try_cast("double")
+    return F.struct(get("lastPrice").alias("last_price"), get("priceChangePercent").alias("change_pct"), get("quoteVolume").alias("quote_volume"))
+
+
+def long_short(payload: Column) -> Column:
+    """struct(ratio, long_pct, short_pct) of the first entry of a list; NULLs without one."""
+    first = F.get(F.from_json(payload, "array<struct<longShortRatio: string, longAccount: string, shortAccount: string>>"), F.lit(0))
+    get = lambda k: first[k].try_cast("double")
+    return F.struct(get("longShortRatio").alias("ratio"), (get("longAccount") * 100).alias("long_pct"), (get("shortAccount") * 100).alias("short_pct"))
+
+
+def outcomes(prices: Column, tokens: Column) -> Column:
+    """struct(yes, no, token): prices of a JSON list of strings, half and half unless both can be read, and the first of a list of tokens."""
+    p = F.from_json(prices, "array<string>")
+    price = lambda k: F.try_element_at(p, F.lit(k)).try_cast("double")
+    both = price(1).isNotNull() & price(2).isNotNull()
+    pick = lambda k: F.when(both, price(k)).otherwise(0.5)
+    return F.struct(pick(1).alias("yes"), pick(2).alias("no"), F.try_element_at(F.from_json(tokens, "array<string>"), F.lit(1)).alias("token"))
