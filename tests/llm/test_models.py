@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 import subprocess
 import sys
@@ -291,3 +292,20 @@ def test_quality_sample_is_bounded_by_lines(spark):
     with tk.Workspace(spark, "test") as work:
         got = [r.text.count("\n") + 1 for r in sample(docs, labels, "quality", F.lit(True), 40, work, lines=60).collect()]
     assert got and set(got) == {10} and sum(got) <= 60
+
+
+def test_trees_are_pruned_to_fit_and_samples_bounded_by_bytes(spark):
+    from tidemill.llm.language_id import GRAM_BYTES, fit
+
+    rng = random.Random(2)
+    word = {"aa": ["kala", "mato", "sina"], "bb": ["strz", "grud", "plosk"]}
+    texts = [(i, " ".join(rng.choice(word[lang]) for _ in range(40)), lang) for i in range(300) for lang in [("aa", "bb")[i % 2]]]
+    docs = spark.createDataFrame([*texts, (999, "kala " * 200_000, "bb")], "doc_id long, text string, lang string")
+    whole = fit(docs, F.lit(True), most=120 * 2000)  # the long text of the wrong language is over a group's share
+    for size in (400 * GRAM_BYTES, 40 * GRAM_BYTES):
+        small = fit(docs, F.lit(True), most=120 * 2000, size=size)
+        assert small.langs == whole.langs == ["aa", "bb"]
+        assert sum(t.nbytes for t in small.trees) <= size + 2 * GRAM_BYTES
+    for model in (whole, fit(docs, F.lit(True), most=120 * 2000, size=400 * GRAM_BYTES)):
+        lengths = model.lengths(*tk.utf8(pa.array([t for _, t, _ in texts])))
+        assert [model.langs[k] for k in lengths.argmin(1)] == [lang for _, _, lang in texts]

@@ -21,14 +21,16 @@ from tidemill.llm import textkit as tk
 
 #: Labelled documents per language that the trees are grown on, at most (the fit's documented bound), and the groups they are drawn from evenly.
 SAMPLE_PER_LANG, SALTS = 600, 120
+#: Bytes of the texts of a language that are drawn, at most; a text over a group's share of them is left out.
+BYTES_PER_LANG = 64 << 20
 #: Longest context in bytes, and the occurrences from which on a context longer than two bytes is in the tree.
 ORDER, SEEN = 4, 2
 #: Of the drawn documents, one in so many is kept out of the trees to learn each language's usual code length from.
 CALIBRATE = 6
 #: Bits by which a text of n bytes may exceed its language's limit, times the root of n: short texts vary more.
 SHORT = 16.0
-#: Bytes of all trees together, at most: what is broadcast.
-MODEL_BYTES = 512 << 20
+#: Bytes of all trees together, at most: what is broadcast. Beyond it each language keeps its most frequent grams, of at most GRAM_BYTES each (keys, code lengths and contexts of five orders).
+MODEL_BYTES, GRAM_BYTES = 512 << 20, 160
 #: Bytes of text that are scored at once, and code lengths that a worker remembers.
 BLOCK, MEMO = 1 << 20, 1 << 22
 
@@ -124,9 +126,6 @@ class Ppm:
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
         self.trees = [Tree(*counts[lang]) for lang in self.langs]
-        size = sum(t.nbytes for t in self.trees)
-        if size > MODEL_BYTES:
-            raise ValueError(f"{len(self.langs)} languages take {size} bytes, more than may be broadcast ({MODEL_BYTES}): learn from fewer documents a language")
         self.limits = np.full(len(self.langs), np.inf)
         self.memo = None
 
@@ -190,20 +189,47 @@ def _measure(model):
     return run
 
 
-def fit(docs: DataFrame, learn: Column, per_lang: int = SAMPLE_PER_LANG) -> Ppm:
-    """Grow the trees on at most ``per_lang`` whole documents of each language where ``learn`` holds.
+def pruned(grams: DataFrame, size: int) -> DataFrame:
+    """The most frequent grams (lang, gram, n) of each language, so that the trees of all take ``size`` bytes at most; all of them if they fit.
+
+    Languages share the bytes evenly. Counts are taken in steps of a quarter of a
+    power of two, and a step is kept whole or not at all, the highest always.
+    """
+    step = F.floor(F.log2("n") * 4).cast("int")
+    rows = grams.groupBy("lang", step.alias("step")).agg(F.count("*").alias("rows")).collect()  # some hundred a language
+    steps: dict[str, dict[int, int]] = {}
+    for r in rows:
+        steps.setdefault(r.lang, {})[r.step] = r.rows
+    share = size // (GRAM_BYTES * max(1, len(steps)))
+    least = []
+    for lang, found in steps.items():
+        order = sorted(found, reverse=True)
+        total = np.cumsum([found[k] for k in order])
+        least.append((lang, order[max(int(np.searchsorted(total, share, "right")) - 1, 0)]))
+    if all(low == min(steps[lang]) for lang, low in least):
+        return grams
+    low = grams.sparkSession.createDataFrame(least, "lang string, least int")
+    return grams.join(F.broadcast(low), "lang").filter(step >= F.col("least")).drop("least")  # a row a language
+
+
+def fit(docs: DataFrame, learn: Column, per_lang: int = SAMPLE_PER_LANG, most: int = BYTES_PER_LANG, size: int = MODEL_BYTES) -> Ppm:
+    """Grow the trees on at most ``per_lang`` whole documents and ``most`` bytes of each language where ``learn`` holds; beyond ``size`` bytes of trees rare grams are left out.
 
     Rows of null text or lang teach nothing; among others a hash of the id
     decides, in salted groups so that a frequent language is not ranked in one
     task. Of equal ids all rows count. No such row: a model of no language.
     """
     known = docs.filter(learn & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    salted = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash")).withColumn("_salt", F.pmod("_hash", F.lit(SALTS)))
-    rank = F.row_number().over(Window.partitionBy("lang", "_salt").orderBy("_hash", "doc_id"))
-    ids = salted.withColumn("_rank", rank).filter(F.col("_rank") <= max(1, per_lang // SALTS)).select("doc_id")
+    group = max(1, most // SALTS)
+    salted = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("_hash"), F.octet_length("text").alias("_size")).filter(F.col("_size") <= group)
+    w = Window.partitionBy("lang", "_salt").orderBy("_hash", "doc_id")
+    ranked = salted.withColumn("_salt", F.pmod("_hash", F.lit(SALTS))).withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= max(1, per_lang // SALTS))
+    ids = ranked.withColumn("_sum", F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("_sum") <= group).select("doc_id")
     sample = known.join(F.broadcast(ids.distinct()), "doc_id", "left_semi").select("doc_id", "text", "lang")  # at most per_lang ids a language
     apart = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(CALIBRATE)) == 0
-    counts = sample.filter(~apart).select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    with tk.Workspace(docs.sparkSession, "language") as work:
+        grams = sample.filter(~apart).select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+        counts = pruned(work.save(grams, "grams"), size).toArrow()
     lang, gram, n = (counts.column(c).to_numpy() for c in ("lang", "gram", "n"))
     model = Ppm({name: (gram[lang == name], n[lang == name]) for name in dict.fromkeys(lang.tolist())})
     if model.langs:
