@@ -90,7 +90,8 @@ class Index:
 
         ``searches``: search, term, category (NULL: any), include_closed, least_volume (NULL: any), skip, take.
         ``markets``: id, category, closed, volume and what else is to be shown; an id once. Order: by volume, the
-        greatest first, unless given; ties by id. A page keeps skip + take rows a search before any shuffle of all.
+        greatest first, unless given; ties by id. The rows found for one search are ranked in one task, so a search
+        whose every wording names words of most titles is as large as these.
         """
         found = self.matches(searches, F.greatest(F.col("take") * 4, F.lit(100)))
         wish = searches.select("search", F.lower("category").alias("_category"), "include_closed", "least_volume", "skip", "take")

@@ -2,8 +2,9 @@
 
 Behind the last closed bucket the latest 48 hours are built anew, since trades
 may still be corrected there; older buckets are history and only filled where
-they are missing. What came out as it was is not written, and of the derived
-bars only those are that have a changed candle in them.
+they are missing. Days without a change are not touched; in the others rows that
+came out as they were are carried over, and of the derived bars only those with a
+changed candle in them are built anew.
 """
 
 from __future__ import annotations
