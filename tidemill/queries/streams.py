@@ -69,9 +69,8 @@ FROM t p JOIN t o ON p.symbol = o.symbol AND o.us >= p.us + 3600000000 AND o.us
 def stream_resolve(spark, sf_dir):
     """Every trade of one stream as a prediction, settled by the trades of another."""
     p = live.ticks(read_events(spark, sf_dir)).select("symbol", F.col("trade_id").alias("prediction_id"), (F.col("at") + F.expr("INTERVAL 1 HOUR")).alias("target_at"), (F.col("lots") > 50).alias("up"))
-    o = live.ticks(read_events(spark, sf_dir)).select(F.col("symbol").alias("out_symbol"), F.col("at").alias("out_at"), "trade_id", "price")
-    r = drain(live.resolved(p, o).select("symbol", "prediction_id", "up", "out_at", "trade_id", "price"), "resolve")
-    return r.groupBy("symbol", "prediction_id", "up").agg(F.min_by("price", F.struct("out_at", "trade_id")).alias("settled_price"), F.count("*").alias("trades_seen"))
+    o = live.ticks(read_events(spark, sf_dir)).select("symbol", F.col("at").alias("out_at"), "trade_id", "price")
+    return live.settled(drain(live.resolved(p, o), "resolve"))
 
 
 @query("stream_latest_candle", f"{mk.with_sql()} SELECT symbol, max(ts_ms) AS last_at, arg_max(price, (ts_ms, trade_id)) AS price FROM trades GROUP BY symbol")
