@@ -7,6 +7,7 @@ import random
 import re
 import subprocess
 import sys
+import tracemalloc
 from collections import Counter, defaultdict
 from itertools import combinations, product
 from pathlib import Path
@@ -122,6 +123,19 @@ def test_memory_of_code_lengths_is_exact(monkeypatch):
     assert np.allclose(model.lengths(buf, offsets), expected, rtol=1e-5)
 
 
+def test_code_lengths_of_a_long_text_in_bounded_memory():
+    """What is held at once depends on the block and on the table of code lengths, not on the text."""
+    text = np.frombuffer(b"a fairly usual line of words, again and again\n" * 200_000, np.uint8)
+    model = Ppm({lang: np.unique(grams_of(text[:500].tobytes()), return_counts=True) for lang in ("xx", "yy")})
+    tracemalloc.start()
+    found = model.lengths(text, np.array([0, 0, 100, len(text), len(text)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found[0].any() == found[3].any() == False  # noqa: E712
+    assert found[1].all() and found[2].all()
+    assert peak < 80 << 20
+
+
 def test_toxicity_against_a_sum_over_pairs():
     """Bias, a weight for each distinct known term, and a product of factors for each pair of them, from the text itself."""
     rng = np.random.default_rng(3)

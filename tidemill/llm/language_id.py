@@ -32,7 +32,7 @@ SHORT = 16.0
 #: Bytes of all trees together, at most: what is broadcast. Beyond it each language keeps its most frequent grams, of at most GRAM_BYTES each (keys, code lengths and contexts of five orders).
 MODEL_BYTES, GRAM_BYTES = 512 << 20, 160
 #: Bytes of text that are scored at once, and code lengths that a worker remembers.
-BLOCK, MEMO = 1 << 20, 1 << 22
+BLOCK, MEMO = 1 << 17, 1 << 22
 
 _BITS = 9  # of a symbol: a byte + 1; 0 stands before the text's start
 
@@ -61,7 +61,7 @@ def _places(offsets: np.ndarray) -> np.ndarray:
 
 
 def _count(batches):
-    for piece in tk.slices(batches):
+    for piece in tk.slices(batches, 2 * BLOCK):
         buf, offsets = tk.utf8(piece.column("text"))
         buf, place = tk.LOWER[buf], _places(offsets)
         langs = np.array(piece.column("lang").to_pylist(), object)
@@ -157,11 +157,14 @@ class Ppm:
     def lengths(self, buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Code length of each row in bits, by language; a block of text at a time."""
         out = np.zeros((len(offsets) - 1, len(self.langs)))
-        buf, place = tk.LOWER[buf], _places(offsets)
         for a in range(0, len(buf), BLOCK):
             b = min(a + BLOCK, len(buf))
-            inner = np.clip(offsets, a, b) - a
-            out += tk.segment_sum(self._remembered(_grams(buf, place, a, b)), inner)
+            low = max(0, a - ORDER)
+            first, last = np.searchsorted(offsets, (low, b), "right") - 1  # the rows that hold these bytes
+            cut = offsets[first : last + 2]
+            place = np.arange(low, b) - np.repeat(cut[:-1], np.diff(np.clip(cut, low, b)))
+            grams = _grams(tk.LOWER[buf[low:b]], place, a - low, b - low)
+            out[first : first + len(cut) - 1] += tk.segment_sum(self._remembered(grams), np.clip(cut, a, b) - a)
         return out
 
     def calibrate(self, lang: list[str], per_byte: np.ndarray) -> None:
