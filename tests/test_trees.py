@@ -95,3 +95,20 @@ def test_no_rows(spark, table):
     none = spark.createDataFrame(table).filter("false")
     ens = tr.fit(none, ["a"], tr.Boosting(rounds=3), [1])
     assert [r.p for r in tr.predict(spark.createDataFrame(table).filter("id = -900").withColumn("model", F.lit(0)), ens).collect()] == [0.5]
+
+
+@pytest.mark.parametrize("few", [16, 0], ids=["by model", "by rows"])
+def test_driver_gets_splits_alone(spark, table, few, monkeypatch):
+    """A row for each node of a level, however many bins there are."""
+    got, whole = [], type(spark.range(0)).toArrow
+
+    def counted(df):
+        out = whole(df)
+        got.append(out.num_rows)
+        return out
+
+    monkeypatch.setattr(type(spark.range(0)), "toArrow", counted)
+    monkeypatch.setattr(tr, "ROWS", 60)
+    monkeypatch.setattr(tr, "FEW", few)
+    tr.fit(spark.createDataFrame(table), ["a", "b", "c"], tr.Boosting(2, 3, 0.3, 8), [1, 2, 3])
+    assert len(got) == 6 and max(got) <= 3 * 4 and got[0] == 3

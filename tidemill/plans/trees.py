@@ -2,8 +2,8 @@
 
 Rows are binned once. A level of a tree is one aggregation of gradients,
 Hessians and counts by (model, node, feature, bin), whose size doesn't depend on
-the rows; the driver picks the splits from it and sends the trees back. Rows
-don't move between levels. Every REBASE trees what they add is written into the
+the rows; tasks pick the split of each node from it, the driver gets those alone
+and sends the trees back. Rows don't move between levels. Every REBASE trees what they add is written into the
 rows' margins by a checkpoint, so a task evaluates a bounded number of trees and
 a lost executor repeats that many.
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 #: Trees between checkpoints of the margins.
 REBASE = 25
-#: Rows of a task; and tasks whose sums the driver itself adds up, at most.
+#: Rows of a task; and tasks up to which rows are dealt by model instead, so that each has the whole sums of its models.
 ROWS, FEW = 8_000, 16
 
 
@@ -137,41 +137,53 @@ def _histogram(how: Boosting, width: int, trees: list, now: tuple, level: int, s
 
 
 _SUMS = "model long, node long, feature long, bin long, g double, h double, n long"
+_SPLITS = "model long, node long, feature long, bin long, gain double, g double, h double, gl double, hl double"
 
 
-def _choose(sums, ens: Ensembles, now: tuple, level: int, tree: int, seeds: np.ndarray) -> None:
+def _choose(how: Boosting, width: int, bins: int, level: int, seeds: np.ndarray, tree: int):
+    """The best split of each node of a level (feature -1 if there is none), with its gain and the sums of the node and of its left child, of the sums of all its bins."""
+
+    def run(batches):
+        found: dict[int, np.ndarray] = {}
+        for batch in batches:
+            model, node, f, b, g, h, n = (batch.column(c.split()[0]).to_numpy(zero_copy_only=False) for c in _SUMS.split(", "))
+            slots, slot = np.unique(model * (2 << level) + node, return_inverse=True)
+            dense = np.zeros((len(slots), width, bins, 3))
+            np.add.at(dense, (slot, f, b), np.stack([g, h, n], 1))
+            for k, s in enumerate(slots.tolist()):
+                found[s] = found[s] + dense[k] if s in found else dense[k].copy()
+        out = []
+        for s, sums in sorted(found.items()):
+            m, v = divmod(s, 2 << level)
+            left = sums.cumsum(1)
+            total = left[0, -1]
+            right = total - left
+            score = lambda s: s[..., 0] ** 2 / (s[..., 1] + how.l2)
+            gain = 0.5 * (score(left) + score(right) - score(total)) - how.gamma
+            ok = (left[..., 2] >= how.leaf) & (right[..., 2] >= how.leaf) & (gain > 0)
+            if how.columns < 1:
+                drawn = np.random.default_rng([int(seeds[m]), tree, v]).permutation(width)[: max(1, int(width * how.columns))]
+                ok[np.setdiff1d(np.arange(width), drawn)] = False
+            best = np.where(ok, gain, 0.0)
+            split = total[2] >= 2 * how.leaf and best.max(initial=0.0) > 0
+            j, cut = divmod(int(best.argmax()), bins)
+            out.append((m, v, j, cut + 1, best[j, cut], *total[:2], *left[j, cut, :2]) if split else (m, v, -1, 0, 0.0, *total[:2], 0.0, 0.0))
+        cols = list(zip(*out, strict=True)) or [()] * 9  # a row a node
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64() if d.endswith("double") else pa.int64()) for c, d in zip(cols, _SPLITS.split(", "), strict=True)], names=[d.split()[0] for d in _SPLITS.split(", ")])
+
+    return run
+
+
+def _write(splits, ens: Ensembles, now: tuple) -> None:
     """Write the splits of a level, and the values of its nodes and their children, into the tree ``now``."""
-    how, width = ens.how, len(ens.x)
-    model, node, f, b, g, h, n = (sums.column(c).to_numpy(zero_copy_only=False) for c in ("model", "node", "feature", "bin", "g", "h", "n"))
-    slots, slot = np.unique(model * (2 << level) + node, return_inverse=True)
-    if not len(slots):
-        return
-    dense = np.zeros((len(slots), width, max(map(len, ens.cuts)) + 1, 3))
-    dense[slot, f, b] = np.stack([g, h, n], 1)
-    left = dense.cumsum(2)
-    total = left[:, :1, -1:]
-    right = total - left
-    score = lambda s: s[..., 0] ** 2 / (s[..., 1] + how.l2)
-    gain = 0.5 * (score(left) + score(right) - score(total)) - how.gamma
-    ok = (left[..., 2] >= how.leaf) & (right[..., 2] >= how.leaf) & (gain > 0)
     feature, at, value = now
-    for k, s in enumerate(slots.tolist()):
-        m, v = divmod(s, 2 << level)
-        G, H, rows = total[k, 0, 0]
-        value[m, v] = -G / (H + how.l2)
-        if rows < 2 * how.leaf:
-            continue
-        if how.columns < 1:
-            drawn = np.random.default_rng([int(seeds[m]), tree, v]).permutation(width)[: max(1, int(width * how.columns))]
-            ok[k, np.setdiff1d(np.arange(width), drawn)] = False
-        best = np.where(ok[k], gain[k], 0.0)
-        if best.max(initial=0.0) <= 0:
-            continue
-        j, cut = divmod(int(best.argmax()), best.shape[1])
-        feature[m, v], at[m, v] = j, cut + 1
-        ens.gain[m, j] += best[j, cut]
-        for child, part in ((2 * v, left[k, j, cut]), (2 * v + 1, right[k, j, cut])):
-            value[m, child] = -part[0] / (part[1] + how.l2)
+    l2 = ens.how.l2
+    for m, v, j, cut, gain, g, h, gl, hl in sorted(zip(*(splits.column(c.split()[0]).to_pylist() for c in _SPLITS.split(", ")), strict=True)):
+        value[m, v] = -g / (h + l2)
+        if j >= 0:
+            feature[m, v], at[m, v] = j, cut
+            ens.gain[m, j] += gain
+            value[m, 2 * v], value[m, 2 * v + 1] = -gl / (hl + l2), -(g - gl) / (h - hl + l2)
 
 
 def fit(members: DataFrame, x: list[str], how: Boosting, seeds: list[int]) -> Ensembles:
@@ -209,7 +221,8 @@ def fit(members: DataFrame, x: list[str], how: Boosting, seeds: list[int]) -> En
 
     tasks = max(1, -(-rows // ROWS))
     dealt = members.select(F.col("model").cast("int").alias("model"), "id", *(F.col(c).cast("double").alias(c) for c in x), F.col("y").cast("double").alias("y"))
-    state = dealt.repartition(tasks).mapInArrow(begin, _STATE).checkpoint()
+    few = tasks <= FEW
+    state = (dealt.repartition(tasks, "model") if few else dealt.repartition(tasks)).mapInArrow(begin, _STATE).checkpoint()
     recent: list[tuple] = []
     for tree in range(how.rounds):
         nodes = 2 << how.depth
@@ -217,12 +230,12 @@ def fit(members: DataFrame, x: list[str], how: Boosting, seeds: list[int]) -> En
         for level in range(how.depth):
             if level and not (now[0][:, 1 << level - 1 : 1 << level] >= 0).any():
                 break
-            part = state.mapInArrow(_histogram(how, width, list(recent), now, level, seeds, tree, grid), _SUMS)
-            part = part if tasks <= FEW else part.groupBy("model", "node", "feature", "bin").agg(*(F.sum(c).alias(c) for c in "ghn"))
-            sums = part.toArrow()  # models x nodes x features x bins at most
-            if tasks <= FEW and sums.num_rows:
-                sums = sums.group_by(["model", "node", "feature", "bin"]).aggregate([(c, "sum") for c in "ghn"]).rename_columns(["model", "node", "feature", "bin", "g", "h", "n"])
-            _choose(sums, ens, now, level, tree, seeds)
+            sums, choose = _histogram(how, width, list(recent), now, level, seeds, tree, grid), _choose(how, width, max(map(len, cuts)) + 1, level, seeds, tree)
+            if few:
+                part = state.mapInArrow(lambda batches, sums=sums, choose=choose: choose(sums(batches)), _SPLITS)
+            else:
+                part = state.mapInArrow(sums, _SUMS).repartition(min(tasks, len(seeds) << level), "model", "node").mapInArrow(choose, _SPLITS)
+            _write(part.toArrow(), ens, now)  # models x nodes
         for store, part in zip((ens.feature, ens.bin, ens.value), now, strict=True):
             store.append(part)
         recent.append(now)
