@@ -57,6 +57,20 @@ def test_snapshots_agree_with_all_entries(ledger):
         assert _state(ledger) == _state(ledger, whole=True) == _brute(deliveries)
 
 
+@pytest.mark.parametrize("small", [0, 1 << 40], ids=["looked up", "grouped"])
+def test_older_entries_looked_up_or_grouped(ledger, small, monkeypatch):
+    """Both ways give the balances of all entries; only the first joins."""
+    monkeypatch.setattr(le, "SMALL", small)
+    rng, deliveries = random.Random(12), []
+    for step in range(4):
+        deliveries.append([(rng.randrange(3), rng.choice(le.KINDS), rng.choice([None, *range(6)]), rng.randrange(1, 90)) for _ in range(12)])
+        _add(ledger, deliveries[-1])
+        assert _state(ledger) == _brute(deliveries)
+        if step:
+            assert ("Join" in ledger._moved(step)._jdf.queryExecution().toString()) == (not small)
+        ledger.recompute()
+
+
 def test_unfinished_writes_count_for_nothing(ledger, tmp_path):
     _add(ledger, [(1, "deposit", None, 10)])
     assert ledger.recompute() == 1

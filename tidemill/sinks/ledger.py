@@ -18,6 +18,8 @@ AUDITS = f"account long, wallet {MONEY}, reserved {MONEY}, free {MONEY}, drift {
 KINDS = ("deposit", "reserve", "release", "settle")
 #: Shortfall from which a drift is reported, in units of the last digit of money.
 EPSILON = "0.000001"
+#: New deliveries are small if the older ones have over so many times their bytes.
+SMALL = 8
 
 
 def _zero(c: Column | None = None) -> Column:
@@ -67,22 +69,33 @@ class Ledger:
     def entries(self) -> DataFrame:
         return self._read("log", self._folders("log")[0], ENTRIES)
 
+    def _bytes(self, positions: list[int]) -> int:
+        """Size of the files of these deliveries."""
+        at = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = at(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return sum(fs.getContentSummary(at(f"{self.path}/log/{p}")).getLength() for p in positions)
+
     def _moved(self, upto: int) -> DataFrame:
-        """By account, what the deliveries behind ``upto`` change: of older entries only those that share a reference with them are looked up."""
+        """By account, what the deliveries behind ``upto`` change, by the older entries that share a reference with them.
+
+        Those are looked up, or, where the new deliveries are not small beside
+        the older ones, found as all entries are grouped once.
+        """
         positions = self._folders("log")[0]
-        rows = self._read("log", [p for p in positions if p > upto], ENTRIES)
-        first = lambda kind, among: F.min(F.when((F.col("kind") == kind) & among, F.struct("pos", "amount")))
-        whens = {"now": F.lit(True)}
-        if upto:
+        old, new = [p for p in positions if p <= upto], [p for p in positions if p > upto]
+        rows = self._read("log", new, ENTRIES)
+        if old and self._bytes(new) * SMALL < self._bytes(old):
             keys = rows.select(F.col("account").alias("_a"), F.col("ref").alias("_r")).distinct()
             shared = F.col("account").eqNullSafe(F.col("_a")) & F.col("ref").eqNullSafe(F.col("_r"))
-            rows = self._read("log", [p for p in positions if p <= upto], ENTRIES).join(keys, shared, "left_semi").unionByName(rows)
-            whens["then"] = F.col("pos") <= upto
-        g = rows.groupBy("account", "ref").agg(*(first(k, among).alias(f"{k}_{when}") for when, among in whens.items() for k in KINDS))
-        worth = [_worth({k: F.col(f"{k}_{when}.amount") for k in KINDS}) for when in whens]
-        if not upto:
-            worth.append((_zero(), _zero()))
-        return g.groupBy("account").agg(*(F.sum(a - b).cast(MONEY).alias(n) for a, b, n in zip(*worth, ("cash", "reserved"), strict=True)))
+            rows = self._read("log", old, ENTRIES).join(keys, shared, "left_semi").unionByName(rows)
+        elif old and new:
+            rows = self._read("log", positions, ENTRIES)
+        first = lambda kind: F.min(F.when(F.col("kind") == kind, F.struct("pos", "amount")))
+        g = rows.repartition("account", "ref").groupBy("account", "ref").agg(*(first(k).alias(k) for k in KINDS), F.max("pos").alias("last")).filter(F.col("last") > upto)
+        now = _worth({k: F.col(f"{k}.amount") for k in KINDS})
+        # the earliest entry counts, so what counted then still does
+        then = _worth({k: F.when(F.col(f"{k}.pos") <= upto, F.col(f"{k}.amount")) for k in KINDS}) if upto else (_zero(), _zero())
+        return g.groupBy("account").agg(*(F.sum(a - b).cast(MONEY).alias(n) for a, b, n in zip(now, then, ("cash", "reserved"), strict=True)))
 
     def balances(self, whole: bool = False) -> DataFrame:
         """account, cash (deposits and payments less lost stakes), reserved and available: the latest snapshot and the deliveries behind it, or, if whole, all deliveries."""
